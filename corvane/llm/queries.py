@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from corvane.llm import exact_dedup, mixing, url_filter
+from corvane.llm import chat, exact_dedup, flac, mixing, packing, pii, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
+    "op2_pii": pii.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_source_mixing": mixing.query,
+    "op7_chat_format": chat.query,
+    "op8_media_columns": flac.query,
+    "op9_best_fit_packing": packing.query,
     "op10_url_filter": url_filter.query,
 }
 
