@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, exact_dedup, flac, mixing, packing, pii, simhash, url_filter
+from corvane.llm import chat, exact_dedup, flac, lm, mixing, packing, pii, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_pii": pii.query,
+    "op3_toxicity": toxicity.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_lm_score": lm.query,
     "op6_source_mixing": mixing.query,
     "op7_chat_format": chat.query,
     "op8_media_columns": flac.query,
