@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its log odds of toxic against other training documents, whether it is known, and the mean of learned
-vectors of its character trigrams. All windows of WINDOW words, which overlap by WINDOW - STRIDE, are scored; a text's
+A word's input is its log odds of toxic against other training documents, whether it is known, the log odds of its
+first characters, and the mean of learned vectors of its character trigrams. All windows of WINDOW words, which overlap by WINDOW - STRIDE, are scored; a text's
 score is that of its highest window. In training the highest window of each document carries the label, so the network
-learns which window of a toxic document matters. Log odds for training come from the other half of the documents.
+learns which window of a toxic document matters. Log odds for training come from the other folds of the documents.
 
 The classifier is fitted on a bounded sample of labelled rows: at most TRAIN_TOXIC and TRAIN_OTHER documents, the first
 in the order of a hash; the loss is weighted back to the real share. Held-out rows (CRC-32 of the identifier's digits,
@@ -27,8 +27,13 @@ from pyspark.sql import functions as F
 TRAIN_TOXIC, TRAIN_OTHER = 800, 1600
 WINDOW, STRIDE = 64, 48
 TRIGRAMS, CHARS, HIDDEN, ATTEND = 4096, 8, 8, 8
-INPUT = 2 + CHARS
+#: Lengths of the first characters of a word that have log odds of their own.
+HEADS = (4, 5, 6)
+KNOWN = 2 + len(HEADS)
+INPUT = KNOWN + CHARS
 LEAST_DOCS, SEED = 3, 3
+#: Parts of the training documents, each of which takes its log odds from the others; epochs, and updates at least (small samples see more epochs).
+FOLDS, EPOCHS, LEAST_UPDATES = 5, 8, 400
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
 
 
@@ -52,6 +57,21 @@ def log_odds(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
     return out
 
 
+def all_odds(docs: list[set[str]], labels: np.ndarray) -> list[dict[str, float]]:
+    """Log odds of whole words, then of their heads by length."""
+    return [log_odds(docs, labels)] + [log_odds([{w[:n] for w in words if len(w) > n} for words in docs], labels) for n in HEADS]
+
+
+def odds_of(words, tables: list[dict[str, float]]) -> np.ndarray:
+    """One row per word, one column per table; a word that is no longer than a head has none there."""
+    whole, out = tables[0].get, np.zeros((len(words), 1 + len(HEADS)), dtype=np.float32)
+    out[:, 0] = [whole(w, 0.0) for w in words]
+    for k, n in enumerate(HEADS):
+        get = tables[k + 1].get
+        out[:, k + 1] = [get(w[:n], 0.0) if len(w) > n else 0.0 for w in words]
+    return out
+
+
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all trigrams of the words' bytes with a mark on both sides, and where each word's begin."""
     raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03" for w in words]
@@ -175,31 +195,37 @@ def gradients(w: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.
 def _inputs(odds: np.ndarray, means: np.ndarray) -> np.ndarray:
     """Rows for distinct words, and a row of zeros for padding."""
     x = np.zeros((len(odds) + 1, INPUT), dtype=means.dtype)
-    x[:-1, 0], x[:-1, 1], x[:-1, 2:] = odds / 2, odds != 0, means
+    x[:-1, 0], x[:-1, 1], x[:-1, 2:KNOWN], x[:-1, KNOWN:] = odds[:, 0] / 2, odds[:, 0] != 0, odds[:, 1:] / 2, means
     return x
 
 
-def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = SEED) -> dict:
+def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, batch: int = 64, rate: float = 0.01, seed: int = SEED) -> dict:
     """Weights and log odds; labels are 0 or 1, and both occur."""
     rng = np.random.default_rng(seed)
     split = [words_of(t) for t in texts]
     sets = [set(s) for s in split]
-    half = rng.permutation(len(texts)) % 2
-    cross = [log_odds([s for s, h in zip(sets, half) if h != k], labels[half != k]) for k in (0, 1)]
-    known: dict[tuple, int] = {}  # a word in one half is another row than in the other half
-    ids = [np.array([known.setdefault((w, int(h)), len(known)) for w in s], dtype=np.int64) for s, h in zip(split, half)]
-    odds = np.array([cross[h].get(w, 0.0) for w, h in known])
-    hashed, starts = trigrams([w for w, _ in known])
+    fold = rng.permutation(len(texts)) % FOLDS
+    cross = [all_odds([s for s, h in zip(sets, fold) if h != k], labels[fold != k]) for k in range(FOLDS)]
+    known: dict[tuple, int] = {}  # a word in one fold is another row than in the other folds
+    ids = [np.array([known.setdefault((w, int(h)), len(known)) for w in s], dtype=np.int64) for s, h in zip(split, fold)]
+    odds = np.zeros((len(known), 1 + len(HEADS)))
+    of_fold = np.array([h for _, h in known], dtype=np.int64)
+    every = [w for w, _ in known]
+    for k in range(FOLDS):
+        own = np.flatnonzero(of_fold == k)
+        odds[own] = odds_of([every[i] for i in own], cross[k])
+    hashed, starts = trigrams(every)
     per = np.diff(np.append(starts, len(hashed)))
     lengths = np.array([len(s) for s in split])
     joined = np.append(np.concatenate(ids) if ids else np.zeros(0, np.int64), len(known))  # -1 finds the padding
     spots, owner = windows_of(lengths)
     at = joined[spots]
     first = np.searchsorted(owner, np.arange(len(texts)))
-    best_odds = np.append(odds, 0.0)[at].max(axis=1)
+    best_odds = np.append(odds.max(axis=1), 0.0)[at].max(axis=1)
     w = start_weights(rng)
     m, v, step = {k: 0.0 for k in w}, {k: 0.0 for k in w}, 0
-    for epoch in range(epochs):
+    each = max(1, (2 * len(texts)) // batch)
+    for epoch in range(max(EPOCHS, -(-LEAST_UPDATES // each))):
         if epoch == 0:
             height = best_odds + 1e-3 * rng.random(len(at))
         else:
@@ -220,14 +246,14 @@ def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, epoch
             local = back.reshape(at[some].shape)
             _, g, dx = gradients(w, x, local, y, np.where(y == 1, 1.0, other_weight))
             g["chars"] = np.zeros_like(w["chars"])
-            np.add.at(g["chars"], hashed[pick], np.repeat(dx[:-1, 2:] / per[used_words][:, None], per[used_words], axis=0))
+            np.add.at(g["chars"], hashed[pick], np.repeat(dx[:-1, KNOWN:] / per[used_words][:, None], per[used_words], axis=0))
             norm = math.sqrt(sum(float((z * z).sum()) for z in g.values()))
             step += 1
             for k in w:
                 z = g[k] * min(1.0, 5.0 / (norm + 1e-9)) + (1e-4 * w[k] if k != "chars" else 0.0)
                 m[k], v[k] = 0.9 * m[k] + 0.1 * z, 0.99 * v[k] + 0.01 * z * z
                 w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return {"net": {k: z.astype(np.float32) for k, z in w.items()}, "odds": log_odds(sets, labels)}
+    return {"net": {k: z.astype(np.float32) for k, z in w.items()}, "odds": all_odds(sets, labels)}
 
 
 #: Words that go through the network together.
@@ -254,8 +280,7 @@ def scores(model: dict, texts: list[str]) -> np.ndarray:
 
 
 def _group_scores(model: dict, known: dict[str, int], ids: list[int], lengths: np.ndarray) -> np.ndarray:
-    w, get = model["net"], model["odds"].get
-    odds = np.array([get(x, 0.0) for x in known], dtype=np.float32)
+    w, odds = model["net"], odds_of(list(known), model["odds"])
     means = char_means(w["chars"], *trigrams(list(known))) if known else np.zeros((0, CHARS), np.float32)
     x = _inputs(odds, means.astype(np.float32))
     joined = np.append(np.array(ids, dtype=np.int64), len(known))
