@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,12 +121,20 @@ def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
 
 
 def _pack(capacity: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        rows["bin"] = np.array(sum_of_squares(rows["length"].tolist(), capacity), dtype=np.int64)
-        rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        rows["gap"] = capacity - rows.groupby("bin")["length"].transform("sum")
-        return rows[["_id", "piece", "start", "length", "ids_crc32", "shard", "bin", "offset", "gap"]]
+    """One shard's pieces with their bin, offset and the bin's gap. Arrow tables keep null identifiers and large ones exact."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        sizes = rows["length"].to_numpy()
+        bins = np.array(sum_of_squares(sizes.tolist(), capacity), dtype=np.int64)
+        order = np.argsort(bins, kind="stable")
+        sums = np.cumsum(sizes[order]) - sizes[order]
+        offset = np.empty(len(bins), dtype=np.int64)
+        offset[order] = sums - np.repeat(sums[np.searchsorted(bins[order], np.arange(bins.max() + 1))], np.bincount(bins))
+        gap = capacity - np.bincount(bins, weights=sizes).astype(np.int64)[bins]
+        for name, column in (("bin", bins), ("offset", offset), ("gap", gap)):
+            rows = rows.append_column(name, pa.array(column))
+        return rows.select(["_id", "piece", "start", "length", "ids_crc32", "shard", "bin", "offset", "gap"])
 
     return run
 
@@ -142,7 +149,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds:
     for turn in range(rounds):
         shards = max(1, -(-n // shard))
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", F.lit(turn)), F.lit(shards)))
-        packed = cut(dealt.groupBy("shard").applyInPandas(_pack(capacity), f"{PIECE}, shard long, bin long, offset long, gap long"))
+        packed = cut(dealt.groupBy("shard").applyInArrow(_pack(capacity), f"{PIECE}, shard long, bin long, offset long, gap long"))
         loose = packed.where(F.col("gap") > F.lit(capacity * LOOSE))
         last = turn == rounds - 1 or shards == 1
         ready = packed if last else packed.where(F.col("gap") <= F.lit(capacity * LOOSE))
