@@ -74,25 +74,25 @@ def odds_of(words, tables: list[dict[str, float]]) -> np.ndarray:
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all trigrams of the words' bytes with a mark on both sides, and where each word's begin."""
-    raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03" for w in words]
+    raw = [b"\x02" + (w.encode("utf-8", "replace") or b"\x03") + b"\x03" for w in words]
     flat = np.frombuffer(b"".join(raw) + b"\x00\x00", dtype=np.uint8).astype(np.uint32)
     lengths = np.array([len(r) for r in raw], dtype=np.int64)
     ends = np.cumsum(lengths)
     hashed = ((flat[:-2] * 961 + flat[1:-1] * 31 + flat[2:]) * np.uint32(2654435761)) >> np.uint32(20)
-    # every word has two marks; positions whose trigram would leave the word are dropped, but one stays for empty words
-    keep = np.ones(len(hashed), dtype=bool)
-    keep[ends - 1] = False
-    long = lengths > 2
-    keep[ends[long] - 2] = False
-    per = np.where(long, lengths - 2, 1)
-    return hashed[keep].astype(np.int64), np.cumsum(per) - per
-
-
-def char_means(table: np.ndarray, hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros((0, CHARS), table.dtype)
-    sums = np.add.reduceat(table[hashed], starts, axis=0)
-    return sums / np.diff(np.append(starts, len(hashed)))[:, None]
+    keep = np.ones(len(hashed), dtype=bool)  # but for those that would leave their word
+    keep[ends - 1] = keep[ends - 2] = False
+    return hashed[keep].astype(np.int32), np.cumsum(lengths - 2) - (lengths - 2)
+
+
+def char_means(table: np.ndarray, hashed: np.ndarray, starts: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """Mean vector of each word's trigrams, a block of words at a time."""
+    out = np.empty((len(starts), CHARS), table.dtype)
+    ends = np.append(starts[1:], len(hashed))
+    for at in range(0, len(starts), block):
+        own, last = starts[at : at + block], ends[min(at + block, len(starts)) - 1]
+        sums = np.add.reduceat(table[hashed[own[0] : last]], own - own[0], axis=0)
+        out[at : at + block] = sums / (ends[at : at + block] - own)[:, None]
+    return out
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, batch
     cross = [all_odds([s for s, h in zip(sets, fold) if h != k], labels[fold != k]) for k in range(FOLDS)]
     known: dict[tuple, int] = {}  # a word in one fold is another row than in the other folds
     ids = [np.array([known.setdefault((w, int(h)), len(known)) for w in s], dtype=np.int64) for s, h in zip(split, fold)]
-    odds = np.zeros((len(known), 1 + len(HEADS)))
+    odds = np.zeros((len(known), 1 + len(HEADS)), dtype=np.float32)
     of_fold = np.array([h for _, h in known], dtype=np.int64)
     every = [w for w, _ in known]
     for k in range(FOLDS):
@@ -219,7 +219,8 @@ def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, batch
     lengths = np.array([len(s) for s in split])
     joined = np.append(np.concatenate(ids) if ids else np.zeros(0, np.int64), len(known))  # -1 finds the padding
     spots, owner = windows_of(lengths)
-    at = joined[spots]
+    at = joined[spots].astype(np.int32)
+    del spots, joined
     first = np.searchsorted(owner, np.arange(len(texts)))
     best_odds = np.append(odds.max(axis=1), 0.0)[at].max(axis=1)
     w = start_weights(rng)
@@ -229,8 +230,9 @@ def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, batch
         if epoch == 0:
             height = best_odds + 1e-3 * rng.random(len(at))
         else:
-            x = _inputs(odds, char_means(w["chars"], hashed, starts))
-            height = np.concatenate([forward(w, x, at[k : k + 4096])[0] for k in range(0, len(at), 4096)])
+            x = _inputs(odds, char_means(w["chars"].astype(np.float32), hashed, starts))
+            narrow = {k: z.astype(np.float32) for k, z in w.items()}
+            height = np.concatenate([forward(narrow, x, at[k : k + 1024])[0] for k in range(0, len(at), 1024)])
         order = np.lexsort((-height, owner))
         chosen = order[first]  # the highest window of each document
         more = rng.choice(len(at), size=min(len(at), len(texts)), replace=False)
