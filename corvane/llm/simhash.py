@@ -185,8 +185,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
 
     Rows without an identifier stay only in groups that have none at all.
     """
-    stays = near_groups(docs, id_col, text_col, radius).where(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    own = "_stays" + "_" * max((len(c) for c in docs.columns), default=0)  # no name that the input has
+    stays = near_groups(docs, id_col, text_col, radius).where(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias(own)).distinct()
+    return docs.join(stays, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
