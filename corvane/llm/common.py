@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +71,12 @@ def bucket_of(key: Column, splitters: list[str]) -> Column:
     return found.lo
 
 
-def sampled_splitters(keys: DataFrame, column: str, buckets: int, per_bucket: int = 24) -> list[str]:
-    """Splitters from a random sample of about buckets * per_bucket keys (bounded: at most four times that reach the driver)."""
-    rows = keys.count()
+def sampled_splitters(rows: DataFrame, key: Callable[[DataFrame], DataFrame], buckets: int, per_bucket: int = 24) -> list[str]:
+    """Splitters from a random sample of about buckets * per_bucket rows (bounded: at most four times that reach the
+    driver). key makes a frame of keys of rows; only sampled rows go through it."""
+    n = rows.count()
     wanted = buckets * per_bucket
-    some = keys.select(column) if rows <= wanted else keys.select(column).sample(wanted / rows, seed=11)
+    some = key(rows if n <= wanted else rows.sample(wanted / n, seed=11))
     found = sorted(r[0] for r in some.limit(4 * wanted).collect() if r[0] is not None)
     if not found:
         return []

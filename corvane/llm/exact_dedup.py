@@ -33,15 +33,20 @@ def with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = buckets or 6 * partitions(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(F.col(f"`{text_col}`"))
     norm = lower_ascii(F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), row.alias("_row"))
-    rows = rows.withColumn("_sha", F.sha2(norm.cast("binary"), 256)).withColumn("_head", F.concat(F.substring(norm, 1, HEAD), F.lit(BETWEEN), F.col("_sha")))
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), row.alias("_row"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_sha", F.sha2(norm.cast("binary"), 256)).withColumn("_head", F.concat(F.substring(norm, 1, HEAD), F.lit(BETWEEN), F.col("_sha")))
+
+    rows = keyed(plain)
     # identifiers as text in their own order, null first
     as_text = F.when(F.col("_id").isNull(), "").otherwise(F.lpad(F.hex(F.col("_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
     key = F.concat(F.col("_head"), F.lit(BETWEEN), as_text)
-    splitters = sampled_splitters(rows.select(key.alias("key")), "key", buckets)
-    # splitters inside one group of copies name that group
-    named = sorted({s.rsplit(BETWEEN, 2)[1] for s in splitters})
-    spread = rows.where(F.col("_sha").isin(named)).groupBy("_sha", norm.alias("_norm")).agg(best("_id").alias("_all_best"), F.count(F.lit(1)).alias("_all_n")).drop("_norm")
+    splitters = sampled_splitters(plain, lambda some: keyed(some).select(key.alias("key")), buckets)
+    # splitters inside one group of copies name that group; the first characters spare most rows the digest
+    named, heads = (sorted({s.rsplit(BETWEEN, 2)[k] for s in splitters}) for k in (1, 0))
+    start = lower_ascii(F.substring(F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit("")), 1, HEAD))
+    spread = rows.where(start.isin(heads) & F.col("_sha").isin(named)).groupBy("_sha", norm.alias("_norm")).agg(best("_id").alias("_all_best"), F.count(F.lit(1)).alias("_all_n")).drop("_norm")
     ranged = rows.withColumn("_bucket", bucket_of(key, splitters))
     inside = Window.partitionBy("_bucket").orderBy("_head", norm, F.col("_id").asc_nulls_first())
     before = F.lag(norm).over(inside)

@@ -74,7 +74,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     asks = rows.withColumn("_labels", labels_reversed(F.col("host"))).withColumn("_level", F.explode(F.sequence(F.lit(1), F.least(F.size("_labels"), F.lit(levels)))))
     asks = asks.withColumn("key", F.concat(F.concat_ws(".", F.slice("_labels", F.lit(1), F.col("_level"))), F.lit(GAP), F.col("path"))).drop("_labels")
     place = F.concat(F.col("key"), F.lit(GAP), F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    splitters = sampled_splitters(asks.select(place.alias("place")), "place", buckets)
+    splitters = sampled_splitters(asks, lambda some: some.select(place.alias("place")), buckets)
     asks = asks.withColumn("_bucket", bucket_of(place, splitters))
     # segments by range; the last of each range is carried into the next ones that need it
     parts = cut(parts.withColumn("_bucket", bucket_of(F.col("key"), splitters)))
