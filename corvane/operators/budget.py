@@ -13,8 +13,13 @@ def with_totals(df: DataFrame, order: list[Column], limit: int | None) -> DataFr
     return some.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > F.lit(limit or 2**62))
 
 
-def first_overflow(df: DataFrame, cost: Column, order: list[Column], limit: int, partition: list[str] | None = None) -> DataFrame:
-    """The rows before the running cost first passes the limit; later rows don't skip ahead. Adds spent."""
+def first_overflow(df: DataFrame, cost: Column, order: list[Column], limit: int, partition: list[str] | None = None, least: int = 0) -> DataFrame:
+    """The rows before the running cost first passes the limit; later rows don't skip ahead. Adds spent.
+
+    least: what every row costs at least. Over one order, no more than limit / least rows can fit, so only these go on.
+    """
+    if least and not partition:
+        df = df.orderBy(*order).limit(limit // least + 1)
     spec = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("spent", F.sum(cost).over(spec)).where(F.col("spent") <= limit)
 

@@ -130,19 +130,21 @@ def components_strong(edges: DataFrame) -> DataFrame:
 
 def cycle_paths(edges: DataFrame, members: DataFrame) -> DataFrame:
     """component and its nodes in breadth-first order from the least one, joined; members: id, component."""
-    inner = edges.join(members.select(F.col("id").alias("src"), "component"), "src").join(members.select(F.col("id").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c").select("component", "src", "dst").distinct()
-    order = members.where("id = component").select("component", "id", F.lit(0).alias("depth"))
+    inner = edges.join(members.select(F.col("id").alias("src"), F.col("component").alias("_a")), "src").join(members.select(F.col("id").alias("dst"), F.col("component").alias("_b")), "dst").where("_a = _b")
+    inner = cut(inner.select(F.col("_a").alias("component"), F.col("src").alias("id"), "dst").distinct())
+    order = cut(members.where("id = component").select("component", "id", F.lit(0).alias("depth")))
     front, d = order, 0
     while front.limit(1).count():
         d += 1
-        front = cut(front.join(inner, (inner["component"] == front["component"]) & (inner["src"] == front["id"])).select(inner["component"], F.col("dst").alias("id")).distinct().join(order, ["component", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        step = front.select("component", "id").join(inner, ["component", "id"]).select("component", F.col("dst").alias("id")).distinct()
+        front = cut(step.join(order, ["component", "id"], "left_anti").withColumn("depth", F.lit(d)))
         order = order.unionByName(front)
     listed = F.sort_array(F.collect_list(F.struct("depth", "id")))
     return order.groupBy("component").agg(F.transform(listed, lambda x: x.id.cast("string")).alias("nodes")).withColumn("length", F.size("nodes")).orderBy("component", "length")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, rounds: int | None = None, damping: float = DAMPING, every: int = 5) -> DataFrame:
-    """id and rank, summing to 1. A fixed number of rounds, or until the ranks move less than EPSILON in all."""
+    """id and rank, summing to 1. A fixed number of rounds, or until the ranks move less than EPSILON in all (looked at every few rounds)."""
     links = cut(edges.select("src", "dst").distinct())
     ids = cut((nodes.select("id").distinct() if nodes is not None else nodes_of(links)))
     n = ids.count()
@@ -157,9 +159,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, rounds: int | Non
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
         new = ranks.join(given, "id", "left").crossJoin(F.broadcast(loose))
         new = new.select("id", "deg", ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank"), F.col("rank").alias("_old"))
-        if k % every == 0 or rounds is None or k == rounds:
+        if k % every == 0 or k == rounds:
             new = cut(new)
-        if rounds is None and new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < EPSILON:
+        if rounds is None and k % every == 0 and new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < EPSILON:
             ranks = new.drop("_old")
             break
         ranks = new.drop("_old")
@@ -196,5 +198,9 @@ def hierarchy(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500)
         all_ = all_.unionByName(now)
     # of equal nodes only the first in depth-first order counts as expanded
     first = all_.groupBy("id").agg(F.min("path").alias("_first"))
-    marked = all_.join(first, "id").withColumn("repeat", F.col("repeat") | (F.col("path") != F.col("_first"))).drop("_first")
+    marked = cut(all_.join(first, "id").withColumn("repeat", F.col("repeat") | (F.col("path") != F.col("_first"))).drop("_first"))
+    # what hangs below a repeated node was listed where the node came first
+    closed = marked.where("repeat").select(F.col("path").alias("_above"))
+    above = marked.where("depth > 0").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("_above"))
+    marked = marked.join(above.join(closed, "_above", "left_semi").select("path").distinct(), "path", "left_anti")
     return marked.orderBy("path").limit(limit)

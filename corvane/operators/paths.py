@@ -30,7 +30,7 @@ def expand_braces(pattern: str) -> list[str]:
         close = p.find("}")
         open_ = p.rfind("{", 0, close) if close >= 0 else -1
         if open_ < 0:
-            done.append(p)
+            done += [p] * (p not in done)
         else:
             todo += [p[:open_] + x + p[close + 1 :] for x in p[open_ + 1 : close].split(",")]
     return done

@@ -122,8 +122,8 @@ def dotted_suffix(symbols: DataFrame, qualified: str, query: str) -> DataFrame:
     parts = query.split(".")
     rows = symbols.where(F.slice(F.split(F.col(qualified), r"\."), -len(parts), len(parts)) == F.array(*[F.lit(p) for p in parts])) if len(parts) > 1 else symbols.where(F.substring_index(F.col(qualified), ".", -1) == query)
     rows = rows.withColumn("exact", F.col(qualified) == query)
-    best = Window.partitionBy(F.lit(0))
-    return rows.withColumn("_any", F.max("exact").over(best)).where(F.col("exact") | ~F.col("_any")).drop("_any")
+    any_ = rows.agg(F.max("exact").alias("_any"))  # one row
+    return rows.crossJoin(F.broadcast(any_)).where(F.col("exact") | ~F.col("_any")).drop("_any")
 
 
 def repo_map(files: DataFrame, symbols: DataFrame, budget_bytes: int, per_file: int = 8, first: int = 20, later: int = 3) -> DataFrame:
@@ -136,7 +136,9 @@ def repo_map(files: DataFrame, symbols: DataFrame, budget_bytes: int, per_file:
     some = symbols.where((F.col("depth") == 0) | ((F.col("depth") == 1) & F.col("parent_kind").isin(*types)))
     text = F.trim(F.regexp_replace(F.concat_ws(" ", "kind", "name", F.concat(F.lit(" "), F.coalesce("signature", F.lit("")))), r"\s+", " "))
     counts = symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
-    ranked = files.join(counts, "path").withColumn("file_rank", F.row_number().over(Window.orderBy(F.col("rank").desc(), F.col("n_symbols").desc(), "path")))
+    order = [F.col("rank").desc(), F.col("n_symbols").desc(), F.col("path")]
+    some_files = files.join(counts, "path").orderBy(*order).limit(budget_bytes // 3 + 1)  # a file's line costs three bytes or more
+    ranked = some_files.withColumn("file_rank", F.row_number().over(Window.orderBy(*order)))
     some = some.withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy(F.col("exported").desc(), kind_rank, "depth", "line", "id")))
     rows = some.join(ranked, "path").where(F.col("_k") <= F.when(F.col("file_rank") <= first, per_file).otherwise(min(per_file, later)))
     listed = rows.select("file_rank", "path", F.row_number().over(Window.partitionBy("path").orderBy("line", "id")).alias("k"), text.alias("text"))
@@ -144,4 +146,4 @@ def repo_map(files: DataFrame, symbols: DataFrame, budget_bytes: int, per_file:
     every = heads.unionByName(listed).withColumn("cost", F.octet_length("text") + F.when(F.col("k") == 0, 2).otherwise(3))
     from corvane.operators.budget import first_overflow
 
-    return first_overflow(every, F.col("cost"), [F.col("file_rank"), F.col("k")], budget_bytes)
+    return first_overflow(every, F.col("cost"), [F.col("file_rank"), F.col("k")], budget_bytes, least=3)

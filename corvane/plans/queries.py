@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, paths, search, snapshot, task, verdicts
+from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, outline, paths, search, snapshot, task, verdicts
 from corvane.streaming import gate as gates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,3 +525,56 @@ def task_rank(spark, d):
     hits = docs.select("doc_id", "text", F.contains("source", F.lit("9")).alias("boosted"), F.explode(F.array(*[F.lit(a) for a, _ in _TASK])).alias("term")).where(F.contains("text", F.col("term")))
     quality = F.when(F.contains(F.substring_index("text", "\n", 1), F.col("term")), "exact").otherwise("token")
     return task.rank(hits.select("doc_id", "term", quality.alias("quality"), "boosted"), "doc_id", _TASK, path_boost="boosted").select("doc_id", "score", "named")
+
+
+# ---- listings
+
+
+@query(rf"""with {LINES} select doc_id, string_agg(text, chr(10) order by line) as source from lines where line between 2 and 4 group by doc_id""")
+def source_slices(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    spans = docs.select("doc_id", F.lit(0).alias("id"), F.lit(2).alias("line"), F.lit(4).alias("end_line"))
+    return outline.source_slices(docs, spans, "doc_id", "text").select("doc_id", "source")
+
+
+@query("""select doc_id, source, n_chars from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as k from documents) where k <= 3""")
+def top_per_source(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return budget.per_source_top(docs, "source", [F.col("n_chars").desc(), F.col("doc_id")], 3)
+
+
+@query("""select o_orderkey, case when o_orderpriority = '1-URGENT' then 'X' else o_orderstatus end as status from orders where o_orderpriority <> '5-LOW'""")
+def index_upsert(spark, d):
+    """A table brought up to date by the differences of two snapshots is the newer snapshot."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    prev = o.where("status <> 'P'").select("o_orderkey", "status")
+    cur = o.where("o_orderpriority <> '5-LOW'").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("status")).alias("status"))
+    return snapshot.upsert(prev, snapshot.diff(prev, cur, "o_orderkey", ["status"]), cur, "o_orderkey")
+
+
+@query("""with i as (select o_custkey as f, o_orderkey as k, o_orderdate as s, o_orderdate + interval 30 day as e from orders) select a.f as o_custkey, count(*) as pairs from i a join i b on a.f = b.f and a.s <= b.e and a.e >= b.s and a.k < b.k group by a.f""")
+def interval_overlaps(spark, d):
+    """Pairs of a customer's orders whose thirty days overlap."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("e"))
+    other = o.select("f", F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    pairs = intervals.overlaps(o, other, "f", "s", "e", "s2", "e2").where("k < k2")
+    return pairs.groupBy(F.col("f").alias("o_custkey")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(rf"""select page_id, case when regexp_matches({_PATH}, '\.html$') then 'html' else '' end as language from pages""")
+def page_languages(spark, d):
+    return table(spark, d, "pages").select("page_id", t.language_id(_page_path()).alias("language"))
+
+
+@query("""select event_id, user_id, count(*) over () as total, true as has_errors from events where event_type = 'error' order by user_id, ts, event_id limit 100""")
+def diagnostics_sorted(spark, d):
+    """The first hundred errors by user and time, with the total."""
+    e = table(spark, d, "events").withColumnRenamed("event_type", "severity").where("severity = 'error'")
+    return outline.diagnostics(e, "severity", [F.col("user_id"), F.col("ts"), F.col("event_id")], 100).select("event_id", "user_id", "total", "has_errors")
+
+
+@query("""with recursive e as (select distinct o_orderkey % (select count(*) from customer) as src, o_custkey as dst from orders where o_orderpriority = '1-URGENT'),
+w as (select [cast(1 as bigint)] as path, cast(1 as bigint) as id, 0 as depth union all select list_append(w.path, e.dst), e.dst, w.depth + 1 from w join e on e.src = w.id where w.depth < 1 and not list_contains(w.path, e.dst)) select id, depth from w""")
+def call_hierarchy_d1(spark, d):
+    """What one node calls, in depth-first order."""
+    return graph.hierarchy(_edges(spark, d), spark.range(1, 2), 1, 500).where("not repeat or depth = 0").select("id", "depth")
