@@ -28,7 +28,7 @@ def outline(symbols: DataFrame, path: str, limit: int = 0) -> DataFrame:
 
 def children(symbols: DataFrame) -> DataFrame:
     """Each symbol with the names of those right beneath it, in order. symbols: path, ordinal, parent, name, line."""
-    kids = symbols.where("parent is not null").groupBy("path", F.col("parent").alias("ordinal")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "name"))), lambda x: x.name).alias("children"))
+    kids = symbols.where("parent is not null").groupBy("path", F.col("parent").alias("ordinal")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]).alias("children"))
     return symbols.join(kids, ["path", "ordinal"], "left")
 
 

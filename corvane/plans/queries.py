@@ -493,12 +493,12 @@ def edit_overlap(spark, d):
     return intervals.edit_overlaps(o, ["o_custkey"], "s", "e", ["s", "o_orderkey"]).select("o_orderkey", "overlap")
 
 
-@query("""with g as (select event_id, user_id, (epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)) // 1000 as gap_ms from events) select event_id, user_id, gap_ms from g where gap_ms is null or gap_ms >= 36000000""")
+@query("""with g as (select event_id, user_id, (epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)) // 1000 as gap_ms from events) select event_id, user_id, coalesce(gap_ms, -1) as gap_ms from g where gap_ms is null or gap_ms >= 36000000""")
 def gate_settle(spark, d):
     """Events after which a user stays quiet for ten hours."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
     e = e.withColumn("ts", F.col("ts").cast("timestamp"))
-    return gates.settled(e, "user_id", "ts", 36_000_000).select("event_id", "user_id", "gap_ms")
+    return gates.settled(e, "user_id", "ts", 36_000_000).select("event_id", "user_id", F.coalesce("gap_ms", F.lit(-1).cast("long")).alias("gap_ms"))
 
 
 @query(r"""with h as (select page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), 'href="([^"]*)"', 1) as hrefs from pages) select page_id, len(hrefs) as links, len(list_distinct(hrefs)) as targets from h where len(hrefs) > 0""")

@@ -30,7 +30,7 @@ PY = ['@deco', 'def f(a,', '      b=")"):', '    """Does f.', '', '    More.', '
 
 def test_signatures():
     assert doc.signature_at(GO, 10) == "func Run( a int, b []string, ) error"
-    assert doc.signature_at(GO, 19) == "type T struct" and doc.signature_at(PY, 2) == 'def f(a, b=")")'
+    assert doc.signature_at(GO, 20) == "type T struct" and doc.signature_at(PY, 2) == 'def f(a, b=")")'
     assert len(doc.signature_at(["x" * 500], 1).encode()) <= 240
 
 
