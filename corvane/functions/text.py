@@ -178,25 +178,39 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) < 2, F.array(F.lit("."))).otherwise(F.concat(F.array(F.lit(".")), above))
 
 
-#: Names of files and their endings that tests have, by language family.
-TEST_PATTERN = r"(^|/)(tests?|__tests__|testdata|spec)/|_test\.go$|(^|/)test_[^/]*\.py$|_test\.py$|\.(test|spec)\.[cm]?[jt]sx?$|_test\.(c|cc|cpp|rs|lua)$|(^|/)conftest\.py$|tests?\.java$"
+#: Endings of stems, marks inside names, and directories that tests have.
+TEST_NAMES = r"(^|/)test_[^/]*\.py$|(^|/)conftest\.py$|_(test|spec)(\.[^./]*)?$|(^|/)[^/]*\.(test|spec)\.[^/]*$|tests?\.(java|kt)$"
+TEST_DIRECTORIES = r"(^|/)(test|tests|spec|specs|__tests__)/"
 
 
 def is_test_file(path: Column) -> Column:
-    return F.lower(path).rlike(TEST_PATTERN)
-
-
-#: Languages by ending, and by whole name.
-LANGUAGES = {"go": "go", "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascriptreact", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "typescriptreact", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "lua": "lua", "java": "java", "kt": "kotlin", "rb": "ruby", "sh": "shellscript", "bash": "shellscript", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "css": "css", "sql": "sql", "txt": "plaintext", "xml": "xml"}
-NAMES = {"makefile": "makefile", "dockerfile": "dockerfile", "go.mod": "go.mod", "go.sum": "go.sum", "cmakelists.txt": "cmake"}
-PROSE = ("markdown", "plaintext", "json", "yaml", "toml", "xml", "html", "css", "go.sum", "")
+    return F.lower(path).rlike(TEST_NAMES) | F.lower(path).rlike(TEST_DIRECTORIES)
+
+
+#: Languages by whole name, and by ending.
+NAMES = {
+    "go.mod": "gomod", "go.work": "gowork", "go.sum": "gosum", "go.work.sum": "gosum", "Dockerfile": "dockerfile", "Makefile": "make",
+    "GNUmakefile": "make", "CMakeLists.txt": "cmake", "Gemfile": "ruby", "Rakefile": "ruby",
+}
+LANGUAGES = {
+    "go": "go", "gotmpl": "gotmpl", "tmpl": "gotmpl", "tpl": "gotmpl", "rs": "rust", "py": "python", "pyi": "python", "pyw": "python",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "m": "objective-c", "mm": "objective-cpp",
+    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "typescriptreact", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascriptreact",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sbt": "scala", "rb": "ruby", "php": "php", "cs": "csharp", "fs": "fsharp", "swift": "swift", "dart": "dart", "lua": "lua", "zig": "zig",
+    "hs": "haskell", "ml": "ocaml", "mli": "ocaml", "ex": "elixir", "exs": "elixir", "erl": "erlang", "nix": "nix", "tf": "terraform", "tfvars": "terraform", "proto": "proto", "sql": "sql",
+    "sh": "shellscript", "bash": "shellscript", "zsh": "shellscript", "fish": "fish", "ps1": "powershell", "vim": "vim", "el": "lisp", "clj": "clojure", "toml": "toml", "json": "json", "jsonc": "jsonc", "yaml": "yaml", "yml": "yaml", "xml": "xml",
+    "html": "html", "htm": "html", "css": "css", "scss": "scss", "less": "less", "vue": "vue", "svelte": "svelte", "md": "markdown", "mdx": "mdx", "rst": "restructuredtext", "tex": "latex",
+    "r": "r", "jl": "julia", "pl": "perl", "pm": "perl", "groovy": "groovy", "gradle": "groovy", "dockerfile": "dockerfile",
+}
+#: Languages of prose, data and configuration.
+PROSE = ("", "markdown", "mdx", "restructuredtext", "latex", "json", "jsonc", "yaml", "toml", "xml", "gomod", "gosum", "gowork")
 
 
 def language_id(path: Column) -> Column:
     """By the whole name, then the ending; "" where neither is known or the name begins with its only dot."""
-    base = F.lower(F.substring_index(path, "/", -1))
+    base = F.substring_index(path, "/", -1)
     pick = lambda d, k: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), k)
-    ending = F.when(base.rlike(r"^[^.].*\.[^.]+$|^\..+\.[^.]+$"), F.substring_index(base, ".", -1))
+    ending = F.when(base.rlike(r"^[^.].*\.[^.]+$|^\..*\.[^.]+$"), F.lower(F.substring_index(base, ".", -1)))
     return F.coalesce(pick(NAMES, base), pick(LANGUAGES, ending), F.lit(""))
 
 

@@ -136,8 +136,11 @@ def extract(files: DataFrame) -> DataFrame:
 
 #: Endings that a script import may leave out, in order, and first segments of standard libraries.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-NODE = "assert buffer child_process cluster crypto dns events fs http http2 https net os path process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
-PYTHON = "abc argparse array ast asyncio base64 bisect builtins collections concurrent configparser contextlib copy csv ctypes dataclasses datetime decimal difflib email enum errno functools gc getpass glob gzip hashlib heapq hmac html http importlib inspect io ipaddress itertools json logging math multiprocessing numbers operator os pathlib pickle platform pprint queue random re sched secrets select shlex shutil signal site socket sqlite3 ssl stat statistics string struct subprocess sys tempfile textwrap threading time timeit tokenize traceback types typing unicodedata unittest urllib uuid warnings weakref xml zipfile zlib __future__".split()
+NODE = "assert buffer child_process crypto events fs http https net os path process readline stream url util zlib worker_threads".split()
+PYTHON = """__future__ abc argparse asyncio base64 collections contextlib copy csv dataclasses datetime enum functools hashlib http inspect
+io itertools json logging math operator os pathlib random re shutil socket sqlite3 string struct subprocess sys
+tempfile textwrap threading time traceback typing unittest urllib uuid warnings""".split()
+LUA = "string table os io math coroutine debug utf8 package bit jit ffi".split()
 
 
 def _join(base: str, rel: str) -> str | None:
@@ -213,9 +216,9 @@ def category(language: Column, spec: Column, kind: Column) -> Column:
     first = F.substring_index(spec, "/", 1)
     go = F.when(F.contains(first, F.lit(".")), "third-party").otherwise("stdlib")
     python = F.when(F.startswith(spec, F.lit(".")), "unresolved").when(head.isin(*PYTHON), "stdlib").otherwise("third-party")
-    script = F.when(F.startswith(spec, F.lit(".")), "unresolved").when(F.startswith(spec, F.lit("node:")) | first.isin(*NODE), "stdlib").otherwise("third-party")
+    script = F.when(F.startswith(spec, F.lit(".")), "unresolved").when(F.startswith(spec, F.lit("node:")) | spec.isin(*NODE), "stdlib").otherwise("third-party")
     rust = F.when(head.isin("crate", "self", "super") | (kind == "mod"), "unresolved").when(head.isin("std", "core", "alloc"), "stdlib").otherwise("third-party")
-    return F.when(kind == "system", "system").when(language == "go", go).when(language == "python", python).when(F.startswith(language, F.lit("javascript")) | F.startswith(language, F.lit("typescript")), script).when(language == "rust", rust).otherwise("unresolved")
+    return F.when(kind == "system", "system").when(language == "go", go).when(language == "python", python).when(F.startswith(language, F.lit("javascript")) | F.startswith(language, F.lit("typescript")), script).when(language == "rust", rust).when(language == "lua", F.when(head.isin(*LUA), "stdlib").otherwise("third-party")).otherwise("unresolved")
 
 
 def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:

@@ -36,35 +36,48 @@ def siblings(rows: DataFrame, key: str, start: str, end: str, subject_start: int
     return rows.select(key, (2 + 1 / (1 + gap)).cast("double").alias("weight"), F.lit("sibling").alias("source"))
 
 
-def exportedness(language: Column, name: Column, signature: Column, strict: bool = True) -> Column:
-    """yes, no or unknown. strict is the rule of the dead-code analysis; the other one counts public names in Python as exported."""
+def exportedness(language: Column, name: Column, declaration: Column, strict: bool = True, nested: Column | None = None) -> Column:
+    """yes, no or unknown, by the declaration's line. strict is the rule of the dead-code analysis; the other one counts
+    public names in Python as exported and leaves restricted visibility in Rust open. nested: members of a class."""
+    line, inner = F.trim(declaration), F.lit(False) if nested is None else nested
+    begins = lambda *words: line.rlike("^(" + "|".join(words) + ")")
+    under = F.startswith(name, F.lit("_"))
     go = F.when(name.rlike(r"^\p{Lu}"), "yes").otherwise("no")
-    python = F.when(F.startswith(name, F.lit("_")), "no").otherwise("unknown" if strict else "yes")
-    rust = F.when(signature.rlike(r"(^|\s)pub\s*\("), "no" if strict else "unknown").when(signature.rlike(r"(^|\s)pub\s"), "yes").otherwise("no")
-    script = F.when(signature.rlike(r"(^|\s)export\s"), "yes").otherwise("unknown")
-    java = F.when(signature.rlike(r"\bprivate\b"), "no").when(signature.rlike(r"\bpublic\b"), "yes").otherwise("unknown")
-    c = F.when(signature.rlike(r"(^|\s)static\s"), "no").otherwise("unknown")
-    return F.when(language == "go", go).when(language == "python", python).when(language == "rust", rust).when(language.isin("javascript", "typescript", "javascriptreact", "typescriptreact"), script).when(language.isin("java", "kotlin"), java).when(language.isin("c", "cpp"), c).otherwise("unknown")
+    python = F.when(under if strict else under & ~name.rlike("^__.*__$"), "no").otherwise("unknown" if strict else "yes")
+    hidden = F.when(begins("private", "#") | F.startswith(name, F.lit("#")), "no").otherwise("unknown") if strict else F.lit("unknown")
+    script = F.when(begins("export"), "yes").when(inner, hidden).otherwise("no")
+    rust = F.when(begins(r"pub\("), "no" if strict else "unknown").when(begins("pub ", "pub$"), "yes").otherwise("no")
+    c = F.when(begins("static"), "no").otherwise("unknown")
+    lua = F.when(begins("local"), "no").otherwise("unknown")
+    scripts = ("typescript", "javascript", "typescriptreact", "javascriptreact")
+    return F.when(language == "go", go).when(language == "python", python).when(language.isin(*scripts), script).when(language == "rust", rust).when(language.isin("c", "cpp"), c).when(language == "lua", lua).otherwise("unknown")
 
 
-#: Names that runtimes and test runners call by themselves.
-ENTRY = r"^(main|init|TestMain)$|^(Test|Benchmark|Fuzz|Example)(\p{Lu}.*|_.*)?$"
-BUILT_IN = ("String", "Error", "GoString", "MarshalJSON", "UnmarshalJSON", "MarshalText", "UnmarshalText", "ServeHTTP", "Len", "Less", "Swap", "Unwrap", "Is", "As", "Read", "Write", "Close", "toString", "hashCode", "equals", "drop", "fmt")
+#: Methods that runtimes call by themselves, prefixes of test functions, languages that build names from strings.
+BUILT_IN = (
+    "String", "Error", "GoString", "Format", "Unwrap", "Is", "As", "MarshalJSON", "UnmarshalJSON", "MarshalText", "UnmarshalText", "MarshalBinary", "UnmarshalBinary",
+    "Read", "Write", "Close", "Len", "Less", "Swap", "ServeHTTP", "Scan", "Value", "constructor", "toString", "toJSON", "valueOf",
+    "fmt", "drop", "deref", "deref_mut", "next", "from", "into", "default", "eq", "cmp", "partial_cmp", "hash", "clone", "try_from", "from_str", "as_ref",
+)
+TEST_PREFIXES = ("Test", "Benchmark", "Example", "Fuzz")
+REFLECTIVE = ("python", "javascript", "typescript", "javascriptreact", "typescriptreact", "ruby", "lua", "php")
 
 
-def entry_point(language: Column, name: Column) -> Column:
-    return name.rlike(ENTRY) | ((language == "python") & name.rlike(r"^__.*__$"))
+def entry_point(language: Column, name: Column, kind: Column) -> Column:
+    """Called by a runtime or a test runner."""
+    test = name.rlike("^(" + "|".join(TEST_PREFIXES) + r")($|[^\p{Ll}])") & (kind == "function")
+    return name.isin("main", "init", "TestMain") | ((language == "go") & test) | ((language == "python") & name.rlike("^__.*__$"))
 
 
-def exclusion(language: str, name: str, path: str, local: Column, exported: Column, include_exported: bool, ignore_names: list[str] = (), ignore_paths: list[str] = ()) -> Column:
+def exclusion(language: str, name: str, kind: str, path: str, local: Column, exported: Column, include_exported: bool, ignore_names: list[str] = (), ignore_paths: list[str] = ()) -> Column:
     """Why a symbol is no candidate, by the first rule that fits; null if it is one."""
     wild = lambda c, p: c.rlike("^" + ".*".join(map(_escape, p.split("*"))) + "$")
-    ignored = F.col(name).isin(*BUILT_IN)
+    ignored = F.col(name).isin(*BUILT_IN) & (F.col(kind) == "method")
     for p in ignore_names:
         ignored = ignored | wild(F.col(name), p)
     for p in ignore_paths:
         ignored = ignored | wild(F.col(path), p)
-    rule = F.when(is_test_file(F.col(path)), "test_file").when(entry_point(F.col(language), F.col(name)), "entry_point").when(ignored, "ignored").when(local, "local")
+    rule = F.when(is_test_file(F.col(path)), "test_file").when(entry_point(F.col(language), F.col(name), F.col(kind)), "entry_point").when(ignored, "ignored").when(local, "local")
     return rule if include_exported else rule.when(exported == "yes", "exported")
 
 
@@ -72,9 +85,13 @@ def _escape(text: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
 
 
+#: Systems and processors that a file's name can be bound to.
+BOUND = "aix|android|darwin|dragonfly|freebsd|hurd|illumos|ios|js|linux|nacl|netbsd|openbsd|plan9|solaris|wasip1|windows|zos|386|amd64|arm|arm64|loong64|mips|mipsle|mips64|mips64le|ppc64|ppc64le|riscv64|s390x|wasm"
+
+
 def build_sensitive(path: Column, text: Column) -> Column:
     """Files that only some builds see."""
-    return path.rlike(r"_(linux|darwin|windows|freebsd|amd64|arm64|386|js|wasm)(_test)?\.go$") | text.rlike(r"(?m)^//go:build |^// \+build |^import \"C\"")
+    return path.rlike(rf"_({BOUND})(_[a-z0-9]+)?\.go$") | text.rlike(r"(?m)^//go:build |^// \+build |^import \"C\"")
 
 
 def confidence(exported: Column, sensitive: Column, kind: Column, can_implement: Column, reflective: Column) -> Column:

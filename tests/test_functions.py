@@ -57,7 +57,7 @@ def test_clips():
 
 
 def test_languages(spark):
-    want = {"a/b.go": "go", "x.py": "python", ".gitignore": "", "Makefile": "makefile", "a.tar.TSX": "typescriptreact", "noext": "", "go.mod": "go.mod", ".eslintrc.json": "json"}
+    want = {"a/b.go": "go", "x.py": "python", ".gitignore": "", "Makefile": "make", "a.tar.TSX": "typescriptreact", "noext": "", "go.mod": "gomod", ".eslintrc.json": "json"}
     rows = spark.createDataFrame([(k,) for k in want], "p string").select("p", t.language_id(F.col("p")).alias("l")).collect()
     assert {r["p"]: r["l"] for r in rows} == want
 
@@ -79,6 +79,6 @@ def test_ends_of_lines(spark):
 def test_small_ones(spark):
     assert one(spark, t.first_sentence(F.lit("Does this. And that."))) == "Does this."
     assert one(spark, t.round_half_up(F.lit(1.0005))) == 1.001
-    assert one(spark, t.rule_id(F.lit("gopls"), F.lit(""))) == "gopls" and one(spark, t.rule_id(F.lit(None), F.lit(None))) == "diagnostic"
+    assert one(spark, t.rule_id(F.lit("vet"), F.lit(""))) == "vet" and one(spark, t.rule_id(F.lit(None), F.lit(None))) == "diagnostic"
     assert one(spark, t.is_test_file(F.lit("a/b_test.go"))) and not one(spark, t.is_test_file(F.lit("a/contest.go")))
     assert one(spark, t.is_empty_result(F.lit("[]"))) and not one(spark, t.is_empty_result(F.lit("[1]")))
