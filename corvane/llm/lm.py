@@ -1,16 +1,22 @@
 """Scores of texts by a hierarchical Pitman-Yor model over all training documents.
 
-A token's context is the class of the token before it: its last two bytes, hashed to CONTEXTS classes; the start of a
-document is a class of its own. Every class is a restaurant over words; they share one parent restaurant, whose base is
-uniform over the V known words and one unknown word. Gibbs sweeps seat all customers of the training counts in Chinese
-restaurants with the totals of the sweep before; the predictive probabilities of the last KEPT sweeps are averaged.
-
-Nothing grows on the driver or in a broadcast: documents are read in blocks of about BLOCK bytes; each block sends its
-distinct words, with their training counts by class, to the partition of the word; there counts are summed, seats are
-drawn and answers are made; every block gets its own words' answers back and scores its documents. What the driver
-gathers is one row for each class.
-
-Large groups of customers of one word in one restaurant are seated in chunks of 1/32 of those already there.
+A token's context is the word before it; the start of a document is the context of the end. Every word that comes before
+another is a restaurant over words. Its parent is the restaurant of its class (its last two bytes, hashed to CONTEXTS
+classes, the end apart), whose customers are the tables of its words' restaurants; the classes share one parent, whose
+base is uniform over the V known words and one unknown word. Gibbs sweeps seat all customers of the training counts in
+Chinese restaurants with the totals of the sweep before; the predictive probabilities of the last KEPT sweeps are
+averaged.
+
+Nothing that grows is on the driver or in a broadcast: documents are read in blocks of about BLOCK bytes; each block
+sums its pairs (context, word) and sends its distinct words, with their training counts by context, to the home of the
+word, a partition by hash; a context goes by its 64-bit key, whose last byte is its class. Homes sum counts, draw seats
+and answer; every block gets its own words' answers back and scores its documents. The tables of a context are summed
+at the context's home after each sweep and sent back to the homes of its words. All this goes through keyed RDDs that
+share one partitioner, so that what the first shuffle wrote is read again and not written again. What the driver
+gathers is one row of totals, a few for each class.
+
+Large groups of customers of one word in one restaurant are seated in chunks of 1/32 of those already there. Pairs seen
+once have one table whatever is drawn, so only the others take part in sweeps.
 
 Defined cases: null text is empty and scores one end token; null identifiers are in training; repeated rows count as
 often as they occur; an empty table gives an empty result; without training rows every word is unknown.
@@ -19,16 +25,14 @@ often as they occur; an empty table gives an empty result; without training rows
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_BYTES, cut, partitions
+from corvane.llm.common import LOWER_BYTES, partitions
 
 CONTEXTS = 256
 BLOCK = 12 << 20
@@ -47,17 +51,48 @@ def _unpack(blob: bytes):
     return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The narrowest unsigned type that holds x."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from zero up as rows of bytes, as many as the largest one needs."""
+    x = np.ascontiguousarray(x, dtype=np.int64)
+    wide = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :wide].T)
+
+
+def _full(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
+    out[:, : len(rows)] = rows.T
+    return out.view(np.int64).reshape(-1)
 
 
 def context_class(word: bytes) -> int:
-    """The class that a word gives to the token after it; the end, and so the start, is class 0."""
+    """The class of a word as a context; the end, and so the start, is class 0."""
     return 1 + (word[-1] * 193 + (word[-2] if len(word) > 1 else 0) * 31) % (CONTEXTS - 1) if word else 0
 
 
+def context_keys(words: list[bytes]) -> np.ndarray:
+    """56 bits of each word's hash, then its class."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w, 42) & ~0xFF | context_class(w) for w in words], dtype=np.uint64)
+
+
+def home(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+
+
+def _runs(where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by place, and where each of n places begins in it."""
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(n + 1))
+
+
+def pairs_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and contexts of the distinct pairs of a block, and each token's pair."""
+    before = np.append(0, tokens[:-1])
+    pairs, at = np.unique(tokens << 32 | before, return_inverse=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, at
+
+
 class _Block:
     """Documents whose distinct words go out together."""
 
@@ -73,71 +108,80 @@ class _Block:
         self.held.append(held)
         self.bytes += len(text)
 
-    def rows(self, word_parts: int) -> Iterator[tuple]:
+    def rows(self, n: int, own_home: int) -> Iterator[tuple]:
         words = list(self.words)
         lengths = np.array([len(p) for p in self.parts])
-        tokens = np.concatenate(self.parts)
-        classes = np.array([context_class(w) for w in words], dtype=np.int64)
-        before = np.empty(len(tokens), dtype=np.int64)
-        before[0], before[1:] = 0, classes[tokens[:-1]]
-        pairs, at = np.unique(tokens.astype(np.int64) * CONTEXTS + before, return_inverse=True)
-        train = np.repeat(~np.array(self.held), lengths)
-        counts = np.bincount(at[train], minlength=len(pairs))
-        where = np.array([zlib.crc32(w) % word_parts for w in words], dtype=np.int64)
-        pair_word, pair_class = pairs // CONTEXTS, pairs % CONTEXTS
-        each = np.bincount(pair_word, minlength=len(words))
-        order, pair_order = np.argsort(where, kind="stable"), np.argsort(where[pair_word], kind="stable")
-        cuts, pair_cuts = np.searchsorted(where[order], np.arange(word_parts + 1)), np.searchsorted(where[pair_word][pair_order], np.arange(word_parts + 1))
-        for q in range(word_parts):
+        tokens = np.concatenate(self.parts).astype(np.int64)
+        word, before, at = pairs_of(tokens)
+        counts = np.bincount(at[np.repeat(~np.array(self.held), lengths)], minlength=len(word))
+        keys = context_keys(words)
+        where = home(keys, n)
+        each = np.bincount(word, minlength=len(words))
+        (order, cuts), (pair_order, pair_cuts) = _runs(where, n), _runs(where[word], n)
+        for q in range(n):
             own, own_pairs = order[cuts[q] : cuts[q + 1]], pair_order[pair_cuts[q] : pair_cuts[q + 1]]
             if len(own):
-                yield (q, self.number, _pack(b"\n".join([words[i] for i in own]), _small(each[own]), _small(pair_class[own_pairs]), _small(counts[own_pairs])))
-        yield (-1, self.number, _pack(self.ids, self.held, lengths, _small(at), _small(pair_word), _small(pair_class), _small(where)))
-
-
-def _blocks(word_parts: int, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 24
-        block = _Block(first)
-
-        def out(b: _Block) -> Iterator[pa.RecordBatch]:
-            for q, n, blob in b.rows(word_parts):
-                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["q", "block", "blob"])
-
-        for batch in batches:
-            for ident, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                block.add(ident, bool(held), text.as_py() or b"")
-                if block.bytes >= limit:
-                    yield from out(block)
-                    block = _Block(block.number + 1)
+                yield q, ("ask", (self.number, own_home), _pack(b"\n".join([words[i] for i in own]), _thin(each[own]), keys[before[own_pairs]], _thin(counts[own_pairs])))
+        classes = (keys & np.uint64(0xFF)).astype(np.uint8)
+        yield own_home, ("docs", (self.number, own_home), _pack(self.ids, self.held, lengths, _thin(tokens), classes, _thin(where)))
+
+
+def _blocks(n: int, inputs: int, limit: int):
+    def run(task: int, rows: Iterator) -> Iterator[tuple]:
+        k, block = 0, _Block(task << 24)
+        for ident, held, text in rows:
+            block.add(ident, bool(held), bytes(text))
+            if block.bytes >= limit:
+                yield from block.rows(n, (task + k * inputs) % n)
+                k += 1
+                block = _Block((task << 24) + k)
         if block.parts:
-            yield from out(block)
+            yield from block.rows(n, (task + k * inputs) % n)
 
     return run
 
 
 def _read_request(blob: bytes):
-    joined, each, classes, counts = _unpack(blob)
-    return joined.split(b"\n"), each.astype(np.int64), classes.astype(np.int64), counts.astype(np.int64)
-
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """All requests for one partition of words to its counts: word, pair keys (word * CONTEXTS + class), customers."""
-    q, known, keys, counts = int(rows["q"].iloc[0]), {}, [], []
-    for blob in rows.sort_values("block")["blob"]:
-        words, each, classes, n = _read_request(blob)
-        seen = n > 0
-        of = np.repeat(np.arange(len(words)), each)
-        live = np.zeros(len(words), dtype=bool)
-        live[of[seen]] = True
-        ids = np.array([known.setdefault(w, len(known)) if x else -1 for w, x in zip(words, live.tolist())], dtype=np.int64)
-        keys.append(ids[of[seen]] * CONTEXTS + classes[seen])
-        counts.append(n[seen])
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-    return pd.DataFrame({"q": [q], "model": [_pack(b"\n".join(known), len(known), key, total)]})
+    joined, each, keys, counts = _unpack(blob)
+    return joined.split(b"\n"), _full(each), keys, _full(counts)
+
+
+class Counts:
+    """The training counts at one home: pairs by word and then by context, and their pairs of word and class."""
+
+    def __init__(self, asks: list[bytes]):
+        known, parts = {}, [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for blob in asks:
+            words, each, keys, n = _read_request(blob)
+            seen = n > 0
+            of = np.repeat(np.arange(len(words)), each)[seen]
+            live = np.zeros(len(words), dtype=bool)
+            live[of] = True
+            ids = np.array([known.setdefault(w, len(known)) if x else -1 for w, x in zip(words, live.tolist())], dtype=np.int64)
+            parts.append((ids[of], keys[seen], n[seen]))
+        word, keys, n = (np.concatenate(x) for x in zip(*parts))
+        self.known = known
+        self.contexts, place = np.unique(keys, return_inverse=True)
+        self.pair, at = np.unique(word * max(1, len(self.contexts)) + place, return_inverse=True)
+        self.count = np.bincount(at, weights=n, minlength=len(self.pair)).astype(np.int64)
+        self.word, self.place = np.divmod(self.pair, max(1, len(self.contexts)))
+        cls = (self.contexts & np.uint64(0xFF)).astype(np.int64)
+        self.kinds, self.kind = np.unique(self.word * CONTEXTS + cls[self.place], return_inverse=True)
+        self.many = self.count > 1
+        self.shared, self.many_place = np.unique(self.place[self.many], return_inverse=True)  # contexts of pairs seen more than once
+
+    def find(self, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places of pairs; len(pair) for those that training has not."""
+        n = len(self.contexts)
+        if not n:
+            return np.zeros(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.contexts, keys), n - 1)
+        return _placed(self.pair, np.where((words >= 0) & (self.contexts[at] == keys), words * n + at, -1))
+
+
+def _placed(of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(of, wanted)
+    return np.where(np.append(of, -2)[at] == wanted, at, len(of))
 
 
 def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -159,7 +203,7 @@ def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.ra
 
 
 class Model:
-    """What all sweeps share, and the totals of each sweep done so far."""
+    """Restaurants under one parent, and the totals of each sweep done so far."""
 
     def __init__(self, tokens: int, kinds: int, customers: np.ndarray, first_tables: np.ndarray, discount: float):
         self.tokens, self.kinds, self.customers, self.discount = tokens, kinds, customers, discount
@@ -167,6 +211,10 @@ class Model:
         # tables by class, customers and tables of the parent, its discount
         self.totals = [(first_tables, float(kinds), float(kinds), 0.5)]
 
+    def below(self, sweep: int) -> tuple[np.ndarray, float]:
+        """Customers of each class after a sweep, and their discount."""
+        return self.customers, self.discount
+
     def parent(self, sweep: int, guests: np.ndarray | float, tables: np.ndarray | float) -> np.ndarray | float:
         """Probability of words in the parent restaurant after a sweep."""
         _, all_guests, all_tables, d = self.totals[sweep]
@@ -174,127 +222,237 @@ class Model:
 
     def weight(self, sweep: int) -> np.ndarray:
         """What each class leaves to the parent."""
-        return (STRENGTH + self.discount * self.totals[sweep][0]) / (STRENGTH + self.customers)
+        customers, d = self.below(sweep)
+        return (STRENGTH + d * self.totals[sweep][0]) / (STRENGTH + customers)
+
+    def step(self, rng, sweep: int, word: np.ndarray, cls: np.ndarray, count: np.ndarray, guests: np.ndarray, tables: np.ndarray):
+        """Seats of count customers after the sweep before: (tables by pair, guests and tables in the parent by word)."""
+        up, last, d = self.parent(sweep - 1, guests, tables), self.totals[sweep - 1], self.below(sweep - 1)[1]
+        pairs = seated(count, (STRENGTH + d * last[0][cls]) * up[word], d, rng)
+        guests = np.bincount(word, weights=pairs, minlength=len(guests))
+        return pairs, guests, seated(guests.astype(np.int64), np.full(len(guests), (STRENGTH + last[3] * last[2]) * self.base), last[3], rng)
 
     def run(self, q: int, words: int, key: np.ndarray, count: np.ndarray, sweeps: int):
-        """Seats of sweeps 1 to sweeps for one partition: (tables by pair, guests and tables in the parent by word)."""
-        word, cls = key // CONTEXTS, key % CONTEXTS
+        """Sweeps 1 to sweeps over customers that stay the same."""
         guests = tables = np.ones(words)
         for s in range(1, sweeps + 1):
-            rng = np.random.default_rng([SEED, q, s])
-            up = self.parent(s - 1, guests, tables)
-            last = self.totals[s - 1]
-            pairs = seated(count, (STRENGTH + self.discount * last[0][cls]) * up[word], self.discount, rng)
-            guests = np.bincount(word, weights=pairs, minlength=words)
-            tables = seated(guests.astype(np.int64), np.full(words, (STRENGTH + last[3] * last[2]) * self.base), last[3], rng)
+            pairs, guests, tables = self.step(np.random.default_rng([SEED, q, s]), s, key // CONTEXTS, key % CONTEXTS, count, guests, tables)
             yield s, pairs, guests, tables
 
 
-STATS = "k int, a double, b double, c double"
+class WordModel(Model):
+    """The same, with the words' restaurants below the classes: a class's customers are their tables, and change."""
 
+    def __init__(self, first: np.ndarray):
+        t = Totals(first)
+        super().__init__(int(t.tokens), int(t.words), t.customers, t.tables, _discount(t.class_ones, t.class_twos))
+        self.seats, self.own = [(self.customers, self.discount)], _discount(t.ones, t.twos)
 
-def _first_totals(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in rows:
-        for blob in batch["model"]:
-            _, words, key, count = _unpack(blob)
-            cls = key % CONTEXTS
-            yield pd.DataFrame({"k": np.arange(CONTEXTS, dtype=np.int32), "a": np.bincount(cls, weights=count, minlength=CONTEXTS), "b": np.bincount(cls, minlength=CONTEXTS).astype(float), "c": 0.0})
-            yield pd.DataFrame({"k": np.array([CONTEXTS], dtype=np.int32), "a": [float(words)], "b": [float((count == 1).sum())], "c": [float((count == 2).sum())]})
+    def below(self, sweep: int) -> tuple[np.ndarray, float]:
+        return self.seats[sweep]
 
+    def done(self, sums: np.ndarray) -> None:
+        t = Totals(sums)
+        self.totals.append((t.tables, t.guests, t.parent_tables, _discount(t.parent_ones, t.parent_twos)))
+        self.seats.append((t.customers, _discount(t.class_ones, t.class_twos)))
 
-def _sweep_totals(model: Model, sweep: int):
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for q, blob in zip(batch["q"], batch["model"]):
-                _, words, key, count = _unpack(blob)
-                for _, pairs, guests, tables in model.run(int(q), words, key, count, sweep):
-                    pass
-                yield pd.DataFrame({"k": np.arange(CONTEXTS, dtype=np.int32), "a": np.bincount(key % CONTEXTS, weights=pairs, minlength=CONTEXTS), "b": 0.0, "c": 0.0})
-                yield pd.DataFrame({"k": np.array([CONTEXTS, CONTEXTS + 1], dtype=np.int32), "a": [guests.sum(), tables.sum()], "b": [float((guests == 1).sum()), 0.0], "c": [float((guests == 2).sum()), 0.0]})
+    def by_class(self, sweep: int, cls: np.ndarray, customers: np.ndarray, tables: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Probability of words in the restaurants of classes, up being that in the parent."""
+        all_, d = self.below(sweep)
+        return (customers - d * tables) / (STRENGTH + all_[cls]) + self.weight(sweep)[cls] * up
 
-    return run
 
+class Totals:
+    """What the driver gathers, as one row of numbers."""
+
+    NAMES = "tokens words ones twos class_ones class_twos guests parent_tables parent_ones parent_twos".split()
+
+    def __init__(self, sums: np.ndarray):
+        self.customers, self.tables = sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS]
+        self.__dict__.update(zip(self.NAMES, sums[2 * CONTEXTS :].tolist()))
 
-def _gathered(df: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """At most CONTEXTS + 2 rows."""
-    return {r["k"]: (r["a"], r["b"], r["c"]) for r in df.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).collect()}
+    @classmethod
+    def row(cls, classes: np.ndarray, customers: np.ndarray, tables: np.ndarray, **other) -> np.ndarray:
+        other |= {"class_ones": (customers == 1).sum(), "class_twos": (customers == 2).sum()}
+        by = lambda x: np.bincount(classes, weights=x, minlength=CONTEXTS)
+        return np.concatenate([by(customers), by(tables), [float(other.get(k, 0.0)) for k in cls.NAMES]])
 
 
 def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def fit(models: DataFrame) -> Model:
-    got = _gathered(models.mapInPandas(_first_totals, STATS))
-    by = lambda n: np.array([got.get(k, (0.0,) * 3)[n] for k in range(CONTEXTS)])
-    words, ones, twos = got.get(CONTEXTS, (0.0, 0.0, 0.0))
-    model = Model(int(by(0).sum()), int(words), by(0), by(1), _discount(ones, twos))
-    for s in range(1, SWEEPS + 1):
-        got = _gathered(models.mapInPandas(_sweep_totals(model, s), STATS))
-        guests, tables = got.get(CONTEXTS, (0.0,) * 3), got.get(CONTEXTS + 1, (0.0,) * 3)
-        model.totals.append((by(0), guests[0], tables[0], _discount(guests[1], guests[2])))
-    return model
-
-
-def _answers(model: Model):
-    def run(requests: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        if not len(requests):
-            return pd.DataFrame({"q": [], "block": [], "blob": []})
-        joined, words, key, count = _unpack(models["model"].iloc[0])
-        q = int(models["q"].iloc[0])
-        ids = {w: i for i, w in enumerate(joined.split(b"\n"))} if words else {}
-        own = np.zeros(len(key))
-        ups = []
-        for s, pairs, guests, tables in model.run(q, words, key, count, SWEEPS):
-            if s > SWEEPS - KEPT:
-                own += (count - model.discount * pairs) / (STRENGTH + model.customers[key % CONTEXTS]) / KEPT
-                ups.append(np.append(model.parent(s, guests, tables), model.parent(s, 0.0, 0.0)).astype(np.float32))
-        own = np.append(own, 0.0).astype(np.float32)
-        total = np.append(np.bincount(key // CONTEXTS, weights=count, minlength=words).astype(np.int64), 0)
-        out = []
-        for block, blob in zip(requests["block"], requests["blob"]):
-            asked, each, classes, _ = _read_request(blob)
-            at = np.array([ids.get(w, -1) for w in asked], dtype=np.int64)
-            pair = np.repeat(at, each) * CONTEXTS + classes
-            found = np.searchsorted(key, pair)
-            found = np.where((np.repeat(at, each) >= 0) & (found < len(key)) & (np.append(key, -1)[np.minimum(found, len(key))] == pair), found, len(key))
-            out.append((q, int(block), _pack(_small(total[at]), [u[at] for u in ups], own[found])))
-        return pd.DataFrame(out, columns=["q", "block", "blob"])
+def _same(home: int) -> int:
+    """The one partition function; RDDs that share it are read side by side."""
+    return home
+
+
+def _kept(records: Iterator) -> dict[str, list]:
+    """Records of a partition by kind, in the order of who sent them."""
+    out: dict[str, list] = {}
+    for _, (kind, sender, blob) in records:
+        out.setdefault(kind, []).append((sender, blob))
+    return {k: sorted(v, key=lambda x: x[0]) for k, v in out.items()}
+
+
+def _first(n: int):
+    """Homes count. The contexts of a home go to their own homes with their numbers of pairs: first those that some pair
+    seen more than once has, whose order all sweeps keep, then the others."""
+
+    def run(q: int, records: Iterator) -> Iterator[tuple]:
+        got = _kept(records)
+        if "ask" not in got:
+            return
+        c = Counts([b for _, b in got["ask"]])
+        ones = np.bincount(c.kind[~c.many], minlength=len(c.kinds))
+        once = np.bincount(c.place[~c.many], minlength=len(c.contexts))
+        often = np.bincount(c.place[c.many], minlength=len(c.contexts))
+        to = home(c.contexts, n)
+        inner = np.zeros(len(to), dtype=bool)
+        inner[c.shared] = True
+        for p in np.unique(to).tolist():
+            a, b = np.flatnonzero(inner & (to == p)), np.flatnonzero(~inner & (to == p))
+            yield p, ("list", q, _pack(c.contexts[a], _thin(once[a]), _thin(often[a]), c.contexts[b], _thin(once[b])))
+        yield q, ("slim", q, _pack(len(c.known), np.unique(to), _thin(c.kinds), _thin(ones), _thin(c.kind[c.many]), _thin(c.many_place), _thin(c.count[c.many]), _thin(to[c.shared])))
+        every = np.bincount(c.kind, minlength=len(c.kinds))
+        yield q, ("sums", q, Totals.row(c.kinds % CONTEXTS, every, np.ones(len(every)), tokens=c.count.sum(), words=len(c.known), ones=(c.count == 1).sum(), twos=(c.count == 2).sum()))
+
+    return run
+
+
+def context_tables(lists: list, parts: dict[int, bytes] | None):
+    """At a context's home: all keys in order, their tables, and those of each sender's list. parts has what each sender
+    seated for its list; None before the first sweep, when every pair has one table."""
+    if not lists:
+        return np.zeros(0, np.uint64), np.zeros(0), {}
+    read = [(q, *_unpack(blob)) for q, blob in lists]
+    keys, at = np.unique(np.concatenate([x for _, a, _, _, b, _ in read for x in (a, b)]), return_inverse=True)
+    numbers, ends, begin = [], {}, 0
+    for q, a, once, often, b, rest in read:
+        numbers += [_full(once) + (_full(often) if parts is None else _full(_unpack(parts[q])[0])), _full(rest)]
+        ends[q] = at[begin : begin + len(a)]
+        begin += len(a) + len(b)
+    tables = np.bincount(at, weights=np.concatenate(numbers), minlength=len(keys))
+    return keys, tables, {q: tables[x] for q, x in ends.items()}
+
+
+def _back(sweep: int):
+    """The contexts' tables to those who seat customers in them."""
+
+    def run(p: int, records: Iterator) -> Iterator[tuple]:
+        got = _kept(records)
+        parts = dict(got.get(f"part{sweep}", [])) if sweep else None
+        for q, tables in context_tables(got.get("list", []), parts)[2].items():
+            if len(tables):
+                yield q, (f"back{sweep}", p, _pack(_thin(tables)))
 
     return run
 
 
+def _sweep(model: WordModel, sweep: int):
+    def run(q: int, records: Iterator) -> Iterator[tuple]:
+        got = _kept(records)
+        if "slim" not in got:
+            return
+        words, lists, kinds, ones, kind, place, count, to = _unpack(got["slim"][0][1])
+        kinds, ones, kind, place, count, to = map(_full, (kinds, ones, kind, place, count, to))
+        word, cls = kinds // CONTEXTS, kinds % CONTEXTS
+        tables = np.zeros(len(to))
+        for p, blob in got.get(f"back{sweep - 1}", []):
+            tables[to == p] = _full(_unpack(blob)[0])
+        if sweep > 1:
+            customers, of_class, guests, of_parent, _ = map(_full, _unpack(got[f"state{sweep - 1}"][0][1]))
+        else:
+            customers, of_class, guests, of_parent = ones + np.bincount(kind, minlength=len(kinds)), np.ones(len(kinds)), np.ones(words), np.ones(words)
+        up = model.by_class(sweep - 1, cls, customers, of_class, model.parent(sweep - 1, guests, of_parent)[word])
+        rng = np.random.default_rng([SEED, q, sweep])
+        seats = seated(count, (STRENGTH + model.own * tables[place]) * up[kind], model.own, rng)
+        customers = (ones + np.bincount(kind, weights=seats, minlength=len(kinds))).astype(np.int64)
+        of_class, guests, of_parent = model.step(rng, sweep, word, cls, customers, guests, of_parent)
+        mine = np.bincount(place, weights=seats, minlength=len(to))
+        for p in lists.tolist():
+            yield p, (f"part{sweep}", q, _pack(_thin(mine[to == p])))
+        yield q, (f"state{sweep}", q, _pack(*map(_thin, (customers, of_class, guests, of_parent, seats))))
+        yield q, ("sums", q, Totals.row(cls, customers, of_class, guests=guests.sum(), parent_tables=of_parent.sum(), parent_ones=(guests == 1).sum(), parent_twos=(guests == 2).sum()))
+
+    return run
+
+
+def _answers(model: WordModel):
+    kept = range(SWEEPS - KEPT + 1, SWEEPS + 1)
+
+    def run(q: int, records: Iterator) -> Iterator[tuple]:
+        got = _kept(records)
+        if "ask" not in got:
+            return
+        c = Counts([b for _, b in got["ask"]])
+        states = [[np.append(_full(x), 0) for x in _unpack(got[f"state{s}"][0][1])] for s in kept]
+        tables = []
+        for s in kept:
+            keys, all_, _ = context_tables(got.get("list", []), dict(got.get(f"part{s}", [])))
+            tables.append(np.append(all_, 0).astype(np.int64))
+        seats = np.append(np.full(len(c.count), KEPT), 0)
+        seats[:-1][c.many] = sum(x[4][:-1] for x in states)
+        count = np.append(c.count, 0)
+        total = np.append(np.bincount(c.word, weights=c.count, minlength=len(c.known)).astype(np.int64), 0)
+        for (number, to), blob in got["ask"]:
+            asked, each, contexts, _ = _read_request(blob)
+            at = np.array([c.known.get(w, -1) for w in asked], dtype=np.int64)
+            of = np.repeat(np.arange(len(asked)), each)
+            pair = c.find(at[of], contexts)
+            kinds = np.unique(of * CONTEXTS + (contexts & np.uint64(0xFF)).astype(np.int64))
+            owner = at[kinds // CONTEXTS]
+            kind = _placed(c.kinds, np.where(owner >= 0, owner * CONTEXTS + kinds % CONTEXTS, -1))
+            own = _placed_keys(keys, context_keys(asked))
+            by_word = [total[at], *[x[own] for x in tables], *[x[k][at] for x in states for k in (2, 3)]]
+            yield to, ("answer", (number, q), _pack([_thin(x) for x in by_word], [_thin(x[k][kind]) for x in states for k in (0, 1)], _thin(count[pair]), _thin(seats[pair])))
+
+    return run
+
+
+def _placed_keys(of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(of, wanted)
+    return np.where((at < len(of)) & (np.append(of, np.uint64(0))[at] == wanted), at, len(of))
+
+
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(model: Model):
-    weights = [model.weight(s).astype(np.float64) for s in range(SWEEPS - KEPT + 1, SWEEPS + 1)]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, held, lengths, at, pair_word, pair_class, where = _unpack(rows.loc[rows["q"] == -1, "blob"].iloc[0])
-        n = len(where)
-        count, own = np.zeros(n, dtype=np.int64), np.zeros(len(pair_word))
-        ups = [np.zeros(n) for _ in weights]
-        pair_where = where[pair_word]
-        order, pair_order = np.argsort(where, kind="stable"), np.argsort(pair_where, kind="stable")
-        for q, blob in zip(rows["q"], rows["blob"]):
-            if q < 0:
-                continue
-            lo, hi = np.searchsorted(where[order], [q, q + 1])
-            plo, phi = np.searchsorted(pair_where[pair_order], [q, q + 1])
-            c, u, o = _unpack(blob)
-            count[order[lo:hi]], own[pair_order[plo:phi]] = c, o
-            for mine, part in zip(ups, u):
-                mine[order[lo:hi]] = part
-        p = own
-        for w, u in zip(weights, ups):
-            p = p + w[pair_class] * u[pair_word] / len(weights)
-        score, base = np.log10(p), np.log10((count + 1) / (model.tokens + 1.0 * (model.kinds + 1)))
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        token_word = pair_word[at]
-        add = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held, "n_tokens": lengths.astype(np.int64), "n_known": add((count > 0)[token_word].astype(np.int64)), "train_tokens": model.tokens, "base_score": add(base[token_word]), "score": add(score[at])})
+def _scored(model: WordModel, n: int, docs: bytes, answers: list[tuple[int, bytes]]) -> Iterator[tuple]:
+    ids, held, lengths, tokens, classes, where = _unpack(docs)
+    tokens, where, cls = _full(tokens), _full(where), classes.astype(np.int64)
+    word, before, at = pairs_of(tokens)
+    kinds, kind = np.unique(word * CONTEXTS + cls[before], return_inverse=True)
+    by_word, by_kind, by_pair = np.zeros((1 + 3 * KEPT, len(where)), np.int64), np.zeros((2 * KEPT, len(kinds)), np.int64), np.zeros((2, len(word)), np.int64)
+    runs = [_runs(w, n) for w in (where, where[kinds // CONTEXTS], where[word])]
+    for q, blob in answers:
+        one, two, count, seats = _unpack(blob)
+        for out, (order, cuts), parts in zip((by_word, by_kind, by_pair), runs, (one, two, (count, seats))):
+            for k, part in enumerate(parts):
+                out[k, order[cuts[q] : cuts[q + 1]]] = _full(part)
+    total = by_word[0]
+    there = STRENGTH + total[before]
+    p = (by_pair[0] - model.own * by_pair[1] / KEPT) / there
+    for k in range(KEPT):
+        s = SWEEPS - KEPT + 1 + k
+        up = model.parent(s, by_word[1 + KEPT + 2 * k], by_word[2 + KEPT + 2 * k])[kinds // CONTEXTS]
+        of_class = model.by_class(s, kinds % CONTEXTS, by_kind[2 * k], by_kind[2 * k + 1], up)
+        p += (STRENGTH + model.own * by_word[1 + k][before]) / there * of_class[kind] / KEPT
+    base = np.log10((total + 1) / (model.tokens + 1.0 * (model.kinds + 1)))
+    starts = np.cumsum(lengths) - lengths
+    add = lambda x: np.add.reduceat(x, starts).tolist()
+    known, bases, scores = add((total > 0)[tokens].astype(np.int64)), add(base[tokens]), add(np.log10(p)[at])
+    return zip(ids, held, lengths.tolist(), known, [model.tokens] * len(ids), bases, scores)
+
+
+def _scores(model: WordModel, n: int):
+    def run(_: int, records: Iterator) -> Iterator[tuple]:
+        got = _kept(records)
+        answers: dict[int, list] = {}
+        for (number, q), blob in got.get("answer", []):
+            answers.setdefault(number, []).append((q, blob))
+        for (number, _), blob in got.get("docs", []):
+            yield from _scored(model, n, blob, answers[number])
 
     return run
 
@@ -304,14 +462,29 @@ def score(docs: DataFrame, held: F.Column | None = None, id_col: str = "doc_id",
     spark = docs.sparkSession
     ident = F.col(f"`{id_col}`").cast("long")
     held = F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2 if held is None else held
-    rows = docs.select(ident.alias("i"), held.alias("h"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
-    word_parts = max(partitions(spark), rows.rdd.getNumPartitions())
-    sent = cut(rows.mapInArrow(_blocks(word_parts, block), "q int, block long, blob binary"))
-    requests = sent.where("q >= 0")
-    models = cut(requests.groupBy("q").applyInPandas(_summed, "q int, model binary"))
-    model = fit(models)
-    answers = requests.groupBy("q").cogroup(models.groupBy("q")).applyInPandas(_answers(model), "q int, block long, blob binary")
-    return sent.where("q < 0").unionByName(answers).groupBy("block").applyInPandas(_scores(model), OUT)
+    docs = docs.select(ident.alias("i"), held.alias("h"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
+    if docs.isEmpty():  # also the one look at the input that the event log shows as a query
+        return spark.createDataFrame([], OUT)
+    rows = docs.rdd
+    inputs = max(1, rows.getNumPartitions())
+    n = max(partitions(spark), inputs)
+    deal = lambda rdd, f: rdd.mapPartitionsWithIndex(f).partitionBy(n, _same)
+    sums = lambda rdd: rdd.filter(lambda r: r[1][0] == "sums").map(lambda r: r[1][2]).treeAggregate(np.zeros(2 * CONTEXTS + len(Totals.NAMES)), np.add, np.add)
+    asked = deal(rows, _blocks(n, inputs, block))
+    first = deal(asked, _first(n))
+    model = WordModel(sums(first))
+    last, back, states = first, deal(first, _back(0)), []
+    for s in range(1, SWEEPS + 1):
+        both = first.union(back) if s == 1 else first.union(back).union(last)
+        last = deal(both, _sweep(model, s))
+        model.done(sums(last))
+        states.append(last)
+        back = deal(first.union(last), _back(s)) if s < SWEEPS else None
+    seen = asked.union(first)
+    for state in states[-KEPT:]:
+        seen = seen.union(state)
+    answers = deal(seen, _answers(model))
+    return spark.createDataFrame(asked.union(answers).mapPartitionsWithIndex(_scores(model, n)), OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -85,3 +85,24 @@ def test_empty(spark):
     only_held = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = lm.score(only_held, held=F.lit(True)).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0)
+
+
+def test_a_context_is_the_whole_word(spark):
+    """Two words of one ending, of which each has its own follower."""
+    rows = [(k, "qab one" if k % 2 else "rab two") for k in range(60)] + [(100, "qab one"), (101, "qab two"), (102, "rab one"), (103, "rab two")]
+    assert lm.context_class(b"qab") == lm.context_class(b"rab")
+    got = {g["doc_id"]: g["score"] for g in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), held=F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 0.5 and got[103] > got[102] + 0.5
+
+
+def test_pairs_seen_once_by_hand(spark):
+    """Nothing is drawn: every customer has a table in each of the three levels."""
+    rows = [(1, "a b c d"), (2, "b d"), (3, "zz")]
+    got = {g["doc_id"]: g["score"] for g in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), held=F.col("doc_id") > 1).collect()}
+    d = 0.95
+    parent = lambda known: (known * (1 - d) + (1 + 5 * d) / 6) / 6
+    level = lambda here, up: (here * (1 - d) + (1 + d) * up) / 2
+    p = lambda here, known=1: level(here, level(here, parent(known)))
+    assert got[1] == pytest.approx(5 * math.log10(p(1)))
+    assert got[2] == pytest.approx(math.log10(p(0) * p(0) * p(1)))
+    assert got[3] == pytest.approx(math.log10(p(0, 0) * parent(1)))  # an unknown word is a context without customers, and so is its class
