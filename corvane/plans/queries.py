@@ -243,7 +243,7 @@ def symbol_depth(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("key"), F.concat_ws(":", "conv_id", (F.col("turn") - 1)).alias("_p"))
     known = rows.select(F.col("key").alias("_p")).withColumn("_there", F.lit(True))
     rows = rows.join(known, "_p", "left").withColumn("parent", F.when(F.col("_there"), F.col("_p")))
-    return rows.join(graph.chain_depth(rows, "key", "parent"), "key").select("conv_id", "turn", "depth")
+    return rows.join(graph.chain_depth(rows, "key", "parent", most=2**31 - 1), "key").select("conv_id", "turn", "depth")
 
 
 # ---- history

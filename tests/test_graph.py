@@ -88,3 +88,10 @@ def test_test_only_importers(spark):
     tests = spark.createDataFrame([("p/a_test", "u", "p"), ("q/a_test", "u", "q"), ("u/a_test", "u", "u")], rows)
     prod = spark.createDataFrame([("q/a", "u", "q")], rows)
     assert [r["src"] for r in graph.test_only_importers(tests, prod, "u", "package", "u").collect()] == ["p/a_test"]
+
+
+def test_symbol_depth_walks_the_whole_chain(spark, tmp_path):
+    from corvane.plans import queries
+
+    spark.range(100).selectExpr("1L as conv_id", "cast(id as int) as turn").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["turn"]: r["depth"] for r in queries.symbol_depth(spark, str(tmp_path)).collect()} == {k: k for k in range(100)}
