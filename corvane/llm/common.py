@@ -16,12 +16,27 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def lower_ascii(column: Column) -> Column:
-    """A-Z to a-z and no other letter."""
-    return F.translate(column, UPPER, LOWER)
+    """A-Z to a-z and no other letter. Texts of ASCII alone, as many bytes as characters, take the faster function."""
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def named(name: str) -> Column:
+    """A column by its plain name, which may hold dots and other signs."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ident_type(docs: DataFrame, name: str) -> str:
+    """Identifiers are whole numbers (kept as long) or anything else (kept as string)."""
+    return "long" if docs.schema[name].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+
+
+def ident(docs: DataFrame, name: str) -> Column:
+    return named(name).cast(ident_type(docs, name))
+
+
+def texts_of(name: str) -> Column:
+    """The text column; null counts as empty."""
+    return F.coalesce(named(name).cast("string"), F.lit(""))
 
 
 def word_count(column: Column) -> Column:
@@ -84,9 +99,10 @@ def sampled_splitters(rows: DataFrame, key: Callable[[DataFrame], DataFrame], bu
     return sorted(set(picked))
 
 
-def bounded(small: DataFrame, limit: int = 50_000) -> DataFrame | None:
-    """small, marked for broadcast, if it has at most limit rows; else None."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else None
+def bounded(small: DataFrame, limit: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame | None:
+    """small, marked for broadcast, if it has at most limit rows and most_bytes of content; else None."""
+    rows, size = small.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(small) if rows <= limit and (size or 0) <= most_bytes else None
 
 
 def attach(big: DataFrame, small: DataFrame, on: str, salt_by: Column, limit: int = 50_000, salts: int = 32) -> DataFrame:
