@@ -86,17 +86,21 @@ def bucket_of(key: Column, splitters: list[str]) -> Column:
     return found.lo
 
 
-def sampled_splitters(rows: DataFrame, key: Callable[[DataFrame], DataFrame], buckets: int, per_bucket: int = 24) -> list[str]:
-    """Splitters from a random sample of about buckets * per_bucket rows (bounded: at most four times that reach the
+def sampled_keys(rows: DataFrame, key: Callable[[DataFrame], DataFrame], buckets: int, per_bucket: int = 24) -> list[tuple]:
+    """Sorted keys of a random sample of about buckets * per_bucket rows (bounded: at most four times that reach the
     driver). key makes a frame of keys of rows; only sampled rows go through it."""
     n = rows.count()
     wanted = buckets * per_bucket
     some = key(rows if n <= wanted else rows.sample(wanted / n, seed=11))
-    found = sorted(r[0] for r in some.limit(4 * wanted).collect() if r[0] is not None)
+    return sorted(tuple(r) for r in some.limit(4 * wanted).collect() if r[0] is not None)
+
+
+def sampled_splitters(rows: DataFrame, key: Callable[[DataFrame], DataFrame], buckets: int, per_bucket: int = 24) -> list[str]:
+    """Splitters between equal shares of a sample of keys."""
+    found = [k[0] for k in sampled_keys(rows, key, buckets, per_bucket)]
     if not found:
         return []
-    picked = [found[len(found) * i // buckets] for i in range(1, buckets)]
-    return sorted(set(picked))
+    return sorted({found[len(found) * i // buckets] for i in range(1, buckets)})
 
 
 def bounded(small: DataFrame, limit: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame | None:
