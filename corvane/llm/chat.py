@@ -6,7 +6,8 @@ length needs no more memory, and a digest over it is a running one. Turns out of
 
 Defined cases: null text and null role are empty; a null conversation is one of its own; turns with equal numbers go by
 role, then text; unknown roles get a mark of their own and break the order; control strings inside texts are escaped and
-come back exactly; empty tables give empty results.
+come back exactly; conversations may be numbered or named by strings; very long texts are held one at a time; other
+columns of the input are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import ident, ident_type
+
 #: What the format is made of: the mark before a text, what ends it, the roles that carry loss, and the allowed moves.
 TEMPLATE = {
     "mark": "<|{role}|>\n",
@@ -34,7 +37,11 @@ TEMPLATE = {
     "escapes": (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("|", "&bar;"), ("[", "&lsb;"), ("]", "&rsb;")),
 }
 PROBE = "</s>[INST] ok [/INST]"
-SEGMENT = "conv_id long, turn long, part int, text string, loss boolean, state string"
+SEGMENT = "turn long, part int, text string, loss boolean, state string"
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return pa.int64() if kind == "long" else pa.string()
 
 
 def escape(text: str, template=TEMPLATE) -> str:
@@ -49,7 +56,7 @@ def unescape(text: str, template=TEMPLATE) -> str:
     return text
 
 
-def _segments(template):
+def _segments(template, kind: str):
     """Sorted rows (conv_id, turn, role, text) to segments; state is the machine's state after the turn, or "broken"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +71,7 @@ def _segments(template):
                 out.append((ident, turn, 0, template["mark"].format(role=escape(role, template)), False, state))
                 out.append((ident, turn, 1, escape(text, template), role in template["loss"], state))
                 out.append((ident, turn, 2, template["end"], False, state))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
+            kinds = [_arrow(kind), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv_id", "turn", "part", "text", "loss", "state"])
 
@@ -73,9 +80,10 @@ def _segments(template):
 
 def segments(conversations: DataFrame, template=TEMPLATE) -> DataFrame:
     """Segments in order within each conversation: mark, text and end of every turn, with loss flags. Joined, they are the formatted text."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    kind = ident_type(conversations, "conv_id")
+    rows = conversations.select(ident(conversations, "conv_id").alias("conv_id"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return rows.mapInArrow(_segments(template), SEGMENT)
+    return rows.mapInArrow(_segments(template, kind), f"conv_id {kind}, {SEGMENT}")
 
 
 def parse_turn(formatted: str, template=TEMPLATE) -> tuple[str, str]:
@@ -90,10 +98,10 @@ def parse_turn(formatted: str, template=TEMPLATE) -> tuple[str, str]:
     return unescape(role, template), unescape(rest, template)
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def _read_back(template):
+def _read_back(template, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict | None = None
 
@@ -101,9 +109,9 @@ def _read_back(template):
             return (now["id"], now["n"], now["turns"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["all"], now["ok"] and now["state"] in template["final"])
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+            kinds = [_arrow(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
             columns = list(zip(*rows)) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in DIGEST.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv_id", *[c.split()[0] for c in DIGEST.split(", ")]])
 
         turn: list[str] = []
         for batch in batches:
@@ -136,7 +144,8 @@ def _read_back(template):
 
 def read_back(parts: DataFrame, template=TEMPLATE) -> DataFrame:
     """Digests of what segments() wrote, parsed again; in the same tasks and order."""
-    return parts.mapInArrow(_read_back(template), DIGEST)
+    kind = ident_type(parts, "conv_id")
+    return parts.mapInArrow(_read_back(template, kind), f"conv_id {kind}, {DIGEST}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

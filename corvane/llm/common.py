@@ -118,3 +118,13 @@ def attach(big: DataFrame, small: DataFrame, on: str, salt_by: Column, limit: in
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, left[on].eqNullSafe(right[key]) & (left["_salt"] == right["_salt_r"]), "left").drop(key, "_salt", "_salt_r")
+
+
+def join_frequent(rows: DataFrame, groups: DataFrame, key: str, times: str, share: int = 200) -> DataFrame:
+    """Inner join to one row for each key, where times says how often rows have it: keys of more than 1 / share of all
+    rows (so at most share keys) meet their rows by broadcast, the others by shuffle."""
+    total = groups.agg(F.sum(times)).first()[0] or 0
+    often = F.col(times) * share > total
+    near = F.broadcast(groups.where(often).drop(times))
+    far = rows.join(near.select(key), key, "left_anti").join(groups.where(~often).drop(times), key)
+    return rows.join(near, key).unionByName(far)

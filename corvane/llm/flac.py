@@ -6,7 +6,8 @@ has a point for each frame, so a reader can start at any sample offset and decod
 decoder checks the frame headers' CRC-8, the frames' CRC-16 and the MD5 of all samples; a mismatch is an error.
 
 Defined cases: null and empty texts are 64 zero bytes; equal texts give equal streams; long texts go through in chunks of
-frames, so memory is bounded by CHUNK frames besides the text itself; an empty table gives an empty result.
+frames, so memory is bounded by CHUNK frames besides the text itself; repeated rows and ties stay repeated; identifiers
+may be numbers, strings or null; columns of the input may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import ident, ident_type, texts_of
+
 BLOCK, CHUNK, UNIT, RATE = 1024, 1024, 64, 8000
 #: Fixed predictors of the format, by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -414,7 +417,7 @@ def _grouped(items: list[tuple]) -> Iterator[list[tuple]]:
         yield group
 
 
-MEDIA = "_id long, n_bytes long, media binary"
+MEDIA = "n_bytes long, media binary"
 
 
 def to_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,13 +425,13 @@ def to_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [(i, len(t), payload_of(t)) for i, t in zip(batch.column(0).to_pylist(), (x.as_py() or b"" for x in batch.column(1)))]
         for group in _grouped(items):
             media = encode_many([g[-1] for g in group])
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.int64()), pa.array(media, pa.binary())], ["_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], batch.column(0).type), pa.array([g[1] for g in group], pa.int64()), pa.array(media, pa.binary())], ["_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, n_bytes and the media column: one FLAC stream per row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(to_media, MEDIA)
+    rows = docs.select(ident(docs, id_col).alias("_id"), texts_of(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(to_media, f"_id {ident_type(docs, id_col)}, {MEDIA}")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,26 +440,26 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(items):
             got = decode_many([g[-1] for g in group])
             rows = [(i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(p)) for (i, n, m), p in zip(group, got)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def digests(media: DataFrame) -> DataFrame:
     """What is read back from the stored streams."""
-    return media.mapInArrow(_digests, "_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(_digests, f"_id {ident_type(media, '_id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _pcm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ident, media in zip(batch.column(0).to_pylist(), (m.as_py() for m in batch.column(2))):
+        for number, media in zip(batch.column(0).to_pylist(), (m.as_py() for m in batch.column(2))):
             payload = decode_many([media])[0]
             offs = list(range(0, len(payload), BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array([ident] * len(offs), pa.int64()), pa.array(offs, pa.int64()), pa.array([(np.frombuffer(payload[o : o + BLOCK], np.uint8) ^ 0x80).tobytes() for o in offs], pa.binary())], ["_id", "sample_offset", "pcm"])
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(offs), batch.column(0).type), pa.array(offs, pa.int64()), pa.array([(np.frombuffer(payload[o : o + BLOCK], np.uint8) ^ 0x80).tobytes() for o in offs], pa.binary())], ["_id", "sample_offset", "pcm"])
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """Decoded PCM blocks (signed 8-bit) with their sample offsets."""
-    return media.mapInArrow(_pcm, "_id long, sample_offset long, pcm binary")
+    return media.mapInArrow(_pcm, f"_id {ident_type(media, '_id')}, sample_offset long, pcm binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

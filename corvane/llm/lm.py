@@ -19,7 +19,8 @@ Large groups of customers of one word in one restaurant are seated in chunks of
 once have one table whatever is drawn, so only the others take part in sweeps.
 
 Defined cases: null text is empty and scores one end token; null identifiers are in training; repeated rows count as
-often as they occur; an empty table gives an empty result; without training rows every word is unknown.
+often as they occur; identifiers may be numbers or strings; very long texts are a block of their own; ties don't arise;
+columns of the input may have any name; an empty table gives an empty result; without training rows every word is unknown.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_BYTES, partitions
+from corvane.llm.common import LOWER_BYTES, ident, ident_type, partitions, texts_of
 
 CONTEXTS = 256
 BLOCK = 12 << 20
@@ -415,7 +416,7 @@ def _placed_keys(of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where((at < len(of)) & (np.append(of, np.uint64(0))[at] == wanted), at, len(of))
 
 
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(model: WordModel, n: int, docs: bytes, answers: list[tuple[int, bytes]]) -> Iterator[tuple]:
@@ -460,11 +461,11 @@ def _scores(model: WordModel, n: int):
 def score(docs: DataFrame, held: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Scores of all documents; held says which rows are kept from training."""
     spark = docs.sparkSession
-    ident = F.col(f"`{id_col}`").cast("long")
-    held = F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2 if held is None else held
-    docs = docs.select(ident.alias("i"), held.alias("h"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
+    own, out = ident(docs, id_col), f"doc_id {ident_type(docs, id_col)}, {OUT}"
+    held = F.pmod(F.crc32(F.coalesce(own.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2 if held is None else held
+    docs = docs.select(own.alias("i"), held.alias("h"), texts_of(text_col).cast("binary").alias("t"))
     if docs.isEmpty():  # also the one look at the input that the event log shows as a query
-        return spark.createDataFrame([], OUT)
+        return spark.createDataFrame([], out)
     rows = docs.rdd
     inputs = max(1, rows.getNumPartitions())
     n = max(partitions(spark), inputs)
@@ -484,7 +485,7 @@ def score(docs: DataFrame, held: F.Column | None = None, id_col: str = "doc_id",
     for state in states[-KEPT:]:
         seen = seen.union(state)
     answers = deal(seen, _answers(model))
-    return spark.createDataFrame(asked.union(answers).mapPartitionsWithIndex(_scores(model, n)), OUT)
+    return spark.createDataFrame(asked.union(answers).mapPartitionsWithIndex(_scores(model, n)), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

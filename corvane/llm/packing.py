@@ -5,8 +5,10 @@ random (by a hash of identifier and piece) into shards of about SHARD pieces, wh
 is packed in decreasing length: each piece goes where the sum of squared counts of open bins per residual gap becomes
 smallest. Bins that end with a large gap are dissolved, and their pieces are packed again in fewer shards.
 
-Defined cases: null text is an empty text, which is the end token alone; texts that hold a special token's string are
-ordinary text; repeated rows are packed as often as they occur; an empty table gives an empty result.
+Defined cases: null text is an empty text, which is the end token alone; a special token's string inside a text is that
+token, as the tokenizer has it; repeated rows are packed as often as they occur, and dealt apart; pieces of equal length
+(ties) go by identifier; identifiers may be numbers, strings or null; very long texts are cut in pieces, none is left out;
+columns of the input may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut
+from corvane.llm.common import cut, ident, ident_type, texts_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -29,7 +31,7 @@ SHARD = 4096
 #: Bins whose gap is larger than this part of the capacity are dissolved in the next round.
 LOOSE = 1 / 64
 ROUNDS = 3
-PIECE = "_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 def default_path() -> str:
@@ -54,14 +56,13 @@ def encoder(path: str):
 
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
-        coding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: coding.encode_to_numpy(text, disallowed_special=())
+        coding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: coding.encode_to_numpy(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -74,7 +75,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, min(s + capacity, n) if s or not first else first) for s in starts]
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
@@ -83,15 +84,16 @@ def _pieces(path: str, capacity: int, end_id: int):
                 ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
                 out += [(ident, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(cuts(len(ids), capacity))]
             columns = list(zip(*out)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64() if kind == "long" else pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    return rows.mapInArrow(_pieces(path or default_path(), capacity, end_id), PIECE)
+    kind = ident_type(docs, id_col)
+    rows = docs.select(ident(docs, id_col).alias("_id"), texts_of(text_col).alias("t"))
+    return rows.mapInArrow(_pieces(path or default_path(), capacity, end_id, kind), f"_id {kind}, {PIECE}")
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
@@ -134,22 +136,24 @@ def _pack(capacity: int):
         gap = capacity - np.bincount(bins, weights=sizes).astype(np.int64)[bins]
         for name, column in (("bin", bins), ("offset", offset), ("gap", gap)):
             rows = rows.append_column(name, pa.array(column))
-        return rows.select(["_id", "piece", "start", "length", "ids_crc32", "shard", "bin", "offset", "gap"])
+        return rows.select(["_id", "piece", "start", "length", "ids_crc32", "_n", "shard", "bin", "offset", "gap"])
 
     return run
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
     """Pieces with sequence_id and offset."""
-    items = cut(items)
+    kind = ident_type(items, "_id")
+    items = cut(items.withColumn("_n", F.monotonically_increasing_id()))
     full = items.where(F.col("length") >= capacity)
-    done = full.select("*", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    done = full.select("_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # rows that repeat are dealt apart by a number of their own, fixed once it is written
     rest = items.where(F.col("length") < capacity)
     n = rest.count()
     for turn in range(rounds):
         shards = max(1, -(-n // shard))
-        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", F.lit(turn)), F.lit(shards)))
-        packed = cut(dealt.groupBy("shard").applyInArrow(_pack(capacity), f"{PIECE}, shard long, bin long, offset long, gap long"))
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", "_n", F.lit(turn)), F.lit(shards)))
+        packed = cut(dealt.groupBy("shard").applyInArrow(_pack(capacity), f"_id {kind}, {PIECE}, _n long, shard long, bin long, offset long, gap long"))
         loose = packed.where(F.col("gap") > F.lit(capacity * LOOSE))
         last = turn == rounds - 1 or shards == 1
         ready = packed if last else packed.where(F.col("gap") <= F.lit(capacity * LOOSE))
@@ -157,7 +161,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds:
         done = done.unionByName(ready.select("_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset"))
         if last or not (n := loose.count()):
             break
-        rest = loose.select("_id", "piece", "start", "length", "ids_crc32")
+        rest = loose.select("_id", "piece", "start", "length", "ids_crc32", "_n")
     return done
 
 

@@ -7,7 +7,8 @@ covered stretch as a whole, so windows are reconciled globally. Every kind needs
 no other spans, so windows with neither are all outside and are not run. Added spans must pass the same checks as base
 ones (Luhn, parts, digits), must be sure (a mean posterior of SURE) and never touch a base span; base spans always stay.
 
-Defined cases: null text is empty; empty texts have no spans; spans count code points; repeated rows stay repeated; an
+Defined cases: null text is empty; empty texts have no spans; spans count code points; repeated rows and ties stay repeated;
+identifiers may be numbers, strings or null; very long texts are read in full; columns of the input may have any name; an
 empty table gives an empty result.
 """
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import ident, ident_type, texts_of
+
 KINDS = ("email", "ip", "card", "phone")
 #: Pieces of documents (the first PIECE characters) that the training adds to the made spans; made windows; seed.
 TRAIN_PIECES, PIECE, MADE, SEED = 64, 300, 640, 5
@@ -388,7 +391,7 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-OUT = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
 def _scorer(w: dict):
@@ -421,8 +424,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None) -> DataFrame:
     w = weights or fit(docs, id_col, text_col)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    return rows.mapInArrow(_scorer(w), OUT)
+    rows = docs.select(ident(docs, id_col).alias("_id"), texts_of(text_col).alias("t"))
+    return rows.mapInArrow(_scorer(w), f"_id {ident_type(docs, id_col)}, {OUT}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

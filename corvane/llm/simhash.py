@@ -7,11 +7,22 @@ and bounds every shard: after LEVELS cuts so few bits are free that a shard can'
 shard builds a BK-tree (children keyed by their integer Hamming distance to the parent) and searches it along the edges
 within the radius only. Shards hold links as stars, never as all pairs, and components are found by star contraction.
 
-The trees are not broadcast: all trees together grow with the corpus, which no proven bound covers. Each is built in the
-task to which the shuffle brings its shard, together with the queries that can have an answer in it.
-
-Defined cases: null and empty texts have fingerprint zero and link like any other; null identifiers never are a
-component's identifier unless it has no other; repeated rows stay repeated; an empty table gives an empty result.
+The trees are not broadcast: a broadcast passes through the driver, which must not hold the fingerprints of all
+documents, and all trees together grow with the corpus. Each is built in the task to which the shuffle brings its shard,
+together with the queries that can have an answer in it.
+
+similar_groups links by Jaccard similarity instead (SIMILAR of the distinct shingles of SIMILAR_SHINGLE words). At that
+similarity fingerprints differ in far more bits than blocks can tell apart, so shards come from least hashes of the
+shingles: a pair at the threshold misses all BANDS of them with probability (1 - SIMILAR) ** BANDS, below 1 in 15,000. A
+shard of more than SIMILAR_SHARD texts is cut again by the next BANDS least hashes; what is still larger after
+SIMILAR_LEVELS cuts is compared block by block. In each shard a BK-tree over the fingerprints is searched within WIDE
+bits; what it finds must agree in AGREE least hashes and in length. Only texts with such a neighbour send their shingles
+to the shard, where links are decided by exact similarity.
+
+Defined cases: null and empty texts have fingerprint zero and no shingles, and link like any other; null identifiers
+never are a component's identifier unless it has no other; repeated rows stay repeated in groups, and dedup keeps one of
+them; identifiers may be numbers or strings; very long texts are read in full; columns of the input may have any name;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,44 +35,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_BYTES, attach, cut
+from corvane.llm.common import LOWER_BYTES, attach, cut, ident, ident_type, join_frequent, texts_of
 from corvane.llm.components import connected
 
 RADIUS = 2
 SHARD = 1024
 LEVELS = 4
 SHINGLE = 3
+#: Of similar_groups: words of a shingle, similarity, least hashes per level, levels, texts of a shard.
+SIMILAR_SHINGLE, SIMILAR, BANDS, SIMILAR_LEVELS, SIMILAR_SHARD = 5, 0.8, 6, 3, 256
+#: Bits within which pairs at the threshold lie, and least hashes (of BANDS * SIMILAR_LEVELS) in which they agree, but for about 1 in 100,000.
+WIDE, AGREE = 26, 7
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of the word shingles, repeats included; words are split at ASCII white space, A-Z lower-cased."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; words are split at ASCII white space, A-Z lower-cased. Of fewer words, of the whole sequence."""
     import xxhash
 
     words = text.translate(LOWER_BYTES).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) < shingle:
         parts, n = iter([b" ".join(words)]), 1
     else:
         parts, n = map(b" ".join, zip(*(words[i:] for i in range(shingle)))), len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype="<u8", count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype="<u8", count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if more than half of the hashes have it; 0 without any."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)]
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = np.array([fingerprint(t.as_py() or b"") for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["_id", "_fp"])
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and _fp for every row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(fingerprints, "_id long, _fp long")
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t.as_py() or b"", shingle) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["_id", "_t", "_fp"])
+
+    return run
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = texts_of(text_col)
+    return docs.select(ident(docs, id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.cast("binary").alias("t"))
+
+
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """_id, _t (a hash of the text) and _fp for every row."""
+    return _rows(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), f"_id {ident_type(docs, id_col)}, _t long, _fp long")
 
 
 class BKTree:
@@ -168,26 +200,187 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, levels:
     return found
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """_id, _fp and component_id (the smallest identifier reachable) for every row."""
-    rows = cut(with_fingerprint(docs, id_col, text_col))
-    distinct = cut(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    roots = connected(links(distinct.select("_fp"), radius))
-    linked = cut(roots.join(distinct, roots["node"] == distinct["_fp"]).select("_fp", "root", "_least"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """_id, _t, _fp and component_id (the smallest identifier reachable) for every row."""
+    rows = cut(with_fingerprint(docs, id_col, text_col, shingle))
+    distinct = cut(rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_times")))
+    return _with_least(rows, distinct, "_fp", links(distinct.select("_fp"), radius))
+
+
+def _with_least(rows: DataFrame, distinct: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """rows with component_id, the least identifier of all whose node is connected by edges (a, b). distinct: node, _least, _times."""
+    roots = connected(edges).withColumnRenamed("node", "_n")
+    linked = cut(roots.join(distinct, roots["_n"] == distinct[node]).select(F.col(node), "root", "_least"))
     least = cut(linked.groupBy("root").agg(F.min("_least").alias("component_id")))
-    known = linked.join(least, "root").select(F.col("_fp").alias("_f"), "component_id")
-    groups = cut(distinct.join(known, distinct["_fp"] == known["_f"], "left").select("_fp", F.coalesce("component_id", "_least").alias("component_id")))
-    return rows.join(groups, "_fp")
+    known = linked.join(least, "root").select(F.col(node).alias("_f"), "root", "component_id")
+    found = distinct.join(known, distinct[node] == known["_f"], "left")
+    groups = cut(found.select(node, "_times", F.coalesce("component_id", "_least").alias("component_id"), F.coalesce("root", node).alias("_root")))
+    return join_frequent(rows, groups, node, "_times")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each group: the rows whose identifier is their component's, with the input's own columns.
+def _one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each group: the one with the component's identifier (of several, the one with the least text hash)."""
+    own = "_own" + "_" * max((len(c) for c in docs.columns), default=0)  # no name that the input has
+    best = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min("_t").alias("_t"), F.first("_id").alias("_id"))
+    stays = cut(best.select(F.col("_id").alias(own), F.col("_t").alias(own + "t")))
+    text = F.xxhash64(texts_of(text_col))
+    out = docs.join(stays, ident(docs, id_col).eqNullSafe(F.col(own)) & (text == F.col(own + "t")), "left_semi")
+    if not groups.groupBy("_id", "_t").count().where("count > 1").limit(1).count():
+        return out
+    # rows equal in identifier and text: one of them
+    kept = out.withColumns({own: ident(docs, id_col), own + "t": text})
+    return kept.dropDuplicates([own, own + "t"]).drop(own, own + "t")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group of linked fingerprints, with the input's own columns."""
+    return _one_each(docs, near_groups(docs, id_col, text_col, radius, shingle), id_col, text_col)
+
+
+# ---- links by similarity
+
+MIXERS = np.random.default_rng(29).integers(1, 2**63, BANDS * SIMILAR_LEVELS, dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(text: bytes, shingle: int) -> tuple[str, int, int, list[int], np.ndarray]:
+    """Of the distinct shingle hashes: a name, the fingerprint, how many, the least after each mixing, and themselves, sorted."""
+    import xxhash
+
+    hashes = shingle_hashes(text, shingle)
+    own = np.unique(hashes)
+    name = xxhash.xxh3_128_hexdigest(own.tobytes())
+    if not len(own):
+        return name, 0, 0, [0] * len(MIXERS), own
+    least = [int(((own * m) ^ ((own * m) >> np.uint64(31))).min()) for m in MIXERS]
+    return name, majority(own), len(own), least, own
+
+
+def _signed64(values) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sketch(t.as_py() or b"", shingle)[:4] for t in batch.column(2)]
+            least = pa.FixedSizeListArray.from_arrays(pa.array(_signed64([x for g in got for x in g[3]])), len(MIXERS)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array(_signed64([g[1] for g in got])), pa.array([g[2] for g in got], pa.int64()), least], ["_id", "_t", "node", "fp", "n", "least"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sketch(t.as_py() or b"", shingle) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[4].tobytes() for g in got], pa.binary())], ["node", "set"])
+
+    return run
+
+
+def _neighbours(similar: float):
+    """Shards (key, members) to their members that have a likely neighbour there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes = [], []
+            for key, members in zip(batch.column(0), batch.column(1)):
+                tree, at, some, found = BKTree(), {}, [m.as_py() for m in members], set()
+                lists = np.array([m["least"] for m in some])
+                for k, m in enumerate(some):
+                    fp = m["fp"] & (2**64 - 1)
+                    near = [j for own in tree.within(fp, WIDE) for j in at[own]]
+                    if near:
+                        sizes = np.array([some[j]["n"] for j in near])
+                        alike = (lists[near] == lists[k]).sum(axis=1) >= AGREE
+                        alike &= np.minimum(sizes, m["n"]) >= similar * np.maximum(sizes, m["n"])
+                        if alike.any():
+                            found.update([k, *np.array(near)[alike].tolist()])
+                    at.setdefault(tree.add(fp), []).append(k)
+                keys += [key.as_py()] * len(found)
+                nodes += [some[k]["node"] for k in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nodes, pa.string())], ["shard", "node"])
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def set_links(names: list[str], sets: list[np.ndarray], similar: float) -> list[tuple[str, str]]:
+    """(member, first member) of every component of a shard; what is connected already is not compared again."""
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    for x, i in enumerate(order):
+        for j in reversed(order[:x]):  # from the nearest length down to the least that can be similar
+            if len(sets[j]) < similar * len(sets[i]):
+                break
+            if root(i) != root(j) and jaccard(sets[i], sets[j]) >= similar:
+                parent[root(i)] = root(j)
+    return [(names[i], names[root(i)]) for i in range(len(sets)) if root(i) != i]
+
+
+def _set_links(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = []
+            for members in batch.column(0):
+                some = {m["node"].as_py(): np.frombuffer(m["set"].as_py(), dtype="<u8") for m in members}
+                pairs += set_links(list(some), list(some.values()), similar)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
 
-    Rows without an identifier stay only in groups that have none at all.
-    """
-    own = "_stays" + "_" * max((len(c) for c in docs.columns), default=0)  # no name that the input has
-    stays = near_groups(docs, id_col, text_col, radius).where(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias(own)).distinct()
-    return docs.join(stays, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)), "left_semi")
+def _shards(sketches: DataFrame, most: int) -> DataFrame:
+    """Rows of sketches by shard, in shards of at most most rows; only shards of two or more."""
+    rows, out = sketches.withColumn("shard", F.lit("")), None
+    for level in range(SIMILAR_LEVELS):
+        keys = F.transform(F.sequence(F.lit(level * BANDS), F.lit((level + 1) * BANDS - 1)), lambda k: F.concat(F.col("shard"), F.lit("/"), k.cast("string"), F.lit(":"), F.element_at("least", k + 1).cast("string")))
+        rows = rows.withColumn("shard", F.explode(keys))
+        counts = cut(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"))
+        rows = rows.join(counts, "shard")
+        some = rows.where(F.col("_m") <= most).drop("_m")
+        out = some if out is None else out.unionByName(some)
+        hot = counts.where(F.col("_m") > most)
+        if not hot.limit(1).count():
+            return out
+        rows = rows.where(F.col("_m") > most)
+        rows = rows if level == SIMILAR_LEVELS - 1 else cut(rows.drop("_m"))
+    # still larger: blocks of half the size, and every two blocks together
+    blocks = F.ceil(2 * F.col("_m") / most)
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.concat_ws("+", F.col("shard"), F.least(b, F.col("_b")), F.greatest(b, F.col("_b"))))
+    return out.unionByName(rows.withColumn("_b", mine).withColumn("shard", F.explode(pairs)).drop("_b", "_m"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE, most: int = SIMILAR_SHARD) -> DataFrame:
+    """_id, _t, node (a name of the set of shingles) and component_id for every row; texts without words are one node."""
+    rows = cut(_rows(docs, id_col, text_col).mapInArrow(_sketches(shingle), f"_id {ident_type(docs, id_col)}, _t long, node string, fp long, n long, least array<long>"))
+    sketches = rows.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "least")])
+    lists = _shards(cut(sketches), most).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("n", "node", "fp", "least"))).alias("members"))
+    wanted = cut(lists.mapInArrow(_neighbours(similar), "shard string, node string"))
+    texts = rows.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_t").alias("_w")).select("_w")
+    some = docs.select(texts_of(text_col).alias("t")).join(texts, F.xxhash64("t") == F.col("_w"), "left_semi").select(F.col("t").cast("binary").alias("t"))
+    sets = some.mapInArrow(_sets(shingle), "node string, set binary").dropDuplicates(["node"])
+    full = wanted.join(sets, "node").groupBy("shard").agg(F.collect_list(F.struct("node", "set")).alias("members")).select("members")
+    distinct = cut(rows.groupBy("node").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_times")))
+    return _with_least(rows.select("_id", "_t", "node"), distinct, "node", full.mapInArrow(_set_links(similar), "a string, b string"))
+
+
+def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """One document of each group of similar texts, with the input's own columns."""
+    return _one_each(docs, similar_groups(docs, id_col, text_col, similar, shingle), id_col, text_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

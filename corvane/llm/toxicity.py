@@ -6,11 +6,13 @@ score is that of its highest window. In training the highest window of each docu
 learns which window of a toxic document matters. Log odds for training come from the other folds of the documents.
 
 The classifier is fitted on a bounded sample of labelled rows: at most TRAIN_TOXIC and TRAIN_OTHER documents, the first
-in the order of a hash; the loss is weighted back to the real share. Held-out rows (CRC-32 of the identifier's digits,
+in the order of a hash, with TRAIN_CHARS characters in all; the loss is weighted back to the real share. Held-out rows (CRC-32 of the identifier's digits,
 modulo 5, is 0) are never in it. Inputs are texts alone.
 
 Defined cases: null text is empty and has a score like any other text; without labels of both kinds every score is the
-share of toxic labels (0.5 without any); repeated rows score alike; an empty table gives an empty result.
+share of toxic labels (0.5 without any); repeated rows and ties score alike; of an identifier with several labels the
+toxic one counts, of one with several texts the least; identifiers may be numbers or strings, null ones never train; very
+long texts are scored in full; columns of the input may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import ident, ident_type, texts_of
+
 TRAIN_TOXIC, TRAIN_OTHER = 800, 1600
+#: Characters of training texts in all; half of them for each label, and a sixteenth for one text.
+TRAIN_CHARS = 32 << 20
 WINDOW, STRIDE = 64, 48
 TRIGRAMS, CHARS, HIDDEN, ATTEND = 4096, 8, 8, 8
 #: Lengths of the first characters of a word that have log odds of their own.
@@ -298,17 +304,21 @@ def held_out(ident: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, most_chars: int = TRAIN_CHARS) -> dict:
     """labels: doc_id and toxic, one row kept for each identifier; held-out identifiers and unlabelled rows are left out."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("_y")).where(~held_out(F.col("_l")))
+    own = labels.select(F.col("doc_id").cast(ident_type(docs, id_col)).alias("_l"), F.col("toxic").alias("_y"))
+    known = own.where("_y is not null and _l is not null").groupBy("_l").agg(F.max("_y").alias("_y")).where(~held_out(F.col("_l")))
     n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     if not toxic or not other:
         return {"net": None, "share": toxic / (toxic + other) if toxic + other else 0.5}
     some = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_l")).limit(most) for y, most in ((1, most_toxic), (0, most_other))]
     wanted = F.broadcast(some[0].unionByName(some[1]))  # at most most_toxic + most_other rows
-    rows = docs.join(wanted, F.col(f"`{id_col}`") == F.col("_l")).select("_l", "_y", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t")).collect()
-    rows = sorted({r["_l"]: r for r in rows}.values(), key=lambda r: r["_l"])
+    rows = docs.select(ident(docs, id_col).alias("_i"), texts_of(text_col).alias("_t")).join(wanted, F.col("_i") == F.col("_l"))
+    # one text for each identifier, whichever rows bear it, and no more characters than the bound
+    rows = rows.where(F.length("_t") <= most_chars // 16).groupBy("_l", "_y").agg(F.min("_t").alias("_t"))
+    upto = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_l")))  # of bounded rows
+    rows = sorted(rows.withColumn("_upto", upto).where(F.col("_upto") <= most_chars // 2).select("_l", "_y", "_t").collect(), key=lambda r: r["_l"])
     labels_ = np.array([r["_y"] for r in rows], dtype=np.int64)
     a, b = int(labels_.sum()), int((1 - labels_).sum())
     if not a or not b:
@@ -327,13 +337,15 @@ def _scorer(model: dict):
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id and score for every row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    return rows.mapInArrow(_scorer(model), "_id long, score double")
+    rows = docs.select(ident(docs, id_col).alias("_id"), texts_of(text_col).alias("t"))
+    return rows.mapInArrow(_scorer(model), f"_id {ident_type(docs, id_col)}, score double")
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose text isn't judged toxic, with the input's own columns."""
+    """The rows whose text isn't judged toxic, with the input's own columns; all rows without labels of both kinds."""
     model = fit(docs, labels, id_col, text_col)
+    if model["net"] is None:  # nothing to judge by
+        return docs
 
     @F.pandas_udf("double")
     def toxic(texts):
@@ -341,7 +353,7 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return pd.Series(scores(model, texts.fillna("").tolist()))
 
-    return docs.where(toxic(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) < 0.5)
+    return docs.where(toxic(texts_of(text_col)) < 0.5)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

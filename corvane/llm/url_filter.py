@@ -9,7 +9,8 @@ are cut into ranges by sampled splitters, each range carries in the segment that
 gives every key the segment that it lies in. A common host spreads over ranges, as path and identifier are in the key.
 
 Defined cases: a null url, or one without ://, has an empty host and path and no rule; rules given twice count once, a
-block before an allow; rules with equal length: the longer host wins; repeated rows stay repeated; empty tables give
+block before an allow; rules with equal length (ties): the longer host wins; repeated rows stay repeated; identifiers may
+have any type and be null; very long urls are keys in full; columns of the input may have any name; empty tables give
 empty results.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bucket_of, cut, lower_ascii, partitions, sampled_splitters
+from corvane.llm.common import bucket_of, cut, lower_ascii, named, partitions, sampled_splitters
 
 #: Verdict, then host/path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -70,7 +71,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     buckets = buckets or 6 * partitions(spark)
     levels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     parts = segments(rules)
-    rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = pages.select(named(id_col).alias("_id"), host_of(named(url_col)).alias("host"), path_of(named(url_col)).alias("path"))
     asks = rows.withColumn("_labels", labels_reversed(F.col("host"))).withColumn("_level", F.explode(F.sequence(F.lit(1), F.least(F.size("_labels"), F.lit(levels)))))
     asks = asks.withColumn("key", F.concat(F.concat_ws(".", F.slice("_labels", F.lit(1), F.col("_level"))), F.lit(GAP), F.col("path"))).drop("_labels")
     place = F.concat(F.col("key"), F.lit(GAP), F.coalesce(F.col("_id").cast("string"), F.lit("")))

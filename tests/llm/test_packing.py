@@ -14,7 +14,6 @@ def reference_ids(text):
 
     if not hasattr(reference_ids, "t"):
         reference_ids.t = Tokenizer.from_file(packing.default_path())
-        reference_ids.t.encode_special_tokens = True
     return reference_ids.t.encode(text or "", add_special_tokens=False).ids + [2]
 
 

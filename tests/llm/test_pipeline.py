@@ -5,9 +5,9 @@ import collections
 import pytest
 
 import corpus_pipeline
-from corvane.llm import simhash, toxicity
+from corvane.llm import toxicity
 from tests.llm.helpers import lower
-from tests.llm.test_simhash import components
+from tests.llm.test_simhash import shingles
 
 
 @pytest.fixture(scope="module")
@@ -51,11 +51,29 @@ def test_exact_dedup(stages):
 
 
 def test_near_dedup(stages):
+    """Components of texts with 0.8 of their distinct 5-word shingles in common, found through all shared shingles."""
     _, docs, got = stages[2]
-    rows = [(r["doc_id"], simhash.fingerprint(r["text"].encode())) for r in docs.collect()]
-    roots, least = components([f for _, f in rows], 2), {}
-    for i, f in rows:
-        least[roots[f]] = min(least.get(roots[f], i), i)
+    rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
+    having = collections.defaultdict(list)
+    for k, (_, own) in enumerate(rows):
+        for x in own:
+            having[x].append(k)
+    shared = collections.Counter((j, k) for own in having.values() for n, k in enumerate(own) for j in own[:n])
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(rows[a][1]) + len(rows[b][1]) - n)]
+    empty = [k for k, (_, own) in enumerate(rows) if not own]
+    for a, b in pairs + list(zip(empty, empty[1:])):
+        parent[root(b)] = root(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), i), i)
+    assert pairs
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
 
 

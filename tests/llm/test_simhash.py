@@ -105,3 +105,75 @@ def test_dedup_keeps_one_of_each_group(spark):
     groups = simhash.near_groups(df).select("component_id").distinct().count()
     assert got.count() == groups
     assert simhash.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dedup_goes_by_identifier_and_text(spark):
+    """Null and repeated identifiers: one row of each group, whatever other rows bear its identifier."""
+    a, b = "one two three four five six", "completely other words are in this text here"
+    put = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.dedup(put([(None, a), (1, b), (None, b)])).collect()), key=str) == [(1, b), (None, a)]
+    assert sorted(map(tuple, simhash.dedup(put([(1, a), (1, b), (0, b)])).collect())) == [(0, b), (1, a)]
+    assert simhash.dedup(put([(2, a), (2, a), (2, a)])).count() == 1
+    assert simhash.dedup(put([(None, a), (None, a)])).count() == 1
+
+
+def test_identifiers_and_names(spark):
+    df = spark.createDataFrame([("b", "same words here"), ("a", "Same words HERE"), (None, None)], "`doc.id` string, `te``xt` string")
+    for f in (simhash.dedup, simhash.dedup_similar):
+        got = f(df, "doc.id", "te`xt")
+        assert got.columns == df.columns
+        assert {r[0] for r in got.collect()} == {"a", None}
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar_components(texts, least=0.8):
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            same = len(a & b)
+            if (not a and not b) or (same and same >= least * (len(a) + len(b) - same)):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+def near_texts(seed=6):
+    """Families of texts that differ in a few words, some around the threshold, one of them large, and texts that share a passage."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, out = [word() for _ in range(40)], []
+    for family in range(25):
+        base = [word() for _ in range(rng.randint(20, 200))]
+        for _ in range(80 if family == 0 else rng.randint(1, 5)):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = word()
+            out.append(" ".join(own))
+    out += [" ".join([word() for _ in range(60)] + passage) for _ in range(60)]
+    return out + ["", None, " ", "tiny", "Tiny"]
+
+
+def test_similar_groups_against_all_pairs(spark):
+    texts = near_texts()
+    df = spark.createDataFrame([(k, t, "en", "a", 0, 0, "", None) for k, t in enumerate(texts)], SCHEMA).repartition(5)
+    roots, least = similar_components(texts), {}
+    for k, r in enumerate(roots):
+        least[r] = min(least.get(r, k), k)
+    assert 30 < len(least) < len(texts) - 60
+    for most in (4, 256):
+        got = {r["_id"]: r["component_id"] for r in simhash.similar_groups(df, most=most).collect()}
+        assert got == {k: least[r] for k, r in enumerate(roots)}
+    kept = simhash.dedup_similar(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    assert simhash.dedup_similar(spark.createDataFrame([], SCHEMA)).count() == 0
