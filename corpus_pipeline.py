@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written and read again as the next one's input.
+
+Every stage takes null and empty texts, null and repeated identifiers, ties, very long texts, other columns of any name
+and an empty table as its operator's module states; what the stages write is taken away when a later run ends well.
+"""
 
 from __future__ import annotations
 
@@ -21,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the smallest identifier stays."""
-    return simhash.dedup(docs)
+    """Of documents linked by similarity (0.8 of their distinct 5-word shingles) the one with the smallest identifier stays."""
+    return simhash.dedup_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
