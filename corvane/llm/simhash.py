@@ -13,11 +13,11 @@ together with the queries that can have an answer in it.
 
 similar_groups links by Jaccard similarity instead (SIMILAR of the distinct shingles of SIMILAR_SHINGLE words). At that
 similarity fingerprints differ in far more bits than blocks can tell apart, so shards come from least hashes of the
-shingles: a pair at the threshold misses all BANDS of them with probability (1 - SIMILAR) ** BANDS, below 1 in 15,000. A
-shard of more than SIMILAR_SHARD texts is cut again by the next BANDS least hashes; what is still larger after
+shingles: a pair at the threshold misses all BANDS of them with probability (1 - SIMILAR) ** BANDS, 1 in 3,125, and a
+pair at 0.9 with 1 in 100,000. A shard of more than SIMILAR_SHARD texts is cut again by the next BANDS least hashes; what is still larger after
 SIMILAR_LEVELS cuts is compared block by block. In each shard a BK-tree over the fingerprints is searched within WIDE
-bits; what it finds must agree in AGREE least hashes and in length. Only texts with such a neighbour send their shingles
-to the shard, where links are decided by exact similarity.
+bits; what it finds must agree in AGREE least hashes and in length. A pair counts in the first shard that it shares, and
+only texts with such a neighbour send their shingles there, where links are decided by exact similarity.
 
 Defined cases: null and empty texts have fingerprint zero and no shingles, and link like any other; null identifiers
 never are a component's identifier unless it has no other; repeated rows stay repeated in groups, and dedup keeps one of
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_BYTES, attach, cut, ident, ident_type, join_frequent, texts_of
+from corvane.llm.common import LOWER_BYTES, attach, bounded, cut, ident, ident_type, join_frequent, texts_of
 from corvane.llm.components import connected
 
 RADIUS = 2
@@ -43,9 +43,11 @@ SHARD = 1024
 LEVELS = 4
 SHINGLE = 3
 #: Of similar_groups: words of a shingle, similarity, least hashes per level, levels, texts of a shard.
-SIMILAR_SHINGLE, SIMILAR, BANDS, SIMILAR_LEVELS, SIMILAR_SHARD = 5, 0.8, 6, 3, 256
+SIMILAR_SHINGLE, SIMILAR, BANDS, SIMILAR_LEVELS, SIMILAR_SHARD = 5, 0.8, 5, 3, 256
 #: Bits within which pairs at the threshold lie, and least hashes (of BANDS * SIMILAR_LEVELS) in which they agree, but for about 1 in 100,000.
-WIDE, AGREE = 26, 7
+WIDE, AGREE = 26, 5
+#: Hashes of texts that are broadcast at most, to fetch or to leave out these texts; more go by shuffle.
+HASHES, HASH_BYTES = 2_000_000, 64 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -219,12 +221,19 @@ def _with_least(rows: DataFrame, distinct: DataFrame, node: str, edges: DataFram
 
 
 def _one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each group: the one with the component's identifier (of several, the one with the least text hash)."""
+    """One row of each group: the one with the component's identifier (of several, the one with the least text hash).
+
+    What goes is named by identifier and text hash, and taken out of docs; docs are shuffled only if it is too much to broadcast.
+    """
     own = "_own" + "_" * max((len(c) for c in docs.columns), default=0)  # no name that the input has
-    best = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min("_t").alias("_t"), F.first("_id").alias("_id"))
-    stays = cut(best.select(F.col("_id").alias(own), F.col("_t").alias(own + "t")))
+    groups = cut(groups.select("_id", "_t", "component_id", "_root"))
+    best = F.col("_id").eqNullSafe(F.col("component_id"))
+    several = groups.where(best).groupBy("_root").agg(F.min("_t").alias("_m"), F.max("_t").alias("_x")).where("_m <> _x").select(F.col("_root").alias("_r"), "_m")
+    others = groups.where(best).join(several, F.col("_root") == F.col("_r")).where("_t <> _m").select("_id", "_t")
+    gone = cut(groups.where(~best).select("_id", "_t").unionByName(others).distinct().select(F.col("_id").alias(own), F.col("_t").alias(own + "t")))
+    gone = bounded(gone, HASHES, HASH_BYTES) or gone
     text = F.xxhash64(texts_of(text_col))
-    out = docs.join(stays, ident(docs, id_col).eqNullSafe(F.col(own)) & (text == F.col(own + "t")), "left_semi")
+    out = docs.join(gone, ident(docs, id_col).eqNullSafe(F.col(own)) & (text == F.col(own + "t")), "left_anti")
     if not groups.groupBy("_id", "_t").count().where("count > 1").limit(1).count():
         return out
     # rows equal in identifier and text: one of them
@@ -278,27 +287,38 @@ def _sets(shingle: int):
     return run
 
 
+def _earlier(path: str) -> list[tuple[int, int]]:
+    """Ranges of least hashes that come before a shard's own at each level; a pair that agrees there meets in another shard."""
+    own = [int(part.split(":")[0]) for part in path.split("+")[0].split("/")[1:]]
+    return [(k // BANDS * BANDS, k) for k in own]
+
+
 def _neighbours(similar: float):
     """Shards (key, members) to their members that have a likely neighbour there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes = [], []
-            for key, members in zip(batch.column(0), batch.column(1)):
-                tree, at, some, found = BKTree(), {}, [m.as_py() for m in members], set()
-                lists = np.array([m["least"] for m in some])
-                for k, m in enumerate(some):
-                    fp = m["fp"] & (2**64 - 1)
-                    near = [j for own in tree.within(fp, WIDE) for j in at[own]]
+            column = batch.column(1)
+            ends, flat = column.offsets.to_numpy(), column.values
+            sizes, fps, names = flat.field("n").to_numpy(), flat.field("fp").to_numpy().view(np.uint64).tolist(), flat.field("node")
+            least = flat.field("least").values.to_numpy().reshape(-1, len(MIXERS))
+            for s, key in enumerate(batch.column(0).to_pylist()):
+                begin, end = int(ends[s]), int(ends[s + 1])
+                tree, at, found, before = BKTree(), {}, set(), _earlier(key)
+                for k in range(begin, end):
+                    near = [j for own in tree.within(fps[k], WIDE) for j in at[own]]
                     if near:
-                        sizes = np.array([some[j]["n"] for j in near])
-                        alike = (lists[near] == lists[k]).sum(axis=1) >= AGREE
-                        alike &= np.minimum(sizes, m["n"]) >= similar * np.maximum(sizes, m["n"])
+                        same = least[near] == least[k]
+                        alike = same.sum(axis=1) >= AGREE
+                        for a, b in before:
+                            alike &= ~same[:, a:b].any(axis=1)
+                        alike &= np.minimum(sizes[near], sizes[k]) >= similar * np.maximum(sizes[near], sizes[k])
                         if alike.any():
                             found.update([k, *np.array(near)[alike].tolist()])
-                    at.setdefault(tree.add(fp), []).append(k)
-                keys += [key.as_py()] * len(found)
-                nodes += [some[k]["node"] for k in sorted(found)]
+                    at.setdefault(tree.add(fps[k]), []).append(k)
+                keys += [key] * len(found)
+                nodes += [names[k].as_py() for k in sorted(found)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nodes, pa.string())], ["shard", "node"])
 
     return run
@@ -343,34 +363,35 @@ def _set_links(similar: float):
 
 
 def _shards(sketches: DataFrame, most: int) -> DataFrame:
-    """Rows of sketches by shard, in shards of at most most rows; only shards of two or more."""
-    rows, out = sketches.withColumn("shard", F.lit("")), None
+    """shard and node of sketches, in shards of at most most rows; only shards of two or more."""
+    rows, out = sketches.select("node", "least").withColumn("shard", F.lit("")), None
     for level in range(SIMILAR_LEVELS):
-        keys = F.transform(F.sequence(F.lit(level * BANDS), F.lit((level + 1) * BANDS - 1)), lambda k: F.concat(F.col("shard"), F.lit("/"), k.cast("string"), F.lit(":"), F.element_at("least", k + 1).cast("string")))
-        rows = rows.withColumn("shard", F.explode(keys))
+        keys = F.transform(F.sequence(F.lit(level * BANDS), F.lit((level + 1) * BANDS - 1)), lambda k: F.concat(F.col("shard"), F.lit("/"), k.cast("string"), F.lit(":"), F.hex(F.element_at("least", k + 1))))
+        rows = rows.select("node", "least", F.explode(keys).alias("shard"))
         counts = cut(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"))
-        rows = rows.join(counts, "shard")
-        some = rows.where(F.col("_m") <= most).drop("_m")
+        some = rows.select("node", "shard").join(counts.where(F.col("_m") <= most).select("shard"), "shard", "left_semi")
         out = some if out is None else out.unionByName(some)
         hot = counts.where(F.col("_m") > most)
         if not hot.limit(1).count():
             return out
-        rows = rows.where(F.col("_m") > most)
+        rows = rows.join(bounded(hot) or hot, "shard")
         rows = rows if level == SIMILAR_LEVELS - 1 else cut(rows.drop("_m"))
     # still larger: blocks of half the size, and every two blocks together
     blocks = F.ceil(2 * F.col("_m") / most)
     mine = F.pmod(F.xxhash64("node"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.concat_ws("+", F.col("shard"), F.least(b, F.col("_b")), F.greatest(b, F.col("_b"))))
-    return out.unionByName(rows.withColumn("_b", mine).withColumn("shard", F.explode(pairs)).drop("_b", "_m"))
+    return out.unionByName(rows.withColumn("_b", mine).select(F.explode(pairs).alias("shard"), "node"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE, most: int = SIMILAR_SHARD) -> DataFrame:
     """_id, _t, node (a name of the set of shingles) and component_id for every row; texts without words are one node."""
     rows = cut(_rows(docs, id_col, text_col).mapInArrow(_sketches(shingle), f"_id {ident_type(docs, id_col)}, _t long, node string, fp long, n long, least array<long>"))
     sketches = rows.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "least")])
-    lists = _shards(cut(sketches), most).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("n", "node", "fp", "least"))).alias("members"))
+    sketches = cut(sketches)
+    lists = _shards(sketches, most).join(sketches, "node").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("n", "node", "fp", "least"))).alias("members"))
     wanted = cut(lists.mapInArrow(_neighbours(similar), "shard string, node string"))
-    texts = rows.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_t").alias("_w")).select("_w")
+    texts = cut(rows.select("node", "_t").join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_t").alias("_w")).select("_w"))
+    texts = bounded(texts, HASHES, HASH_BYTES) or texts
     some = docs.select(texts_of(text_col).alias("t")).join(texts, F.xxhash64("t") == F.col("_w"), "left_semi").select(F.col("t").cast("binary").alias("t"))
     sets = some.mapInArrow(_sets(shingle), "node string, set binary").dropDuplicates(["node"])
     full = wanted.join(sets, "node").groupBy("shard").agg(F.collect_list(F.struct("node", "set")).alias("members")).select("members")
