@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written and read again as the next one's input.
 
 Every stage takes null and empty texts, null and repeated identifiers, ties, very long texts, other columns of any name
-and an empty table as its operator's module states; what the stages write is taken away when a later run ends well.
+and an empty table as its operator's module states. What a stage wrote is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -59,4 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # what the next stage has read is not needed any more
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
