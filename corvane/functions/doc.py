@@ -86,3 +86,8 @@ def doc_above(content, line):
 
 def docstring(content, line):
     return _per_row(docstring_below)(content, line)
+
+
+def header_of(content, most):
+    """The lines up to the last import at the head of a file; "" without any."""
+    return _per_row(lambda lines, most_: "\n".join(lines[: import_header(lines[:most_])]))(content, most)

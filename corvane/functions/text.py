@@ -145,6 +145,16 @@ def clip_line(lines: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series
     return pd.Series([None if x is None else clip_around(x, int(s), int(e)) for x, s, e in zip(lines, starts, ends)])
 
 
+def clip_window(most: int):
+    """clip_line with another width."""
+
+    @F.pandas_udf(StringType())
+    def clip(lines: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else clip_around(x, int(s), int(e), most) for x, s, e in zip(lines, starts, ends)])
+
+    return clip
+
+
 def clipped(most: int):
     @F.pandas_udf(StringType())
     def clip(texts: pd.Series) -> pd.Series:
@@ -171,6 +181,20 @@ def package_of(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit("."))
 
 
+def file_base(path: Column) -> Column:
+    """The name of a file without its directories and its last ending."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+
+
+def identifier_at(line: Column, byte_col: Column) -> Column:
+    """The word of letters, digits and underscores around a byte column (from 1); "" if there is none."""
+    head = F.substring(line.cast("binary"), F.lit(1), byte_col - 1).cast("string")
+    tail = F.substring(line.cast("binary"), byte_col, F.octet_length(line)).cast("string")
+    word = r"[\p{L}\p{Nd}_]"
+    return F.concat(F.regexp_extract(head, f"({word}*)$", 1), F.regexp_extract(tail, f"^({word}*)", 1))
+
+
 def ancestors(path: Column) -> Column:
     """"." and every directory above a path, from the top."""
     parts = F.split(path, "/")

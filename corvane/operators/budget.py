@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def with_totals(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
-    """The first rows of an order, with total and truncated; 0 or None keeps all. The count is one aggregate row."""
+    """The first rows of an order, with total and truncated; 0 or None keeps all. The count is one aggregate row.
+
+    Rows that come out of a shuffle are written once, so that counting and ordering don't make them twice.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        from corvane.operators.graph import cut
+
+        df = cut(df)
     total = df.agg(F.count(F.lit(1)).alias("total"))
     some = df.orderBy(*order).limit(limit) if limit else df
     return some.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > F.lit(limit or 2**62))
@@ -41,15 +49,14 @@ def quotas(counts: list[tuple[str, int]], room: int) -> dict[str, int]:
 
 
 def fair_cap(df: DataFrame, source: str, order: list[Column], room: int, first_seen: Column) -> DataFrame:
-    """At most room rows, shared fairly over sources (in the order in which they are first seen)."""
+    """At most room rows, shared fairly over sources (in the order in which they are first seen). A null source is one of its own."""
     counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.min(first_seen).alias("seen")).orderBy("seen", source)
-    rows = [(r[source], r["n"]) for r in counts.collect()]  # one row per kind of evidence
+    rows = [(r[source], r["n"]) for r in counts.limit(room).collect()]  # later sources than room get nothing
     given = quotas(rows, room)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    if not given:
-        return ranked.drop("_rank").limit(0)
-    quota = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
-    return ranked.where(F.col("_rank") <= F.element_at(quota, F.col(source))).drop("_rank")
+    spec = StructType([df.schema[source], StructField("_quota", LongType())])
+    quota = F.broadcast(df.sparkSession.createDataFrame(list(given.items()), spec).withColumnRenamed(source, "_s"))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("_rank") <= max(room, 0))
+    return ranked.join(quota, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_rank") <= F.col("_quota")), "left_semi").drop("_rank")
 
 
 def keyset_page(df: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:

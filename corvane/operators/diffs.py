@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -61,9 +62,44 @@ def unified(old: str, new: str, old_name: str = "old", new_name: str = "new", co
     return "".join(out)
 
 
-@F.udf(EDITS, useArrow=True)
-def edits_udf(old, new):
-    return None if old is None or new is None else text_edits(old, new)
+@F.pandas_udf(EDITS)
+def edits_udf(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else text_edits(a, b) for a, b in zip(old, new)])
+
+
+@F.pandas_udf(StringType())
+def apply_udf(old: pd.Series, edits: pd.Series) -> pd.Series:
+    """Texts after their edits (arrays of start, end, new)."""
+    plain = lambda es: [(int(e["start"]), int(e["end"]), e["new"]) for e in es]
+    return pd.Series([None if a is None else a if e is None else apply_edits(a, plain(e)) for a, e in zip(old, edits)])
+
+
+@F.pandas_udf(EDITS)
+def merge_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Both lists of edits in one; null where they conflict."""
+    plain = lambda es: [(int(e["start"]), int(e["end"]), e["new"]) for e in (es if es is not None else [])]
+    return pd.Series([merge_edits(plain(x), plain(y)) for x, y in zip(a, b)])
+
+
+def apply_transaction(documents: DataFrame, edits: DataFrame, group: str) -> DataFrame:
+    """documents (uri, text, version, group) after edits (uri, start, end, new_text, version), each group whole or not at all:
+    one edit with a problem leaves all texts of its group as they are. Adds applied and the group's first problem."""
+    from corvane.operators.intervals import validate_edits
+
+    known = documents.select("uri", "version", F.length("text").alias("length"))
+    checked = validate_edits(edits, known)
+    groups = checked.join(documents.select("uri", group), "uri").groupBy(group).agg(F.min("problem").alias("problem"))
+    lists = edits.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("new_text").alias("new")))).alias("_edits"))
+    rows = documents.join(lists, "uri", "left").join(groups.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    applied = F.col("problem").isNull() & F.col("_edits").isNotNull()
+    return rows.withColumn("text", apply_udf("text", F.when(applied, F.col("_edits")))).withColumn("applied", applied).drop("_edits")
+
+
+def preview(documents: DataFrame, edits: DataFrame) -> DataFrame:
+    """uri and the unified difference that a server's edits (rename, code action, format) would make; nothing is written."""
+    lists = edits.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("new_text").alias("new")))).alias("_edits"))
+    rows = documents.join(lists, "uri").withColumn("_new", apply_udf("text", "_edits"))
+    return rows.select("uri", unified_udf("text", "_new").alias("diff"))
 
 
 @F.pandas_udf(StringType())

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 MAX_NODES = 5000
 DAMPING, EPSILON, MAX_ROUNDS = 0.85, 1e-10, 100
+#: Steps along edges between two checkpoints; nodes whose children are fetched at a time.
+STEPS, TOGETHER = 3, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def edges_of(imports: DataFrame, source: str, target: str, spec: str | None = None) -> DataFrame:
-    """Distinct edges src, dst, with the least spec of each."""
+    """Distinct edges src, dst, with the least spec of each; order them by these three."""
     rows = imports.select(F.col(source).alias("src"), F.col(target).alias("dst"), (F.col(spec) if spec else F.lit("")).alias("spec"))
     return rows.groupBy("src", "dst").agg(F.min("spec").alias("spec"))
 
@@ -59,6 +62,30 @@ def importers(edges: DataFrame, target: Column) -> DataFrame:
     return edges.where(target)
 
 
+def find_importers(edges: DataFrame, targets: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """Importers of targets (target, dst: a file, the files of a directory, or a package). edges: src, dst, line. tests: further
+    edges that count only where they are wanted. Rows in order of file and line."""
+    rows = edges if tests is None else edges.unionByName(tests)
+    return targets.join(rows, "dst").select("target", F.col("src").alias("path"), "line").distinct().orderBy("target", "path", "line")
+
+
+def node_lookup(asked: DataFrame, files: DataFrame, nodes: DataFrame, packages: DataFrame) -> DataFrame:
+    """asked (name) with its node: of a file (files: path, node), a node itself (nodes: id), or an import path (packages: spec, node), the first that there is. A leading ./ and a trailing / don't count."""
+    name = F.regexp_replace(F.regexp_replace("name", r"^\./", ""), r"/$", "")
+    rows = asked.withColumn("_n", F.when(name == "", F.lit(".")).otherwise(name))
+    rows = rows.join(files.select(F.col("path").alias("_n"), F.col("node").alias("_a")), "_n", "left")
+    rows = rows.join(nodes.select(F.col("id").alias("_n")).distinct().withColumn("_b", F.col("_n")), "_n", "left")
+    rows = rows.join(packages.select(F.col("spec").alias("_n"), F.col("node").alias("_c")), "_n", "left")
+    return rows.select("name", F.coalesce("_a", "_b", "_c").alias("node"))
+
+
+def roots_under(nodes: DataFrame, prefix: str) -> DataFrame:
+    """The nodes at or beneath a directory, as roots of a walk."""
+    from corvane.operators.paths import in_scope
+
+    return nodes.where(in_scope(F.col("id"), prefix)).select("id")
+
+
 def test_only_importers(test_edges: DataFrame, edges: DataFrame, target: str, package: str, own_package: str) -> DataFrame:
     """Tests that import target from packages with no other import of it, the target's own package apart."""
     prod = edges.where(F.col("dst") == target).select(package)
@@ -83,7 +110,8 @@ def trim(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     live = cut(edges.select("src", "dst").distinct())
     n = live.count()
     for _ in range(max_rounds):
-        live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        for _ in range(2):  # rounds between two checkpoints
+            live = live.join(live.select(F.col("dst").alias("src")), "src", "left_semi").join(live.select(F.col("src").alias("dst")), "dst", "left_semi")
         live = cut(live)
         if (m := live.count()) == n:
             break
@@ -102,22 +130,28 @@ def components_strong(edges: DataFrame) -> DataFrame:
     while live.limit(1).count():
         label = cut(nodes_of(live).withColumn("color", F.col("id")))
         while True:
-            along = live.join(label.select(F.col("id").alias("src"), "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("low"))
-            new = cut(label.join(along, "id", "left").select("id", F.least("color", F.coalesce("low", "color")).alias("color"), (F.col("low") < F.col("color")).alias("moved")))
-            moved = new.where("moved").limit(1).count()
+            # several steps along the edges between two checkpoints; each takes the one before it once
+            new = label.withColumn("_was", F.col("color"))
+            for _ in range(STEPS):
+                sent = new.join(live.withColumnRenamed("src", "id"), "id", "left").select(F.explode(F.array(F.struct("id", "color", "_was"), F.struct(F.col("dst").alias("id"), "color", F.lit(None).cast(new.schema["_was"].dataType).alias("_was")))).alias("x"))
+                new = sent.select("x.*").where("id is not null").groupBy("id").agg(F.min("color").alias("color"), F.max("_was").alias("_was"))
+            new = cut(new)
+            moved = new.where("color < _was").limit(1).count()
             label = new.select("id", "color")
             if not moved:
                 break
         same = live.join(label.select(F.col("id").alias("src"), F.col("color").alias("_a")), "src").join(label.select(F.col("id").alias("dst"), F.col("color").alias("_b")), "dst").where("_a = _b").select("src", "dst", F.col("_a").alias("color"))
         same = cut(same)
         got = cut(label.where("id = color"))
-        front = got
+        n = got.count()
         while True:
-            back = front.select(F.col("id").alias("dst"), "color").join(same, ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct()
-            front = cut(back.join(got, ["id", "color"], "left_anti"))
-            if not front.limit(1).count():
+            for _ in range(STEPS):
+                back = got.select(F.col("id").alias("dst"), "color").join(same, ["dst", "color"], "left").select(F.explode(F.array(F.col("dst"), F.col("src"))).alias("id"), "color")
+                got = back.where("id is not null").distinct()
+            got = cut(got)
+            if (m := got.count()) == n:
                 break
-            got = cut(got.unionByName(front))
+            n = m
         inner = got.join(same, (got["id"] == same["src"]) & (got["color"] == same["color"]), "left_semi")
         comps = inner.groupBy("color").agg(F.count(F.lit(1)).alias("n"))
         loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
@@ -144,28 +178,63 @@ def cycle_paths(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, rounds: int | None = None, damping: float = DAMPING, every: int = 5) -> DataFrame:
-    """id and rank, summing to 1. A fixed number of rounds, or until the ranks move less than EPSILON in all (looked at every few rounds)."""
-    links = cut(edges.select("src", "dst").distinct())
+    """id and rank, summing to 1. A fixed number of rounds, or until the ranks move less than EPSILON in all (looked at every few rounds).
+
+    The step is linear but for what dangling nodes give to all alike. So the links alone carry a vector of ones along,
+    round by round, and a rank is a sum of these vectors whose coefficients follow from their sums over dangling nodes:
+    one join and one sum a round, and no other use of the round before.
+    """
+    links = edges.select("src", "dst").distinct()
     ids = cut((nodes.select("id").distinct() if nodes is not None else nodes_of(links)))
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = cut(links.join(degree, "src"))
-    ranks = ids.join(degree.select(F.col("src").alias("id"), "deg"), "id", "left").withColumn("rank", F.lit(1.0 / n))
-    ranks = cut(ranks)
-    for k in range(1, (rounds or MAX_ROUNDS) + 1):
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("given"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        new = ranks.join(given, "id", "left").crossJoin(F.broadcast(loose))
-        new = new.select("id", "deg", ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank"), F.col("rank").alias("_old"))
-        if k % every == 0 or k == rounds:
-            new = cut(new)
-        if rounds is None and k % every == 0 and new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < EPSILON:
-            ranks = new.drop("_old")
-            break
-        ranks = new.drop("_old")
-    return ranks.select("id", "rank")
+    loose = cut(ids.join(degree, ids["id"] == degree["src"], "left_anti"))
+    vectors, sums, now = [], [(float(n), float(loose.count()))], ids.withColumn("v", F.lit(1.0))
+    most = rounds or MAX_ROUNDS
+    for k in range(1, most + 1):
+        now = cut(links.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("v") / F.col("deg")).alias("v")))
+        vectors.append(now)
+        last = k == most or not now.limit(1).count()  # without cycles the links run out
+        if last or (rounds is None and k % every == 0):
+            sums += _sums(vectors[len(sums) - 1 :], loose)
+            still = _weights(sums, most if last else k, n, damping, rounds is None)
+            if last or still[1]:
+                return _combined(ids, vectors, still[0])
+
+
+def _sums(vectors: list[DataFrame], loose: DataFrame) -> list[tuple[float, float]]:
+    """Of each vector the sum, and that over dangling nodes."""
+    every = None
+    for k, v in enumerate(vectors):
+        part = v.join(loose.withColumn("_l", F.lit(1)), "id", "left").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.when(F.col("_l") == 1, F.col("v"))), F.lit(0.0)).alias("l")).withColumn("k", F.lit(k))
+        every = part if every is None else every.unionByName(part)
+    got = {r["k"]: (r["a"], r["l"]) for r in every.collect()}  # one row for each vector
+    return [got[k] for k in range(len(vectors))]
+
+
+def _weights(sums: list[tuple[float, float]], rounds: int, n: int, damping: float, stop: bool) -> tuple[list[float], bool]:
+    """How much of each vector the ranks hold after some rounds, or (stop) after those from which they are still; and whether they are.
+    Vectors beyond those known are zero."""
+    of = lambda k: sums[k] if k < len(sums) else (0.0, 0.0)
+    now = [1.0 / n]
+    for _ in range(rounds):
+        new = [(1 - damping) / n + damping * sum(w * of(k)[1] for k, w in enumerate(now)) / n] + [damping * w for w in now]
+        # no rank moves by more than its parts do
+        moved = sum(abs(a - b) * of(k)[0] for k, (a, b) in enumerate(zip(new, [*now, 0.0])))
+        now = new
+        if stop and moved < EPSILON:
+            return now, True
+    return now, False
+
+
+def _combined(ids: DataFrame, vectors: list[DataFrame], weights: list[float]) -> DataFrame:
+    rows = ids.select("id", F.lit(weights[0]).alias("part"))
+    for v, w in zip(vectors, weights[1:]):
+        rows = rows.unionByName(v.select("id", (F.col("v") * w).alias("part")))
+    return rows.groupBy("id").agg(F.sum("part").alias("rank"))
 
 
 def file_ranks(package_ranks: DataFrame, files: DataFrame) -> DataFrame:
@@ -189,18 +258,43 @@ def chain_depth(rows: DataFrame, key: str, parent: str, most: int = 64) -> DataF
 
 
 def hierarchy(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500) -> DataFrame:
-    """Depth-first listing of callers or callees: path (sortable), id, depth, repeat. A node on its own path is not expanded again."""
-    now = roots.select(F.array("id").alias("path"), "id", F.lit(0).alias("depth"), F.lit(False).alias("repeat"))
-    all_ = now
-    for d in range(1, depth + 1):
-        step = now.where("not repeat").join(edges.select(F.col("src").alias("id"), "dst"), "id")
-        now = step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("id"), F.lit(d).alias("depth"), F.array_contains("path", F.col("dst")).alias("repeat"))
-        all_ = all_.unionByName(now)
-    # of equal nodes only the first in depth-first order counts as expanded
-    first = all_.groupBy("id").agg(F.min("path").alias("_first"))
-    marked = cut(all_.join(first, "id").withColumn("repeat", F.col("repeat") | (F.col("path") != F.col("_first"))).drop("_first"))
-    # what hangs below a repeated node was listed where the node came first
-    closed = marked.where("repeat").select(F.col("path").alias("_above"))
-    above = marked.where("depth > 0").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("_above"))
-    marked = marked.join(above.join(closed, "_above", "left_semi").select("path").distinct(), "path", "left_anti")
-    return marked.orderBy("path").limit(limit)
+    """Depth-first listing of callers or callees, or of super- or subtypes: path, id, depth, repeat; children by id.
+
+    A node is expanded where the listing first meets it above the depth, and listed wherever it is met; later places are
+    marked repeat. The listing is cut at limit rows, so it is made on the driver from the children of the nodes that it
+    meets, which are fetched for up to TOGETHER nodes at a time, limit + 1 of each at most.
+    """
+    tops = [r["id"] for r in roots.select("id").distinct().orderBy("id").limit(limit + 1).collect()]
+    links = edges.select("src", "dst").distinct()
+    children: dict = {}
+    while True:
+        rows, missing = _listing(tops, children, depth, limit)
+        if not missing:
+            break
+        asked = list(missing)[:TOGETHER]
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+        found = links.where(F.col("src").isin(asked)).withColumn("_r", rank).where(F.col("_r") <= limit + 1).select("src", "dst").collect()
+        children.update({a: [] for a in asked})
+        for src, dst in sorted(map(tuple, found)):
+            children[src].append(dst)
+    kind = edges.schema["src"].dataType
+    schema = StructType([StructField("path", ArrayType(kind)), StructField("id", kind), StructField("depth", IntegerType()), StructField("repeat", BooleanType())])
+    return edges.sparkSession.createDataFrame(rows, schema)
+
+
+def _listing(tops: list, children: dict, depth: int, limit: int) -> tuple[list, dict]:
+    """Rows as far as children are known, and the nodes whose children the listing asks for, in its order."""
+    rows, missing, expanded, todo = [], {}, set(), [[t] for t in reversed(tops)]
+    while todo and len(rows) < limit:
+        path = todo.pop()
+        node, d = path[-1], len(path) - 1
+        again = d < depth and node in expanded
+        rows.append((path, node, d, again))
+        if d >= depth or again:
+            continue
+        expanded.add(node)
+        if node in children:
+            todo += [[*path, c] for c in reversed(children[node])]
+        else:
+            missing[node] = True
+    return rows, missing

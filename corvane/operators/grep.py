@@ -28,19 +28,64 @@ def pattern_of(query: str, regex: bool = False, word: bool = False, case: bool =
     return body if case else "(?iu)" + body
 
 
-def _first(text: Column, pattern: str) -> Column:
-    """0-based place of the first match."""
-    return F.length(F.regexp_extract(text, "(?s)^(.*?)(?:" + pattern + ")", 1))
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds; "" where none is sure."""
+    if "|" in pattern or "(?" in pattern:
+        return ""
+    best = run = ""
+    depth, i = 0, 0
+    while i < len(pattern):
+        c, plain = pattern[i], None
+        if c == "\\":
+            i += 1
+            follows = pattern[i : i + 1]
+            plain = follows if follows and not follows.isalnum() else None
+        elif c == "[":
+            i = pattern.find("]", i + 2)
+            if i < 0:
+                return ""
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c not in ".^$*+?{}":
+            plain = c
+        following = pattern[i + 1 : i + 2]
+        if c == "{":
+            i = max(i, pattern.find("}", i))
+        optional = following in ("*", "?", "{")
+        if plain is not None and depth == 0 and not optional:
+            run += plain
+            if len(run) > len(best):
+                best = run
+        if plain is None or depth or following in ("*", "+", "?", "{"):
+            run = ""
+        i += 1
+    return best
+
+
+#: Letters beyond ASCII that fold to ASCII ones, or change their length, without case.
+FOLDING = "\u017f\u0130\u0131\u212a"
+
+
+def may_hold(text: Column, literal: str, case: bool) -> Column:
+    """A cheap test that every text with the literal passes."""
+    if case or not literal:
+        return F.contains(text, F.lit(literal))
+    if not literal.isascii():
+        return F.lit(True)
+    found = F.contains(F.lower(text), F.lit(literal.lower()))
+    if literal.upper() == literal.lower():
+        return found
+    for c in FOLDING:
+        found = found | F.contains(text, F.lit(c))
+    return found
 
 
 def search_text(df: DataFrame, key: str, text: str, query: str, regex: bool = False, word: bool = False, case: bool = False) -> DataFrame:
     """key, line, col (bytes, from 1), hits, text for every line that matches. Rows whose whole text can't match fall out before they are split."""
     pattern = pattern_of(query, regex, word, case)
-    if case and not regex and not word:
-        whole, one = F.contains(F.col(text), F.lit(query)), F.contains(F.col("text"), F.lit(query))
-    else:
-        whole, one = F.col(text).rlike(pattern), F.col("text").rlike(pattern)
-    rows = lines(df.where(whole) if not regex else df, key, text).where(one)
+    whole = may_hold(F.col(text), required_literal(query) if regex else query, case)
+    one = F.contains(F.col("text"), F.lit(query)) if case and not regex and not word else F.col("text").rlike(pattern)
+    rows = lines(df.where(whole), key, text).where(one)
     inline, body = ("(?iu)", pattern[5:]) if pattern.startswith("(?iu)") else ("", pattern)
     first = F.length(F.regexp_extract(F.col("text"), f"{inline}^(.*?)(?:{body})", 1))
     return rows.select(key, "line", byte_column(F.col("text"), first).alias("col"), F.regexp_count("text", F.lit(pattern)).alias("hits"), "text")

@@ -14,6 +14,23 @@ def churn(changes: DataFrame, file: str, commit: str, author: str, added: Column
     return rows.groupBy(file).agg(F.countDistinct(commit).alias("commits"), F.countDistinct(author).alias("authors"), F.sum(added).alias("added"), F.sum(removed).alias("removed"), F.max(when).alias("last"))
 
 
+def churn_order(rows: DataFrame, file: str, limit: int | None = None) -> DataFrame:
+    """By commits, then lines that came or went, then file."""
+    out = rows.orderBy(F.col("commits").desc(), (F.col("added") + F.col("removed")).desc(), file)
+    return out.limit(limit) if limit else out
+
+
+def hotspot_order(rows: DataFrame, file: str, limit: int | None = None) -> DataFrame:
+    out = rows.orderBy(F.col("score").desc(), file)
+    return out.limit(limit) if limit else out
+
+
+def since(age: str) -> Column:
+    """An age like 90d, 6w or 2y as an interval, to take from a fixed time."""
+    n, unit = int(age[:-1]), {"h": "hours", "d": "days", "w": "weeks", "m": "months", "y": "years"}[age[-1]]
+    return F.expr(f"interval {n} {unit}")
+
+
 def hot_score(commits: Column, size: Column) -> Column:
     return round_half_up(commits * (1 + F.log(1 + size)))
 

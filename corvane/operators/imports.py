@@ -235,6 +235,7 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
     tails = inc.join(files.select(F.col("path").alias("target"), base.alias("_base")), "_base").where(F.endswith("target", F.concat(F.lit("/"), F.col("spec")))).groupBy("_id").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     every = found.unionByName(tails)
     if modules is not None:
+        modules = modules.select("module", "dir")
         dirs = files.where(F.endswith("path", F.lit(".go"))).select(F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", r"/[^/]*$", "")).otherwise("").alias("target")).distinct()
         go = rows.where("language = 'go'").select("_id", "spec", F.split("spec", "/").alias("_p"))
         heads = go.withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.array_join(F.slice("_p", F.lit(1), i), "/"))))
@@ -246,6 +247,43 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
     return out.withColumn("category", F.when(own, "self").when(F.col("target").isNotNull(), "workspace").otherwise(category(F.col("language"), F.col("spec"), F.col("kind")))).withColumn("target", F.when(~F.coalesce(own, F.lit(False)), F.col("target"))).withColumn("external", F.when(F.col("category").isin("stdlib", "third-party", "system"), F.col("spec")))
 
 
+def go_modules(files: DataFrame, work: DataFrame | None = None) -> DataFrame:
+    """module and dir of every go.mod (files: path, content), and of their replacements by local directories; with a go.work
+    (work: path, content) only modules that it uses. The nearest statement wins where a module has several."""
+    base = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", r"/[^/]*$", "")).otherwise("")
+    text = F.regexp_replace("content", r"//[^\n]*", "")
+    mods = files.where(F.substring_index("path", "/", -1) == "go.mod").select(base.alias("at"), text.alias("text"))
+    own = mods.select(F.regexp_extract("text", r"(?m)^\s*module\s+(\S+)", 1).alias("module"), F.col("at").alias("dir"), F.lit(1).alias("rank"))
+    line = r"(?m)^\s*(?:replace\s+)?(\S+)(?:[ \t]+v\S+)?[ \t]*=>[ \t]*(\.{1,2}/\S*|\.{1,2})[ \t]*$"
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(line), 1).alias("module"), F.regexp_extract_all("text", F.lit(line), 2).alias("to"))
+    replaced = mods.select("at", F.explode(pairs).alias("p")).select(F.col("p.module").alias("module"), clean_path(F.concat_ws("/", "at", "p.to")).alias("dir"), F.lit(0).alias("rank"))
+    rows = own.where("module <> ''")
+    if work is not None:
+        at = work.select(base.alias("at"), text.alias("text"))
+        used = at.select("at", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:use\s+)?(\.{1,2}(?:/\S*)?)\s*$"), 1)).alias("to"))
+        rows = rows.join(used.select(clean_path(F.concat_ws("/", "at", "to")).alias("dir")).distinct(), "dir", "left_semi").select("module", "dir", "rank")
+    return rows.unionByName(replaced).groupBy("module").agg(F.min_by("dir", F.struct("rank", "dir")).alias("dir"))
+
+
+def clean_path(path: Column) -> Column:
+    """A path without . and empty segments, each .. taking the segment before it."""
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when((p == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def package_edges(resolved: DataFrame) -> DataFrame:
+    """Edges of the graph: importing node to target, the least spec of each, in order. A Go file's node is its directory."""
+    here = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit("."))
+    rows = resolved.where("target is not null").select(F.when(F.col("language") == "go", here).otherwise(F.col("path")).alias("src"), F.col("target").alias("dst"), "spec")
+    return rows.groupBy("src", "dst").agg(F.min("spec").alias("spec")).orderBy("src", "dst", "spec")
+
+
+def imports_of(resolved: DataFrame, path: str, limit: int | None = None) -> DataFrame:
+    """The imports of one file in order of line, each with target, category and what it is outside."""
+    out = resolved.where(F.col("path") == path).select("line", "spec", "kind", "target", "category", "external").orderBy("line", "spec", "kind")
+    return out.limit(limit) if limit else out
+
+
 def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Hrefs of a page with comments and scripts taken away first: key, pos, href."""
     plain = F.regexp_replace(F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", ""), r"(?is)<script.*?</script>", "")

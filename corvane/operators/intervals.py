@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def innermost(points: DataFrame, intervals: DataFrame, on: str, point: str, start: str, end: str, point_keys: list[str], ordinal: str) -> DataFrame:
-    """Each point with the shortest interval of its file that holds it (the later one of equals), left-joined."""
-    pairs = points.join(intervals, (points[on] == intervals[on]) & (points[point] >= intervals[start]) & (points[point] <= intervals[end]), "left").drop(intervals[on])
-    order = [(F.col(end) - F.col(start)).asc_nulls_last(), F.col(ordinal).desc_nulls_last()]
-    return pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*point_keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    """Each point with the shortest interval of its file that holds it (the later one of equals), left-joined.
+
+    An interval lies in one or two cells of the width that its own length has, rounded up to a power of two, so a point
+    meets only intervals that begin near it, whatever else its file holds.
+    """
+    near = on_levels(points, intervals, on, point, start, end)
+    # ties without an ordinal go to the larger one
+    best = near.groupBy(*point_keys).agg(F.max_by(F.struct(*[F.col(c) for c in intervals.columns if c != on]), F.struct(-(F.col(end) - F.col(start)), F.col(ordinal))).alias("_best"))
+    keys = best.select(*[F.col(k).alias(f"_p{n}") for n, k in enumerate(point_keys)], "_best")
+    same = [F.col(k).eqNullSafe(F.col(f"_p{n}")) for n, k in enumerate(point_keys)]
+    return points.join(keys, same, "left").select(*points.columns, "_best.*")
+
+
+def _level(length: Column) -> Column:
+    """The least n with 2 ** n at or above a length (1 at least)."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
+
+
+def on_levels(points: DataFrame, intervals: DataFrame, on: str, point: str, start: str, end: str) -> DataFrame:
+    """points with every interval of their file that holds them."""
+    cell = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+    placed = intervals.where(F.col(end) >= F.col(start)).withColumnRenamed(on, "_on").withColumn("_level", _level(F.col(end) - F.col(start) + 1))
+    placed = placed.withColumn("_cell", F.explode(F.sequence(cell(F.col(start), F.col("_level")), cell(F.col(end), F.col("_level")))))
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())  # powers of two: 64 at most
+    asked = points.withColumn("_l", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
+    asked = asked.withColumn("_c", cell(F.col(point), F.col("_l")))
+    same = (F.col(on) == F.col("_on")) & (F.col("_l") == F.col("_level")) & (F.col("_c") == F.col("_cell"))
+    inside = (F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end))
+    return asked.join(placed, same & inside).drop("_on", "_level", "_cell", "_l", "_c")
+
+
+def overlap_counts(intervals: DataFrame, on: str, start: str, end: str) -> DataFrame:
+    """Per file, how many pairs of its intervals meet, by counting: all pairs less those in which one ends before the other begins."""
+    ends = intervals.groupBy(on, F.col(end).alias("at")).agg(F.count(F.lit(1)).alias("ends")).withColumn("starts", F.lit(0).cast("long"))
+    starts = intervals.groupBy(on, F.col(start).alias("at")).agg(F.count(F.lit(1)).alias("starts")).withColumn("ends", F.lit(0).cast("long"))
+    at = ends.unionByName(starts).groupBy(on, "at").agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"))
+    before = Window.partitionBy(on).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("apart", F.col("starts") * F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    n = F.sum("starts")
+    return at.groupBy(on).agg((F.floor(n * (n - 1) / 2) - F.sum("apart")).cast("long").alias("pairs"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, on: str, a_start: str, a_end: str, b_start: str, b_end: str) -> DataFrame:
@@ -30,9 +66,17 @@ def edit_overlaps(edits: DataFrame, partition: list[str], start: str, end: str,
 
 
 def validate_edits(edits: DataFrame, documents: DataFrame) -> DataFrame:
-    """edits: uri, start, end, new_text, version; documents: uri, length, version. Adds problem, null where there is none."""
-    rows = edits.join(documents.select("uri", F.col("length").alias("_length"), F.col("version").alias("_version")), "uri", "left")
+    """edits: uri, start, end, new_text, version; documents: uri, length, version, and text where positions are UTF-16 units of
+    it. Adds problem, null where there is none."""
+    known = documents.select("uri", F.col("length").alias("_length"), F.col("version").alias("_version"), *([F.col("text").alias("_text")] if "text" in documents.columns else []))
+    rows = edits.join(known, "uri", "left")
+    if "_text" not in rows.columns:
+        rows = rows.withColumn("_text", F.lit(None).cast("string"))
+    raw = F.encode("_text", "UTF-16BE")
+    # the unit at a position is the second half of a pair: D800-DBFF come first, DC00-DFFF second
+    second = lambda at: F.hex(F.substring(raw, 2 * at + 1, F.lit(1))).between("DC", "DF")
+    split = F.coalesce(second(F.col("start")) | second(F.col("end")), F.lit(False))
     spec = Window.partitionBy("uri").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     before = F.max("end").over(spec)
-    problem = F.when(F.col("_length").isNull(), "unknown document").when(F.col("start") > F.col("end"), "range is reversed").when(F.col("end") > F.col("_length"), "range outside the document").when(F.col("version").isNotNull() & (F.col("version") != F.col("_version")), "stale version").when(F.col("start") < before, "overlap")
-    return rows.withColumn("problem", problem).drop("_length", "_version")
+    problem = F.when(F.col("_length").isNull(), "unknown document").when(F.col("start") > F.col("end"), "range is reversed").when(F.col("end") > F.col("_length"), "range outside the document").when(F.col("version").isNotNull() & (F.col("version") != F.col("_version")), "stale version").when(F.col("start") < before, "overlap").when(split, "position inside a character")
+    return rows.withColumn("problem", problem).drop("_length", "_version", "_text")

@@ -52,3 +52,27 @@ def diagnostics(rows: DataFrame, severity: str, order: list, limit: int = 0) ->
     """Sorted diagnostics with has_errors over all of them, whatever the limit."""
     any_ = rows.agg(F.coalesce(F.bool_or(F.col(severity) == "error"), F.lit(False)).alias("has_errors"))
     return with_totals(rows, order, limit).crossJoin(F.broadcast(any_))
+
+
+def enclosing_chain(symbols: DataFrame) -> DataFrame:
+    """Each symbol with the names of those that hold it, from the top, by their parents. symbols: path, ordinal, parent, name.
+
+    Parents are looked up level by level; the levels are those of nested declarations, 64 at most.
+    """
+    up = symbols.select(F.col("path").alias("_p"), F.col("ordinal").alias("_o"), F.col("parent").alias("_up"), F.col("name").alias("_name"))
+    rows = symbols.withColumns({"chain": F.array().cast("array<string>"), "_at": F.col("parent")})
+    for _ in range(64):
+        if not rows.where("_at is not null").limit(1).count():
+            break
+        rows = rows.join(up, (F.col("path") == F.col("_p")) & (F.col("_at") == F.col("_o")), "left")
+        rows = rows.select(*symbols.columns, F.when(F.col("_name").isNotNull(), F.concat(F.array("_name"), "chain")).otherwise(F.col("chain")).alias("chain"), F.col("_up").alias("_at"))
+    return rows.drop("_at")
+
+
+def context(files: DataFrame, symbols: DataFrame, key: str, text: str, header_lines: int = 80) -> DataFrame:
+    """For each symbol (key, id, line, end_line): its source, and the import header of its file as header."""
+    from corvane.functions.doc import header_of
+
+    slices = source_slices(files, symbols.select(key, "id", "line", "end_line"), key, text)
+    heads = files.join(symbols.select(key).distinct(), key, "left_semi").select(key, header_of(F.col(text), F.lit(header_lines)).alias("header"))
+    return symbols.join(slices, [key, "id"], "left").join(heads, key, "left")

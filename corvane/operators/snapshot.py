@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,10 +48,10 @@ def sync_report(states: DataFrame, skips: DataFrame | None = None) -> DataFrame:
     return states.agg(*[F.count_if(F.col("state") == k).alias(k) for k in kinds], F.count(F.lit(1)).alias("files"))
 
 
-def status(files: DataFrame, group: list[str], indexed: str, hash_now: str, hash_then: str, skip: str) -> DataFrame:
-    """Counts by group: files, indexed, fresh, stale, missing, and up to three examples of skipped keys."""
+def status(files: DataFrame, group: list[str], indexed: str, hash_now: str, hash_then: str, skip: str, key: str | None = None, examples: int = 3) -> DataFrame:
+    """Counts by group: files, indexed, fresh, stale, missing, skipped. With a key, also the first few skipped keys with their reasons."""
     got = F.col(indexed)
-    return files.groupBy(*group).agg(
+    counts = files.groupBy(*group).agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if(got).alias("indexed"),
         F.count_if(got & (F.col(hash_now) == F.col(hash_then))).alias("fresh"),
@@ -59,6 +59,15 @@ def status(files: DataFrame, group: list[str], indexed: str, hash_now: str, hash
         F.count_if(~got).alias("missing"),
         F.count_if(F.col(skip).isNotNull()).alias("skipped"),
     )
+    if key is None:
+        return counts
+    first = Window.partitionBy(*group).orderBy(skip, key)
+    some = files.where(F.col(skip).isNotNull()).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= examples)
+    listed = F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(": ", F.col(skip), F.col(key).cast("string")).alias("t"))))
+    shown = some.groupBy(*group).agg(F.array_join(F.transform(listed, lambda x: x["t"]), ", ").alias("examples"))
+    shown = shown.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], "examples")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)]
+    return counts.join(shown, same, "left").drop(*[f"_g{k}" for k in range(len(group))])
 
 
 def upsert(table: DataFrame, changes: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
@@ -66,3 +75,55 @@ def upsert(table: DataFrame, changes: DataFrame, fresh: DataFrame, key: str) ->
     gone = changes.select(key)
     kept = table.join(gone, key, "left_anti")
     return kept.unionByName(fresh.join(changes.where("change <> 'deleted'").select(key), key, "left_semi"))
+
+
+def scanned(files: DataFrame, at_ns: int, window_ns: int = 2_000_000_000) -> DataFrame:
+    """files (path, mtime_ns, kind) of one scan: racy where the time is so near the scan that a later change could bear the
+    same one, and skip for what is no regular file."""
+    skip = F.when(F.col("kind") == "symlink", "symlink").when(F.col("kind") != "file", "not_regular")
+    return files.withColumns({"racy": F.col("mtime_ns") > F.lit(at_ns - window_ns), "skip": skip})
+
+
+def must_relist(before: DataFrame, now: DataFrame, listed: DataFrame, most: int = 50_000) -> DataFrame:
+    """One row, relist: whether a listing can't be used again. before and now: directories (path, mtime_ns, ignore_hash);
+    listed: files (path, there). It can't if a directory came, went, moved or has other ignore rules, if a listed file is gone, or past most directories."""
+    a = before.select("path", F.struct("mtime_ns", "ignore_hash").alias("_a"))
+    b = now.select("path", F.struct("mtime_ns", "ignore_hash").alias("_b"))
+    moved = a.join(b, "path", "full_outer").agg(F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("moved"), F.count("_b").alias("directories"))
+    gone = listed.agg(F.count_if(~F.col("there")).alias("gone"))
+    return moved.crossJoin(gone).select("moved", "gone", ((F.col("moved") > 0) | (F.col("gone") > 0) | (F.col("directories") > most)).alias("relist"))
+
+
+def with_file_hash(hits: DataFrame, files: DataFrame, hash_column: str = "hash") -> DataFrame:
+    """hits (path, indexed_hash) with the file's hash now, and whether the hit is stale; gone files have no hash and are stale."""
+    now = files.select("path", F.col(hash_column).alias("file_hash"))
+    return hits.join(now, "path", "left").withColumn("stale", ~F.col("file_hash").eqNullSafe(F.col("indexed_hash")))
+
+
+def build_in_steps(files: DataFrame, build, path: str, key: str = "path", step: int = 500) -> DataFrame:
+    """Builds rows of files and appends them to a table, about step files in each write. After a kill the files that the
+    table has are passed over, so a second call goes on where the first one stopped."""
+    spark = files.sparkSession
+    n = files.count()
+    parts = max(1, -(-n // step))
+    dealt = files.withColumn("_step", F.pmod(F.xxhash64(key), F.lit(parts)))
+    for k in range(parts):
+        todo = dealt.where(F.col("_step") == k).drop("_step")
+        try:
+            todo = todo.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+        except Exception as e:  # nothing is written yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        build(todo).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def counts(symbols: DataFrame, group: str = "kind") -> DataFrame:
+    """Symbols by kind."""
+    return symbols.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+
+
+def clear(spark, path: str) -> bool:
+    """Takes a written index away; whether there was one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))

@@ -90,8 +90,9 @@ BOUND = "aix|android|darwin|dragonfly|freebsd|hurd|illumos|ios|js|linux|nacl|net
 
 
 def build_sensitive(path: Column, text: Column) -> Column:
-    """Files that only some builds see."""
-    return path.rlike(rf"_({BOUND})(_[a-z0-9]+)?\.go$") | text.rlike(r"(?m)^//go:build |^// \+build |^import \"C\"")
+    """Files that only some builds see: by name, by a constraint before the package line, or by cgo anywhere."""
+    head = F.concat(F.lit("\n"), F.split(F.concat(F.lit("\n"), text), r"\n[ \t\r]*package ", 2).getItem(0))
+    return path.rlike(rf"_({BOUND})(_[a-z0-9]+)?\.go$") | head.rlike(r"\n[ \t\r]*(//go:build|// \+build)") | F.contains(text, F.lit('import "C"'))
 
 
 def confidence(exported: Column, sensitive: Column, kind: Column, can_implement: Column, reflective: Column) -> Column:
@@ -164,3 +165,87 @@ def repo_map(files: DataFrame, symbols: DataFrame, budget_bytes: int, per_file:
     from corvane.operators.budget import first_overflow
 
     return first_overflow(every, F.col("cost"), [F.col("file_rank"), F.col("k")], budget_bytes, least=3)
+
+
+def collisions(symbols: DataFrame, renames: DataFrame) -> DataFrame:
+    """renames (id, new_name, container, scope) with collisions: symbols (id, name, container, scope) that bear the new name in the same container and scope, the symbol itself left out."""
+    taken = symbols.select(F.col("id").alias("_id"), F.col("name").alias("new_name"), F.col("container").alias("_c"), "scope")
+    rows = renames.join(taken, ["new_name", "scope"], "left")
+    hit = F.col("_id").isNotNull() & (F.col("_id") != F.col("id")) & F.col("_c").eqNullSafe(F.col("container"))
+    return rows.groupBy("id", "new_name", "container", "scope").agg(F.count_if(hit).alias("collisions"))
+
+
+def taken_names(symbols: DataFrame, new_name: str, scope: str) -> DataFrame:
+    """Per scope, how many symbols bear a name already: for renaming many symbols to one name."""
+    return symbols.where(F.col("name") == new_name).groupBy(scope).agg(F.count(F.lit(1)).alias("collisions"))
+
+
+def counted_unless_ambiguous(candidates: DataFrame, key: str) -> DataFrame:
+    """key and ambiguous: whether a name stands for several symbols."""
+    return candidates.groupBy(key).agg((F.countDistinct("id") > 1).alias("ambiguous"))
+
+
+def dead_code(symbols: DataFrame, references: DataFrame, include_exported: bool = False, after: tuple | None = None, limit: int = 50, budget: int = 100, ignore_names: list[str] = (), ignore_paths: list[str] = ()) -> DataFrame:
+    """A page of symbols that nothing refers to. symbols: id, path, language, name, kind, line, end_line, local, exported,
+    sensitive, can_implement, implements; references: id, path, line.
+
+    Exclusions come first, so that the budget is spent on candidates: the first budget of them after the key are looked
+    at, those without use from outside their lines remain, with how sure that is.
+    """
+    from corvane.operators.budget import keyset_page
+
+    reason = exclusion("language", "name", "kind", "path", F.col("local"), F.col("exported"), include_exported, ignore_names, ignore_paths)
+    kinds = ("function", "method", "class", "struct", "interface", "enum", "constant")
+    candidates = symbols.where(F.col("kind").isin(*kinds)).withColumn("excluded", reason).where("excluded is null and not implements")
+    page = keyset_page(candidates, ["path", "line", "id"], after, budget)
+    free = unreferenced(page, references)
+    sure = confidence(F.col("exported"), F.col("sensitive"), F.col("kind"), F.col("can_implement"), F.col("language").isin(*REFLECTIVE))
+    return free.select("path", "line", "id", "name", "kind", sure.alias("confidence")).orderBy("path", "line", "id").limit(limit)
+
+
+def blast_radius(references: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, subject: str, subject_path: str, depth: int = 2, import_depth: int = 1) -> DataFrame:
+    """All that depends on a symbol: evidence, path, id, line, count, depth. References (id, path, line) are grouped by the
+    symbol that encloses them (symbols: id, path, line, end_line), callers come from calls (src, dst), importers from imports (src, dst)."""
+    from corvane.operators.graph import walk
+    from corvane.operators.intervals import innermost
+
+    own = references.where(F.col("id") == subject).select(F.col("path"), F.col("line").alias("at"))
+    spans = symbols.select("path", F.col("id").alias("inner_id"), "line", "end_line")
+    places = own.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"))
+    held = innermost(places, spans, "path", "at", "line", "end_line", ["path", "at"], "inner_id")
+    uses = held.groupBy("path", F.col("inner_id").alias("id")).agg(F.sum("n").alias("count"), F.min("at").alias("line"))
+    uses = uses.select(F.lit("reference").alias("evidence"), "path", "id", "line", "count", F.lit(1).alias("depth"))
+    spark = symbols.sparkSession
+    kind = lambda df, name: df.schema[name].dataType
+    start = spark.range(1).select(F.lit(subject).cast(kind(calls, "dst")).alias("id"))
+    callers = walk(calls, start, depth, "in").where("depth > 0").join(symbols.select("id", "path", "line"), "id", "left")
+    callers = callers.select(F.lit("caller").alias("evidence"), "path", "id", "line", F.lit(1).cast("long").alias("count"), "depth")
+    origin = spark.range(1).select(F.lit(subject_path).cast(kind(imports, "dst")).alias("id"))
+    files = walk(imports, origin, import_depth, "in").where("depth > 0")
+    files = files.select(F.lit("importer").alias("evidence"), F.col("id").alias("path"), F.lit(None).cast(kind(symbols, "id")).alias("id"), F.lit(None).cast(kind(symbols, "line")).alias("line"), F.lit(1).cast("long").alias("count"), "depth")
+    return uses.unionByName(callers).unionByName(files)
+
+
+def blast_page(rows: DataFrame, room: int = 50) -> DataFrame:
+    """At most room rows, shared fairly by evidence in the order reference, caller, importer."""
+    from corvane.operators.budget import fair_cap
+
+    rank = F.array_position(F.array(*[F.lit(e) for e in ("reference", "caller", "importer")]), F.col("evidence"))
+    return fair_cap(rows, "evidence", [F.col("depth"), F.col("path"), F.col("line"), F.col("id")], room, rank)
+
+
+def type_hierarchy(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int = 5, limit: int = 300, implementations: DataFrame | None = None) -> DataFrame:
+    """Super- and subtypes in depth-first order: direction, id, depth, repeat, evidence. edges: src (the subtype), dst (the
+    supertype). Without edges of a hierarchy, subtypes are those that implement the root (implementations: src, dst), one level deep."""
+    from corvane.operators.graph import hierarchy
+
+    out = None
+    if implementations is not None and not edges.limit(1).count():
+        rows = implementations.join(roots.select(F.col("id").alias("dst")), "dst").select(F.lit("subtype").alias("direction"), F.col("src").alias("id"), F.lit(1).alias("depth"), F.lit(False).alias("repeat"), F.lit("implementation").alias("evidence"))
+        return rows.orderBy("id").limit(limit)
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    for name, links in (("supertype", edges), ("subtype", turned)):
+        if direction in ("both", name + "s"):
+            part = hierarchy(links, roots, depth, limit).where("depth > 0").select(F.lit(name).alias("direction"), "id", "depth", "repeat", F.lit("type_hierarchy").alias("evidence"))
+            out = part if out is None else out.unionByName(part)
+    return out

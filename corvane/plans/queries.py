@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as t
 from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, outline, paths, search, snapshot, task, verdicts
+from corvane.sources import readers
 from corvane.streaming import gate as gates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,10 +125,20 @@ def nearest_names_levenshtein(spark, d):
     return search.stale_candidates(table(spark, d, "part"), "p_name", "red bolts")
 
 
-@query()
+#: The whole table of the distance as a list, a cell a step: row after row, for the query's letters against the name's.
+_OSA = f"""with recursive n as (select distinct p_name as name, {t.sql_normalise('p_name')} as norm, 'redbotl' as q from part),
+w as (select name, norm, q, length(norm) as m, 0 as k, []::integer[] as c from n
+  union all select name, norm, q, m, k + 1, list_append(c, cast(case when k // (m + 1) = 0 then k % (m + 1) when k % (m + 1) = 0 then k // (m + 1) else least(c[k] + 1, c[k - m] + 1, c[k - m - 1] + case when q[k // (m + 1)] = norm[k % (m + 1)] then 0 else 1 end,
+    case when k // (m + 1) > 1 and k % (m + 1) > 1 and q[k // (m + 1)] = norm[k % (m + 1) - 1] and q[k // (m + 1) - 1] = norm[k % (m + 1)] then c[k - 2 * m - 3] + 1 else 1000 end) end as integer)) from w where k < 8 * (m + 1)),
+d as (select name, norm, c[-1] as distance from w where k = 8 * (m + 1)), g as (select *, {_sql_grams("'redbotl'")} as a, {_sql_grams('norm')} as b from d),
+s as (select *, len(list_intersect(a, b)) / cast(len(list_distinct(list_concat(a, b))) as double) as similarity from g)
+select name, norm, distance, {sql_round('similarity', 6)} as similarity from s where distance <= 3 or similarity >= 0.3 or contains(norm, 'redbotl') or contains('redbotl', norm) order by distance, s.similarity desc, name limit 5"""
+
+
+@query(_OSA)
 def fuzzy_osa(spark, d):
     """Near names by the distance that counts a swap once, which no engine has built in."""
-    return search.nearest_names(table(spark, d, "part"), "p_name", "red botl")
+    return search.nearest_names(table(spark, d, "part"), "p_name", "red botl").withColumn("similarity", t.round_half_up(F.col("similarity"), 6))
 
 
 def _grep_sql(pattern: str, flags: str = "") -> str:
@@ -233,8 +244,8 @@ def glob_filter(spark, d):
 
 @query("select conv_id, turn, role || case when n = 1 then '' else '~' || n end as id from (select *, row_number() over (partition by role order by conv_id, turn) as n from conversations)")
 def dup_id_numbering(spark, d):
-    rows = table(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")))
-    return rows.select("conv_id", "turn", F.when(F.col("n") == 1, F.col("role")).otherwise(F.concat(F.col("role"), F.lit("~"), F.col("n"))).alias("id"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return readers.number_ids(rows, "role", ["conv_id", "turn"]).select("conv_id", "turn", "id")
 
 
 @query("""with recursive w as (select conv_id, turn, 0 as depth from conversations c where not exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn = c.turn - 1)
@@ -346,7 +357,9 @@ def _edges(spark, d) -> DataFrame:
 
 @query(f"with {_EDGES} select src, dst from edges")
 def graph_edges(spark, d):
-    return _edges(spark, d)
+    n = table(spark, d, "customer").count()
+    rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").withColumn("from_", F.col("o_orderkey") % n)
+    return graph.edges_of(rows, "from_", "o_custkey").select("src", "dst")
 
 
 @query(f"with {_EDGES} select dst, count(*) as importers, min(src) as first from edges group by dst")
@@ -420,7 +433,9 @@ def fair_cap(spark, d):
 @query("""select o_orderkey, case when o_orderstatus = 'P' then 'ignored' when o_orderpriority = '5-LOW' then 'local' end as excluded, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'low' when o_orderstatus = 'F' then 'medium' else 'high' end as confidence from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""")
 def dead_orders(spark, d):
     """Orders that no line refers to, why they might be no candidates, and how sure the rest are."""
-    o = table(spark, d, "orders").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderkey", F.lit("o").alias("path"), F.lit(0).alias("line"), F.lit(0).alias("end_line"), "o_orderpriority", "o_orderstatus")
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("l").alias("path"), F.lit(1).alias("line"))
+    o = verdicts.unreferenced(o, refs)
     sure = verdicts.confidence(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "yes").otherwise("no"), F.lit(False), F.lit("function"), F.lit(True), F.col("o_orderstatus") == "F")
     return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "ignored").when(F.col("o_orderpriority") == "5-LOW", "local").alias("excluded"), sure.alias("confidence"))
 
@@ -450,9 +465,9 @@ def delete_check_verdict(spark, d):
 def rename_collisions(spark, d):
     """What renaming each part to one name would hit within its brand."""
     p = table(spark, d, "part")
-    taken = p.where("p_name = 'red bolt'").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    taken = verdicts.taken_names(p.select(F.col("p_name").alias("name"), "p_brand"), "red bolt", "p_brand")
     rows = p.join(taken, "p_brand", "left")
-    return rows.select("p_partkey", verdicts.rename_verdict(F.col("p_name") == "red bolt", F.lit(False), F.coalesce("n", F.lit(0)), F.lit(1), F.lit(True)).alias("verdict"))
+    return rows.select("p_partkey", verdicts.rename_verdict(F.col("p_name") == "red bolt", F.lit(False), F.coalesce("collisions", F.lit(0)), F.lit(1), F.lit(True)).alias("verdict"))
 
 
 @query("""select s_suppkey, count(distinct l_orderkey) as orders, count(distinct o_custkey) as customers, count(*) as lines from supplier join lineitem on l_suppkey = s_suppkey join orders on o_orderkey = l_orderkey group by s_suppkey""")
@@ -507,11 +522,13 @@ def page_links(spark, d):
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("href").alias("targets"))
 
 
-@query()
+@query("select doc_id, true as same from (select doc_id, lead(doc_id) over (partition by source order by doc_id) as next from documents) where next is not null")
 def text_diff_roundtrip(spark, d):
     """Each document against the next of its source: applying the difference gives the other text."""
-    docs = table(spark, d, "documents").withColumn("other", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    return docs.where("other is not null").select("doc_id", diffs.roundtrip_udf("text", "other").alias("same"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    pairs = docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next")).where("next is not null")
+    rows = docs.join(pairs, "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")), "next")
+    return rows.select("doc_id", diffs.roundtrip_udf("text", "other").alias("same"))
 
 
 _TASK = [("worthless", 3.0), ("idiot", 1.0), ("clown", 2.0)]
@@ -556,9 +573,7 @@ def index_upsert(spark, d):
 def interval_overlaps(spark, d):
     """Pairs of a customer's orders whose thirty days overlap."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("e"))
-    other = o.select("f", F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    pairs = intervals.overlaps(o, other, "f", "s", "e", "s2", "e2").where("k < k2")
-    return pairs.groupBy(F.col("f").alias("o_custkey")).agg(F.count(F.lit(1)).alias("pairs"))
+    return intervals.overlap_counts(o, "f", "s", "e").where("pairs > 0").select(F.col("f").alias("o_custkey"), "pairs")
 
 
 @query(rf"""select page_id, case when regexp_matches({_PATH}, '\.html$') then 'html' else '' end as language from pages""")

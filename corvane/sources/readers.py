@@ -8,7 +8,7 @@ import shlex
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -42,6 +42,52 @@ def parse_log(texts: DataFrame, column: str) -> DataFrame:
     return rows.select("sha", "author", F.to_timestamp("date").alias("date"), parts[2].alias("path"), number(parts[0]).alias("added"), number(parts[1]).alias("removed"), (parts[0] == "-").alias("binary"))
 
 
+def parse_names(texts: DataFrame, column: str) -> DataFrame:
+    """The same records with one path a line instead of counts: sha, author, date, path."""
+    records = texts.select(F.explode(F.split(column, "\u0001")).alias("r")).where("r <> ''")
+    head = F.split(F.substring_index("r", "\u0002", 1), "\u001f")
+    rows = records.select(head[0].alias("sha"), head[1].alias("author"), F.to_timestamp(F.trim(head[2])).alias("date"), F.explode(F.split(F.substring_index("r", "\u0002", -1), "\n")).alias("path"))
+    return rows.where("path <> ''")
+
+
+def parse_patches(texts: DataFrame, column: str) -> DataFrame:
+    """The same records with a zero-context diff each: sha, author, date and the columns of its hunks."""
+    records = texts.select(F.explode(F.split(column, "\u0001")).alias("r")).where("r <> ''")
+    head = F.split(F.substring_index("r", "\u0002", 1), "\u001f")
+    rows = records.select(head[0].alias("sha"), head[1].alias("author"), F.to_timestamp(F.trim(head[2])).alias("date"), F.substring_index("r", "\u0002", -1).alias("diff"))
+    return rows.drop("diff").join(parse_diff(rows, "sha", "diff"), "sha")
+
+
+def git_listing(listed: DataFrame, column: str) -> DataFrame:
+    """path of every file of a listing (text with zero bytes between paths), each once, in order."""
+    return listed.select(F.explode(F.split(column, "\u0000")).alias("path")).where("path <> ''").distinct().orderBy("path")
+
+
+def ignore_rules(lines: list[str]) -> tuple[list[tuple[bool, str]], ...]:
+    """Ignore lines as (keeps, pattern over whole paths), in order; blank lines and comments fall out."""
+    from corvane.operators.paths import glob_regex
+
+    out = []
+    for line in lines:
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keeps, p = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+        inner, p = "/" in p.rstrip("/"), p.removeprefix("/")
+        directory, p = p.endswith("/"), p.rstrip("/")
+        p = p if inner else "**/" + p
+        out.append((keeps, glob_regex(p + "/**")[:-1].removesuffix("(/.*)?") + ("/.*$" if directory else "(/.*)?$")))
+    return out
+
+
+def not_ignored(path, lines: list[str]):
+    """Whether a file's path passes ignore rules: the last rule that fits decides."""
+    verdict = F.lit(True)
+    for keeps, pattern in ignore_rules(lines):
+        verdict = F.when(path.rlike(pattern), F.lit(keeps)).otherwise(verdict)
+    return verdict
+
+
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -128,11 +174,32 @@ def read_symbols(answers: DataFrame, path: str, column: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", *[c.split()[0] for c in SYMBOLS.split(", ")]]).astype({"parent": "Int32"})
 
     rows = answers.select(path, column).mapInPandas(run, f"path string, {SYMBOLS}")
-    from pyspark.sql import Window
-
     base = F.concat(F.col("path"), F.lit("::"), F.col("qualified"), F.lit("#"), F.col("kind"))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy("line", "ordinal"))
-    return rows.withColumn("_base", base).withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("~"), F.col("_n")))).drop("_base", "_n")
+    return number_ids(rows.withColumn("_base", base), "_base", ["line", "ordinal"]).drop("_base")
+
+
+def number_ids(rows: DataFrame, base: str, order: list[str], block: int = 4096) -> DataFrame:
+    """Adds id: the base, and ~2, ~3 and so on where it comes again, in order.
+
+    A base that comes often is numbered in parts: rows are counted by blocks of the order's first column (a whole
+    number), so no task has to sort all rows of one base.
+    """
+    part = F.floor(F.col(order[0]) / block)
+    counts = rows.groupBy(F.col(base).alias("_b"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("_b").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_b", F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_part", part)
+    placed = placed.join(counts, F.col(base).eqNullSafe(F.col("_b")) & F.col("_part").eqNullSafe(F.col("_p")))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy(base, "_part").orderBy(*order))
+    return placed.withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("~"), F.col("_n").cast("string")))).drop("_part", "_b", "_p", "_before", "_n")
+
+
+def read_workspace_symbols(answers: DataFrame, key: str, column: str) -> DataFrame:
+    """Flat symbols in the order that the server gave them: name, container, kind, path and, where there is a range, line."""
+    kinds = F.array(*[F.lit(k) for k in SYMBOL_KINDS])
+    item = "struct<name:string,kind:int,containerName:string,location:struct<uri:string,range:struct<start:struct<line:int>>>>"
+    rows = answers.select(key, F.posexplode(F.from_json(column, f"array<{item}>")).alias("server_order", "s"))
+    return rows.select(key, "server_order", F.col("s.name").alias("name"), F.col("s.containerName").alias("container"), F.element_at(kinds, F.col("s.kind")).alias("kind"), F.regexp_replace("s.location.uri", "^file://", "").alias("path"), (F.col("s.location.range.start.line") + 1).alias("line"))
 
 
 @F.udf(ArrayType(StringType()), useArrow=True)
@@ -150,5 +217,10 @@ def read_commands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str, schema_version: int, build: str) -> DataFrame:
-    """Rows of a written index that belong to this schema and build; others are as if they were not there."""
-    return spark.read.parquet(path).where((F.col("schema_version") == schema_version) & (F.col("build") == build))
+    """Rows of a written index that belong to this schema and build; other parts, and those whose checksum is wrong, are as if they were not there."""
+    from corvane.sources.sinks import part_checksums
+
+    rows = spark.read.parquet(path).where((F.col("schema_version") == schema_version) & (F.col("build") == build))
+    sums = part_checksums(rows).select(F.col("server").alias("_s"), F.col("part_rows").alias("_n"), F.col("part_sum").alias("_x"))
+    whole = rows.join(F.broadcast(sums), rows["server"].eqNullSafe(sums["_s"]) & (rows["part_rows"] == sums["_n"]) & (rows["part_sum"] == sums["_x"]), "left_semi")
+    return whole.drop("schema_version", "build", "part_rows", "part_sum")

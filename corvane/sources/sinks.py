@@ -30,6 +30,15 @@ def sarif(diagnostics: DataFrame) -> DataFrame:
     return one.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results"))).alias("runs"))).alias("sarif"))
 
 
+def part_checksums(rows: DataFrame) -> DataFrame:
+    """server, part_rows, part_sum: a sum over hashes of all rows, whatever their order."""
+    columns = sorted(c for c in rows.columns if c not in ("server", "schema_version", "build", "part_rows", "part_sum"))
+    return rows.groupBy("server").agg(F.count(F.lit(1)).alias("part_rows"), F.bit_xor(F.xxhash64(*columns)).alias("part_sum"))
+
+
 def write_parts(rows: DataFrame, path: str, schema_version: int, build: str) -> None:
-    """An index part per server; the committer makes each write whole or nothing."""
-    rows.withColumns({"schema_version": F.lit(schema_version), "build": F.lit(build)}).write.mode("overwrite").partitionBy("server").parquet(path)
+    """An index part per server, each with a checksum; parts of servers that rows don't have stay as they are."""
+    sums = part_checksums(rows).withColumnRenamed("server", "_s")
+    full = rows.join(F.broadcast(sums), rows["server"].eqNullSafe(sums["_s"])).drop("_s")  # one row for each server
+    full = full.withColumns({"schema_version": F.lit(schema_version), "build": F.lit(build)})
+    full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("server").parquet(path)

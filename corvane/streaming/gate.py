@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Fixed values, in milliseconds: a result is stable after SETTLE; GRACE without any progress; TIMEOUT in all.
 SETTLE, GRACE, TIMEOUT = 750, 500, 30_000
 
-STATE = "first long, last_change long, last_result string, active string, seen boolean, progress_at long, done boolean"
+STATE = "first long, last_change long, last_result string, active string, seen boolean, progress_at long, done boolean, last_at long, clock long"
 READY = "key string, result string, rule string, at_ms long"
 
 
@@ -32,60 +32,112 @@ def rule_of(now: int, first: int, changed: int, result: str | None, drained: boo
     return "not_ready" if now - first >= timeout else None
 
 
+def next_look(now: int, first: int, changed: int, progress_at: int, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> int:
+    """Milliseconds until time alone can make a rule true: the nearest bound that lies ahead."""
+    return max(1, min((t - now for t in (changed + settle, first + grace, progress_at + settle, first + timeout) if t > now), default=1))
+
+
 def gate(events: DataFrame, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> DataFrame:
-    """A stream of events (key, at_ms, kind: result, begin, report, end or create; token; result) to one final row per key.
+    """A stream of events (key, at_ms, kind: result, error, begin, report, end or create; token; result) to one final row per key.
 
     A token is active from its creation or begin until its end; progress is drained once something was seen and none is
-    active. Rules run when events come and, between them, on processing-time timers.
+    active. An error that can be tried again forgets the result before it. Rules run when events come and, between them,
+    on processing-time timers, up to the timeout. A key whose row is out is forgotten a timeout later; what comes for it
+    until then is passed over. Events of a key come in order, and are read batch by batch.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, changed, result, active, seen, progress_at, done = state.get if state.exists else (None, None, None, "", False, 0, False)
-        tokens = set(filter(None, active.split("\n")))
-        now = None
-        out = None
-        rows = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame()
-        for e in rows.sort_values(["at_ms", "kind"]).itertuples() if len(rows) else ():
+        first, changed, result, active, seen, progress_at, done, last_at, clock = state.get if state.exists else (None, None, None, "", False, 0, False, 0, 0)
+        tokens, out = set(filter(None, active.split("\n"))), None
+        rule_at = lambda now: rule_of(now, first, changed, result, seen and not tokens, seen, progress_at, settle, grace, timeout)
+        if state.hasTimedOut:
             if done:
-                break
-            now = int(e.at_ms)
-            if first is None:
-                first = changed = now
-            else:
-                rule = rule_of(now, first, changed, result, seen and not tokens, seen, progress_at, settle, grace, timeout)
-                if rule:  # it became final before this event
-                    out, done = (key[0], result, rule, now), True
-                    break
-            if e.kind == "result":
-                if e.result != result:
-                    result, changed = e.result, now
-            elif e.kind == "error":
-                changed = now
-            else:
-                seen, progress_at = True, now
-                tokens.discard(e.token) if e.kind == "end" else tokens.add(e.token) if e.kind in ("begin", "create") else None
-            rule = rule_of(now, first, changed, result, seen and not tokens, seen, progress_at, settle, grace, timeout)
-            if rule in ("R1", "not_ready"):
-                out, done = (key[0], result, rule, now), True
-        if state.hasTimedOut and not done and first is not None:
-            # no event came: the clock alone goes on from the last one
-            now = max(changed, progress_at) + settle
-            rule = rule_of(now, first, changed, result, seen and not tokens, seen, progress_at, settle, grace, timeout) or "not_ready"
-            out, done = (key[0], result, rule, now), True
-        if done:
-            state.update((first, changed, result, "", seen, progress_at, True))
+                state.remove()
+                return
+            now = last_at + max(0, state.getCurrentProcessingTimeMs() - clock)
+            if rule := rule_at(now):
+                out = (key[0], result, rule, now)
+        else:
+            for batch in batches:
+                for e in batch.sort_values(["at_ms", "kind"]).itertuples() if not (done or out) else ():
+                    now = last_at = int(e.at_ms)
+                    if first is None:
+                        first = changed = now
+                    elif rule := rule_at(now):  # it became final before this event
+                        out = (key[0], result, rule, now)
+                        break
+                    if e.kind == "result":
+                        if e.result != result:
+                            result, changed = e.result, now
+                    elif e.kind == "error":
+                        result, changed = None, now
+                    else:
+                        seen, progress_at = True, now
+                        tokens.discard(e.token) if e.kind == "end" else tokens.add(e.token) if e.kind in ("begin", "create") else None
+                    if (rule := rule_at(now)) in ("R1", "not_ready"):
+                        out = (key[0], result, rule, now)
+                        break
+            clock = state.getCurrentProcessingTimeMs()
+            now = last_at
+        if done or out:
+            state.update((first, changed, None, "", seen, progress_at, True, last_at, clock))
+            state.setTimeoutDuration(timeout)
         else:
-            state.update((first, changed, result, "\n".join(sorted(tokens)), seen, progress_at, False))
-            state.setTimeoutDuration(settle)
+            state.update((first, changed, result, "\n".join(sorted(tokens)), seen, progress_at, False, last_at, clock))
+            state.setTimeoutDuration(next_look(now, first, changed, progress_at, settle, grace, timeout))
         if out:
             yield pd.DataFrame([out], columns=["key", "result", "rule", "at_ms"])
 
     return events.groupBy("key").applyInPandasWithState(run, READY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def settled(events: DataFrame, key: str, at: str, settle_ms: int) -> DataFrame:
-    """Offline: the events after which a key stays quiet for long enough (the last one always), with the gap in ms."""
-    after = F.lead(F.unix_micros(F.col(at))).over(Window.partitionBy(key).orderBy(at, "event_id"))
+def gate_rules(events: DataFrame, key: str, order: list[str], settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> DataFrame:
+    """The same offline, over a log with key, at_ms, kind, token and result: key, rule, at_ms and result.
+
+    Between two events nothing changes but the clock, so each rule's first moment in the gap is an expression over what
+    the events so far have left; the earliest of a key is its row. order: what settles the order of equal times.
+    """
+    upto = Window.partitionBy(key).orderBy("at_ms", *order).rowsBetween(Window.unboundedPreceding, 0)
+    token = Window.partitionBy(key, "token").orderBy("at_ms", *order)
+    progress = F.col("kind").isin("create", "begin", "report", "end")
+    step = F.when(F.col("kind").isin("create", "begin"), 1).when(F.col("kind") == "end", 0)
+    rows = events.withColumn("_on", F.last(step, ignorenulls=True).over(token.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_was", F.coalesce(F.lag("_on").over(token), F.lit(0)))
+    rows = rows.withColumn("_active", F.sum(F.when(progress, F.coalesce("_on", F.lit(0)) - F.col("_was")).otherwise(0)).over(upto))
+    # the result in force and when it last became another; an error is a result of its own
+    mark = F.when(F.col("kind") == "result", F.coalesce("result", F.lit(""))).when(F.col("kind") == "error", F.lit("\u0000error"))
+    rows = rows.withColumn("_mark", F.last(mark, ignorenulls=True).over(upto))
+    before = Window.partitionBy(key).orderBy("at_ms", *order)
+    fresh = (F.col("kind") == "error") | ((F.col("kind") == "result") & ~F.lag("_mark").over(before).eqNullSafe(F.col("_mark")))
+    first = F.min("at_ms").over(upto)
+    rows = rows.withColumn("_fresh", fresh).withColumns(
+        {
+            "_first": first,
+            "_changed": F.coalesce(F.max(F.when(F.col("_fresh"), F.col("at_ms"))).over(upto), first),
+            "_seen": F.coalesce(F.max(progress.cast("int")).over(upto), F.lit(0)) == 1,
+            "_moved": F.max(F.when(progress, F.col("at_ms"))).over(upto),
+            "_next": F.coalesce(F.lead("at_ms").over(before), F.lit(2**62)),
+        }
+    )
+    filled = F.col("_mark").isNotNull() & ~F.col("_mark").isin("", "null", "[]", "{}", "\u0000error")
+    drained_ = F.col("_seen") & (F.col("_active") == 0)
+    stable = F.col("_changed") + settle
+    out = {
+        "R1": F.when(drained_ & filled, F.col("at_ms")),
+        "R2": F.when(drained_, F.greatest("at_ms", stable)),
+        "R3": F.when(~F.col("_seen"), F.greatest("at_ms", stable, F.col("_first") + grace)),
+        "R4": F.when(F.col("_seen") & filled, F.greatest("at_ms", stable, F.col("_moved") + settle)),
+        "not_ready": F.greatest(F.col("at_ms"), F.col("_first") + timeout),
+    }
+    least = F.array_min(F.filter(F.array(*[F.struct(c.alias("at"), F.lit(k).alias("k"), F.lit(name).alias("rule")) for k, (name, c) in enumerate(out.items())]), lambda x: x["at"].isNotNull()))
+    rows = rows.withColumn("_hit", least).where((F.col("_hit.at") <= F.col("_next")) & F.col("_hit.at").isNotNull())
+    best = rows.groupBy(key).agg(F.min(F.struct("_hit.at", "_hit.k", "_hit.rule", F.when(filled | (F.col("_mark") != "\u0000error"), F.col("_mark")).alias("result"))).alias("b"))
+    return best.select(key, F.col("b.rule").alias("rule"), F.col("b.at").alias("at_ms"), F.col("b.result").alias("result"))
+
+
+def settled(events: DataFrame, key: str, at: str, settle_ms: int, tie: str = "event_id") -> DataFrame:
+    """Offline: the events after which a key stays quiet for long enough (the last one always), with the gap in ms. tie: orders equal times."""
+    after = F.lead(F.unix_micros(F.col(at))).over(Window.partitionBy(key).orderBy(at, tie))
     gap = ((after - F.unix_micros(F.col(at))) / 1000).cast("long")
     return events.withColumn("gap_ms", gap).where(F.col("gap_ms").isNull() | (F.col("gap_ms") >= settle_ms))
 
@@ -104,11 +156,11 @@ def diagnostics_settled(published: DataFrame, opened: DataFrame, now_ms: int, se
     return rows.select("server", "missing", F.coalesce(quiet, F.lit(False)).alias("quiet"), ((F.col("missing") == 0) & F.coalesce(quiet, F.lit(False))).alias("complete"))
 
 
-def maintain(snapshots: DataFrame, table_path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame]):
+def maintain(snapshots: DataFrame, table_path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], keep: int = 3):
     """A query that keeps an index table up to date from a stream of file versions (path, size, mtime_ns, hash, content, removed).
 
     Every batch takes the last version of each path, leaves out those whose hash the table has, builds rows for the rest
-    and writes a new version of the table; a pointer file names the current one, so readers see whole versions only.
+    and writes a new version of the table; a pointer file names the current one, so readers see whole versions only. The last keep versions stay. A batch without changes writes nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -121,11 +173,16 @@ def maintain(snapshots: DataFrame, table_path: str, checkpoint: str, build: Call
         if before is not None:
             old = before.select("path", F.col("hash").alias("_hash")).distinct()
             last = last.join(old, "path", "left").where("removed or _hash is null or _hash <> hash").drop("_hash")
+        last = last.persist()
+        if before is not None and last.isEmpty():
+            return
         rows = build(last.where("not removed"))
         changes = last.select("path", F.when(F.col("removed"), "deleted").otherwise("changed").alias("change"))
         table = rows if before is None else upsert(before, changes, rows, "path")
         table.write.mode("overwrite").parquet(f"{table_path}/v{number}")
         spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").parquet(f"{table_path}/current")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v{number - keep}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append")
 
@@ -139,3 +196,13 @@ def current(spark, table_path: str) -> DataFrame | None:
             raise
         return None
     return None if version is None else spark.read.parquet(f"{table_path}/v{version}")
+
+
+def stream_results(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """A query that answers requests as they come: every micro-batch appends one JSON envelope a row, so results are out before all requests are in."""
+    from corvane.sources.sinks import envelope
+
+    def step(batch: DataFrame, number: int) -> None:
+        envelope(answer(batch)).write.mode("overwrite").text(f"{path}/batch={number}")  # a batch that is tried again replaces itself
+
+    return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append")

@@ -149,7 +149,61 @@ def test_repo_map(spark):
 def test_terms_and_confidence():
     got = {t: (k, w) for t, k, w in task.terms("where does `Server.Handle` parse --config in internal/cli/run.go with parseConfig quickly")}
     assert got["Handle"] == ("identifier", 3.5) and got["Server"] == ("qualifier", 2.0)
-    assert got["--config"][0] == "flag" and got["internal/cli/run.go"][0] == "path" and got["run"][0] == "stem"
+    assert got["config"][0] == "flag" and got["internal/cli/run.go"][0] == "path" and got["run"][0] == "stem"
     assert got["parseConfig"][0] == "identifier" and got["quickly"] == ("word", 1.0) and "the" not in got
     assert len(task.terms(" ".join(f"word{chr(97 + k)}x" for k in range(26)))) == 12
     assert task.confidence([9.0, 2.0], 1, 1, 3) == "high" and task.confidence([], 0, 0, 1) == "low" and task.confidence([2.0, 2.0], 1, 1, 5) == "medium"
+
+
+def test_fair_cap_with_a_null_source(spark):
+    df = spark.createDataFrame([(s, k) for s in ("a", None, "b") for k in range(10)], "source string, k int")
+    got = budget.fair_cap(df, "source", [F.col("k")], 9, F.lit(0)).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"a": 3, None: 3, "b": 3}
+
+
+def test_required_literals():
+    from corvane.operators.grep import required_literal
+
+    for pattern, want in ((r"[a-z]+\.[0-9]{2}@mail[0-9]", "@mail"), ("abc*d", "ab"), ("x(yz)?w", "x"), ("foo|bar", ""), ("colou?r", "colo"), ("a{2}bc", "bc"), (r"\d+abc", "abc")):
+        assert required_literal(pattern) == want
+
+
+def test_prefilter_keeps_what_folds(spark):
+    """Texts whose letters fold to a query's without case pass the cheap test."""
+    from corvane.operators import grep
+
+    df = spark.createDataFrame([(1, "MA\u0130L here"), (2, "mail"), (3, "Ma\u0131l"), (4, "none"), (5, "\u212aelvin"), (6, "\u017fong")], "id int, text string")
+    for q in ("mail", "kelvin", "song"):
+        slow = {r["id"] for r in grep.lines(df, "id", "text").where(F.col("text").rlike(grep.pattern_of(q))).collect()}
+        assert {r["id"] for r in grep.search_text(df, "id", "text", q).collect()} == slow
+
+
+def test_innermost_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(k % 3, k, a, a + rng.choice([0, 1, 5, 40, 300])) for k, a in enumerate(rng.randint(-200, 200) for _ in range(120))]
+    points = sorted({(f, rng.randint(-250, 600)) for f in range(4) for _ in range(60)})
+    got = intervals.innermost(spark.createDataFrame(points, "f int, at int"), spark.createDataFrame(spans, "f int, k int, s int, e int"), "f", "at", "s", "e", ["f", "at"], "k").collect()
+    want = {}
+    for f, at in points:
+        inside = [(e - s, -k, k) for g, k, s, e in spans if g == f and s <= at <= e]
+        want[f, at] = min(inside)[2] if inside else None
+    assert {(r["f"], r["at"]): r["k"] for r in got} == want
+
+
+def test_overlap_counts_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k % 2, a, a + rng.randint(0, 9)) for k, a in enumerate(rng.randint(0, 60) for _ in range(80))]
+    want = {f: sum(a[1] <= b[2] and b[1] <= a[2] for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] == f) for f in (0, 1)}
+    got = intervals.overlap_counts(spark.createDataFrame(rows, "f int, s int, e int"), "f", "s", "e").collect()
+    assert {r["f"]: r["pairs"] for r in got} == want
+
+
+def test_surrogates_are_not_split(spark):
+    docs = spark.createDataFrame([("u", 4, 1, "a\U0001f600b")], "uri string, length int, version int, text string")
+    edits = spark.createDataFrame([("u", 2, 3, "x", 1), ("u", 3, 3, "y", 1)], "uri string, start int, end int, new_text string, version int")
+    got = {r["start"]: r["problem"] for r in intervals.validate_edits(edits, docs).collect()}
+    assert got == {2: "position inside a character", 3: None}

@@ -121,3 +121,16 @@ def test_sinks(spark, tmp_path):
     parts = rows.withColumnRenamed("rule", "server")
     sinks.write_parts(parts, str(tmp_path / "ix"), 1, "b1")
     assert readers.read_parts(spark, str(tmp_path / "ix"), 1, "b1").count() == 2 and readers.read_parts(spark, str(tmp_path / "ix"), 2, "b1").count() == 0
+
+
+def test_parts_of_other_servers_stay_and_damaged_ones_fall_out(spark, tmp_path):
+    path = str(tmp_path / "index")
+    put = lambda rows: spark.createDataFrame(rows, "server string, id int, v string")
+    sinks.write_parts(put([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")]), path, 1, "k")
+    sinks.write_parts(put([("c", 4, "w"), ("b", 5, "n")]), path, 1, "k")
+    got = sorted((r["server"], r["id"], r["v"]) for r in readers.read_parts(spark, path, 1, "k").collect())
+    assert got == [("a", 1, "x"), ("a", 2, "y"), ("b", 5, "n"), ("c", 4, "w")]
+    assert readers.read_parts(spark, path, 2, "k").count() == 0
+    # a row more than the checksum knows of
+    spark.createDataFrame([(9, "?", 1, 0, 1, "k", "a")], "id int, v string, part_rows long, part_sum long, schema_version int, build string, server string").write.mode("append").partitionBy("server").parquet(path)
+    assert {r["server"] for r in readers.read_parts(spark, path, 1, "k").collect()} == {"b", "c"}

@@ -27,6 +27,41 @@ def test_gate_stream(spark, tmp_path):
     assert got["drained"] == ("[1]", "R1") and got["late"] == ("[]", "R3") and got["stuck"] == ("[9]", "R4")
 
 
+def test_gate_waits_for_the_timeout_and_forgets_results_before_an_error(spark, tmp_path):
+    """An active token and an empty result give nothing before the timeout; an error takes the result before it away."""
+    rows = [("waits", 0, "begin", "t", None), ("waits", 5, "result", "", "[]"), ("error", 0, "begin", "t", None), ("error", 5, "result", "", "[1]"), ("error", 10, "error", "", None), ("error", 20, "end", "t", None), ("error", 25, "result", "", "[2]")]
+    schema = "key string, at_ms long, kind string, token string, result string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = gate.gate(events, timeout=9000).writeStream.format("memory").queryName("waited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0.5 seconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("waited").count() < 2:
+            time.sleep(0.5)
+        got = {r["key"]: (r["result"], r["rule"], r["at_ms"]) for r in spark.table("waited").collect()}
+    finally:
+        q.stop()
+    assert got["error"] == ("[2]", "R1", 25)
+    assert got["waits"][:2] == ("[]", "not_ready") and got["waits"][2] >= 9000
+
+
+def test_offline_rules_are_the_streams(spark):
+    """Events of both tests above, without the stream."""
+    rows = [("drained", 0, "begin", "t", None), ("drained", 10, "result", "", "[]"), ("drained", 50, "end", "t", None), ("drained", 60, "result", "", "[1]"), ("late", 0, "result", "", "[]"), ("late", 800, "report", "x", None), ("stuck", 0, "begin", "t", None), ("stuck", 5, "result", "", "[9]"), ("stuck", 2000, "report", "t", None), ("waits", 0, "begin", "t", None), ("waits", 5, "result", "", "[]"), ("error", 0, "begin", "t", None), ("error", 5, "result", "", "[1]"), ("error", 10, "error", "", None), ("error", 20, "end", "t", None)]
+    log = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "key string, at_ms long, kind string, token string, result string, n int")
+    got = {r["key"]: (r["rule"], r["at_ms"], r["result"]) for r in gate.gate_rules(log, "key", ["n"]).collect()}
+    assert got == {"drained": ("R1", 60, "[1]"), "late": ("R3", 750, "[]"), "stuck": ("R4", 755, "[9]"), "waits": ("not_ready", 30_000, "[]"), "error": ("R2", 760, None)}
+
+
+def test_streamed_results(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).selectExpr("id", "concat('q', id) as q").write.parquet(src)
+    q = gate.stream_results(spark.readStream.schema("id long, q string").parquet(src), lambda df: df.selectExpr("id", "upper(q) as answer"), out, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    lines = sorted(r["value"] for r in spark.read.text(out).collect())
+    assert len(lines) == 5 and '"answer":"Q0"' in lines[0] and '"ok":true' in lines[0]
+
+
 def test_offline(spark):
     progress = spark.createDataFrame([("s", "a", 1, "begin"), ("s", "a", 2, "end"), ("s", "b", 3, "create"), ("u", "a", 1, "begin"), ("u", "a", 2, "report"), ("u", "a", 3, "end")], "server string, token string, at int, kind string")
     assert {r["server"]: r["drained"] for r in gate.drained(progress, "server", "token", "at", "kind").collect()} == {"s": False, "u": True}
