@@ -1,11 +1,13 @@
 """Personal data: fixed base patterns, and a character-level bidirectional LSTM with a CRF that adds spans to them.
 
-The network is trained in numpy on the driver, from labelled spans: made ones (with spaces, without country code, and
-look-alikes that are none) and the base spans of TRAIN_PIECES pieces of documents. At scoring, a text is covered by
-overlapping windows; the emissions of every character are averaged over its windows and one Viterbi pass runs over each
-covered stretch as a whole, so windows are reconciled globally. Every kind needs a digit or an @, and the decoder allows
-no other spans, so windows with neither are all outside and are not run. Added spans must pass the same checks as base
-ones (Luhn, parts, digits), must be sure (a mean posterior of SURE) and never touch a base span; base spans always stay.
+The network is trained in numpy on the driver, from labelled spans: made ones (with spaces, without country code, with
+other separators, spelled out or taken apart, and look-alikes that are none) and the base spans of TRAIN_PIECES pieces from
+anywhere in documents. At scoring, a text is covered by overlapping windows; the emissions of every character are averaged
+over its windows and one Viterbi pass runs over each covered stretch as a whole, so windows are reconciled globally. Every
+kind needs a digit (of any script), an @, or a written "at" with a mark or a "dot" after it; added spans without are thrown
+away, so windows with none of these are not run (README: what running them would cost). Added spans must pass the same
+checks as base ones (Luhn, parts, digits) once separators are read plainly, must be sure (a mean posterior of SURE) and
+never touch a base span; base spans always stay.
 
 Defined cases: null text is empty; empty texts have no spans; spans count code points; repeated rows and ties stay repeated;
 identifiers may be numbers, strings or null; very long texts are read in full; columns of the input may have any name; an
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import ident, ident_type, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Pieces of documents (the first PIECE characters) that the training adds to the made spans; made windows; seed.
-TRAIN_PIECES, PIECE, MADE, SEED = 64, 300, 640, 5
+#: Pieces of documents (PIECE characters from anywhere) that the training adds to the made spans; made windows; seed.
+TRAIN_PIECES, PIECE, MADE, SEED = 64, 300, 1600, 5
 WINDOW, STRIDE = 96, 48
 SURE = 0.9
 
@@ -39,9 +42,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"[0-9@]")
+#: What every span that the network may add has.
+TRIGGER = re.compile(r"[\d@]|[\[(]\s?at\s?[\])]|\bat\b(?=[^\n]{1,40}\bdot\b)", re.I)
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
+#: An address from the word before its at to the last label after a dot; words beside it are no part of it.
+ADDRESS = re.compile(r"[^\s@]+(?:\s*@\s*|\s*[\[(]\s?at\s?[\])]\s*|\s+at\s+)[\w-]+(?:(?:\s*[\[(]\s?(?:\.|dot)\s?[\])]\s*|\s+dot\s+|\s+\.\s+|\.)[\w-]+)+", re.I)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -216,9 +225,10 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 1
     for k, (text, spans) in enumerate(samples):
         got = char_ids(text)[:WINDOW]
         ids[: len(got), k] = got
-        for kind, s, e in spans:
-            if e <= WINDOW:
-                gold[s, k], gold[s + 1 : e, k] = 1 + 2 * kind, 2 + 2 * kind
+        for kind, s, e in spans:  # what a window's edge cuts off is inside all the same
+            gold[max(s, 0) : e, k] = 2 + 2 * kind
+            if 0 <= s < WINDOW:
+                gold[s, k] = 1 + 2 * kind
     m, v, step = {k: 0.0 for k in w}, {k: 0.0 for k in w}, 0
     for epoch in range(epochs):
         now = rate * (1.05 - epoch / epochs)
@@ -238,20 +248,34 @@ def made_samples(n: int = MADE, words: list[str] | None = None, seed: int = SEED
     rng = random.Random(seed)
     words = words or ["the", "and", "con", "mit", "la", "here", "reach", "lichung", "entre", "of", "after,", "then."]
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    name = lambda: "".join(rng.choice("abcdefghinorstuel") for _ in range(rng.randint(3, 8)))
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzaeioulnrst") for _ in range(rng.randint(3, 9)))
 
     def card() -> str:
         body = rng.choice("3456") + num(14)
         full = next(body + d for d in "0123456789" if luhn(body + d))
-        return full if rng.random() < 0.6 else rng.choice(" -").join(full[i : i + 4] for i in range(0, 16, 4))
-
-    makers = {
-        0: lambda: rng.choice(["%s.%s@%s.example.com", "%s%s@%s.org", "%s_%s@%s.net", "%s.%s @ %s.example.com"]) % (name(), num(2), name()),
-        1: lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
-        2: card,
-        3: lambda: rng.choice(["+1 (%s) 555-%s", "+49 %s %s", "(%s) 555-%s", "+1-%s-555-%s", "%s-555-%s"]) % (num(3), num(4)),
-    }
-    others = [lambda: num(rng.randint(1, 12)), lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"${num(2)}.{num(2)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32)), lambda: f"@{name()}", lambda: f"{num(1)}.{num(3)}.{num(3)}"]
+        return full if rng.random() < 0.3 else rng.choice([" ", "-", "-", "  ", ".", "/", "_", " - "]).join(full[i : i + 4] for i in range(0, 16, 4))
+
+    def email() -> str:
+        left = name() + rng.choice(["", ".", "_", "-"]) + rng.choice([name(), num(2), ""])
+        right = name() + rng.choice([".example.com", ".com", ".org", ".net", ".co.uk", "." + name()[:2], "." + name()[:3], "." + name()[:4]])
+        at = rng.choice(["@", "@", " @ ", "[at]", " [at] ", "(at)", " (at) ", " at "])
+        if at == " at ":
+            return f"{left.strip('._-')} at {right.replace('.', ' dot ')}"
+        return left.strip("._-") + at + (right if rng.random() < 0.75 else right.replace(".", rng.choice(["[.]", " dot ", "(.)", " . "])))
+
+    def ip() -> str:
+        return rng.choice([".", ".", "[.]", " . ", "(.)"]).join(str(rng.randint(0, 255)) for _ in range(4))
+
+    def phone() -> str:
+        area, a, b = num(3), num(3), num(4)
+        return rng.choice([f"+1 ({area}) {a}-{b}", f"+49 {area} {a}{b}", f"({area}) {a}-{b}", f"+1-{area}-{a}-{b}", f"{area}-{a}-{b}", f"{area} {a} {b}", f"{area}.{a}.{b}", f"0{area} {a}{b}", f"0{num(2)}/{a}{b}", f"00{num(2)} {area} {a}{b}", f"({area}) {a} {b}", f"0{area}-{a}{b}"])
+
+    def whole(kind: int) -> str:
+        part = makers[kind]()
+        return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in part) if kind and rng.random() < 0.04 else part
+
+    makers = {0: email, 1: ip, 2: card, 3: phone}
+    others = [lambda: num(rng.randint(1, 8)), lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"${num(2)}.{num(2)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32)), lambda: f"@{name()}", lambda: f"{num(1)}.{num(3)}.{num(3)}", lambda: f"at {name()}", lambda: f"{num(4)}/{num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{name()} at the dot", lambda: f"(v{num(1)}.{num(1)}.{num(1)})", lambda: f"({num(2)})", lambda: f"{num(2)} %", lambda: f"({name()}) {num(4)}", lambda: f"{name()} {num(1)}:", lambda: f"see {num(1)}.{num(1)}"]
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -259,15 +283,15 @@ def made_samples(n: int = MADE, words: list[str] | None = None, seed: int = SEED
             roll = rng.random()
             if roll < 0.16:
                 kind = rng.randrange(4)
-                part = makers[kind]()
+                part = whole(kind)
                 spans.append((kind, len(text), len(text) + len(part)))
-            elif roll < 0.26:
+            elif roll < 0.30:
                 part = rng.choice(others)()
             else:
                 part = rng.choice(words)
-            text += part + rng.choice([" ", " ", " ", ", ", ". ", "\n", "### "])
+            text += part + rng.choice([" ", " ", " ", " ", ", ", ". ", "\n", "### ", "; ", ": ", " (", ") "])
         cut = rng.randint(0, 20)  # windows may begin within a word
-        spans = [(k, s - cut, e - cut) for k, s, e in spans if s >= cut]
+        spans = [(k, s - cut, e - cut) for k, s, e in spans if e > cut]
         out.append((text[cut:], spans))
     return out
 
@@ -279,9 +303,9 @@ CELLS, TOGETHER = 1 << 19, 4 << 20
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Maximal stretches covered by windows that hold a digit or an @, on the grid of STRIDE."""
+    """Maximal stretches covered by windows that hold a trigger, on the grid of STRIDE."""
     hot: set[int] = set()
-    for m in CANDIDATE.finditer(text):
+    for m in TRIGGER.finditer(text):
         last = m.start() // STRIDE
         hot.update(k for k in range(last - WINDOW // STRIDE + 1, last + 1) if k >= 0)
     out: list[tuple[int, int]] = []
@@ -360,26 +384,35 @@ def decode(w: dict, texts: list[tuple[int, str]], rows: int = 2048) -> dict[int,
     return found
 
 
+def plain(found: str) -> str:
+    """A span with its digits, separators, at and dots as the base patterns have them."""
+    found = unicodedata.normalize("NFKC", found)
+    found = re.sub(r"\s*[\[(]\s*(?:\.|dot)\s*[\])]\s*|\s+dot\s+|\s+\.\s+", ".", found, flags=re.I)
+    return re.sub(r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+|\s*@\s*", "@", found, flags=re.I)
+
+
 def added_ok(kind: int, found: str) -> bool:
-    """Added spans pass the base checks, and have the shape of their kind."""
+    """Added spans pass the base checks once read plainly, and have the shape of their kind."""
+    read = plain(found)
     if kind == 0:
-        left, at, right = found.partition("@")
-        return bool(at) and left.strip() != "" and "." in right.strip().strip(".") and len(found.split()) <= 3
-    if kind == 1 and (found.count(".") != 3 or not all(p.isdigit() and p.isascii() for p in found.split("."))):
-        return False
-    if kind == 3 and not re.fullmatch(r"\+?[(0-9][\x20().0-9-]+[0-9]", found):
-        return False
-    return valid(KINDS[kind], found)
+        return _emails(read) == [(0, len(read))]
+    if kind == 1:
+        return bool(IP.fullmatch(read)) and valid("ip", read)
+    if kind == 2:
+        return bool(re.fullmatch(r"[0-9](?:[ ./_-]{0,3}[0-9])+", read)) and valid("card", read)
+    return bool(re.fullmatch(r"\+?[(0-9][\x20()./0-9-]+[0-9]", read)) and valid("phone", read)
 
 
 def all_spans(w: dict | None, texts: list[str]) -> list[tuple[list, list]]:
     """Base spans and all spans of each text, ordered by kind and start."""
     base = [base_spans(t) for t in texts]
-    extra = decode(w, [(n, t) for n, t in enumerate(texts) if CANDIDATE.search(t)]) if w else {}
+    extra = decode(w, [(n, t) for n, t in enumerate(texts) if TRIGGER.search(t)]) if w else {}
     out = []
     for n, (text, own) in enumerate(zip(texts, base)):
         held, more = [(s, e) for _, s, e in own], []
         for kind, s, e in extra.get(n, []):
+            if kind == 0 and (m := ADDRESS.search(text, s, e)):
+                s, e = m.span()
             if added_ok(kind, text[s:e]) and not (s > 0 and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum()) and all(e <= a or s >= b for a, b in held):
                 more.append((kind, s, e))
                 held.append((s, e))
@@ -415,9 +448,11 @@ def _scorer(w: dict):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: int = TRAIN_PIECES) -> dict:
     """The network, from made windows over the words of a bounded number of document pieces, and from their base spans."""
-    rows = docs.where(F.length(text_col) > 0).select(F.col(f"`{id_col}`").alias("i"), F.substring(text_col, 1, PIECE).alias("t"))
-    texts = [r["t"] for r in rows.orderBy(F.xxhash64("i"), "t").limit(pieces).collect()]
-    words = [x for t in texts for x in t.split() if not CANDIDATE.search(x)][:2000]
+    own, text = ident(docs, id_col), texts_of(text_col)
+    start = F.pmod(F.xxhash64(own, text), F.greatest(F.length(text) - PIECE, F.lit(0)) + 1) + 1
+    rows = docs.where(F.length(text) > 0).select(F.xxhash64(own, text).alias("h"), F.substring(text, start.cast("int"), F.lit(PIECE)).alias("t"))
+    texts = [r["t"] for r in rows.orderBy("h", "t").limit(pieces).collect()]
+    words = [x for t in texts for x in t.split() if not TRIGGER.search(x)]
     real = [(t[a : a + WINDOW], base_spans(t[a : a + WINDOW])) for t in texts for a in range(0, max(1, len(t) - WINDOW), WINDOW)]
     return train(made_samples(words=words or None) + real)
 

@@ -79,8 +79,66 @@ def test_viterbi_is_the_best_path():
 
 
 @pytest.fixture(scope="module")
-def weights():
-    return pii.train(pii.made_samples())
+def weights(spark, data):
+    """Fitted as the query fits."""
+    return pii.fit(spark.read.parquet(f"{data}/sf0.01/documents.parquet"))
+
+
+TEMPLATES = ["Please write to {} before Friday, as the office closes then.", "My number is {} in case of need.", "Der Kontakt lautet {} und gilt bis Montag.", "Contact: {}", "on {} you will reach the team, 24 hours a day since 2019", "{} was seen on 2021-03-04 at 10:30 with 55 others.", "La dirección es {} para todo.", "see {} (v2.3.1)"]
+
+
+def sentences(seed, n=400):
+    """(text, kind, start, end): spans that the patterns miss, in sentences of another origin than the training's."""
+    rng = random.Random(seed)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    first, last = "anna bruno carla dieter elena fabian greta hugo ines jonas".split(), "meyer rossi lopez schmidt durand keller novak silva".split()
+    hosts, ends = "mail post office contact server web".split(), ["com", "org", "net", "info", "de", "fr"]
+
+    def email():
+        f, l_, h, t = rng.choice(first), rng.choice(last), rng.choice(hosts), rng.choice(ends)
+        return rng.choice([f"{f}.{l_} @ {h}.{t}", f"{f}_{l_}[at]{h}.{t}", f"{f} (at) {h}.{t}", f"{f}{d(2)} at {h} dot {t}", f"{f}.{l_} [at] {h}[.]{t}"])
+
+    def card():
+        body = rng.choice("45") + d(14)
+        c = next(body + x for x in "0123456789" if pii.luhn(body + x))
+        return rng.choice([".", "/", "  ", "_"]).join(c[i : i + 4] for i in range(0, 16, 4))
+
+    def phone():
+        return rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(2)}/{d(7)}"])
+
+    def ip():
+        return rng.choice(["[.]", " . ", "(.)"]).join(str(rng.randint(1, 255)) for _ in range(4))
+
+    for k in range(n):
+        part = (email, ip, card, phone)[k % 4]()
+        before, after = rng.choice(TEMPLATES).split("{}")
+        text = " ".join(rng.choice("the of here Straße élan two words over".split()) for _ in range(rng.randint(0, 30))) + ". " + before
+        yield text + part + after + " " + " ".join(rng.choice("and so it goes on then".split()) for _ in range(rng.randint(0, 20))), k % 4, len(text), len(text) + len(part)
+
+
+def test_recall_of_each_kind_on_sentences_of_another_origin(weights):
+    rows = list(sentences(7)) + list(sentences(8))
+    hit, every_one, false = [0] * 4, [0] * 4, 0
+    for (_, kind, s, e), (base, every) in zip(rows, pii.all_spans(weights, [r[0] for r in rows])):
+        if (kind, s, e) not in base:
+            every_one[kind] += 1
+            hit[kind] += (kind, s, e) in every
+            false += len(set(every) - set(base) - {(kind, s, e)})
+    assert all(h >= 0.9 * n for h, n in zip(hit, every_one)), (hit, every_one)
+    assert false <= 0.02 * len(rows)
+
+
+def test_training_labels_what_a_window_cuts():
+    """Windows may begin and end inside of a span; what is left of it is labelled."""
+    samples = pii.made_samples(200)
+    assert any(s < 0 < e for _, spans in samples for _, s, e in spans)
+    assert any(s < pii.WINDOW < e for _, spans in samples for _, s, e in spans)
+
+
+def test_spelled_out_forms_are_read_plainly():
+    for found, read in (("a.b [at] host[.]org", "a.b@host.org"), ("a at host dot org", "a@host.org"), ("a (at) b.de", "a@b.de"), ("10[.]0[.]0[.]1", "10.0.0.1"), ("\uff11\uff10.0.0.1", "10.0.0.1")):
+        assert pii.plain(found) == read
+    assert pii.added_ok(0, "a at host dot org") and not pii.added_ok(0, "look at it") and not pii.added_ok(1, "10[.]0[.]0[.]256")
 
 
 def test_stretches_cover_all_candidates():
@@ -89,20 +147,20 @@ def test_stretches_cover_all_candidates():
         text = "".join(rng.choice("aaaaaaaaaaaaaaaa 1@") if rng.random() < 0.1 else "a" for _ in range(rng.randint(1, 600)))
         parts = pii.stretches(text)
         assert all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
-        for m in re.finditer("[0-9@]", text):
+        for m in pii.TRIGGER.finditer(text):
             assert any(s <= m.start() < e for s, e in parts)
 
 
 def test_the_network_adds_what_the_patterns_miss(weights):
     held_out = pii.made_samples(300, seed=99)
-    found = missed = 0
+    found, missed = [0] * 4, [0] * 4
     for (text, spans), (base, every) in zip(held_out, pii.all_spans(weights, [t for t, _ in held_out])):
         assert set(base) <= set(every)
         for span in spans:
-            if span not in base and span[2] <= len(text):
-                found += span in every
-                missed += span not in every
-    assert found > missed, (found, missed)
+            if span not in base and 0 <= span[1] and span[2] <= len(text):
+                found[span[0]] += span in every
+                missed[span[0]] += span not in every
+    assert all(f >= 0.85 * (f + m) for f, m in zip(found, missed)), (found, missed)
 
 
 def test_clean_texts_stay_clean(weights):
