@@ -15,8 +15,10 @@ at the context's home after each sweep and sent back to the homes of its words.
 share one partitioner, so that what the first shuffle wrote is read again and not written again. What the driver
 gathers is one row of totals, a few for each class.
 
-Large groups of customers of one word in one restaurant are seated in chunks of 1/32 of those already there. Pairs seen
-once have one table whatever is drawn, so only the others take part in sweeps.
+A sweep takes all customers of a dish out of a restaurant and seats them anew, one after another, given what the sweep
+before left elsewhere: a Gibbs sampler whose blocks are the dishes of a restaurant. Blocks of one restaurant are drawn
+side by side, so that homes need not wait for each other; a test holds the scores against a sampler that moves single
+customers. Pairs seen once have one table whatever is drawn, so only the others take part in sweeps.
 
 Defined cases: null text is empty and scores one end token; null identifiers are in training; repeated rows count as
 often as they occur; identifiers may be numbers or strings; very long texts are a block of their own; ties don't arise;
@@ -39,6 +41,8 @@ CONTEXTS = 256
 BLOCK = 12 << 20
 SWEEPS, KEPT, SEED = 4, 2, 7
 STRENGTH = 1.0
+#: Customers for each table opened, from which the wait for the next table is drawn at once.
+RARE = 64
 END = b""
 
 
@@ -185,22 +189,50 @@ def _placed(of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(np.append(of, -2)[at] == wanted, at, len(of))
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function above zero: eight steps up, then Stirling's series."""
+    y = x + 8.0
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - low
+
+
+def _wait(x: np.ndarray, a: np.ndarray, room: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Customers up to the next that opens a table, room + 1 if none of them does. The chance that the first m open none
+    is the product of (x + i) / (x + a + i), i below m, which gamma functions say at once."""
+    base = _lgamma(x + a) - _lgamma(x)
+    none = lambda m: _lgamma(x + m) - _lgamma(x + a + m) + base
+    draw = np.log(1.0 - rng.random(len(x)))
+    low, high = np.zeros(len(x)), room + 1.0  # none(low) is above the draw, high is at or below, or past the room
+    while (high - low > 1).any():
+        mid = np.floor((low + high) / 2)
+        mid = np.where(high - low > 1, mid, high)
+        under = none(mid) <= draw
+        low, high = np.where(under | (mid == high), low, mid), np.where(under, mid, high)
+    return high
+
+
 def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after its customers came one after another: the next opens a table with probability
-    fresh / (fresh + seated - discount * tables), fresh being the pull of the parent."""
-    order = np.argsort(-customers, kind="stable")
-    c, a = customers[order], np.maximum(fresh[order], 1e-300)
-    tables, there = np.minimum(c, 1).astype(np.float64), 1
-    alive = int(np.searchsorted(-c, -there, side="left"))  # dishes with more customers than seated
-    while alive:
-        p = np.minimum(1.0, a[:alive] / (a[:alive] + there - discount * tables[:alive]))
-        step = max(1, there // 32)
-        tables[:alive] += rng.random(alive) < p if step == 1 else rng.binomial(np.minimum(step, c[:alive] - there), p)
-        there += step
-        alive = int(np.searchsorted(-c[:alive], -there, side="left"))
-    out = np.empty(len(c))
-    out[order] = tables
-    return out
+    fresh / (fresh + seated - discount * tables), fresh being the pull of the parent. Where tables are opened rarely, the
+    number of customers up to the next one is drawn instead of each of them; the process is the same."""
+    c, a = customers.astype(np.float64), np.maximum(fresh, 1e-300)
+    tables, there = np.minimum(c, 1.0), np.minimum(c, 1.0)
+    alive = np.flatnonzero(there < c)
+    while len(alive):
+        x = there[alive] - discount * tables[alive]
+        p = a[alive] / (a[alive] + x)
+        rare = (p < 1 / RARE) & (c[alive] - there[alive] > RARE)
+        one = alive[~rare]
+        tables[one] += rng.random(len(one)) < p[~rare]
+        there[one] += 1
+        if rare.any():
+            far = alive[rare]
+            room = c[far] - there[far]
+            m = _wait(x[rare], a[far], room, rng)
+            tables[far] += m <= room
+            there[far] += np.minimum(m, room)
+        alive = alive[there[alive] < c[alive]]
+    return tables
 
 
 class Model:

@@ -75,6 +75,101 @@ def test_seats():
     assert many == pytest.approx(1 + 1 / 1.5, abs=0.02)  # the second customer: 1 / (1 + 1 - 0.5)
 
 
+def test_seats_are_those_of_customers_one_by_one():
+    """Waits drawn at once give the same numbers of tables as single customers."""
+    rng = np.random.default_rng(5)
+    for c, a, d in ((3000, 0.4, 0.3), (2000, 5.0, 0.7), (5000, 0.01, 0.1)):
+        at_once = lm.seated(np.full(400, c), np.full(400, a), d, rng)
+        tables = np.ones(400)
+        for n in range(1, c):
+            tables += rng.random(400) < a / (a + n - d * tables)
+        spread = math.sqrt((at_once.var() + tables.var()) / 400) + 1e-9
+        assert abs(at_once.mean() - tables.mean()) < 5 * spread, (c, a, d, at_once.mean(), tables.mean())
+
+
+class Direct:
+    """Single customers moved one at a time through word, class and parent restaurants with their tables."""
+
+    def __init__(self, rng, words, discounts):
+        self.rng, self.words, self.d = rng, words, discounts
+        self.tables = {}  # restaurant -> dish -> sizes of its tables
+
+    def up(self, r):
+        return None if r == () else (r[1],) if len(r) == 2 else ()
+
+    def p(self, r, w):
+        if r is None:
+            return 1.0 / (self.words + 1)
+        own = self.tables.get(r, {})
+        n, t = sum(map(sum, own.values())), sum(map(len, own.values()))
+        mine, d = own.get(w, []), self.d[len(r)]
+        return (sum(mine) - d * len(mine) + (lm.STRENGTH + d * t) * self.p(self.up(r), w)) / (lm.STRENGTH + n)
+
+    def add(self, r, w):
+        if r is None:
+            return
+        own = self.tables.setdefault(r, {})
+        d, mine = self.d[len(r)], own.setdefault(w, [])
+        t = sum(map(len, own.values()))
+        new = (lm.STRENGTH + d * t) * self.p(self.up(r), w)
+        at = self.rng.random() * (sum(mine) - d * len(mine) + new)
+        for k, size in enumerate(mine):
+            at -= size - d
+            if at < 0:
+                mine[k] += 1
+                return
+        mine.append(1)
+        self.add(self.up(r), w)
+
+    def take(self, r, w):
+        if r is None:
+            return
+        mine = self.tables[r][w]
+        at = self.rng.integers(sum(mine))
+        for k, size in enumerate(mine):
+            at -= size
+            if at < 0:
+                break
+        mine[k] -= 1
+        if not mine[k]:
+            del mine[k]
+            self.take(self.up(r), w)
+
+
+def test_scores_are_near_those_of_a_sampler_of_single_customers(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{x}{y}" for x in "abcd" for y in ("ing", "er")]
+    texts = []
+    for k in range(160):
+        at, words = int(rng.integers(8)), []
+        for _ in range(int(rng.integers(3, 9))):
+            at = (at * 3 + int(rng.choice([1, 1, 1, 2, 5]))) % 8
+            words.append(vocabulary[at])
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(df.repartition(3), held=F.col("doc_id") >= 120).collect()}
+    pairs = [(b, w) for t in texts[:120] for b, w in zip([""] + tokens(t), tokens(t))]
+    counts, classes = Counter(pairs), Counter()
+    name = lambda b: (b, lm.context_class(b.encode()))
+    for (b, w), n in counts.items():
+        classes[lm.context_class(b.encode()), w] += 1
+    discount = lambda c: lm._discount(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))
+    direct = Direct(rng, len({w for _, w in pairs}), {2: discount(counts), 1: discount(classes), 0: 0.5})
+    for b, w in pairs:
+        direct.add(name(b), w)
+    total, kept = np.zeros(40), 0
+    for sweep in range(14):
+        for i in rng.permutation(len(pairs)):
+            b, w = pairs[i]
+            direct.take(name(b), w)
+            direct.add(name(b), w)
+        if sweep >= 4:
+            kept += 1
+            total += [math.prod(direct.p(name(b), w) for b, w in zip([""] + tokens(t), tokens(t))) for t in texts[120:]]
+    per = [(got[120 + k] - math.log10(total[k] / kept)) / len(tokens(texts[120 + k])) for k in range(40)]
+    assert abs(float(np.mean(per))) < 0.02 and float(np.abs(per).max()) < 0.08, (np.mean(per), np.abs(per).max())
+
+
 def test_held_out_perplexity_beats_the_base(spark, data):
     got = lm.query(spark, f"{data}/sf0.01").where("held_out").toPandas()
     assert got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum()
