@@ -43,9 +43,9 @@ SHARD = 1024
 LEVELS = 4
 SHINGLE = 3
 #: Of similar_groups: words of a shingle, similarity, least hashes per level, levels, texts of a shard.
-SIMILAR_SHINGLE, SIMILAR, BANDS, SIMILAR_LEVELS, SIMILAR_SHARD = 5, 0.8, 5, 3, 256
-#: Bits within which pairs at the threshold lie, and least hashes (of BANDS * SIMILAR_LEVELS) in which they agree, but for about 1 in 100,000.
-WIDE, AGREE = 26, 5
+SIMILAR_SHINGLE, SIMILAR, BANDS, SIMILAR_LEVELS, SIMILAR_SHARD = 5, 0.8, 5, 2, 2048
+#: Least hashes in all; bits within which pairs at the threshold lie, and least hashes in which they agree, but for about 1 in 100,000.
+SKETCH, WIDE, AGREE = 15, 26, 5
 #: Hashes of texts that are broadcast at most, to fetch or to leave out these texts; more go by shuffle.
 HASHES, HASH_BYTES = 2_000_000, 64 << 20
 
@@ -248,7 +248,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
 
 # ---- links by similarity
 
-MIXERS = np.random.default_rng(29).integers(1, 2**63, BANDS * SIMILAR_LEVELS, dtype=np.uint64) | np.uint64(1)
+MIXERS = np.random.default_rng(29).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def sketch(text: bytes, shingle: int) -> tuple[str, int, int, list[int], np.ndarray]:
@@ -324,14 +324,28 @@ def _neighbours(similar: float):
     return run
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def shared(sets: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
+    """How many elements every two of some sets have in common; elements that only one has are left out, the others go in blocks."""
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype="<u8")
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    often = times > 1
+    column = (np.cumsum(often) - 1)[place]
+    keep = often[place]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        begin, end = np.searchsorted(column, [at, at + columns])
+        block = np.zeros((len(sets), min(columns, int(column[end - 1]) + 1 - at)), dtype=np.float32)
+        block[owner[begin:end], column[begin:end] - at] = 1.0
+        out += block @ block.T
+    return out
 
 
 def set_links(names: list[str], sets: list[np.ndarray], similar: float) -> list[tuple[str, str]]:
-    """(member, first member) of every component of a shard; what is connected already is not compared again."""
+    """(member, first member) of every component of a shard, by exact similarity."""
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -340,13 +354,11 @@ def set_links(names: list[str], sets: list[np.ndarray], similar: float) -> list[
             i = parent[i]
         return i
 
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    for x, i in enumerate(order):
-        for j in reversed(order[:x]):  # from the nearest length down to the least that can be similar
-            if len(sets[j]) < similar * len(sets[i]):
-                break
-            if root(i) != root(j) and jaccard(sets[i], sets[j]) >= similar:
-                parent[root(i)] = root(j)
+    both, sizes = shared(sets), np.array([len(s) for s in sets], dtype=np.float64)
+    linked = both >= similar * (sizes[:, None] + sizes[None] - both) - 1e-9
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        if root(i) != root(j):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
     return [(names[i], names[root(i)]) for i in range(len(sets)) if root(i) != i]
 
 
