@@ -49,11 +49,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The cluster names the shared folder for checkpoints; only where it names none (tests) a local one is set."""
+    """The cluster names the shared folder for checkpoints; only a local master (tests) may do without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
     return spark
 
 

@@ -271,6 +271,8 @@ def _head(frame: bytes) -> tuple:
         raise ValueError("header checksum")
     at += 1
     kind = frame[at] >> 1
+    if frame[at] & 1:
+        raise ValueError("no wasted bits are stored here")
     if kind < 2:
         return number, size, CONSTANT if kind == 0 else VERBATIM, 0, (), (), 0, 0, 8 * (at + 1)
     linear = bool(kind & 0x20)
@@ -284,7 +286,10 @@ def _head(frame: bytes) -> tuple:
         used += 9 + order * precision
     if bits.take(6):
         raise ValueError("only one partition of 4-bit parameters is stored here")
-    return number, size, LPC if linear else 0, order, warm, coef, shift, bits.take(4), used + 10
+    rice = bits.take(4)
+    if rice == 15:
+        raise ValueError("no escaped partition is stored here")
+    return number, size, LPC if linear else 0, order, warm, coef, shift, rice, used + 10
 
 
 def decode_frames(data: np.ndarray, whole: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
