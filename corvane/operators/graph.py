@@ -15,10 +15,13 @@ STEPS, TOGETHER = 3, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's folder (a local one where it names none, as in tests)."""
+    """Reliable checkpoint in the folder that the session names; only a local master (tests) may do without one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-graph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-graph-"))
     return df.checkpoint(eager=True)
 
 
