@@ -7,8 +7,8 @@ smallest. Bins that end with a large gap are dissolved, and their pieces are pac
 
 Defined cases: null text is an empty text, which is the end token alone; a special token's string inside a text is that
 token, as the tokenizer has it; repeated rows are packed as often as they occur, and dealt apart; pieces of equal length
-(ties) go by identifier; identifiers may be numbers, strings or null; very long texts are cut in pieces, none is left out;
-columns of the input may have any name; an empty table gives an empty result.
+(ties) go by identifier; identifiers may be numbers, strings or null; very long texts are cut in pieces, none is left out,
+runs of millions of equal characters included; columns of the input may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def default_path() -> str:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
     """Text to an array of ids. Where the file's merges come in the order of their ids, the ids are the ranks of a
-    byte-pair encoder, which gives the same ids faster; otherwise the file's own tokenizer does it."""
+    byte-pair encoder, which gives the same ids faster; otherwise the file's own tokenizer does it. It also takes the
+    texts that the faster one refuses: its expression runs out of stack on some 10^6 white-space characters in a row."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -59,7 +60,19 @@ def encoder(path: str):
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
         coding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: coding.encode_to_numpy(text, allowed_special="all")
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return coding.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                return _own_encoder(path)(text)
+
+        return encode
+    return _own_encoder(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _own_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

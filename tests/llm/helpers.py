@@ -23,6 +23,7 @@ def edge_rows():
         (9, "😀 é 漢字 \u00a0 x"),
         (-(2**63), "lowest"),
         (2**63 - 1, "LOWEST"),
+        (11, "x" + " " * 1_100_000 + "y"),
         (10, "+1 (743) 555-3824 and ab.12@mail.example.com, 10.0.0.1"),
     ]
     sources = ["s1", None, "", "s2", "s1"]

@@ -26,6 +26,16 @@ def test_encoder_gives_the_tokenizers_ids():
         assert encode(text).tolist() + [2] == reference_ids(text)
 
 
+def test_runs_of_two_million_characters(spark):
+    """The faster encoder refuses long runs of white space; the ids are the tokenizer's all the same."""
+    texts = ["x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a" * 2_000_000]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k, text in enumerate(texts):
+        ids = np.array(reference_ids(text), dtype="<u4")
+        want = [(s, e - s, zlib.crc32(ids[s:e].tobytes())) for s, e in packing.cuts(len(ids), 1024)]
+        assert sorted((g["start"], g["length"], g["ids_crc32"]) for g in got if g["_id"] == k) == want
+
+
 def test_cuts():
     assert packing.cuts(1024, 1024) == [(0, 1024)]
     assert packing.cuts(1025, 1024) == [(0, 1), (1, 1025)]
