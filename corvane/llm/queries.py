@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, exact_dedup, flac, lm, mixing, packing, pii, simhash, toxicity, url_filter
+from corvane.llm import chat, divergence, exact_dedup, flac, importance, lm, mixing, packing, pii, simhash, slack_packing, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_media_columns": flac.query,
     "op9_best_fit_packing": packing.query,
     "op10_url_filter": url_filter.query,
+    "op11_source_divergence": divergence.query,
+    "op12_slack_packing": slack_packing.query,
+    "op13_importance_resampling": importance.query,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
