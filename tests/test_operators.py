@@ -146,15 +146,6 @@ def test_repo_map(spark):
     assert sum(r["cost"] for r in some) <= 30 and len(some) == 2
 
 
-def test_terms_and_confidence():
-    got = {t: (k, w) for t, k, w in task.terms("where does `Server.Handle` parse --config in internal/cli/run.go with parseConfig quickly")}
-    assert got["Handle"] == ("identifier", 3.5) and got["Server"] == ("qualifier", 2.0)
-    assert got["config"][0] == "flag" and got["internal/cli/run.go"][0] == "path" and got["run"][0] == "stem"
-    assert got["parseConfig"][0] == "identifier" and got["quickly"] == ("word", 1.0) and "the" not in got
-    assert len(task.terms(" ".join(f"word{chr(97 + k)}x" for k in range(26)))) == 12
-    assert task.confidence([9.0, 2.0], 1, 1, 3) == "high" and task.confidence([], 0, 0, 1) == "low" and task.confidence([2.0, 2.0], 1, 1, 5) == "medium"
-
-
 def test_fair_cap_with_a_null_source(spark):
     df = spark.createDataFrame([(s, k) for s in ("a", None, "b") for k in range(10)], "source string, k int")
     got = budget.fair_cap(df, "source", [F.col("k")], 9, F.lit(0)).groupBy("source").count().collect()
