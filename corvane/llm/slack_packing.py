@@ -23,6 +23,8 @@ the input may have any name; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -51,16 +53,64 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The one normalisation and the one split into words that `_pieces_of` follows; files with others go through their tokenizer.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters up to here have the same classes and small forms in every edition of Unicode; words with others go through the tokenizer.
+LATIN = "\u024f"
+#: A byte that no UTF-8 text holds: it stands for a word's end.
+WORD_END = b"\xff"
+
+
+def _pieces_of(path: str):
+    """A function from a word of Latin script to its ids, or None for files that need their tokenizer.
+
+    Words end in a mark of their own, and the tokens that join it to one byte come before all merges, so ids are the ranks
+    of a byte-pair encoder in which the mark is one more byte.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    suffix, vocab = model.get("end_of_word_suffix"), model.get("vocab", {})
+    plain = model.get("type") == "BPE" and suffix and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("ignore_merges")
+    known = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": SPLIT} and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    if not (plain and known and [vocab.get(a + b) for a, b in pairs] == list(range(512, 512 + len(pairs)))):
+        return None
+    import regex
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec["added_tokens"]}
+    bytes_of = lambda t: bytes(letters[c] for c in t.removesuffix(suffix)) + WORD_END * t.endswith(suffix)
+    ranks = {bytes_of(t): i for t, i in vocab.items() if t not in special}
+    if len(ranks) != len(vocab) - len(special & set(vocab)) or {ranks[bytes([b]) + WORD_END] >> 8 for b in range(256)} != {1}:
+        return None
+    coding = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+    pattern = regex.compile(SPLIT.replace(r"\s", r"\t\n\x0b\x0c\r \x85\xa0"))
+
+    def ids(word: str) -> list[int]:
+        small = "".join([c.lower() for c in unicodedata.normalize("NFC", word)]) if not word.isascii() else word.lower()
+        return [i for piece in pattern.findall(small) for i in coding._encode_single_piece(piece.encode() + WORD_END)]
+
+    return lambda word: None if max(word, default="") > LATIN or "<|" in word else ids(word)
+
+
 class Words(dict):
     """Ids, as bytes, of what stands between ASCII white space; no id of this kind of tokenizer spans white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.fast = Tokenizer.from_file(path), _pieces_of(path)
 
     def ids(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        said = text.decode()
+        found = self.fast(said) if self.fast and len(text) <= LONGEST_WORD else None
+        if found is None:
+            found = self.tokenizer.encode(said, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.ids(word)
@@ -75,14 +125,13 @@ class Words(dict):
 def encoder(path: str):
     """UTF-8 text to its ids as little-endian bytes. Where the file's tokenizer drops white space before it looks for
     tokens, words are looked up one by one; otherwise it sees the whole text."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     words = Words(path)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     drops = steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in str(steps[0].get("pattern")) and not any(t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"])
     if not drops:
+        words.fast = None
         return words.ids
     return lambda text: b"".join(map(words.__getitem__, text.split()))
 

@@ -28,6 +28,25 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == reference_ids(text)
 
 
+def test_words_without_the_tokenizer(data):
+    """All words of a table, and words of all Latin letters and signs, by the faster way."""
+    import duckdb
+
+    words = {w for (t,) in duckdb.sql(f"select text from '{data}/sf0.01/documents.parquet' where text is not null").fetchall() for w in t.split()}
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()]
+    words |= {"".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(20_000)} | set(letters) | {"e\u0301a"}
+    fast, taken = sp.Words(sp.default_path()).fast, 0
+    from tokenizers import Tokenizer
+
+    words = sorted(words)
+    for word, want in zip(words, Tokenizer.from_file(sp.default_path()).encode_batch(words, add_special_tokens=False)):
+        got = fast(word)
+        taken += got is not None
+        assert got is None or got == want.ids, word
+    assert taken > 0.98 * len(words)
+
+
 def test_fill_is_the_closest_sum():
     rng = random.Random(4)
     for _ in range(200):
