@@ -76,3 +76,8 @@ def per_source_top(df: DataFrame, source: str, order: list[Column], n: int) -> D
 def resolve_limit(given: int | None, default: int) -> int:
     """An explicit 0 means all; nothing given means the default."""
     return default if given is None else given
+
+
+def limit_of(given: Column, default: int) -> Column:
+    """The same over a column of limits; 0 still means all."""
+    return F.coalesce(given, F.lit(default))

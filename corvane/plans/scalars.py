@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import doc
@@ -167,37 +167,6 @@ def path_algebra(spark, d):
     return table(spark, d, "part").select("p_partkey", t.package_of(c).alias("package"), t.file_base(c).alias("base"))
 
 
-QUESTIONS = [
-    ("fix the `parseConfig` bug in internal/cli/config.go with --max-depth=3", "parseConfig:quoted:3.5|internal/cli/config.go:path:2.5|max_depth:flag:2.0|config:stem:1.2|parse:split:0.8"),
-    ("why does foo() lose 'Server.Handle' and user_id or UserID", "Handle:identifier:3.5|foo:identifier:3.0|user_id:identifier:3.0|Server:qualifier:2.0|lose:word:1.0|user:split:0.8"),
-    ("run `go test all` on HTTPServer in main.swift", "HTTPServer:identifier:3.0|main.swift:path:2.5|main:stem:1.2|all:word:1.0" if False else "HTTPServer:identifier:3.0|main.swift:path:2.5|main:stem:1.2|run:word:1.0|test:word:1.0|http:split:0.8|server:split:0.8"),
-]
-
-
-@query(_expected([x[1] for x in QUESTIONS]))
-def task_terms(spark, d):
-    """Terms of questions with kinds and weights: quotes, calls, flags, paths, dotted names, one reading of each name."""
-    said = ["|".join(f"{a}:{k}:{w}" for a, k, w in task.terms(q)) for q, _ in QUESTIONS]
-    return table(spark, d, "part").select("p_partkey", _case(said).alias("value"))
-
-
-JUDGED = [([9.0, 2.0], 1, 1, 4, "high"), ([9.0, 8.0], 1, 1, 4, "medium"), ([9.0, 8.0], 1, 3, 4, "high"), ([3.0], 0, 2, 4, "medium"), ([3.0], 0, 1, 4, "low"), ([], 0, 0, 4, "low")]
-
-
-@query(_expected([x[4] for x in JUDGED]))
-def task_confidence(spark, d):
-    return table(spark, d, "part").select("p_partkey", _case([task.confidence(*x[:4]) for x in JUDGED]).alias("value"))
-
-
-LIMITS = [(None, 20), (0, 0), (7, 7)]
-
-
-@query(_expected([x[1] for x in LIMITS]))
-def limits(spark, d):
-    """An explicit zero is no limit; none given is the default."""
-    return table(spark, d, "part").select("p_partkey", _case([budget.resolve_limit(x, 20) for x, _ in LIMITS]).alias("value"))
-
-
 # ---- over the tables
 
 
@@ -430,6 +399,111 @@ def task_neighbourhood(spark, d):
     return task.neighbourhood({"callers": rel("l_suppkey"), "imports": rel("l_orderkey")}, "key", "at", {"callers": 2})
 
 
+def _sql_spans(n: int, mark: str, put: str, of: str) -> str:
+    """CTE that takes the names between one kind of marks out of a text."""
+    prose = "regexp_matches(x, '[ \\t]')"
+    return rf"""p{n} as (select task, names, string_split_regex(regexp_replace(rest, '{mark}', '{put}', 'g'), '[\x{{E000}}\x{{E001}}]') as x from {of}),
+s{n} as (select task, list_concat(names, list_filter(x, lambda x, i: i % 2 = 0 and not {prose})) as names, list_aggregate(list_transform(x, lambda x, i: case when i % 2 = 1 then x when {prose} then ' ' || x || ' ' else ' ' end), 'string_agg', '') as rest from p{n})"""
+
+
+_EDGE = "[.,;:!?()\\[\\]{}<>\"''`]"
+_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in sorted(task.STOP)) + ")"
+_ENDINGS = "|".join(task.PATH_ENDINGS)
+_TASKS_SQL = "q as (select 'd' || doc_id as task, text from documents union all select 'p' || page_id, html from pages union all select 'c' || conv_id || '-' || turn, text || ' \"' || role || '.' || turn || '\" --' || role || '-turn src/' || role || '_turn.py `' || role || 'Turn' || turn || '`' from conversations)"
+
+
+@query(
+    rf"""with {_TASKS_SQL},
+s0 as (select task, []::varchar[] as names, translate(coalesce(text, ''), chr(57344) || chr(57345), '  ') as rest from q),
+{_sql_spans(1, "`([^`\\n]+)`", "\ue000\\1\ue001", "s0")},
+{_sql_spans(2, '"([^"\\n]+)"', "\ue000\\1\ue001", "s1")},
+{_sql_spans(3, "(^|[\\t\\n\\f\\r (\\[])''([^''\\t\\n\\f\\r ]+)''", "\\1\ue000\\2\ue001", "s2")},
+l as (select task, list_concat(list_transform(names, lambda x: {{'raw': x, 'quoted': true}}), list_transform(list_filter(string_split_regex(rest, '[\s\x0b\x{{85}}\p{{Z}}]+'), lambda x: x <> ''), lambda x: {{'raw': x, 'quoted': false}})) as r from s3),
+t as (select task, a as at_, r[a].quoted as quoted, regexp_replace(r[a].raw, '^{_EDGE}+|{_EDGE}+$', '', 'g') as token, suffix(regexp_replace(r[a].raw, '[.,;:!?]+$', ''), '()') as call from (select task, r, unnest(range(1, len(r) + 1)) as a from l)),
+k as (select *, case when regexp_matches(token, '^--.') then 'flag' when contains(token, '/') or regexp_matches(token, '(?i)^[^.].*\.({_ENDINGS})$') then 'path' when regexp_matches(token, '^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+$') then 'dotted' when regexp_matches(token, '^[A-Za-z0-9_]+$') then 'word' else 'runs' end as shape from t where token <> ''),
+w as (select task, at_, 1 as run, token, quoted, call, shape from k where shape <> 'runs' union all select task, at_, run, x[run], false, false, 'word' from (select task, at_, x, unnest(range(1, len(x) + 1)) as run from (select task, at_, regexp_extract_all(token, '[A-Za-z0-9_]+') as x from k where shape = 'runs'))),
+n as (select *, case when quoted then 'backticks/quotes ' else '' end as mark, case when shape = 'word' then case when contains(token, '_') and regexp_matches(token, '[^_]') then 'snake_case' when len(regexp_extract_all(token, '^[A-Z]')) + len(regexp_extract_all(token, '[a-z0-9][A-Z]')) + len(regexp_extract_all(token, '[A-Z][A-Z][a-z]')) >= 2 or regexp_matches(token, '[a-z][A-Z]') then 'camelCase' when call then 'call' when quoted then 'quoted' end end as rule,
+  string_split(regexp_replace(translate(regexp_replace(token, '^-+', ''), '-', '_'), '=.*$', '', 's'), chr(0))[1] as flag,
+  case when starts_with(token, '/') then '/' else '' end || list_aggregate(list_filter(string_split(token, '/'), lambda x: x not in ('', '.')), 'string_agg', '/') as path from w),
+f as (select *, regexp_replace(regexp_extract(coalesce(path, ''), '[^/]*$'), '\.[^.]*$', '') as stem,
+  string_split_regex(regexp_replace(regexp_replace(regexp_replace(token, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '[ _]+') as parts from n),
+e as (select task, at_, run, unnest(case shape
+  when 'flag' then case when length(flag) >= 2 then [{{'k': 0, 'term': flag, 'kind': 'flag', 'origin': mark || 'flag', 'weight': 2.0, 'quoted': quoted}}] else [] end
+  when 'path' then case when coalesce(path, '') = '' then [] else list_concat([{{'k': 0, 'term': path, 'kind': 'path', 'origin': mark || 'path', 'weight': 2.5, 'quoted': quoted}}], case when length(stem) >= 4 and regexp_matches(stem, '^[A-Za-z0-9_]+$') and lower(stem) not in {_STOP_SQL} then [{{'k': 1, 'term': stem, 'kind': 'word', 'origin': 'path stem', 'weight': 1.2, 'quoted': false}}] else [] end) end
+  when 'dotted' then list_transform(string_split(token, '.'), lambda x, i: {{'k': i, 'term': x, 'kind': 'identifier', 'origin': mark || 'dotted', 'weight': (case when i = len(string_split(token, '.')) then 3.0 else 1.5 end + case when quoted then 0.5 else 0 end)::decimal(3, 1), 'quoted': quoted}})
+  else case when rule is not null then list_concat([{{'k': 0, 'term': token, 'kind': 'identifier', 'origin': mark || rule, 'weight': case when quoted then 3.5 else 3.0 end, 'quoted': quoted}}], list_transform(list_filter(parts, lambda x: length(x) >= 3 and lower(x) not in {_STOP_SQL}), lambda x, i: {{'k': i, 'term': lower(x), 'kind': 'word', 'origin': 'split', 'weight': 0.8, 'quoted': false}}))
+    when length(token) < 3 or lower(token) in {_STOP_SQL} or regexp_matches(token, '^[0-9]+$') then [] else [{{'k': 0, 'term': lower(token), 'kind': 'word', 'origin': 'prose', 'weight': 1.0, 'quoted': false}}] end end) as r from f),
+o as (select task, r.*, row_number() over (partition by task order by at_, run, r.k) as at_, case when r.kind = 'path' then 'p:' || lower(r.term) else 'n:' || lower(replace(r.term, '_', '')) end as same from e),
+g as (select task, same, arg_min(term, at_) as term, arg_min({{'kind': kind, 'origin': origin, 'weight': weight, 'quoted': quoted}}, -weight * 100000000 + at_) as r, min(at_) as at_ from o group by task, same),
+h as (select task, term, r.kind as kind, r.origin as origin, r.weight::double as weight, r.quoted as quoted, row_number() over (partition by task order by r.weight desc, at_) as n, greatest(count(*) over (partition by task) - 12, 0) as dropped from g)
+select * from h where n <= 12"""
+)
+def task_terms(spark, d):
+    """The terms of whole documents, pages and marked-up turns, each taken as a task."""
+    docs, pages, turns = (table(spark, d, x) for x in ("documents", "pages", "conversations"))
+    role, turn = F.col("role"), F.col("turn").cast("string")
+    said = F.concat("text", F.lit(' "'), role, F.lit("."), turn, F.lit('" --'), role, F.lit("-turn src/"), role, F.lit("_turn.py `"), role, F.lit("Turn"), turn, F.lit("`"))
+    tasks = docs.select(F.concat(F.lit("d"), "doc_id").alias("task"), "text").unionByName(pages.select(F.concat(F.lit("p"), "page_id").alias("task"), F.col("html").alias("text")))
+    tasks = tasks.unionByName(turns.select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("task"), said.alias("text")))
+    return task.terms(tasks, "task", "text")
+
+
+_JUDGED = """e as (select l_orderkey as task, l_partkey as part, l_suppkey as supp, l_linenumber as line, l_quantity::bigint as q, l_discount as disc, (l_partkey + l_suppkey) % 11 as x, (l_orderkey % 4) as mood from lineitem),
+c as (select task, 'n' || (part % 5) as name, 'q' || part || '.' || line as qualified, x % 3 = 0 as member, line, part,
+  (case when mood = 3 then 0.3 else (q % 10) * 0.4 end)::double as raw, ((case when mood = 3 then 0.3 else (q % 10) * 0.4 end) * (case when x % 4 = 1 then 0.5 else 1 end))::double as score,
+  list_filter(['alpha', 'beta', 'gamma'], lambda t, i: (q + i) % 3 <> 0 and (mood <> 3 or i = 1)) as matched, list_filter(['alpha', 'beta', 'gamma'], lambda t, i: (q + i) % 3 = 1 and mood <> 3 and x % 2 = 0) as named,
+  mood = 0 and x = 2 as strong_exact, mood = 0 and x = 5 as strong_prefix, mood <> 0 and x < 5 as exact_word, x <> 7 as match_ev, mood = 1 and x in (7, 8) as in_file, x % 4 = 1 as demoted from e)"""
+
+
+@query(
+    rf"""with {_JUDGED}, r as (select *, row_number() over (partition by task order by score desc, part, line) as pos, first(name) over (partition by task order by score desc, part, line) as top_name, first(member) over (partition by task order by score desc, part, line) as top_member from c),
+t as (select o_orderkey as task, unnest(['alpha', 'beta', 'gamma'][1:1 + o_orderkey % 3]) as term from orders where o_orderkey % 13 <> 0),
+m as (select task, term, count(r.pos) as matches from t left join (select task as task_, pos, unnest(matched) as term_ from r) r on task_ = task and term_ = term group by task, term),
+w as (select task, count(*) as n, sum(case term when 'alpha' then 1.0 when 'beta' then 3.0 else 0.8 end)::double as total, coalesce(string_agg(term, ', ' order by term) filter (matches = 0), '') as missing from m group by task),
+a as (select task, count(*) as cnt, arg_min(r, pos) as top, max(score) filter (pos = 2) as nxt, arg_min(r, pos) filter (pos > 1 and strong_exact) as rx, arg_min(r, pos) filter (strong_exact or strong_prefix) as strong, arg_min(r, pos) filter (in_file) as filed, arg_min(r, pos) filter (exact_word) as worded,
+  arg_min(r, {{'r': -raw, 'p': pos}}) as best, arg_min(r, {{'d': demoted, 'n': -len(named), 'r': -raw, 'p': pos}}) filter (len(named) >= 1 and len(matched) >= 2) as comp, arg_min(r, pos) filter (pos > 1 and not (not top_member and member and name = top_name)) as rival from r group by task),
+j as (select o_orderkey as task, a.*, w.n, w.total, w.missing, best.raw / total as cover, top.strong_exact and (rx is null or top.score >= 1.5 * rx.score) as clear from orders left join a on a.task = o_orderkey left join w on w.task = o_orderkey)
+select task, case when cnt is null then 'low' when clear and (cnt = 1 or top.score >= 1.25 * nxt) then 'high' when strong is not null or filed is not null then 'medium' when n is null or total = 0 then 'low' when n = 1 and worded is not null then 'medium' when n = 1 then 'low' when comp is null and cover < 0.5 then 'low'
+    when len(top.matched) = n and top.exact_word and top.raw / total >= 0.6 and top.score >= 1.25 * coalesce(rival.score, 0) then 'high' else 'medium' end as confidence,
+  case when cnt is null then 'no symbol name matches any term of the task' when clear and cnt = 1 then top.qualified || ' matches a name in the task exactly and nothing else scored' when clear and top.score >= 1.25 * nxt then printf('%s matches a name in the task exactly and scores %.1f against %.1f for the next candidate', top.qualified, top.score, nxt)
+    when strong.strong_exact then printf('%s matches a name in the task exactly but is not clearly ahead of the other candidates (%.1f against %.1f)', strong.qualified, strong.score, top.score) when strong is not null then strong.qualified || ' starts with a name in the task; no symbol is named exactly that'
+    when filed.match_ev then filed.qualified || ' is in a file the task names and matches a term of it, but not as a name' when filed is not null then 'the task names a file; its symbols are listed, but nothing in the task names a symbol'
+    when n is null or total = 0 then 'the task has no term to search for' when n = 1 and worded is not null then worded.qualified || ' is named exactly like the one word of the task; a single word is weak evidence on its own' when n = 1 then 'only single loose token matches (best: ' || best.qualified || ', from one term)'
+    when comp is null and cover < 0.5 then 'no symbol matches two of the task''s ' || n || ' terms with one of them in its name, and the best symbol (' || best.qualified || ') accounts for ' || round_even(cover * 100, 0)::bigint || '% of their weight' || case when missing <> '' then '; ' || missing || ' matches no symbol' else '' end
+    when len(top.matched) = n and top.exact_word and top.raw / total >= 0.6 and top.score >= 1.25 * coalesce(rival.score, 0) then printf('%s matches all %d terms of the task, one of them exactly, and scores %.1f against %.1f for the next candidate', top.qualified, n, top.score, coalesce(rival.score, 0))
+    when comp is not null then comp.qualified || ' matches ' || len(comp.matched) || ' of the task''s ' || n || ' terms (' || array_to_string(list_sort(comp.matched), ', ') || '), ' || len(comp.named) || ' of them in its name, not decisively enough to be the answer' || case when missing <> '' then '; ' || missing || ' matches no symbol, so that part may not exist yet' else '' end
+    else best.qualified || ' accounts for ' || round_even(cover * 100, 0)::bigint || '% of the task''s terms (' || len(best.matched) || ' of ' || n || ' matched), not decisively enough to be the answer' || case when missing <> '' then '; ' || missing || ' matches no symbol, so that part may not exist yet' else '' end end as reason from j"""
+)
+def task_confidence(spark, d):
+    """Orders as tasks, their lines as candidates with evidence of all kinds: every rule decides some of them."""
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("q"), ((F.col("l_partkey") + F.col("l_suppkey")) % 11).alias("x"), (F.col("l_orderkey") % 4).alias("mood"))
+    x, mood, q = F.col("x"), F.col("mood"), F.col("q")
+    raw = F.when(mood == 3, F.lit("0.3").cast("decimal(4,2)")).otherwise((q % 10) * F.lit("0.4").cast("decimal(4,2)"))
+    told = F.array(*map(F.lit, ("alpha", "beta", "gamma")))
+    rows = e.select(
+        "task", "part", "line", F.concat(F.lit("n"), F.col("part") % 5).alias("name"), F.concat(F.lit("q"), "part", F.lit("."), "line").alias("qualified"), (x % 3 == 0).alias("member"),
+        raw.cast("double").alias("raw"), (raw * F.when(x % 4 == 1, F.lit("0.5").cast("decimal(2,1)")).otherwise(F.lit("1.0").cast("decimal(2,1)"))).cast("double").alias("score"),
+        F.filter(told, lambda w, i: ((q + i + 1) % 3 != 0) & ((mood != 3) | (i == 0))).alias("matched"), F.filter(told, lambda w, i: ((q + i + 1) % 3 == 1) & (mood != 3) & (x % 2 == 0)).alias("named"),
+        ((mood == 0) & (x == 2)).alias("strong_exact"), ((mood == 0) & (x == 5)).alias("strong_prefix"), ((mood != 0) & (x < 5)).alias("exact_word"), (x != 7).alias("match_ev"), ((mood == 1) & x.isin(7, 8)).alias("in_file"), (x % 4 == 1).alias("demoted"),
+    )
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("task").orderBy(F.col("score").desc(), "part", "line")))
+    tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("task"))
+    terms = tasks.where("task % 13 <> 0").select("task", F.posexplode(F.slice(told, F.lit(1), (F.col("task") % 3 + 1).cast("int"))).alias("n", "term"))
+    terms = terms.withColumns({"kind": F.lit("word"), "weight": F.when(F.col("term") == "alpha", 1.0).when(F.col("term") == "beta", 3.0).otherwise(0.8)})
+    return task.judge(rows, task.with_matches(terms, rows, "task"), "task", tasks)
+
+
+@query("select o_orderkey, least(n, case when o_orderkey % 3 = 0 then 2 when o_orderkey % 3 = 1 then n else 1 + o_orderkey % 4 end) as shown from (select l_orderkey as o_orderkey, count(*) as n from lineitem group by l_orderkey)")
+def limits(spark, d):
+    """Lines shown of each order: nothing asked for is the default of two, zero is no limit, else what is asked for."""
+    asked = F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).when(F.col("o_orderkey") % 3 == 1, F.lit(0)).otherwise(1 + F.col("o_orderkey") % 4)
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), asked.alias("a")), "l_orderkey")
+    most = budget.limit_of(F.col("a"), 2)
+    shown = lines.withColumn("k", F.row_number().over(own)).where((most == 0) | (F.col("k") <= most))
+    return shown.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("shown"))
+
+
 @query("with r as (select doc_id, sum(cast(ceil(strlen(text) / 4.0) as bigint)) over (order by n_chars, doc_id) as spent from documents) select doc_id, cast(spent as bigint) as spent from r where spent <= 350")
 def task_capsule(spark, d):
     """The shortest documents that fit into a share of a token budget."""
