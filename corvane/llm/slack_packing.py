@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -43,7 +45,7 @@ FEW = 64
 #: A shard has so many windows of tokens at least.
 WINDOWS = 8
 #: Spellings of words whose ids a task keeps, and the longest that it keeps.
-KEPT_WORDS, LONGEST_WORD = 400_000, 64
+KEPT_WORDS, LONGEST_WORD = 500_000, 64
 ITEM = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -88,13 +90,23 @@ def _pieces_of(path: str):
     if len(ranks) != len(vocab) - len(special & set(vocab)) or {ranks[bytes([b]) + WORD_END] >> 8 for b in range(256)} != {1}:
         return None
     coding = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
-    pattern = regex.compile(SPLIT.replace(r"\s", r"\t\n\x0b\x0c\r \x85\xa0"))
+    ascii_pieces = re.compile(SPLIT.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").encode()).findall
+    latin_pieces = regex.compile(SPLIT.replace(r"\s", r"\t\n\x0b\x0c\r \x85\xa0")).findall
+    encode = coding._core_bpe.encode_single_piece
 
-    def ids(word: str) -> list[int]:
-        small = "".join([c.lower() for c in unicodedata.normalize("NFC", word)]) if not word.isascii() else word.lower()
-        return [i for piece in pattern.findall(small) for i in coding._encode_single_piece(piece.encode() + WORD_END)]
+    def ids(word: bytes) -> list[int] | None:
+        if b"<|" in word:
+            return None
+        if word.isascii():
+            pieces = ascii_pieces(word.lower())
+        else:
+            said = word.decode()
+            if max(said) > LATIN:
+                return None
+            pieces = [p.encode() for p in latin_pieces(unicodedata.normalize("NFC", said).lower())]
+        return encode(pieces[0] + WORD_END) if len(pieces) == 1 else [i for p in pieces for i in encode(p + WORD_END)]
 
-    return lambda word: None if max(word, default="") > LATIN or "<|" in word else ids(word)
+    return ids
 
 
 class Words(dict):
@@ -106,11 +118,10 @@ class Words(dict):
         self.tokenizer, self.fast = Tokenizer.from_file(path), _pieces_of(path)
 
     def ids(self, text: bytes) -> bytes:
-        said = text.decode()
-        found = self.fast(said) if self.fast and len(text) <= LONGEST_WORD else None
+        found = self.fast(text) if self.fast and len(text) <= LONGEST_WORD else None
         if found is None:
-            found = self.tokenizer.encode(said, add_special_tokens=False).ids
-        return np.array(found, dtype="<u4").tobytes()
+            found = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.ids(word)
@@ -129,7 +140,7 @@ def encoder(path: str):
         spec = json.load(f)
     words = Words(path)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    drops = steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in str(steps[0].get("pattern")) and not any(t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"])
+    drops = steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in steps[0].get("pattern", {}).get("Regex", "") and not any(t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"])
     if not drops:
         words.fast = None
         return words.ids
