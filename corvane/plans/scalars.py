@@ -548,13 +548,13 @@ s2 as (select *, coalesce(lag(on_) over (partition by user_id, token order by ms
 s3 as (select *, sum(case when kind in ('begin', 'report', 'end') then coalesce(on_, 0) - was else 0 end) over w as active, max(case when kind in ('begin', 'report', 'end') then 1 else 0 end) over w = 1 as seen, max(case when kind in ('begin', 'report', 'end') then ms end) over w as moved, min(ms) over w as first,
   last_value(case kind when 'result' then result when 'error' then '!' end ignore nulls) over w as mark, coalesce(lead(ms) over (partition by user_id order by ms, event_id), 4611686018427387904) as next from s2 window w as (partition by user_id order by ms, event_id rows unbounded preceding)),
 s4 as (select *, case when kind = 'error' or (kind = 'result' and mark is distinct from lag(mark) over (partition by user_id order by ms, event_id)) then ms end as fresh from s3),
-s5 as (select *, coalesce(max(fresh) over (partition by user_id order by ms, event_id rows unbounded preceding), first) + 36000000 as stable, mark is not null and mark not in ('[]', '!') as filled, seen and active = 0 as drained from s4),
-c as (select user_id, next, mark, unnest([{{'ms': case when drained and filled then ms end, 'k': 0, 'rule': 'R1'}}, {{'ms': case when drained then greatest(ms, stable) end, 'k': 1, 'rule': 'R2'}}, {{'ms': case when not seen then greatest(ms, stable, first + 21600000) end, 'k': 2, 'rule': 'R3'}}, {{'ms': case when seen and filled then greatest(ms, stable, moved + 36000000) end, 'k': 3, 'rule': 'R4'}}, {{'ms': greatest(ms, first + 2592000000), 'k': 4, 'rule': 'not_ready'}}]) as x from s5),
-r as (select user_id, x.ms as ms, x.rule as rule, mark, row_number() over (partition by user_id order by x.ms, x.k) as n from c where x.ms <= next)
-select user_id, rule, ms as at_ms from r where n = 1""")
+s5 as (select *, coalesce(max(fresh) over (partition by user_id order by ms, event_id rows unbounded preceding), first) + 36000000 as stable, coalesce(mark <> '!', false) as known, coalesce(mark not in ('[]', '!'), false) as filled, coalesce(mark <> '!', false) and seen and active = 0 as drained from s4),
+c as (select user_id, next, mark, case when active > 0 or mark = '!' then 'indexing' when known and not filled then 'empty' else 'unstable' end as why, unnest([{{'ms': case when drained and filled then ms end, 'k': 0, 'rule': 'R1'}}, {{'ms': case when drained then greatest(ms, stable) end, 'k': 1, 'rule': 'R2'}}, {{'ms': case when known and not seen then greatest(ms, stable, first + 21600000) end, 'k': 2, 'rule': 'R3'}}, {{'ms': case when seen and filled then greatest(ms, stable, moved + 36000000) end, 'k': 3, 'rule': 'R4'}}, {{'ms': greatest(ms, first + 2592000000), 'k': 4, 'rule': 'not_ready'}}]) as x from s5),
+r as (select user_id, x.ms as ms, x.rule as rule, mark, why, row_number() over (partition by user_id order by x.ms, x.k) as n from c where x.ms <= next)
+select user_id, rule, ms as at_ms, case when rule <> 'not_ready' then mark end as result, case when rule = 'not_ready' then why end as reason from r where n = 1""")
 def gate_rules(spark, d):
     """When each user's log becomes final, and by which rule."""
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "view", "result").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "begin").when(F.col("event_type") == "signup", "report").otherwise("end")
     log = e.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), kind.alias("kind"), F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string")).alias("token"), F.when(F.col("event_id") % 3 == 0, "[]").otherwise(F.concat(F.lit("r"), (F.col("event_id") % 2).cast("string"))).alias("result"))
-    return gates.gate_rules(log, "user_id", ["event_id"], **_GATE).select("user_id", "rule", "at_ms")
+    return gates.gate_rules(log, "user_id", ["event_id"], **_GATE).select("user_id", "rule", "at_ms", "result", "reason")

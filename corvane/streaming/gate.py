@@ -3,96 +3,164 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 #: Fixed values, in milliseconds: a result is stable after SETTLE; GRACE without any progress; TIMEOUT in all.
 SETTLE, GRACE, TIMEOUT = 750, 500, 30_000
 
-STATE = "first long, last_change long, last_result string, active string, seen boolean, progress_at long, done boolean, last_at long, clock long"
-READY = "key string, result string, rule string, at_ms long"
-
-
-def rule_of(now: int, first: int, changed: int, result: str | None, drained: bool, seen: bool, progress_at: int, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> str | None:
-    """The first rule that makes a result final: R1 drained and not empty; R2 drained and stable; R3 stable, no progress
-    ever and the grace over; R4 stable, not empty and progress quiet; not_ready at the timeout; None before."""
-    filled = result not in (None, "", "null", "[]", "{}")
-    stable = now - changed >= settle
-    if drained and filled:
-        return "R1"
-    if drained and stable:
-        return "R2"
-    if stable and not seen and now - first >= grace:
-        return "R3"
-    if stable and filled and seen and now - progress_at >= settle:
-        return "R4"
-    return "not_ready" if now - first >= timeout else None
-
+VIEW = "first long, changed long, result string, known boolean, failed boolean, seen boolean, progress_at long, last_at long, clock long"
+READY = "key string, result string, rule string, reason string, at_ms long"
+#: What answers count as empty.
+EMPTY = ("", "null", "[]", "{}")
+
+
+@dataclass
+class View:
+    """What the events of a key have said so far. known: an answer is in force; failed: the last word was an error."""
+
+    first: int
+    changed: int
+    result: str | None = None
+    known: bool = False
+    failed: bool = False
+    seen: bool = False
+    progress_at: int = 0
+    last_at: int = 0
+    clock: int = 0
+
+    def rule(self, now: int, active: bool, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> str | None:
+        """The first rule that makes the answer in force final: R1 drained and not empty; R2 drained and stable; R3 stable,
+        no progress ever and the grace over; R4 stable, not empty and progress quiet; not_ready at the timeout; None
+        before. Without an answer in force (none yet, or an error since) only the timeout ends the wait."""
+        filled, drained, stable = self.result not in EMPTY, self.seen and not active, now - self.changed >= settle
+        if self.known:
+            if drained and filled:
+                return "R1"
+            if drained and stable:
+                return "R2"
+            if stable and not self.seen and now - self.first >= grace:
+                return "R3"
+            if stable and filled and self.seen and now - self.progress_at >= settle:
+                return "R4"
+        return "not_ready" if now - self.first >= timeout else None
+
+    def reason(self, active: bool) -> str:
+        """Why nothing became final in time: indexing (work goes on, or an error stands), empty, or unstable."""
+        return "indexing" if active or self.failed else "empty" if self.known and self.result in EMPTY else "unstable"
+
+    def take(self, now: int, kind: str, result: str | None) -> None:
+        """One event: a result, an error that may be tried again, or progress."""
+        if kind == "result":
+            if not self.known or result != self.result:
+                self.result, self.changed = result, now
+            self.known, self.failed = True, False
+        elif kind == "error":
+            self.result, self.known, self.failed, self.changed = None, False, True, now
+        else:
+            self.seen, self.progress_at = True, now
+
+    def next_look(self, now: int, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> int:
+        """Milliseconds until time alone can make a rule true: the nearest bound that lies ahead."""
+        ahead = (self.changed + settle, self.first + grace, self.progress_at + settle, self.first + timeout)
+        return max(1, min((t - now for t in ahead if t > now), default=1))
+
+
+class _Gate(StatefulProcessor):
+    """One key's gate: a value of what is known, a map of the tokens at work, a mark of what is settled that lives for a
+    timeout, and one timer at a time."""
+
+    def __init__(self, settle: int, grace: int, timeout: int, tie: str | None):
+        self.bounds, self.tie = (settle, grace, timeout), tie
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.view = handle.getValueState("view", VIEW)
+        self.tokens = handle.getMapState("tokens", "token string", "active boolean")
+        self.done = handle.getValueState("done", "at_ms long", ttlDurationMs=self.bounds[2])
+
+    def _read(self) -> tuple[View | None, set[str]]:
+        return (View(*self.view.get()) if self.view.exists() else None), {k[0] for k in self.tokens.keys()}
+
+    def _timer(self, at: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old if isinstance(old, int) else old[0])
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def _close(self, key: tuple, view: View, active: bool, rule: str, now: int) -> Iterator[pd.DataFrame]:
+        self.view.clear()
+        self.tokens.clear()
+        self.done.update((now,))
+        self._timer(None)
+        late = rule == "not_ready"
+        yield pd.DataFrame([(key[0], None if late else view.result, rule, view.reason(active) if late else None, now)], columns=["key", "result", "rule", "reason", "at_ms"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        view, tokens = self._read()
+        closed = self.done.exists()
+        for batch in rows:
+            order = ["at_ms", self.tie] if self.tie else ["at_ms"]
+            for e in batch.sort_values(order, kind="stable").itertuples() if not closed else ():
+                now = int(e.at_ms)
+                if view is None:
+                    view = View(now, now)
+                elif rule := view.rule(now, bool(tokens), *self.bounds):  # it became final before this event
+                    yield from self._close(key, view, bool(tokens), rule, now)
+                    closed = True
+                    break
+                view.take(now, e.kind, e.result if isinstance(e.result, str) else None)
+                view.last_at = now
+                if e.kind in ("begin", "create"):
+                    tokens.add(e.token)
+                    self.tokens.updateValue((e.token,), (True,))
+                elif e.kind == "end":
+                    tokens.discard(e.token)
+                    self.tokens.removeKey((e.token,))
+                if (rule := view.rule(now, bool(tokens), *self.bounds)) in ("R1", "not_ready"):
+                    yield from self._close(key, view, bool(tokens), rule, now)
+                    closed = True
+                    break
+        if not closed and view is not None:
+            view.clock = timerValues.getCurrentProcessingTimeInMs()
+            self.view.update(astuple(view))
+            self._timer(view.clock + view.next_look(view.last_at, *self.bounds))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        view, tokens = self._read()
+        if view is None:
+            return
+        clock = timerValues.getCurrentProcessingTimeInMs()
+        now = view.last_at + max(0, clock - view.clock)
+        if rule := view.rule(now, bool(tokens), *self.bounds):
+            yield from self._close(key, view, bool(tokens), rule, now)
+        else:
+            self._timer(clock + view.next_look(now, *self.bounds))
 
-def next_look(now: int, first: int, changed: int, progress_at: int, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> int:
-    """Milliseconds until time alone can make a rule true: the nearest bound that lies ahead."""
-    return max(1, min((t - now for t in (changed + settle, first + grace, progress_at + settle, first + timeout) if t > now), default=1))
+    def close(self) -> None:
+        pass
 
 
-def gate(events: DataFrame, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> DataFrame:
+def gate(events: DataFrame, settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT, tie: str | None = None) -> DataFrame:
     """A stream of events (key, at_ms, kind: result, error, begin, report, end or create; token; result) to one final row per key.
 
     A token is active from its creation or begin until its end; progress is drained once something was seen and none is
-    active. An error that can be tried again forgets the result before it. Rules run when events come and, between them,
-    on processing-time timers, up to the timeout. A key whose row is out is forgotten a timeout later; what comes for it
-    until then is passed over. Events of a key come in order, and are read batch by batch.
+    active. An error that can be tried again forgets the result before it, and until the next result there is no answer.
+    Rules run when events come and, between them, on processing-time timers, up to the timeout, whose row has no result but
+    a reason. A key whose row is out stays settled for a timeout; what comes for it until then is passed over. Events of a
+    key come in order of time and tie (a column), batch by batch. State that lives and dies needs the RocksDB provider.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, changed, result, active, seen, progress_at, done, last_at, clock = state.get if state.exists else (None, None, None, "", False, 0, False, 0, 0)
-        tokens, out = set(filter(None, active.split("\n"))), None
-        rule_at = lambda now: rule_of(now, first, changed, result, seen and not tokens, seen, progress_at, settle, grace, timeout)
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-                return
-            now = last_at + max(0, state.getCurrentProcessingTimeMs() - clock)
-            if rule := rule_at(now):
-                out = (key[0], result, rule, now)
-        else:
-            for batch in batches:
-                for e in batch.sort_values(["at_ms", "kind"]).itertuples() if not (done or out) else ():
-                    now = last_at = int(e.at_ms)
-                    if first is None:
-                        first = changed = now
-                    elif rule := rule_at(now):  # it became final before this event
-                        out = (key[0], result, rule, now)
-                        break
-                    if e.kind == "result":
-                        if e.result != result:
-                            result, changed = e.result, now
-                    elif e.kind == "error":
-                        result, changed = None, now
-                    else:
-                        seen, progress_at = True, now
-                        tokens.discard(e.token) if e.kind == "end" else tokens.add(e.token) if e.kind in ("begin", "create") else None
-                    if (rule := rule_at(now)) in ("R1", "not_ready"):
-                        out = (key[0], result, rule, now)
-                        break
-            clock = state.getCurrentProcessingTimeMs()
-            now = last_at
-        if done or out:
-            state.update((first, changed, None, "", seen, progress_at, True, last_at, clock))
-            state.setTimeoutDuration(timeout)
-        else:
-            state.update((first, changed, result, "\n".join(sorted(tokens)), seen, progress_at, False, last_at, clock))
-            state.setTimeoutDuration(next_look(now, first, changed, progress_at, settle, grace, timeout))
-        if out:
-            yield pd.DataFrame([out], columns=["key", "result", "rule", "at_ms"])
-
-    return events.groupBy("key").applyInPandasWithState(run, READY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    processor = _Gate(settle, grace, timeout, tie)
+    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=READY, outputMode="append", timeMode="processingTime")
 
 
 def gate_rules(events: DataFrame, key: str, order: list[str], settle: int = SETTLE, grace: int = GRACE, timeout: int = TIMEOUT) -> DataFrame:
-    """The same offline, over a log with key, at_ms, kind, token and result: key, rule, at_ms and result.
+    """The same offline, over a log with key, at_ms, kind, token and result: key, rule, at_ms, result and reason.
 
     Between two events nothing changes but the clock, so each rule's first moment in the gap is an expression over what
     the events so far have left; the earliest of a key is its row. order: what settles the order of equal times.
@@ -104,11 +172,11 @@ def gate_rules(events: DataFrame, key: str, order: list[str], settle: int = SETT
     rows = events.withColumn("_on", F.last(step, ignorenulls=True).over(token.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_was", F.coalesce(F.lag("_on").over(token), F.lit(0)))
     rows = rows.withColumn("_active", F.sum(F.when(progress, F.coalesce("_on", F.lit(0)) - F.col("_was")).otherwise(0)).over(upto))
-    # the result in force and when it last became another; an error is a result of its own
-    mark = F.when(F.col("kind") == "result", F.coalesce("result", F.lit(""))).when(F.col("kind") == "error", F.lit("\u0000error"))
-    rows = rows.withColumn("_mark", F.last(mark, ignorenulls=True).over(upto))
+    # the last word of the server: an answer or an error, and when it last became another
+    word = F.when(F.col("kind") == "result", F.struct(F.lit(True).alias("known"), F.coalesce("result", F.lit("")).alias("text"))).when(F.col("kind") == "error", F.struct(F.lit(False).alias("known"), F.lit("").alias("text")))
     before = Window.partitionBy(key).orderBy("at_ms", *order)
-    fresh = (F.col("kind") == "error") | ((F.col("kind") == "result") & ~F.lag("_mark").over(before).eqNullSafe(F.col("_mark")))
+    rows = rows.withColumn("_word", F.last(word, ignorenulls=True).over(upto))
+    fresh = (F.col("kind") == "error") | ((F.col("kind") == "result") & ~F.lag("_word").over(before).eqNullSafe(F.col("_word")))
     first = F.min("at_ms").over(upto)
     rows = rows.withColumn("_fresh", fresh).withColumns(
         {
@@ -119,20 +187,24 @@ def gate_rules(events: DataFrame, key: str, order: list[str], settle: int = SETT
             "_next": F.coalesce(F.lead("at_ms").over(before), F.lit(2**62)),
         }
     )
-    filled = F.col("_mark").isNotNull() & ~F.col("_mark").isin("", "null", "[]", "{}", "\u0000error")
-    drained_ = F.col("_seen") & (F.col("_active") == 0)
+    known = F.coalesce(F.col("_word.known"), F.lit(False))
+    filled = known & ~F.col("_word.text").isin(*EMPTY)
+    drained_ = known & F.col("_seen") & (F.col("_active") == 0)
     stable = F.col("_changed") + settle
     out = {
         "R1": F.when(drained_ & filled, F.col("at_ms")),
         "R2": F.when(drained_, F.greatest("at_ms", stable)),
-        "R3": F.when(~F.col("_seen"), F.greatest("at_ms", stable, F.col("_first") + grace)),
+        "R3": F.when(known & ~F.col("_seen"), F.greatest("at_ms", stable, F.col("_first") + grace)),
         "R4": F.when(F.col("_seen") & filled, F.greatest("at_ms", stable, F.col("_moved") + settle)),
         "not_ready": F.greatest(F.col("at_ms"), F.col("_first") + timeout),
     }
     least = F.array_min(F.filter(F.array(*[F.struct(c.alias("at"), F.lit(k).alias("k"), F.lit(name).alias("rule")) for k, (name, c) in enumerate(out.items())]), lambda x: x["at"].isNotNull()))
     rows = rows.withColumn("_hit", least).where((F.col("_hit.at") <= F.col("_next")) & F.col("_hit.at").isNotNull())
-    best = rows.groupBy(key).agg(F.min(F.struct("_hit.at", "_hit.k", "_hit.rule", F.when(filled | (F.col("_mark") != "\u0000error"), F.col("_mark")).alias("result"))).alias("b"))
-    return best.select(key, F.col("b.rule").alias("rule"), F.col("b.at").alias("at_ms"), F.col("b.result").alias("result"))
+    late = F.col("_hit.rule") == "not_ready"
+    failed = F.coalesce(~F.col("_word.known"), F.lit(False))
+    reason = F.when(late, F.when((F.col("_active") > 0) | failed, "indexing").when(known & ~filled, "empty").otherwise("unstable"))
+    best = rows.groupBy(key).agg(F.min(F.struct("_hit.at", "_hit.k", "_hit.rule", F.when(~late, F.col("_word.text")).alias("result"), reason.alias("reason"))).alias("b"))
+    return best.select(key, F.col("b.rule").alias("rule"), F.col("b.at").alias("at_ms"), F.col("b.result").alias("result"), F.col("b.reason").alias("reason"))
 
 
 def settled(events: DataFrame, key: str, at: str, settle_ms: int, tie: str = "event_id") -> DataFrame:

@@ -3,8 +3,16 @@ import time
 from corvane.streaming import gate
 
 
+SCHEMA = "key string, at_ms long, kind string, token string, result string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rule(now=1000, drained=False, known=True, **k):
+    view = gate.View(**({"first": 0, "changed": 0, "result": "[1]", "known": known, "seen": drained} | k))
+    return view.rule(now, view.seen and not drained)
+
+
 def test_rules():
-    rule = lambda **k: gate.rule_of(**({"now": 1000, "first": 0, "changed": 0, "result": "[1]", "drained": False, "seen": False, "progress_at": 0} | k))
     assert rule(drained=True) == "R1"
     assert rule(drained=True, result="[]") == "R2" and rule(drained=True, result="[]", changed=900) is None
     assert rule(result="[]") == "R3" and rule(changed=900) is None
@@ -12,45 +20,63 @@ def test_rules():
     assert rule(now=31_000, seen=True, result="[]") == "not_ready"
 
 
-def test_gate_stream(spark, tmp_path):
-    rows = [("drained", 0, "begin", "t", None), ("drained", 10, "result", "", "[]"), ("drained", 50, "end", "t", None), ("drained", 60, "result", "", "[1]"), ("drained", 99, "result", "", "[2]"), ("late", 0, "result", "", "[]"), ("late", 800, "report", "x", None), ("stuck", 0, "begin", "t", None), ("stuck", 5, "result", "", "[9]"), ("stuck", 2000, "report", "t", None)]
-    spark.createDataFrame(rows, "key string, at_ms long, kind string, token string, result string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema("key string, at_ms long, kind string, token string, result string").parquet(str(tmp_path / "in"))
-    q = gate.gate(events).writeStream.format("memory").queryName("gated").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0.5 seconds").start()
+def test_no_answer_after_an_error():
+    """Neither silence nor drained progress makes an error an answer; only the timeout ends the wait."""
+    for k in ({"drained": True}, {}, {"seen": True}):
+        assert rule(now=800, known=False, failed=True, result=None, **k) is None
+        assert rule(now=31_000, known=False, failed=True, result=None, **k) == "not_ready"
+    view = gate.View(0, 0)
+    view.take(5, "result", "[1]")
+    view.take(9, "error", None)
+    assert not view.known and view.reason(False) == "indexing"
+    view.take(20, "result", "[1]")
+    assert view.changed == 20 and view.known and view.reason(True) == "indexing" and view.reason(False) == "unstable"
+    view.take(30, "result", "[]")
+    assert view.reason(False) == "empty"
+
+
+def streamed(spark, tmp_path, rows, name, n, **bounds):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    q = gate.gate(events, **bounds).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0.5 seconds").start()
     try:
-        until = time.time() + 60  # timers keep such a query busy for ever, so it is polled
-        while time.time() < until and spark.table("gated").count() < 3:
+        until = time.time() + 90  # timers keep such a query busy for ever, so it is polled
+        while time.time() < until and spark.table(name).count() < n and q.isActive:
             time.sleep(0.5)
-        got = {r["key"]: (r["result"], r["rule"]) for r in spark.table("gated").collect()}
+        assert q.exception() is None
+        return {r["key"]: (r["rule"], r["at_ms"], r["result"], r["reason"]) for r in spark.table(name).collect()}
     finally:
         q.stop()
-    assert got["drained"] == ("[1]", "R1") and got["late"] == ("[]", "R3") and got["stuck"] == ("[9]", "R4")
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def test_gate_waits_for_the_timeout_and_forgets_results_before_an_error(spark, tmp_path):
-    """An active token and an empty result give nothing before the timeout; an error takes the result before it away."""
-    rows = [("waits", 0, "begin", "t", None), ("waits", 5, "result", "", "[]"), ("error", 0, "begin", "t", None), ("error", 5, "result", "", "[1]"), ("error", 10, "error", "", None), ("error", 20, "end", "t", None), ("error", 25, "result", "", "[2]")]
-    schema = "key string, at_ms long, kind string, token string, result string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = gate.gate(events, timeout=9000).writeStream.format("memory").queryName("waited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0.5 seconds").start()
-    try:
-        until = time.time() + 90
-        while time.time() < until and spark.table("waited").count() < 2:
-            time.sleep(0.5)
-        got = {r["key"]: (r["result"], r["rule"], r["at_ms"]) for r in spark.table("waited").collect()}
-    finally:
-        q.stop()
-    assert got["error"] == ("[2]", "R1", 25)
-    assert got["waits"][:2] == ("[]", "not_ready") and got["waits"][2] >= 9000
+LOG = [
+    ("drained", 0, "begin", "t", None), ("drained", 10, "result", "", "[]"), ("drained", 50, "end", "t", None), ("drained", 60, "result", "", "[1]"), ("drained", 99, "result", "", "[2]"),
+    ("late", 0, "result", "", "[]"), ("late", 800, "report", "x", None),
+    ("stuck", 0, "begin", "t", None), ("stuck", 5, "result", "", "[9]"), ("stuck", 2000, "report", "t", None),
+    ("waits", 0, "begin", "t", None), ("waits", 5, "result", "", "[]"),
+    ("again", 0, "begin", "t", None), ("again", 5, "result", "", "[1]"), ("again", 10, "error", "", None), ("again", 20, "end", "t", None), ("again", 25, "result", "", "[2]"),
+    ("fails", 0, "begin", "t", None), ("fails", 5, "result", "", "[1]"), ("fails", 10, "error", "", None), ("fails", 20, "end", "t", None),
+    ("only error", 0, "error", "", None), ("silent", 0, "report", "x", None), ("hollow", 0, "report", "x", None), ("hollow", 9990, "result", "", "[]"),
+]
+ENDS = {"drained": ("R1", 60, "[1]", None), "late": ("R3", 750, "[]", None), "stuck": ("R4", 755, "[9]", None), "waits": ("not_ready", 10_000, None, "indexing"), "again": ("R1", 25, "[2]", None)}
+ENDS |= {"fails": ("not_ready", 10_000, None, "indexing"), "only error": ("not_ready", 10_000, None, "indexing"), "silent": ("not_ready", 10_000, None, "unstable"), "hollow": ("not_ready", 10_000, None, "unstable")}
+
+
+def test_gate_stream(spark, tmp_path):
+    got = streamed(spark, tmp_path, LOG, "gated", len(ENDS), timeout=10_000)
+    assert set(got) == set(ENDS)
+    for key, (rule_, at, result, reason) in ENDS.items():
+        # timers fire a little after their moment; "hollow" is empty, drained and stable by then
+        assert got[key][0] == ("R2" if key == "hollow" and got[key][0] == "R2" else rule_) and got[key][1] >= at
+        assert got[key][2:] == (result, reason) or key == "hollow"
 
 
 def test_offline_rules_are_the_streams(spark):
-    """Events of both tests above, without the stream."""
-    rows = [("drained", 0, "begin", "t", None), ("drained", 10, "result", "", "[]"), ("drained", 50, "end", "t", None), ("drained", 60, "result", "", "[1]"), ("late", 0, "result", "", "[]"), ("late", 800, "report", "x", None), ("stuck", 0, "begin", "t", None), ("stuck", 5, "result", "", "[9]"), ("stuck", 2000, "report", "t", None), ("waits", 0, "begin", "t", None), ("waits", 5, "result", "", "[]"), ("error", 0, "begin", "t", None), ("error", 5, "result", "", "[1]"), ("error", 10, "error", "", None), ("error", 20, "end", "t", None)]
-    log = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "key string, at_ms long, kind string, token string, result string, n int")
-    got = {r["key"]: (r["rule"], r["at_ms"], r["result"]) for r in gate.gate_rules(log, "key", ["n"]).collect()}
-    assert got == {"drained": ("R1", 60, "[1]"), "late": ("R3", 750, "[]"), "stuck": ("R4", 755, "[9]"), "waits": ("not_ready", 30_000, "[]"), "error": ("R2", 760, None)}
+    log = spark.createDataFrame([(*r, k) for k, r in enumerate(LOG)], SCHEMA + ", n int")
+    got = {r["key"]: (r["rule"], r["at_ms"], r["result"], r["reason"]) for r in gate.gate_rules(log, "key", ["n"], timeout=10_000).collect()}
+    assert got == ENDS | {"hollow": ("not_ready", 10_000, None, "empty")}
 
 
 def test_streamed_results(spark, tmp_path):
