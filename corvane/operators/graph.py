@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
+#: Fixed value: nodes of a walk.
 MAX_NODES = 5000
 DAMPING, EPSILON, MAX_ROUNDS = 0.85, 1e-10, 100
-#: Steps along edges between two checkpoints; nodes whose children are fetched at a time.
-STEPS, TOGETHER = 3, 64
+#: Steps along edges between two checkpoints.
+STEPS = 3
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -95,19 +97,6 @@ def test_only_importers(test_edges: DataFrame, edges: DataFrame, target: str, pa
     return test_edges.where((F.col("dst") == target) & (F.col(package) != own_package)).join(prod, package, "left_anti")
 
 
-def reach(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """a, b: b can be reached from a in one step or more; path lengths double in every round. For graphs whose closure fits."""
-    paths = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    n = paths.count()
-    for _ in range(max_rounds):
-        right = paths.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        paths = cut(paths.union(paths.join(right, "b").select("a", F.col("c").alias("b"))).distinct())
-        if (m := paths.count()) == n:
-            break
-        n = m
-    return paths
-
-
 def trim(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Edges that can lie on a cycle: nodes without way in or way out are taken off again and again."""
     live = cut(edges.select("src", "dst").distinct())
@@ -264,40 +253,91 @@ def hierarchy(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500)
     """Depth-first listing of callers or callees, or of super- or subtypes: path, id, depth, repeat; children by id.
 
     A node is expanded where the listing first meets it above the depth, and listed wherever it is met; later places are
-    marked repeat. The listing is cut at limit rows, so it is made on the driver from the children of the nodes that it
-    meets, which are fetched for up to TOGETHER nodes at a time, limit + 1 of each at most.
+    marked repeat. Depth first is the order of paths, so a node's place is its least path from an expanded node; there is
+    one such set of places, and rounds of least paths come to it from below. A row hangs on smaller rows alone, so each
+    round keeps the first limit rows of its listing and no more; children of a node that has many are cut with it.
     """
-    tops = [r["id"] for r in roots.select("id").distinct().orderBy("id").limit(limit + 1).collect()]
-    links = edges.select("src", "dst").distinct()
-    children: dict = {}
+    links = edges.select("src", "dst").where("src is not null and dst is not null")
+    tops = cut(roots.select("id").distinct().orderBy("id").limit(limit).select(F.array("id").alias("path")))
+    listing, places = tops, None
     while True:
-        rows, missing = _listing(tops, children, depth, limit)
-        if not missing:
+        met = listing.where(F.size("path") <= depth).groupBy(F.element_at("path", -1).alias("src")).agg(F.min("path").alias("path"))
+        met = cut(met.coalesce(1))
+        if places is not None and met.count() == places.count() and not met.join(F.broadcast(places), ["src", "path"], "left_anti").limit(1).count():
+            break
+        places = met  # limit rows at most
+        below = links.join(F.broadcast(places), "src").select(F.concat("path", F.array("dst")).alias("path")).distinct()
+        listing = cut(tops.unionByName(below).orderBy("path").limit(limit))
+    again = (F.size("path") <= depth) & (F.col("path") != F.col("_first"))
+    rows = listing.withColumn("id", F.element_at("path", -1)).join(F.broadcast(places.select(F.col("src").alias("id"), F.col("path").alias("_first"))), "id", "left")
+    return rows.select("path", "id", (F.size("path") - 1).alias("depth"), F.coalesce(again, F.lit(False)).alias("repeat"))
+
+
+@dataclass
+class Walk:
+    """nodes: id, kind, depth. edges: src, dst, spec, external. truncated: the budget of nodes left some out."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+
+
+def dependency_graph(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = None, depth: int = 1, direction: str = "out", externals: DataFrame | None = None, most: int = MAX_NODES) -> Walk:
+    """The part of a graph within depth edges of roots (id), or all of it (at depth 0), of at most `most` nodes.
+
+    nodes: id, kind. edges: src, dst, spec. externals: src, spec; each spec is a leaf of kind external. Nodes come in the
+    order in which a breadth-first walk meets them: by their parent's place, along edges, then to externals, then against
+    edges, by identifier. Beyond the budget they and the edges to them fall out. A level holds as many rows as the budget,
+    so it is broadcast; nodes and edges of the graph are never numbered or moved as a whole.
+    """
+    edges = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("spec").alias("spec"))
+    outer = externals.where("src is not null and spec is not null").select("src", "spec").distinct() if externals is not None else None
+    kinds = nodes.select("id", "kind").dropDuplicates(["id"])
+    beyond = F.lit("external")
+
+    def numbered(found: DataFrame, room: int, have: int, d: int) -> tuple[DataFrame, int, bool]:
+        some = cut(found.orderBy("by", "id").limit(room + 1))
+        n = some.count()
+        first = some.withColumn("pos", F.row_number().over(Window.orderBy("by", "id")) + have).where(F.col("pos") <= have + room)
+        return cut(first.select("id", "kind", F.lit(d).alias("depth"), "pos")), min(n, room), n > room
+
+    if roots is None:
+        kept, _, truncated = numbered(kinds.withColumn("by", F.lit(0)), most, 0, 0)
+        own = F.broadcast(kept.select("id"))
+        inside = edges.join(own, edges["src"] == own["id"], "left_semi").join(own, edges["dst"] == own["id"], "left_semi").withColumn("external", F.lit(False))
+        out = kept.select("id", "kind", "depth")
+        if outer is not None:
+            leaves = outer.join(own, outer["src"] == own["id"], "left_semi")
+            inside = inside.unionByName(leaves.select("src", F.col("spec").alias("dst"), "spec", F.lit(True).alias("external")))
+            out = out.unionByName(leaves.select(F.col("spec").alias("id"), beyond.alias("kind"), F.lit(0).alias("depth")).distinct())
+        return Walk(out, inside, truncated)
+
+    start = roots.select("id").distinct().join(kinds, "id", "left").select("id", F.coalesce("kind", F.lit("file")).alias("kind"), F.lit(0).alias("by"))
+    seen, n, truncated = numbered(start, most, 0, 0)
+    for d in range(1, max(depth, 1) + 1):
+        front = F.broadcast(seen.where((F.col("depth") == d - 1) & (F.col("kind") != "external")).select(F.col("id").alias("at"), "pos"))
+        steps = []
+        if direction in ("out", "both"):
+            steps.append(edges.join(front, edges["src"] == front["at"]).select(F.col("dst").alias("id"), "pos", F.lit(0).alias("way")))
+            if outer is not None:
+                steps.append(outer.join(front, outer["src"] == front["at"]).select(F.col("spec").alias("id"), "pos", F.lit(1).alias("way")))
+        if direction in ("in", "both"):
+            steps.append(edges.join(front, edges["dst"] == front["at"]).select(F.col("src").alias("id"), "pos", F.lit(2).alias("way")))
+        found = functools.reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.min(F.struct("pos", "way")).alias("by"))
+        found = found.join(F.broadcast(seen.select("id")), "id", "left_anti")
+        found = found.join(kinds, "id", "left").select("id", F.when(F.col("by.way") == 1, beyond).otherwise(F.coalesce("kind", F.lit("file"))).alias("kind"), "by")
+        level, m, more = numbered(found, most - n, n, d)
+        truncated, n = truncated or more, n + m
+        if not m:
             break
-        asked = list(missing)[:TOGETHER]
-        rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-        found = links.where(F.col("src").isin(asked)).withColumn("_r", rank).where(F.col("_r") <= limit + 1).select("src", "dst").collect()
-        children.update({a: [] for a in asked})
-        for src, dst in sorted(map(tuple, found)):
-            children[src].append(dst)
-    kind = edges.schema["src"].dataType
-    schema = StructType([StructField("path", ArrayType(kind)), StructField("id", kind), StructField("depth", IntegerType()), StructField("repeat", BooleanType())])
-    return edges.sparkSession.createDataFrame(rows, schema)
-
-
-def _listing(tops: list, children: dict, depth: int, limit: int) -> tuple[list, dict]:
-    """Rows as far as children are known, and the nodes whose children the listing asks for, in its order."""
-    rows, missing, expanded, todo = [], {}, set(), [[t] for t in reversed(tops)]
-    while todo and len(rows) < limit:
-        path = todo.pop()
-        node, d = path[-1], len(path) - 1
-        again = d < depth and node in expanded
-        rows.append((path, node, d, again))
-        if d >= depth or again:
-            continue
-        expanded.add(node)
-        if node in children:
-            todo += [[*path, c] for c in reversed(children[node])]
-        else:
-            missing[node] = True
-    return rows, missing
+        seen = seen.unionByName(level)
+    own = F.broadcast(seen.select("id"))
+    open_ = F.broadcast(seen.where((F.col("depth") < max(depth, 1)) & (F.col("kind") != "external")).select("id"))
+    parts = []
+    if direction in ("out", "both"):
+        parts.append(edges.join(open_, edges["src"] == open_["id"], "left_semi").join(own, edges["dst"] == own["id"], "left_semi").withColumn("external", F.lit(False)))
+        if outer is not None:
+            parts.append(outer.join(open_, outer["src"] == open_["id"], "left_semi").join(own, outer["spec"] == own["id"], "left_semi").select("src", F.col("spec").alias("dst"), "spec", F.lit(True).alias("external")))
+    if direction in ("in", "both"):
+        parts.append(edges.join(open_, edges["dst"] == open_["id"], "left_semi").join(own, edges["src"] == own["id"], "left_semi").withColumn("external", F.lit(False)))
+    return Walk(seen.select("id", "kind", "depth"), functools.reduce(DataFrame.unionByName, parts).distinct(), truncated)

@@ -638,6 +638,61 @@ def type_hierarchy(spark, d):
     return verdicts.type_hierarchy(_tree(spark, d), spark.range(5, 6), "both", 3).select("direction", "id", "depth", "evidence")
 
 
+_CALLS = "calls as (select distinct l_partkey % 40 as src, (l_suppkey * 7 + l_linenumber) % 40 as dst from lineitem where l_quantity < 6)"
+
+
+def _calls(spark, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where("l_quantity < 6")
+    return li.select((F.col("l_partkey") % 40).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 40).alias("dst"))
+
+
+@query(
+    f"""with recursive {_CALLS}, ch as (select src, list(dst order by dst) as kids from calls group by src),
+w as (select 0 as place, [[cast(x as bigint)] for x in [1, 2]] as stack, []::bigint[] as met, null::bigint[] as path, false as repeat
+  union all select place + 1, list_concat(case when len(p) <= 4 and not list_contains(met, p[-1]) then coalesce(list_transform(kids, lambda k: list_append(p, k)), []) else [] end, stack[2:]), case when len(p) <= 4 then list_append(met, p[-1]) else met end, p, len(p) <= 4 and list_contains(met, p[-1])
+  from (select *, stack[1] as p from w where len(stack) > 0 and place < 200) left join ch on ch.src = p[-1])
+select cast(place as bigint) as place, path[-1] as id, cast(len(path) - 1 as int) as depth, repeat from w where place > 0"""
+)
+def call_hierarchy_repeats(spark, d):
+    """Four levels of calls in a graph with cycles and diamonds, in depth-first order: what was opened before is not opened again."""
+    rows = graph.hierarchy(_calls(spark, d), spark.range(1, 3), 4, 200)
+    return rows.select(F.row_number().over(_by_path()).cast("long").alias("place"), "id", "depth", "repeat")
+
+
+_WALKED = """e as (select src, dst, min(spec) as spec from (select distinct o_custkey as src, o_orderkey % 97 + 1000000 as dst, o_orderpriority as spec from orders union all select distinct o_orderkey % 97 + 1000000, o_custkey % 50, o_orderstatus from orders) group by src, dst),
+x as (select distinct o_custkey as src, 'ext' || (o_orderkey % 5) as spec from orders where o_custkey % 2 = 0),
+l0 as (select '3' as id, 'file' as kind, 0 as depth, 1 as pos),
+c1 as (select id, arg_min(kind, {'p': pos, 'w': way}) as kind, min({'p': pos, 'w': way}) as b from (select cast(dst as varchar) as id, case when dst >= 1000000 then 'package' else 'file' end as kind, pos, 0 as way from e join l0 on l0.id = cast(e.src as varchar) union all select spec, 'external', pos, 1 from x join l0 on l0.id = cast(x.src as varchar)) where id not in (select id from l0) group by id),
+l1 as (select id, kind, 1 as depth, 1 + row_number() over (order by b, id) as pos from c1), k1 as (select * from l0 union all select * from l1 where pos <= 50),
+c2 as (select id, arg_min(kind, {'p': pos, 'w': way}) as kind, min({'p': pos, 'w': way}) as b from (select cast(dst as varchar) as id, case when dst >= 1000000 then 'package' else 'file' end as kind, pos, 0 as way from e join k1 on k1.id = cast(e.src as varchar) where depth = 1 and kind <> 'external' union all select spec, 'external', pos, 1 from x join k1 on k1.id = cast(x.src as varchar) where depth = 1 and kind <> 'external') where id not in (select id from k1) group by id),
+l2 as (select id, kind, 2 as depth, (select count(*) from k1) + row_number() over (order by b, id) as pos from c2), k2 as (select * from k1 union all select * from l2 where pos <= 50),
+cut as (select (select count(*) from l1) + 1 > 50 or (select count(*) from l2) + (select count(*) from k1) > 50 as truncated)"""
+
+
+def _walked(spark, d: str) -> graph.Walk:
+    o = table(spark, d, "orders")
+    via = F.col("o_orderkey") % 97 + 1000000
+    edges = o.select(F.col("o_custkey").alias("src"), via.alias("dst"), F.col("o_orderpriority").alias("spec")).unionByName(o.select(via.alias("src"), (F.col("o_custkey") % 50).alias("dst"), F.col("o_orderstatus").alias("spec")))
+    edges = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "spec")
+    nodes = graph.nodes_of(edges).select("id", F.when(F.col("id").cast("long") >= 1000000, "package").otherwise("file").alias("kind"))
+    outer = o.where("o_custkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("ext"), (F.col("o_orderkey") % 5).cast("string")).alias("spec")).distinct()
+    return graph.dependency_graph(nodes, edges, spark.createDataFrame([("3",)], "id string"), 2, "out", outer, 50)
+
+
+@query(f"with {_WALKED} select id, kind, depth, truncated from k2, cut")
+def dependency_graph_nodes(spark, d):
+    """Two steps from a node with typed and external nodes, cut at fifty."""
+    walk = _walked(spark, d)
+    return walk.nodes.withColumn("truncated", F.lit(walk.truncated))
+
+
+@query(f"""with {_WALKED}, o as (select id from k2 where depth < 2 and kind <> 'external') select cast(src as varchar) as src, cast(dst as varchar) as dst, spec, false as external from e where cast(src as varchar) in (select id from o) and cast(dst as varchar) in (select id from k2)
+union all select cast(src as varchar), spec, spec, true from x where cast(src as varchar) in (select id from o) and spec in (select id from k2)""")
+def dependency_graph_edges(spark, d):
+    """The edges of that walk, external ones marked."""
+    return _walked(spark, d).edges
+
+
 @query("select p_partkey as id, 'implementation' as evidence from part where p_size = 7 order by id limit 300")
 def type_hierarchy_fallback(spark, d):
     """Without a hierarchy, what implements the type, one level deep."""

@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -38,7 +39,6 @@ def test_strong_components_by_closure(spark, seed):
     reach = closure(e)
     want = {(n, min(m for m in reach[n] if n in reach[m])) for n in reach if n in reach[n]}
     assert {(r["id"], r["component"]) for r in graph.components_strong(edges_df(spark, e)).collect()} == want
-    assert {(r["a"], r["b"]) for r in graph.reach(edges_df(spark, e)).collect()} == {(a, b) for a in reach for b in reach[a]}
 
 
 def test_no_cycles(spark):
@@ -83,6 +83,93 @@ def test_hierarchy(spark):
     assert [(r["id"], r["depth"], r["repeat"]) for r in got] == [("a", 0, False), ("b", 1, False), ("c", 2, False), ("a", 3, False), ("c", 1, True)]  # at the depth nothing is expanded, so nothing repeats
 
 
+def depth_first(edges, roots, depth, limit):
+    kids, rows, expanded = defaultdict(set), [], set()
+    for a, b in edges:
+        kids[a].add(b)
+
+    def visit(path):
+        if len(rows) >= limit:
+            return
+        d, node = len(path) - 1, path[-1]
+        again = d < depth and node in expanded
+        rows.append((path, d, again))
+        if d < depth and not again:
+            expanded.add(node)
+            for c in sorted(kids[node]):
+                visit([*path, c])
+
+    for r in sorted(roots):
+        visit([r])
+    return rows
+
+
+@pytest.mark.parametrize("seed, n, m, depth, limit", [(1, 8, 20, 4, 500), (2, 12, 40, 5, 60), (3, 5, 25, 6, 33), (4, 30, 60, 3, 17), (5, 6, 36, 9, 500)])
+def test_hierarchy_against_recursion(spark, seed, n, m, depth, limit):
+    """Graphs with cycles, loops and diamonds, cut in the middle too."""
+    rng = random.Random(seed)
+    e = [(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)]
+    roots = [f"n{k:02}" for k in rng.sample(range(n), 2)]
+    got = graph.hierarchy(edges_df(spark, e), spark.createDataFrame([(r,) for r in roots], "id string"), depth, limit).collect()
+    assert sorted((r["path"], r["depth"], r["repeat"]) for r in got) == sorted(depth_first(e, roots, depth, limit))
+
+
+def breadth_first(kinds, edges, roots, depth, direction, ext, most):
+    out, into, seen, links, truncated = defaultdict(set), defaultdict(set), {}, set(), False
+    for a, b in edges:
+        out[a].add(b)
+        into[b].add(a)
+    queue = []
+
+    def meet(node, d, kind):
+        nonlocal truncated
+        if node in seen:
+            return True
+        if len(seen) >= most:
+            truncated = True
+            return False
+        seen[node] = (kind, d)
+        if kind != "external":
+            queue.append((node, d))
+        return True
+
+    for r in sorted(roots):
+        meet(r, 0, kinds.get(r, "file"))
+    while queue:
+        node, d = queue.pop(0)
+        if d >= depth:
+            continue
+        for way, others in ((0, out[node] if direction != "in" else ()), (1, ext.get(node, ()) if direction != "in" else ()), (2, into[node] if direction != "out" else ())):
+            for other in sorted(others):
+                if meet(other, d + 1, "external" if way == 1 else kinds.get(other, "file")):
+                    links.add((other, node, False) if way == 2 else (node, other, way == 1))
+    return {(k, *v) for k, v in seen.items()}, links, truncated
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+@pytest.mark.parametrize("depth, most", [(3, 5000), (3, 9)])
+def test_dependency_graph(spark, direction, depth, most):
+    rng = random.Random(depth * most)
+    names = [f"n{k:02}" for k in range(25)]
+    e = [(rng.choice(names), rng.choice(names)) for _ in range(50)]
+    kinds, ext = {n: rng.choice(["file", "package"]) for n in names[:20]}, {n: {f"ext{rng.randrange(6)}" for _ in range(2)} for n in names[::2]}
+    nodes = spark.createDataFrame(list(kinds.items()), "id string, kind string")
+    df = spark.createDataFrame([(a, b, f"{b}.h") for a, b in e], "src string, dst string, spec string")
+    outer = spark.createDataFrame([(a, x) for a, xs in ext.items() for x in xs], "src string, spec string")
+    got = graph.dependency_graph(nodes, df, spark.createDataFrame([("n03",), ("n01",)], "id string"), depth, direction, outer, most)
+    want = breadth_first(kinds, e, ["n03", "n01"], depth, direction, ext, most)
+    assert ({tuple(r) for r in got.nodes.collect()}, {(r["src"], r["dst"], r["external"]) for r in got.edges.collect()}, got.truncated) == want
+
+
+def test_whole_graph(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "file") for k in range(6)], "id string, kind string")
+    df = spark.createDataFrame([("n0", "n1", "b"), ("n0", "n1", "a"), ("n1", "n5", "x")], "src string, dst string, spec string")
+    outer = spark.createDataFrame([("n1", "fmt"), ("n5", "os")], "src string, spec string")
+    got = graph.dependency_graph(nodes, df, externals=outer, most=4)
+    assert got.truncated and {tuple(r) for r in got.nodes.collect()} == {*[(f"n{k}", "file", 0) for k in range(4)], ("fmt", "external", 0)}
+    assert {tuple(r) for r in got.edges.collect()} == {("n0", "n1", "a", False), ("n1", "fmt", "fmt", True)}
+
+
 def test_test_only_importers(spark):
     rows = "src string, dst string, package string"
     tests = spark.createDataFrame([("p/a_test", "u", "p"), ("q/a_test", "u", "q"), ("u/a_test", "u", "u")], rows)
