@@ -173,7 +173,7 @@ def ranked(rows: DataFrame, share: int = SHARE, least_words: int = LEAST_WORDS)
 
     Rows are dealt by ranges of score and identifier and sorted there; the offsets are one number for each range.
     """
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, cut(rows)  # ranges are sampled from rows that are there
     fit = F.col("n_words") >= least_words
     order = [F.when(fit, 0).otherwise(1), F.col("score").desc(), F.col("_id").asc_nulls_last()]
     keyed = rows.withColumns({"_late": order[0], "_down": -F.col("score")})
