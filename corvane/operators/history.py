@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.intervals import meets
+
 from corvane.functions.text import round_half_up
 
 
@@ -89,13 +91,20 @@ def touches(start: Column, end: Column, new_start: Column, new_count: Column) ->
     return F.when(new_count > 0, (start <= new_start + new_count - 1) & (end >= new_start)).otherwise((start <= new_start) & (new_start < end))
 
 
+def _near(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Hunks with the symbols that their new sides touch."""
+    sides = hunks.withColumn("_z", F.col("new_start") + F.greatest(F.col("new_count") - 1, F.lit(0)))
+    hit = meets(sides, symbols, "file", "new_start", "_z", "line", "end_line").drop("_z")
+    return hit.where(touches(F.col("line"), F.col("end_line"), F.col("new_start"), F.col("new_count")))
+
+
 def changed_symbols(new: DataFrame, old: DataFrame, hunks: DataFrame) -> DataFrame:
     """new and old: file, key (the identifier without its path), line, end_line; hunks: file, old_start, old_count, new_start, new_count.
 
     A hunk belongs to the innermost symbols it lies in. Rows: file, key, change, line; hunks that explain nothing give
     one row of the file (key null).
     """
-    hit = hunks.join(new, "file").where(touches(F.col("line"), F.col("end_line"), F.col("new_start"), F.col("new_count")))
+    hit = _near(hunks, new)
     whole = (F.col("new_start") >= F.col("line")) & (F.col("new_start") + F.greatest(F.col("new_count"), F.lit(1)) - 1 <= F.col("end_line"))
     inner = F.min(F.when(whole, F.col("end_line") - F.col("line"))).over(Window.partitionBy("file", "new_start", "new_count", "old_start", "old_count"))
     hit = hit.withColumn("_inner", inner).where(F.col("_inner").isNull() | (F.col("end_line") - F.col("line") <= F.col("_inner")))
@@ -105,7 +114,8 @@ def changed_symbols(new: DataFrame, old: DataFrame, hunks: DataFrame) -> DataFra
     rows = both.select("file", "key", change.alias("change"), F.coalesce("line", "old_line").alias("line")).where("change is not null")
     gone = old.join(new.select("file", "key"), ["file", "key"], "left_anti").select("file", F.col("line").alias("_a"), F.col("end_line").alias("_b"))
     keys = ["file", "old_start", "old_count", "new_start", "new_count"]
-    explained = hit.select(*keys).distinct().unionByName(hunks.join(gone, "file").where("old_count > 0 and _a <= old_start + old_count - 1 and _b >= old_start").select(*keys))
+    before = hunks.where("old_count > 0").withColumn("_z", F.col("old_start") + F.col("old_count") - 1)
+    explained = hit.select(*keys).distinct().unionByName(meets(before, gone, "file", "old_start", "_z", "_a", "_b").select(*keys))
     loose = hunks.join(explained, keys, "left_anti").groupBy("file").agg(F.min("new_start").alias("line"))
     return rows.unionByName(loose.select("file", F.lit(None).cast("string").alias("key"), F.lit("modified").alias("change"), "line"))
 
@@ -115,7 +125,7 @@ def symbol_churn(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
 
     added counts the lines of a hunk inside the symbol; removed counts once, for the first symbol a hunk touches.
     """
-    hit = hunks.join(symbols, "file").where(touches(F.col("line"), F.col("end_line"), F.col("new_start"), F.col("new_count")))
+    hit = _near(hunks, symbols)
     hunk = Window.partitionBy("commit", "file", "new_start", "new_count", "old_count")
     hit = hit.withColumn("_inner", F.min(F.col("end_line") - F.col("line")).over(hunk)).where("end_line - line = _inner")
     hit = hit.withColumn("_first", F.row_number().over(hunk.orderBy("line", "id")) == 1)

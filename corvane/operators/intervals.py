@@ -49,8 +49,37 @@ def overlap_counts(intervals: DataFrame, on: str, start: str, end: str) -> DataF
     return at.groupBy(on).agg((F.floor(n * (n - 1) / 2) - F.sum("apart")).cast("long").alias("pairs"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, on: str, a_start: str, a_end: str, b_start: str, b_end: str) -> DataFrame:
-    return a.join(b, (a[on] == b[on]) & (a[a_start] <= b[b_end]) & (a[a_end] >= b[b_start])).drop(b[on])
+def meets(a: DataFrame, b: DataFrame, on: str, a_start: str, a_end: str, b_start: str, b_end: str) -> DataFrame:
+    """Pairs of ranges of one file that share a point: all columns of both, on once. Ranges that end before they start meet nothing.
+
+    The longer range of a pair lies in one or two cells of the width that its own length has, rounded up to a power of
+    two, and so does the shorter one at that width. So a range is placed at its own level, and once more at each higher
+    level that the other side has; ranges far apart never meet, and a pair counts in the cell where its later start lies.
+    """
+    cell = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+    a = a.where(F.col(a_end) >= F.col(a_start)).withColumn("_la", _level(F.col(a_end) - F.col(a_start) + 1))
+    b = b.where(F.col(b_end) >= F.col(b_start)).withColumn("_lb", _level(F.col(b_end) - F.col(b_start) + 1)).withColumnRenamed(on, "_on")
+    levels = lambda df, c, name: F.broadcast(df.agg(F.collect_set(c).alias(name)))  # noqa: E731  # 64 at most
+
+    def placed(df: DataFrame, start: str, end: str, own: str, higher: DataFrame | None, strictly: bool) -> DataFrame:
+        level = F.array(F.col(own))
+        if higher is not None:
+            df = df.crossJoin(higher)
+            level = F.filter("_levels", lambda x: x > F.col(own) if strictly else x >= F.col(own))
+        df = df.withColumn("_level", F.explode(level)).drop("_levels")
+        return df.withColumn("_cell", F.explode(F.sequence(cell(F.col(start), F.col("_level")), cell(F.col(end), F.col("_level")))))
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.withColumnsRenamed({"_level": "_lx", "_cell": "_cx"}), y.withColumnsRenamed({"_level": "_ly", "_cell": "_cy"})
+        near = (F.col(on) == F.col("_on")) & (F.col("_lx") == F.col("_ly")) & (F.col("_cx") == F.col("_cy"))
+        both = (F.col(a_start) <= F.col(b_end)) & (F.col(a_end) >= F.col(b_start))
+        once = cell(F.greatest(a_start, b_start), F.col("_lx")) == F.col("_cx")
+        return x.join(y, near & both & once).drop("_on", "_lx", "_ly", "_cx", "_cy", "_la", "_lb")
+
+    # a at least as short as b: b at its own level; a shorter b: a at its own level
+    short = joined(placed(a, a_start, a_end, "_la", levels(b, "_lb", "_levels"), False), placed(b, b_start, b_end, "_lb", None, False))
+    long_ = joined(placed(a, a_start, a_end, "_la", None, False), placed(b, b_start, b_end, "_lb", levels(a, "_la", "_levels"), True))
+    return short.unionByName(long_)
 
 
 def without_outer(pairs: DataFrame, hunk: list[str], start: str, end: str, h_start: str, h_end: str) -> DataFrame:

@@ -27,7 +27,7 @@ class Index:
     key: str
 
 
-def _weighted(w: float):
+def weighted(w: float):
     return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
 
 
@@ -39,7 +39,7 @@ def build_index(df: DataFrame, key: str, fields: dict[str, float], caps: dict[st
         tokens = tokenize(F.coalesce(F.col(name).cast("string"), F.lit("")))
         if name in caps:
             tokens = F.slice(tokens, 1, caps[name])
-        part = F.transform(tokens, _weighted(float(weight)))
+        part = F.transform(tokens, weighted(float(weight)))
         parts = part if parts is None else F.concat(parts, part)
     rows = df.select(F.col(key), parts.alias("parts"))
     postings = rows.select(key, F.explode("parts").alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
@@ -70,7 +70,7 @@ def bm25_direct(df: DataFrame, key: str, fields: dict[str, float], terms: list[s
     for name, weight in fields.items():
         text = F.coalesce(F.col(name).cast("string"), F.lit(""))
         tokens = F.slice(tokenize(text), 1, caps[name]) if name in caps else tokenize(text)
-        part = F.transform(tokens, _weighted(float(weight)))
+        part = F.transform(tokens, weighted(float(weight)))
         parts = part if parts is None else F.concat(parts, part)
         for t in terms:  # a token's letters stand together in the text, in whatever case
             near = near | (may_hold(text, t, case=False) if t.isascii() else F.lit(True))
@@ -124,6 +124,28 @@ def name_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"_display": display, "_name_norm": normalise(F.col("name")), "_last_norm": normalise(display), "_qual_norm": normalise(F.coalesce("qualified", F.lit("")))})
 
 
+def tiered(rows: DataFrame, text: str, qnorm: str) -> DataFrame:
+    """Adds tier (exact, prefix, token, or 0) and raw to rows with bm, matched and the name columns."""
+    exact = F.lit(qnorm).isin(F.col("_name_norm"), F.col("_last_norm"), F.col("_qual_norm"))
+    prefix = F.startswith("_name_norm", F.lit(qnorm)) | F.startswith("_last_norm", F.lit(qnorm))
+    tier = F.when(exact, EXACT).when(prefix, PREFIX).when(F.col("matched") > 0, TOKEN).otherwise(0)
+    raw = F.coalesce("bm", F.lit(0.0))
+    raw = raw + F.when(exact & F.lit(text).isin(F.col("name"), F.col("_display"), F.col("qualified")), 1000.0).otherwise(0.0)
+    shorter = F.greatest(F.least(F.octet_length("_name_norm"), F.octet_length("_last_norm")), F.lit(1))
+    raw = raw + F.when(~exact & prefix, len(qnorm.encode()) / shorter).otherwise(0.0)
+    return rows.withColumns({"tier": tier, "raw": raw})
+
+
+def order() -> list:
+    """The order of hits; of equal ones the nearer to the top, then by place."""
+    return [F.col("tier").desc(), F.col("raw").desc(), F.col("depth"), F.col("path"), F.col("line"), F.col("id")]
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Hits with their score, without what the ranking alone needs."""
+    return rows.withColumn("score", F.col("tier") + squash(F.col("raw"))).drop("_display", "_name_norm", "_last_norm", "_qual_norm", "bm", "matched")
+
+
 def search_symbols(symbols: DataFrame, q: SearchQuery) -> DataFrame:
     """symbols: id, path, name, qualified, kind, language, signature, doc, depth, line. Ranked hits with tier, score, total, truncated.
 
@@ -138,23 +160,14 @@ def search_symbols(symbols: DataFrame, q: SearchQuery) -> DataFrame:
         return wanted.limit(0).withColumns({"tier": F.lit(0), "raw": F.lit(0.0), "score": F.lit(0.0), "total": F.lit(0).cast("long"), "truncated": F.lit(False)})
     scores = bm25_direct(symbols, "id", q.fields, terms, {"signature": SIGNATURE_TOKENS}).withColumnRenamed("score", "bm")
     rows = wanted.join(scores, "id", "left")
-    exact = F.lit(qnorm).isin(F.col("_name_norm"), F.col("_last_norm"), F.col("_qual_norm"))
-    prefix = F.startswith("_name_norm", F.lit(qnorm)) | F.startswith("_last_norm", F.lit(qnorm))
-    tier = F.when(exact, EXACT).when(prefix, PREFIX).when(F.col("matched") > 0, TOKEN).otherwise(0)
-    raw = F.coalesce("bm", F.lit(0.0))
-    raw = raw + F.when(exact & F.lit(q.text).isin(F.col("name"), F.col("_display"), F.col("qualified")), 1000.0).otherwise(0.0)
-    shorter = F.greatest(F.least(F.octet_length("_name_norm"), F.octet_length("_last_norm")), F.lit(1))
-    raw = raw + F.when(~exact & prefix, len(qnorm.encode()) / shorter).otherwise(0.0)
-    rows = rows.withColumns({"tier": tier, "raw": raw}).where("tier > 0")
+    rows = tiered(rows, q.text, qnorm).where("tier > 0")
     if q.fuzzy and not rows.limit(1).count():
         grams = trigrams(F.lit(qnorm))
         rows = wanted.withColumns({"bm": F.lit(None).cast("double"), "matched": F.lit(None).cast("long"), "_d": osa_distance(F.lit(qnorm), F.col("_last_norm"))})
         rows = rows.withColumns({"tier": F.lit(FUZZY), "raw": fuzzy_score(F.col("_d"), jaccard(grams, trigrams(F.col("_last_norm"))), F.lit(qnorm), F.col("_last_norm"))}).where("raw > 0").drop("_d")
-    rows = rows.withColumn("score", F.col("tier") + squash(F.col("raw")))
     from corvane.operators.budget import with_totals
 
-    order = [F.col("tier").desc(), F.col("raw").desc(), F.col("depth"), F.col("path"), F.col("line"), F.col("id")]
-    return with_totals(rows.drop("_display", "_name_norm", "_last_norm", "_qual_norm", "bm", "matched"), order, q.limit)
+    return with_totals(scored(rows), order(), q.limit)
 
 
 def nearest_names(names: DataFrame, column: str, query: str, n: int = 5) -> DataFrame:

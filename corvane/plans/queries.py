@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, outline, paths, search, snapshot, task, verdicts
+from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, outline, paths, search, snapshot, stored_index, task, verdicts
 from corvane.sources import readers
 from corvane.streaming import gate as gates
 
@@ -98,6 +99,55 @@ def search_parts_tiers(spark, d):
     return hits.select("id", "tier", t.round_half_up(F.col("score"), 3).alias("score"), "total")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints."""
+    graph.cut(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def _stored_parts(spark, d) -> str:
+    """The index of all parts, made once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = scratch(spark, "search-index")
+        stored_index.write(_part_symbols(spark, d), path, {"name": 3.0, "qualified": 1.5, "signature": 1.0}, buckets=16)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+@query(_TIERS)
+def search_stored_parts(spark, d):
+    """The hits of the symbol search from an index on disk: the buckets of its terms and names alone."""
+    q = search.SearchQuery("red bolt", limit=0, fields={"name": 3.0, "qualified": 1.5, "signature": 1.0})
+    hits = stored_index.search_stored(spark, _stored_parts(spark, d), q, 16)
+    return hits.select("id", "tier", t.round_half_up(F.col("score"), 3).alias("score"), "total")
+
+
+@query(f"select id, tier, score from ({_TIERS.replace('raw desc, id', 'raw desc, id limit 25')})")
+def search_stored_top(spark, d):
+    """Its first twenty-five, with blocks left closed that cannot hold one of them."""
+    q = search.SearchQuery("red bolt", limit=25, fields={"name": 3.0, "qualified": 1.5, "signature": 1.0})
+    hits = stored_index.search_stored(spark, _stored_parts(spark, d), q, 16, totals=False)
+    return hits.select("id", "tier", t.round_half_up(F.col("score"), 3).alias("score"))
+
+
+@query(_TIERS.replace("from part)", "from part where p_partkey % 5 <> 1 union all select p_partkey, p_name || ' bolt', p_brand || '.' || p_name || ' bolt', p_type from part where p_partkey % 5 = 1 and p_partkey % 10 <> 1)", 1))
+def search_stored_changes(spark, d):
+    """The same after a fifth of the files changed and half of these went: a segment over the first one."""
+    parts = _part_symbols(spark, d).withColumn("path", F.concat(F.lit("part"), "id"))
+    fields = {"name": 3.0, "qualified": 1.5, "signature": 1.0}
+    path = scratch(spark, "search-index")
+    stored_index.write(parts, path, fields, buckets=16)
+    name = lambda c: F.concat(c, F.lit(" bolt"))
+    fresh = parts.where("id % 5 = 1 and id % 10 <> 1").withColumns({"name": name("name"), "qualified": name("qualified")})
+    stored_index.upsert(fresh, parts.where("id % 5 = 1").select("path"), path, 1, fields, buckets=16, ratio=2.0)
+    hits = stored_index.search_stored(spark, path, search.SearchQuery("red bolt", limit=0, fields=fields), 16)
+    return hits.select("id", "tier", t.round_half_up(F.col("score"), 3).alias("score"), "total")
+
+
 @query(r"""select lang, source, count(*) as candidates from documents where lower(lang) in ('en', 'de') and regexp_matches(source, '^src1[^/]*$') and not regexp_matches(source, '^src1[3-5]$') group by lang, source""")
 def search_filters(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("path"), F.col("lang").alias("language"), "doc_id")

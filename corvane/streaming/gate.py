@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from corvane.sources import segments
+
 #: Fixed values, in milliseconds: a result is stable after SETTLE; GRACE without any progress; TIMEOUT in all.
 SETTLE, GRACE, TIMEOUT = 750, 500, 30_000
 
@@ -228,46 +230,38 @@ def diagnostics_settled(published: DataFrame, opened: DataFrame, now_ms: int, se
     return rows.select("server", "missing", F.coalesce(quiet, F.lit(False)).alias("quiet"), ((F.col("missing") == 0) & F.coalesce(quiet, F.lit(False))).alias("complete"))
 
 
-def maintain(snapshots: DataFrame, table_path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], keep: int = 3):
+def maintain(snapshots: DataFrame, table_path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], keep: int = 3, ratio: float = 0.5):
     """A query that keeps an index table up to date from a stream of file versions (path, size, mtime_ns, hash, content, removed).
 
-    Every batch takes the last version of each path, leaves out those whose hash the table has, builds rows for the rest
-    and writes a new version of the table; a pointer file names the current one, so readers see whole versions only. The last keep versions stay. A batch without changes writes nothing.
+    Every batch takes the last version of each path, leaves out those whose hash the table has, and writes the rows of the
+    rest as a segment that takes the place of what the table says of these paths: a batch writes what changed. Readers see
+    whole versions, a batch that comes again does nothing, and segments are merged when they outgrow a share (ratio) of
+    the first. The last keep versions stay. A batch without changes writes nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        from corvane.operators.snapshot import upsert
-
         spark = batch.sparkSession
         newest = Window.partitionBy("path").orderBy(F.col("mtime_ns").desc())
-        last = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+        last = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").persist()
         before = current(spark, table_path)
         if before is not None:
-            old = before.select("path", F.col("hash").alias("_hash")).distinct()
-            last = last.join(old, "path", "left").where("removed or _hash is null or _hash <> hash").drop("_hash")
-        last = last.persist()
-        if before is not None and last.isEmpty():
-            return
-        rows = build(last.where("not removed"))
-        changes = last.select("path", F.when(F.col("removed"), "deleted").otherwise("changed").alias("change"))
-        table = rows if before is None else upsert(before, changes, rows, "path")
-        table.write.mode("overwrite").parquet(f"{table_path}/v{number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").parquet(f"{table_path}/current")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v{number - keep}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            paths = last.select(F.col("path").alias("_path"))
+            old = before.join(paths, before["path"] == paths["_path"], "left_semi").select("path", F.col("hash").alias("_hash")).distinct()
+            changed = last.join(old, "path", "left").where("case when removed then _hash is not null else _hash is null or _hash <> hash end").drop("_hash").persist()
+            if changed.isEmpty():
+                return
+        else:
+            changed = last
+        segments.commit(spark, table_path, number, {"rows": build(changed.where("not removed"))}, changed.select("path"), ratio=ratio, keep=keep)
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def current(spark, table_path: str) -> DataFrame | None:
     """The newest whole version of a maintained table; None before the first."""
-    try:
-        version = spark.read.schema("version long").parquet(f"{table_path}/current").agg(F.max("version")).first()[0]
-    except Exception as e:  # the folder isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if segments.manifest(spark, table_path) is None:
         return None
-    return None if version is None else spark.read.parquet(f"{table_path}/v{version}")
+    return segments.live(spark, table_path, "rows", "path").drop("_segment")
 
 
 def stream_results(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

@@ -183,6 +183,17 @@ def test_innermost_against_all_pairs(spark):
     assert {(r["f"], r["at"]): r["k"] for r in got} == want
 
 
+def test_ranges_meet_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    span = lambda k: (k % 3, k, s := rng.randint(-300, 300), s + rng.choice([0, 0, 1, 2, 7, 8, 63, 64, 500, -1]))
+    a, b = [span(k) for k in range(150)], [span(k) for k in range(120)] + [(0, 120, -1000, 1000)]
+    got = intervals.meets(spark.createDataFrame(a, "f int, i int, s int, e int"), spark.createDataFrame(b, "f int, j int, x int, y int"), "f", "s", "e", "x", "y").collect()
+    want = {(i, j) for f, i, s, e in a for g, j, x, y in b if f == g and s <= e and x <= y and s <= y and x <= e}
+    assert len(got) == len(want) and {(r["i"], r["j"]) for r in got} == want and set(got[0].asDict()) == set("fisejxy")
+
+
 def test_overlap_counts_against_all_pairs(spark):
     import random
 
