@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import StringType
 
 #: An identifier's parts: runs of capitals, capitalised words, letters without case, digits.
 PARTS = r"(\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|[\p{Lt}\p{Lm}\p{Lo}]+|\p{Nd}+)"
@@ -40,26 +40,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def osa(a: str, b: str) -> int:
-    """Edit distance in which a swap of neighbours counts once and no part is edited twice."""
-    if a == b:
-        return 0
-    older: list[int] = []
-    old = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(new[-1] + 1, old[j] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            new.append(cost)
-        older, old = old, new
-    return old[-1]
-
-
-@F.pandas_udf(IntegerType())
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
+def osa_distance(a: Column, b: Column) -> Column:
+    """Edit distance in which a swap of neighbours counts once and no part is edited twice; null if either is.
+
+    Without two neighbours of one text that stand swapped in the other it is the built-in distance; else the table of
+    distances is folded row by row, with the two rows before and the letter before at hand.
+    """
+    xs, ys = (F.regexp_extract_all(c, F.lit("(?s)(.)"), 1) for c in (a, b))
+    n, m = F.size(xs), F.size(ys)
+    pairs = lambda zs, k, swapped: F.when(k < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: F.concat(F.get(zs, i), F.get(zs, i - 1)) if swapped else F.concat(F.get(zs, i - 1), F.get(zs, i))))
+    swaps = F.arrays_overlap(F.filter(pairs(xs, n, True), lambda p: F.left(p, F.lit(1)) != F.right(p, F.lit(1))), pairs(ys, m, False))
+
+    def cell(acc, x, row, j):
+        ordinary = F.least(F.get(row, j - 1) + 1, F.get(acc.old, j) + 1, F.get(acc.old, j - 1) + (x != F.get(ys, j - 1)).cast("int"))
+        swapped = (F.get(acc.old, F.lit(0)) >= 1) & (j >= 2) & (x == F.get(ys, j - 2)) & (acc.before == F.get(ys, j - 1))
+        return F.concat(row, F.array(F.when(swapped, F.least(ordinary, F.get(acc.older, j - 2) + 1)).otherwise(ordinary)))
+
+    def row_of(acc, x):
+        return F.aggregate(F.sequence(F.lit(1), m), F.array(F.get(acc.old, F.lit(0)) + 1), lambda row, j: cell(acc, x, row, j))
+
+    first = F.sequence(F.lit(0), m)
+    start = F.struct(first.alias("older"), first.alias("old"), F.lit("").alias("before"))
+    folded = F.aggregate(xs, start, lambda acc, x: F.struct(acc.old.alias("older"), row_of(acc, x).alias("old"), x.alias("before")), lambda acc: F.element_at(acc.old, -1))
+    return F.when((n > 1) & (m > 1) & swaps, folded).otherwise(F.levenshtein(a, b))
 
 
 def fuzzy_score(distance: Column, similarity: Column, a: Column, b: Column) -> Column:

@@ -249,6 +249,31 @@ def chain_depth(rows: DataFrame, key: str, parent: str, most: int = 64) -> DataF
     return at.select(F.col("k").alias(key), "depth")
 
 
+def nearest_ancestor(rows: DataFrame, key: str, parent: str, wanted: Column, most: int = 1 << 20) -> DataFrame:
+    """Each row's nearest ancestor for which wanted holds: key and ancestor (null: none in `most` steps).
+
+    By pointer doubling that carries what was found: a row knows the nearest one of its first n ancestors and the n-th,
+    and takes from that one the next n. Rows that know their answer take no part in later rounds.
+    """
+    own = rows.select(F.col(key).alias("k"), F.col(parent).alias("up"), F.when(wanted, F.col(key)).alias("own"))
+    above = own.select(F.col("k").alias("up"), F.col("own").alias("near"), F.lit(True).alias("there"))
+    at = cut(own.join(above, "up", "left").select("k", F.when(F.col("there"), F.col("up")).alias("up"), "near"))
+    done, steps = None, 1
+    while steps < most:
+        ready = at.where("near is not null or up is null").select("k", F.col("near").alias("ancestor"))
+        done = ready if done is None else done.unionByName(ready)
+        rest = at.where("near is null and up is not null")
+        if not rest.limit(1).count():
+            return done.withColumnRenamed("k", key)
+        far = at.select(F.col("k").alias("up"), F.col("up").alias("_up"), F.col("near").alias("_near"))
+        # ancestors that are done already keep what they know
+        known = done.select(F.col("k").alias("up"), F.lit(None).cast(rows.schema[parent].dataType).alias("_up"), F.col("ancestor").alias("_near"))
+        far = cut(far.where("_near is null and _up is not null").unionByName(known))
+        at = cut(rest.join(far, "up", "left").select("k", F.col("_up").alias("up"), F.col("_near").alias("near")))
+        steps *= 2
+    return done.unionByName(at.select("k", F.col("near").alias("ancestor"))).withColumnRenamed("k", key)
+
+
 def hierarchy(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500) -> DataFrame:
     """Depth-first listing of callers or callees, or of super- or subtypes: path, id, depth, repeat; children by id.
 

@@ -102,11 +102,33 @@ def confidence(exported: Column, sensitive: Column, kind: Column, can_implement:
 
 
 def unreferenced(candidates: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
-    """Candidates without a reference from outside their own lines. references: key, path, line."""
-    own = candidates.select(F.col(key).alias("_k"), F.col("path").alias("_p"), "line", "end_line")
-    inside = (references["path"] == own["_p"]) & references["line"].between(own["line"], own["end_line"])
-    used = references.join(own, (references[key] == own["_k"]) & inside, "left_anti")
-    return candidates.join(used.select(key), key, "left_anti")
+    """Candidates without a reference from outside their own lines. references: key, path, line. They meet the candidates'
+    own references only."""
+    own = candidates.select(F.col(key).alias("_k"), F.col("path").alias("_p"), F.col("line").alias("_a"), F.col("end_line").alias("_b"))
+    inside = F.col("path").eqNullSafe(F.col("_p")) & F.coalesce(F.col("line").between(F.col("_a"), F.col("_b")), F.lit(False))
+    used = references.select(key, "path", "line").join(own, F.col(key) == F.col("_k")).where(~inside)
+    return candidates.join(used.select(F.col("_k").alias(key)).distinct(), key, "left_anti")
+
+
+def with_local(symbols: DataFrame, parent: str = "parent") -> DataFrame:
+    """symbols (id, kind, parent: an id) with local: declared inside a function or method, however deep."""
+    from corvane.operators.graph import nearest_ancestor
+
+    inside = nearest_ancestor(symbols, "id", parent, F.col("kind").isin("function", "method"))
+    return symbols.join(inside, "id", "left").withColumn("local", F.col("ancestor").isNotNull()).drop("ancestor")
+
+
+def with_sensitive(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """symbols with sensitive: their file (path, text) is one that only some builds see. Only Go has such files."""
+    marks = files.select("path", build_sensitive(F.col("path"), F.coalesce("text", F.lit(""))).alias("_s"))
+    marked = symbols.join(marks, "path", "left")
+    return marked.withColumn("sensitive", (F.col("language") == "go") & F.coalesce("_s", F.lit(False))).drop("_s")
+
+
+def excluded_counts(symbols: DataFrame, include_exported: bool = False, ignore_names: list[str] = (), ignore_paths: list[str] = ()) -> DataFrame:
+    """What a sweep leaves out before it asks for uses: reason (null: what is looked at) and n."""
+    reason = exclusion("language", "name", "kind", "path", F.col("local"), F.col("exported"), include_exported, ignore_names, ignore_paths)
+    return symbols.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def reference_verdict(ambiguous: Column, semantic: Column, text_only: Column) -> Column:
@@ -186,8 +208,8 @@ def counted_unless_ambiguous(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def dead_code(symbols: DataFrame, references: DataFrame, include_exported: bool = False, after: tuple | None = None, limit: int = 50, budget: int = 100, ignore_names: list[str] = (), ignore_paths: list[str] = ()) -> DataFrame:
-    """A page of symbols that nothing refers to. symbols: id, path, language, name, kind, line, end_line, local, exported,
-    sensitive, can_implement, implements; references: id, path, line.
+    """A page of symbols that nothing refers to. symbols: id, path, language, name, kind, line, end_line, local (see
+    with_local), exported, sensitive (see with_sensitive), can_implement, implements; references: id, path, line.
 
     Exclusions come first, so that the budget is spent on candidates: the first budget of them after the key are looked
     at, those without use from outside their lines remain, with how sure that is.
@@ -197,7 +219,7 @@ def dead_code(symbols: DataFrame, references: DataFrame, include_exported: bool
     reason = exclusion("language", "name", "kind", "path", F.col("local"), F.col("exported"), include_exported, ignore_names, ignore_paths)
     kinds = ("function", "method", "class", "struct", "interface", "enum", "constant")
     candidates = symbols.where(F.col("kind").isin(*kinds)).withColumn("excluded", reason).where("excluded is null and not implements")
-    page = keyset_page(candidates, ["path", "line", "id"], after, budget)
+    page = F.broadcast(keyset_page(candidates, ["path", "line", "id"], after, budget))  # budget rows
     free = unreferenced(page, references)
     sure = confidence(F.col("exported"), F.col("sensitive"), F.col("kind"), F.col("can_implement"), F.col("language").isin(*REFLECTIVE))
     return free.select("path", "line", "id", "name", "kind", sure.alias("confidence")).orderBy("path", "line", "id").limit(limit)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import doc
 from corvane.functions import text as t
 from corvane.operators import budget, graph, grep, history, outline, paths, search, snapshot, task, verdicts
-from corvane.plans.queries import LINES, ORACLE_SQL, QUERIES, _EDGES, _edges, _part_symbols, _sql_grams, query, sql_round, table
+from corvane.plans.queries import _OSA, LINES, ORACLE_SQL, QUERIES, _EDGES, _edges, _part_symbols, _sql_grams, query, sql_round, table
 from corvane.streaming import gate as gates
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -288,12 +288,19 @@ def fuzzy_scores(spark, d):
     return rows.withColumn("s", s).where("s > 0").select("name", t.round_half_up(F.col("s"), 6).alias("score"))
 
 
-@query("select name, 1 as tier from (select distinct p_name as name from part where p_name in ('red bolt', 'red belt'))")
+_FUZZY_HIT = "greatest(0.001::double, ((1 - distance / cast(greatest(7, length(norm), 1) as double)) + sim) / 2)"
+
+
+@query(
+    f"""{_OSA[: _OSA.index("g as (select *")]}g as (select *, {_sql_grams("'redbotl'")} as a, {_sql_grams('norm')} as b from d),
+s as (select *, len(list_intersect(a, b)) / cast(len(list_distinct(list_concat(a, b))) as double) as sim from g), h as (select *, {_FUZZY_HIT} as raw from s where distance <= 1 or sim >= 0.3)
+select p_partkey as id, p_name as name, 1 as tier, {sql_round("1 + raw / (1 + raw)", 6)} as score, count(*) over () as total from part join h on h.name = p_name"""
+)
 def fuzzy_fallback(spark, d):
-    """A search that finds nothing turns to near names: one swap away."""
+    """A search that finds nothing turns to near names: all of them, with their scores."""
     parts = _part_symbols(spark, d).withColumns({"qualified": F.col("name"), "signature": F.lit("")})
     hits = search.search_symbols(parts, search.SearchQuery("redbotl", limit=0, fuzzy=True))
-    return hits.where(F.col("name").isin("red bolt", "red belt")).select("name", "tier").distinct()
+    return hits.select("id", "name", "tier", t.round_half_up(F.col("score"), 6).alias("score"), "total")
 
 
 @query("select 'no symbol named bolt_red: token matches' as notice, count(*) as hits from part where p_name like '%red%' or p_name like '%bolt%'")

@@ -206,6 +206,29 @@ def dead_code_page(spark, d):
     return got.withColumn("path", F.regexp_replace(F.element_at(F.split("path", r"\|"), -1), "^0+(?=[0-9])", ""))
 
 
+_SWEPT = """s as (select l_orderkey * 10 + l_linenumber as id, case when l_linenumber > 1 then l_orderkey * 10 + l_linenumber - 1 - (l_suppkey % least(2, l_linenumber - 1)) end as parent, ['struct', 'method', 'variable', 'function', 'enum'][1 + l_partkey % 5] as kind,
+  case when l_suppkey % 7 = 0 then 'main' when l_suppkey % 7 = 1 then 'String' else 'run' || l_partkey end as name, 'p' || (l_suppkey % 50) || case when l_suppkey % 11 = 0 then '_test.go' when l_suppkey % 3 = 0 then '_linux.go' else '.go' end as path, l_quantity > 30 as exported from (select distinct l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity from lineitem group by all))"""
+
+
+def _swept(spark, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity")])
+    line, supp, key = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    kind = F.element_at(F.array(*map(F.lit, ("struct", "method", "variable", "function", "enum"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    name = F.when(supp % 7 == 0, "main").when(supp % 7 == 1, "String").otherwise(F.concat(F.lit("run"), "l_partkey"))
+    path = F.concat(F.lit("p"), (supp % 50).cast("string"), F.when(supp % 11 == 0, "_test.go").when(supp % 3 == 0, "_linux.go").otherwise(".go"))
+    return li.select(key.alias("id"), F.when(line > 1, key - 1 - supp % F.least(F.lit(2), line - 1)).alias("parent"), kind.alias("kind"), name.alias("name"), path.alias("path"), F.lit("go").alias("language"), F.when(F.col("l_quantity") > 30, "yes").otherwise("no").alias("exported"))
+
+
+@query(
+    f"""with recursive {_SWEPT}, up as (select id, parent, false as local from s union all select up.id, s.parent, s.kind in ('function', 'method') from up join s on s.id = up.parent where not local),
+l as (select id, bool_or(local) as local from up group by id)
+select case when path like '%\\_test.go' escape '\\' then 'test_file' when name = 'main' then 'entry_point' when name = 'String' and kind = 'method' then 'ignored' when local then 'local' when exported then 'exported' end as reason, count(*) as n from s join l using (id) group by reason"""
+)
+def dead_code_reasons(spark, d):
+    """Lines of orders as nested symbols: which of them a sweep leaves out and why; locals by their ancestors."""
+    return verdicts.excluded_counts(verdicts.with_local(_swept(spark, d)))
+
+
 _BLAST = f"""with {_SYMBOLS}, refs as (select o_orderkey % 40 as id, o_custkey + (l_linenumber % 2) as path, {_DAY.format('l_shipdate')} as line from lineitem join orders on o_orderkey = l_orderkey where l_linenumber > 2),
 spots as (select path, line, count(*) as n from refs where id = 7 group by path, line),
 held as (select a.path, a.line, a.n, s.id, row_number() over (partition by a.path, a.line order by s.end_line - s.line, s.id desc) as k from spots a left join symbols s on s.path = a.path and a.line between s.line and s.end_line),

@@ -23,13 +23,26 @@ def test_normalise(spark):
     assert rows.where(t.normalise(F.col("a")) != F.col("b")).count() == 0
 
 
-@pytest.mark.parametrize("a,b,d", DISTANCES)
-def test_osa(a, b, d):
-    assert t.osa(a, b) == t.osa(b, a) == d
+def osa(a, b):
+    older, old = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(new[-1] + 1, old[j] + 1, old[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, older[j - 2] + 1)
+            new.append(cost)
+        older, old = old, new
+    return old[-1]
 
 
 def test_osa_column(spark):
-    rows = spark.createDataFrame(DISTANCES + [(None, "a", None)], "a string, b string, d int")
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abc\U0001f600é", k=rng.randint(0, 8)))
+    more = [(x := word(), y := word(), osa(x, y)) for _ in range(400)]
+    rows = spark.createDataFrame(DISTANCES + [(b, a, d) for a, b, d in DISTANCES] + more + [(None, "a", None), ("a", None, None)], "a string, b string, d int")
     assert rows.where(~t.osa_distance("a", "b").eqNullSafe(F.col("d"))).count() == 0
 
 

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import graph
 
@@ -182,3 +183,18 @@ def test_symbol_depth_walks_the_whole_chain(spark, tmp_path):
 
     spark.range(100).selectExpr("1L as conv_id", "cast(id as int) as turn").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r["turn"]: r["depth"] for r in queries.symbol_depth(spark, str(tmp_path)).collect()} == {k: k for k in range(100)}
+
+
+def test_nearest_ancestor(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(k) if k and rng.random() < 0.97 else (None if rng.random() < 0.5 else 10_000), rng.random() < 0.15) for k in range(150)]
+    rows += [(200 + k, 199 + k if k else None, k == 0) for k in range(70)]  # a chain whose top alone is wanted
+    of = {k: (p, w) for k, p, w in rows}
+
+    def near(k):
+        while (k := of[k][0]) in of:
+            if of[k][1]:
+                return k
+
+    got = graph.nearest_ancestor(spark.createDataFrame(rows, "id int, parent int, w boolean"), "id", "parent", F.col("w")).collect()
+    assert len(got) == len(rows) and {r["id"]: r["ancestor"] for r in got} == {k: near(k) for k in of}
