@@ -13,6 +13,10 @@ from pyspark.sql.types import StringType
 PARTS = r"(\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|[\p{Lt}\p{Lm}\p{Lo}]+|\p{Nd}+)"
 
 
+#: For bytes.translate: A-Z to a-z.
+LOWER_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
 def tokenize(c: Column) -> Column:
     """Camel, snake, acronym, digit and script parts, lower-cased."""
     return F.transform(F.regexp_extract_all(c, F.lit(PARTS), 1), F.lower)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from corvane.sources import segments
+
 EDITS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("new", StringType())]))
 
 
@@ -81,6 +83,13 @@ def merge_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([merge_edits(plain(x), plain(y)) for x, y in zip(a, b)])
 
 
+def edited(text: Column, edits: Column) -> Column:
+    """A text after sorted edits (start, end, new) that are known to lie inside it and apart."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda acc, e: F.struct(F.concat(acc.out, F.substring(text, acc.at + 1, e.start - acc.at), e.new).alias("out"), e.end.alias("at"))
+    return F.aggregate(edits, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+
+
 def apply_transaction(documents: DataFrame, edits: DataFrame, group: str) -> DataFrame:
     """documents (uri, text, version, group) after edits (uri, start, end, new_text, version), each group whole or not at all:
     one edit with a problem leaves all texts of its group as they are. Adds applied and the group's first problem."""
@@ -89,10 +98,38 @@ def apply_transaction(documents: DataFrame, edits: DataFrame, group: str) -> Dat
     known = documents.select("uri", "version", F.length("text").alias("length"))
     checked = validate_edits(edits, known)
     groups = checked.join(documents.select("uri", group), "uri").groupBy(group).agg(F.min("problem").alias("problem"))
-    lists = edits.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("new_text").alias("new")))).alias("_edits"))
+    one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("new_text", F.lit("")).alias("new"))
+    lists = edits.groupBy("uri").agg(F.sort_array(F.collect_list(one)).alias("_edits"))
     rows = documents.join(lists, "uri", "left").join(groups.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     applied = F.col("problem").isNull() & F.col("_edits").isNotNull()
-    return rows.withColumn("text", apply_udf("text", F.when(applied, F.col("_edits")))).withColumn("applied", applied).drop("_edits")
+    return rows.withColumn("text", F.when(applied, edited(F.col("text"), F.col("_edits"))).otherwise(F.col("text"))).withColumn("applied", applied).drop("_edits")
+
+
+def store_documents(documents: DataFrame, path: str) -> None:
+    """documents (uri, text, version, and what groups them) as the first version of a stored table."""
+    segments.commit(documents.sparkSession, path, 0, {"documents": documents, "outcomes": documents.limit(0).select("uri", F.lit(False).alias("applied"), F.lit("").alias("problem"))}, documents.select("uri"))
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    return segments.live(spark, path, "documents", "uri").drop("_segment")
+
+
+def commit_edits(spark: SparkSession, path: str, edits: DataFrame, group: str) -> bool:
+    """Applies edits to stored documents: the changed texts are staged with a version one higher, and one manifest makes
+    all groups without a problem current at once. A run that dies before leaves the old state whole. False, and nothing
+    is written, if another writer was first: its texts are not the ones that were read. What became of each document with
+    edits is in `outcomes`."""
+    now = segments.manifest(spark, path)
+    rows = apply_transaction(stored_documents(spark, path), edits, group)
+    changed = rows.where("applied").withColumn("version", F.col("version") + 1).drop("applied", "problem")
+    said = rows.join(edits.select("uri").distinct(), "uri", "left_semi").select("uri", "applied", F.coalesce("problem", F.lit("")).alias("problem"))
+    return segments.commit(spark, path, now["number"] + 1, {"documents": changed, "outcomes": said}, changed.select("uri"), expected=now["number"])
+
+
+def outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """uri, applied and problem ('' for none) of the last commit."""
+    newest = segments.parts(spark, path, "outcomes")
+    return newest.where(F.col("_segment") == len(segments.manifest(spark, path)["segments"]) - 1).drop("_segment")
 
 
 def preview(documents: DataFrame, edits: DataFrame) -> DataFrame:

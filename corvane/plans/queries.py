@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, outline, paths, search, snapshot, stored_index, task, verdicts
+from corvane.operators import budget, diffs, graph, grep, history, imports, intervals, outline, paths, search, signatures, snapshot, stored_index, task, verdicts
 from corvane.sources import readers
 from corvane.streaming import gate as gates
 
@@ -210,6 +210,15 @@ def grep_regex(spark, d):
     return _grep(spark, d, r"[a-z]+\.[0-9]{2}@mail[0-9]", regex=True)
 
 
+@query(_grep_sql("(worthless|thanedble) [a-z]+"))
+def grep_signed(spark, d):
+    """A choice of words by stored signatures: the texts that hold the runs of one of them."""
+    path = scratch(spark, "signatures")
+    signatures.store(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", path, buckets=16)
+    hits = signatures.search(spark, path, "doc_id", "(worthless|thanedble) [a-z]+", regex=True, case=True)
+    return hits.select("doc_id", F.col("line").cast("long").alias("line"), F.col("col").cast("int").alias("col"), F.col("hits").cast("int").alias("hits"))
+
+
 @query(rf"""with {LINES} select doc_id, line, cast(1 as int) as found from lines where regexp_matches(text, '(?i)(?:^|[^\p{{L}}\p{{Nd}}_])idiot(?:$|[^\p{{L}}\p{{Nd}}_])')""")
 def grep_word(spark, d):
     return _grep(spark, d, "idiot", word=True).select("doc_id", "line", F.lit(1).alias("found"))

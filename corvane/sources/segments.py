@@ -67,7 +67,7 @@ def size(spark: SparkSession, path: str, segment: str) -> int:
     return fs.getContentSummary(folder).getLength()
 
 
-def commit(spark: SparkSession, path: str, number: int, tables: dict[str, DataFrame], gone: DataFrame, partition: tuple[str, ...] = (), ratio: float = RATIO, keep: int = KEEP, remake: Callable[[], dict[str, DataFrame]] | None = None) -> bool:
+def commit(spark: SparkSession, path: str, number: int, tables: dict[str, DataFrame], gone: DataFrame, partition: tuple[str, ...] = (), ratio: float = RATIO, keep: int = KEEP, remake: Callable[[], dict[str, DataFrame]] | None = None, expected: int | None = None) -> bool:
     """Adds a segment with rows of each table, in place of all earlier rows whose key is in gone (its only column; the
     tables have it too). The keys of the rows must be in gone unless they are new. remake: gives the tables of a merge, where
     they are more than their live rows. Whether anything was done."""
@@ -81,7 +81,10 @@ def commit(spark: SparkSession, path: str, number: int, tables: dict[str, DataFr
     gone.distinct().write.parquet(f"{path}/{name}/gone")
     segments = [*(before["segments"] if before else []), name]
     schemas = {t: rows.schema.jsonValue() for t, rows in (tables | {"gone": gone}).items()}
-    if not _publish(spark, path, number, 0, segments, schemas):
+    latest = manifest(spark, path)
+    if (latest and latest["number"]) != (before and before["number"]) or not _publish(spark, path, number, 0, segments, schemas):
+        fs, folder = _fs(spark, f"{path}/{name}")
+        fs.delete(folder, True)
         return False
     later = sum(size(spark, path, s) for s in segments[1:])
     if later > ratio * size(spark, path, segments[0]):
