@@ -406,6 +406,40 @@ def task_neighbourhood(spark, d):
     return task.neighbourhood({"callers": rel("l_suppkey"), "imports": rel("l_orderkey")}, "key", "at", {"callers": 2})
 
 
+def _sql_filled(items: str, used: str, ceiling: str, ends: bool, first: bool = False) -> str:
+    """Items that fit under a ceiling, in order, folded in lists."""
+    fits = f"(acc.used + x.cost <= {ceiling}" + (" or (len(acc.out) = 0 and not acc.closed)" if first else "") + ")" + (" and not acc.closed" if ends else "")
+    return f"list_reduce({items}, lambda acc, x: {{'used': acc.used + case when {fits} then x.cost else 0 end, 'out': case when {fits} then list_append(acc.out, x.id) else acc.out end, 'closed': acc.closed or not ({fits}), 'id': '', 'file': '', 'of': '', 'cost': 0::bigint}}, {{'used': ({used})::bigint, 'out': []::varchar[], 'closed': false, 'id': '', 'file': '', 'of': '', 'cost': 0::bigint}})"
+
+
+_ITEM = "{{'used': 0::bigint, 'out': []::varchar[], 'closed': false, 'id': {0}, 'file': {1}, 'of': {2}, 'cost': ({3})::bigint}}"
+_FILE_COST = "ceil((strlen({0}) + 30) / 4.0)"
+
+
+@query(
+    f"""with s as (select l_orderkey as t, l_linenumber as pos, 's' || l_linenumber as id, 'f' || (min(l_suppkey) % 4) || '.go' as file, cast(10 + min(l_quantity) * 3 as bigint) as cost, (min(l_partkey) % 40) * 100 as bytes, 1 + min(l_partkey) % 5 as rk, 'g' || (min(l_partkey) % 3) || '.go' as other from lineitem group by l_orderkey, l_linenumber),
+a as (select t, 20 + t % 100 as fixed, list({_ITEM.format("id", "file", "''", "cost")} order by pos) as sy, list({_ITEM.format("id", "''", "''", "ceil((bytes + 300) / 4.0)")} order by pos) as src, list({_ITEM.format("'r' || pos", "other", "id", "cost // 2")} order by rk, pos) as rel from s group by t),
+b as (select *, {_sql_filled("sy", "fixed", "fixed + 350", True, True)} as sr from a),
+c as (select *, list_reduce(list_filter(src, lambda x: list_contains(sr.out[1:3], x.id)), lambda acc, x: {{'used': acc.used + case when acc.used + x.cost <= 800 then x.cost when (800 - acc.used) * 4 - 300 >= 400 then 800 - acc.used else 0 end, 'out': case when acc.used + x.cost <= 800 or (800 - acc.used) * 4 - 300 >= 400 then list_append(acc.out, x.id) else acc.out end, 'closed': false, 'id': case when acc.used + x.cost > 800 and (800 - acc.used) * 4 - 300 >= 400 then acc.id || x.id || ':' || ((800 - acc.used) * 4 - 300) || ' ' else acc.id end, 'file': '', 'of': '', 'cost': 0::bigint}}, {{'used': sr.used, 'out': []::varchar[], 'closed': false, 'id': '', 'file': '', 'of': '', 'cost': 0::bigint}}) as tr,
+  list_filter(rel, lambda x: list_contains(sr.out, x.of)) as near, list_reduce(list_transform(list_filter(sy, lambda x: list_contains(sr.out, x.id)), lambda x: [x.file]), lambda acc, x: case when list_contains(acc, x[1]) then acc else list_concat(acc, x) end, []::varchar[]) as fs from b),
+d as (select *, {_sql_filled("near", "tr.used", f"1000 - list_sum(list_transform(fs, lambda f: {_FILE_COST.format('f')}))", False)} as rr from c),
+e as (select *, list_concat(fs, list_sort(list_distinct(list_filter(list_transform(list_filter(near, lambda x: list_contains(rr.out, x.id)), lambda x: x.file), lambda f: not list_contains(fs, f))))) as al from d),
+f as (select *, {_sql_filled("list_transform(al, lambda g: " + _ITEM.format("g", "''", "''", _FILE_COST.format("g")) + ")", "rr.used", "1000", True)} as fr from e)
+select t, array_to_string(sr.out, ' ') as symbols, array_to_string(tr.out, ' ') as sources, trim(tr.id) as cut, array_to_string(rr.out, ' ') as related, array_to_string(fr.out, ' ') as files, fr.used as used from f"""
+)
+def task_capsule_sections(spark, d):
+    """Each order as a task: what of its lines' rows, sources, neighbours and files fits a thousand tokens."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("pos")).agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity")])
+    cost = (10 + F.col("l_quantity") * 3).cast("long")
+    of = li.select("t", "pos", F.concat(F.lit("s"), "pos").alias("id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string"), F.lit(".go")).alias("file"), cost.alias("cost"), (F.col("l_partkey") % 40 * 100).alias("bytes"), (1 + F.col("l_partkey") % 5).cast("int").alias("rk"), F.concat(F.lit("g"), (F.col("l_partkey") % 3).cast("string"), F.lit(".go")).alias("other"))
+    relation = F.element_at(F.array(*map(F.lit, task.RELATIONS)), F.col("rk"))
+    related = of.select("t", F.col("id").alias("of"), relation.alias("relation"), F.concat(F.lit("r"), "pos").alias("id"), F.col("other").alias("file"), F.floor(F.col("cost") / 2).alias("cost"))
+    tasks = of.select("t").distinct().withColumn("fixed", 20 + F.col("t") % 100)
+    got = task.assemble(tasks, of.select("t", "pos", "id", "file", "cost"), of.select("t", "id", "bytes"), related, "t", 1000)
+    cut = F.array_join(F.zip_with("cut", "cut_bytes", lambda i, b: F.concat_ws(":", i, b)), " ")
+    return got.select("t", *[F.array_join(c, " ").alias(c) for c in ("symbols", "sources", "related", "files")], cut.alias("cut"), "used")
+
+
 def _sql_spans(n: int, mark: str, put: str, of: str) -> str:
     """CTE that takes the names between one kind of marks out of a text."""
     prose = "regexp_matches(x, '[ \\t]')"
