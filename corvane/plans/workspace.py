@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as t
 from corvane.operators import diffs, graph, history, imports, intervals, outline, paths, search, snapshot, verdicts
-from corvane.plans.queries import ORACLE_SQL, QUERIES, query, sql_round, table
+from corvane.plans.queries import ORACLE_SQL, QUERIES, query, scratch, sql_round, table
 from corvane.sources import readers, sinks
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -364,6 +364,25 @@ def git_log_numstat(spark, d):
     return readers.parse_log(logs, "log").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("added").cast("long").alias("added"), F.count_if("binary").alias("binary"), F.countDistinct("author").alias("authors"))
 
 
+@query(ORACLE_SQL["git_log_numstat"])
+def git_log_files(spark, d):
+    """The same logs as text files, whose records are rows wherever a file is split."""
+    number = F.when(F.col("l_linenumber") % 4 == 0, "-").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    logs = _lines_of_orders(spark, d, F.concat(number, F.lit("\t"), number, F.lit("\tpart"), F.col("l_partkey").cast("string"))).select(_record(F.concat(F.col("tail"), F.lit("\n"))).alias("log"))
+    path = scratch(spark, "log")
+    logs.write.option("lineSep", "\u0001").text(path)
+    return readers.parse_log(readers.read_log(spark, path), "value").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("added").cast("long").alias("added"), F.count_if("binary").alias("binary"), F.countDistinct("author").alias("authors"))
+
+
+@query("select distinct p_brand || '/' || p_name || '-' || p_partkey as path from part")
+def git_listing_files(spark, d):
+    """A listing with zero bytes between paths as text files, with some paths twice."""
+    listed = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), "p_name", F.lit("-"), "p_partkey").alias("value"))
+    path = scratch(spark, "listing")
+    listed.unionByName(listed.where("length(value) % 2 = 0")).write.option("lineSep", "\u0000").text(path)
+    return readers.read_listing(spark, path)
+
+
 @query("select 'sha' || l_orderkey as sha, count(*) as files, min('part ' || l_partkey) as first from lineitem join orders on o_orderkey = l_orderkey group by l_orderkey")
 def git_log_names(spark, d):
     logs = _lines_of_orders(spark, d, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).select(_record(F.concat(F.col("tail"), F.lit("\n"))).alias("log"))
@@ -390,9 +409,9 @@ def git_diff_hunks(spark, d):
     return readers.parse_diff(texts, "o_orderkey", "diff").fillna(-1, ["old_start", "old_count", "new_start", "new_count"])
 
 
-@query(f"select 'sha' || o_orderkey as sha, 'au' || (o_orderkey % 9) as author, status, new_start from ({_DIFFS}) where o_orderkey % 4 = 1")
+@query(f"select 'sha' || o_orderkey as sha, 'au' || (o_orderkey % 9) as author, status, new_start from ({_DIFFS})")
 def git_log_patches(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 4 = 1").withColumn("o_orderdate", F.lit("2020-01-01"))
+    o = table(spark, d, "orders").withColumn("o_orderdate", F.lit("2020-01-01"))
     head = F.concat(F.lit("\u0001sha"), F.col("o_orderkey").cast("string"), F.lit("\u001fau"), (F.col("o_orderkey") % 9).cast("string"), F.lit("\u001f2020-01-01\u0002\n"))
     return readers.parse_patches(o.select(F.concat(head, _diff_text()).alias("log")), "log").select("sha", "author", "status", F.coalesce("new_start", F.lit(-1)).alias("new_start"))
 
@@ -416,12 +435,12 @@ def ignore_rules(spark, d):
     return table(spark, d, "part").select("p_partkey", path.alias("path")).where(readers.not_ignored(F.col("path"), _IGNORE))
 
 
-@query("""with k as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders where o_custkey <= 200)
+@query("""with k as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders)
 select 'c' || o_custkey || '.go' as path, 'c' || o_custkey || '.go::T.m' || (o_orderkey % 3) || '#method' || case when r = 1 then '' else '~' || r end as id, cast(o_orderkey % 1000 + 1 as int) as line, 1 as depth
 from (select *, row_number() over (partition by o_custkey, o_orderkey % 3 order by o_orderkey % 1000, n) as r from k)""")
 def lsp_document_symbols(spark, d):
     """Nested answers of a language server: ids with the container, numbered where they repeat."""
-    o = table(spark, d, "orders").where("o_custkey <= 200")
+    o = table(spark, d, "orders")
     at = F.struct(F.struct((F.col("o_orderkey") % 1000).alias("line")).alias("start"), F.struct((F.col("o_orderkey") % 1000).alias("line")).alias("end"))
     kid = F.struct(F.col("o_orderkey").alias("o"), F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")).alias("name"), F.lit(6).alias("kind"), at.alias("range"))
     span = F.struct(F.struct(F.lit(0).alias("line")).alias("start"), F.struct(F.lit(2000).alias("line")).alias("end"))
@@ -463,14 +482,14 @@ def text_lines(spark, d):
     return sinks.text_lines(table(spark, d, "part").withColumn("c", F.col("p_partkey") % 80), "p_brand", "p_size", "c", "p_name")
 
 
-@query("select count(*) as results, count(distinct event_type) as rules, count(*) filter (event_type = 'error') as errors, count(*) filter (event_type <> 'error') as notes from events where user_id <= 20")
+@query("select user_id, count(*) as results, count(distinct event_type) as rules, count(*) filter (event_type = 'error') as errors, count(*) filter (event_type <> 'error') as notes from events group by user_id")
 def sarif_report(spark, d):
-    """A report of some diagnostics, counted again from its text."""
-    e = table(spark, d, "events").where("user_id <= 20").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("line"), F.lit(1).alias("col"), F.when(F.col("event_type") == "error", "error").otherwise("hint").alias("severity"), F.col("event_type").alias("rule"), F.lit("m").alias("message"))
+    """A report of each user's diagnostics, counted again from its text."""
+    e = table(spark, d, "events").select("user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("line"), F.lit(1).alias("col"), F.when(F.col("event_type") == "error", "error").otherwise("hint").alias("severity"), F.col("event_type").alias("rule"), F.lit("m").alias("message"))
     run = F.from_json("sarif", "struct<runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string,level:string>>>>>")
-    r = sinks.sarif(e).select(run.alias("s")).select(F.col("s.runs")[0].alias("r"))
+    r = sinks.sarif(e, ["user_id"]).select("user_id", run.alias("s")).select("user_id", F.col("s.runs")[0].alias("r"))
     level = lambda name: F.size(F.filter("r.results", lambda x: x["level"] == name)).cast("long")
-    return r.select(F.size("r.results").cast("long").alias("results"), F.size("r.tool.driver.rules").cast("long").alias("rules"), level("error").alias("errors"), level("note").alias("notes"))
+    return r.select("user_id", F.size("r.results").cast("long").alias("results"), F.size("r.tool.driver.rules").cast("long").alias("rules"), level("error").alias("errors"), level("note").alias("notes"))
 
 
 @query("select p_brand as server, p_partkey as id, case when p_type = 'PROMO' then p_size + 1 else p_size end as v from part")
@@ -514,13 +533,13 @@ def edit_validation(spark, d):
     return got.where("problem is not null").select(F.col("uri").alias("doc_id"), "problem")
 
 
-@query("select doc_id, 2 as marks from documents where doc_id % 10 = 3")
+@query("select doc_id, case when text = '' then 1 else 2 end as marks, '+> ' || string_split(text, chr(10))[1] as line from documents where text is not null")
 def edit_preview(spark, d):
     """The difference that an edit would make: a line goes and a line comes."""
-    docs = table(spark, d, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("uri"), "text")
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("uri"), "text")
     edits = docs.select("uri", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("> ").alias("new_text"))
     lines = F.filter(F.split("diff", "\n"), lambda x: (F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---"))) | F.startswith(x, F.lit("+> ")))
-    return diffs.preview(docs, edits).select(F.col("uri").alias("doc_id"), F.size(lines).alias("marks"))
+    return diffs.preview(docs, edits).select(F.col("uri").alias("doc_id"), F.size(lines).alias("marks"), F.element_at(lines, -1).alias("line"))
 
 
 @query("select o_orderkey, case when o_orderkey % 3 = 1 then -1 else case when o_orderkey % 3 = 0 then 2 else 1 end end as edits from orders")

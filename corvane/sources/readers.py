@@ -31,6 +31,17 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", language_id(F.col("path")).alias("language"), "size", "mtime", F.sha2("content", 256).alias("hash"), "content")
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """value: one record of a version-control log in each row, read from text files of any size. Records begin with \\x01,
+    which is the row delimiter, so a large file is split among tasks and no row holds more than a commit."""
+    return spark.read.option("lineSep", "\u0001").text(path).where("value <> ''")
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """path of every file in listings of any size (zero bytes between paths), each once, in order."""
+    return spark.read.option("lineSep", "\u0000").text(path).select(F.col("value").alias("path")).where("path <> ''").distinct().orderBy("path")
+
+
 def parse_log(texts: DataFrame, column: str) -> DataFrame:
     """Records of \\x01 sha \\x1f author \\x1f date \\x02 numstat lines: sha, author, date, path, added, removed, binary."""
     records = texts.select(F.explode(F.split(column, "\u0001")).alias("r")).where("r <> ''")

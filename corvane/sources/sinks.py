@@ -20,14 +20,15 @@ def text_lines(rows: DataFrame, path: str, line: str, col: str, text: str) -> Da
     return rows.select(F.concat_ws(":", path, line, col, text).alias("value"))
 
 
-def sarif(diagnostics: DataFrame) -> DataFrame:
-    """diagnostics: path, line, col, severity, rule, message. One row: a SARIF text with every rule once."""
+def sarif(diagnostics: DataFrame, by: list[str] = ()) -> DataFrame:
+    """diagnostics: path, line, col, severity, rule, message. A SARIF text with every rule once, for each part (by: its
+    columns) or, without parts, one of all; a report is one text, so large ones are made by part."""
     level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("severity")), F.lit("none"))
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
-    one = diagnostics.agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "line", "col", "rule", result.alias("r")))), lambda x: x.r).alias("results"), F.sort_array(F.collect_set("rule")).alias("rules"))
+    one = diagnostics.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "line", "col", "rule", result.alias("r")))), lambda x: x.r).alias("results"), F.sort_array(F.collect_set("rule")).alias("rules"))
     driver = F.struct(F.struct(F.lit("corvane").alias("name"), F.transform("rules", lambda r: F.struct(r.alias("id"))).alias("rules")).alias("driver"))
-    return one.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results"))).alias("runs"))).alias("sarif"))
+    return one.select(*by, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results"))).alias("runs"))).alias("sarif"))
 
 
 def part_checksums(rows: DataFrame) -> DataFrame:

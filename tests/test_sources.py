@@ -134,3 +134,20 @@ def test_parts_of_other_servers_stay_and_damaged_ones_fall_out(spark, tmp_path):
     # a row more than the checksum knows of
     spark.createDataFrame([(9, "?", 1, 0, 1, "k", "a")], "id int, v string, part_rows long, part_sum long, schema_version int, build string, server string").write.mode("append").partitionBy("server").parquet(path)
     assert {r["server"] for r in readers.read_parts(spark, path, 1, "k").collect()} == {"b", "c"}
+
+
+def test_a_large_log_is_split(spark, tmp_path):
+    """Records are rows, in more tasks than files."""
+    records = [f"\x01sha{k}\x1fau{k % 5}\x1f2024-01-02\x02\n" + "".join(f"{j}\t1\tdir/f{j}.go\n" for j in range(k % 7)) for k in range(20_000)]
+    (tmp_path / "log").write_text("".join(records))
+    (tmp_path / "listing").write_bytes(b"\0".join(f"d/f{k % 700}.go".encode() for k in range(1500)) + b"\0")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        rows = readers.read_log(spark, str(tmp_path / "log"))
+        assert rows.rdd.getNumPartitions() > 4 and rows.count() == len(records)
+        whole = spark.createDataFrame([("".join(records),)], "t string")
+        assert readers.parse_log(rows, "value").exceptAll(readers.parse_log(whole, "t")).count() == 0
+        assert readers.parse_log(rows, "value").count() == sum(k % 7 for k in range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["path"] for r in readers.read_listing(spark, str(tmp_path / "listing")).collect()] == sorted(f"d/f{k}.go" for k in range(700))
