@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,19 +104,24 @@ def with_file_hash(hits: DataFrame, files: DataFrame, hash_column: str = "hash")
 
 def build_in_steps(files: DataFrame, build, path: str, key: str = "path", step: int = 500) -> DataFrame:
     """Builds rows of files and appends them to a table, about step files in each write. After a kill the files that the
-    table has are passed over, so a second call goes on where the first one stopped."""
+    table has are passed over, so a second call goes on where the first one stopped.
+
+    What is left to do is dealt into steps once, as folders of a table beside this one, so a step reads its own files only.
+    """
     spark = files.sparkSession
-    n = files.count()
-    parts = max(1, -(-n // step))
-    dealt = files.withColumn("_step", F.pmod(F.xxhash64(key), F.lit(parts)))
+    todo = files
+    try:
+        todo = files.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+    except Exception as e:  # nothing is written yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    parts = max(1, -(-files.count() // step))
+    plan = f"{path}-steps-{uuid.uuid4().hex}"
+    todo.withColumn("_step", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition("_step").write.partitionBy("_step").parquet(plan)
+    schema = todo.withColumn("_step", F.lit(0)).schema
     for k in range(parts):
-        todo = dealt.where(F.col("_step") == k).drop("_step")
-        try:
-            todo = todo.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        build(todo).write.mode("append").parquet(path)
+        build(spark.read.schema(schema).parquet(plan).where(F.col("_step") == k).drop("_step")).write.mode("append").parquet(path)
+    clear(spark, plan)
     return spark.read.parquet(path)
 
 

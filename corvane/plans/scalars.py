@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import doc
 from corvane.functions import text as t
 from corvane.operators import budget, graph, grep, history, outline, paths, search, snapshot, task, verdicts
-from corvane.plans.queries import _OSA, LINES, ORACLE_SQL, QUERIES, _EDGES, _edges, _part_symbols, _sql_grams, query, sql_round, table
+from corvane.plans.queries import _OSA, LINES, ORACLE_SQL, QUERIES, _EDGES, _edges, _part_symbols, _sql_grams, query, scratch, sql_round, table
 from corvane.streaming import gate as gates
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -269,9 +269,7 @@ def status_examples(spark, d):
 @query("select p_partkey as id, p_name as name, p_size as n from part where p_size > 10")
 def build_in_steps(spark, d):
     """An index built in steps, stopped and taken up again."""
-    graph.cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/steps-{abs(hash(d)) % 10**9}"
-    snapshot.clear(spark, path)
+    path = scratch(spark, "steps")
     files = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("n")).where("n > 10")
     files.where("id % 3 = 0").write.parquet(path)  # what was there when the first run was stopped
     return snapshot.build_in_steps(files, lambda x: x, path, "id", max(500, files.count() // 3)).select("id", "name", "n")

@@ -495,9 +495,7 @@ def sarif_report(spark, d):
 @query("select p_brand as server, p_partkey as id, case when p_type = 'PROMO' then p_size + 1 else p_size end as v from part")
 def index_parts(spark, d):
     """Parts by server written, one server's written anew, and all read back by schema, build and checksum."""
-    graph.cut(spark.range(1))  # sets the folder where none is
-    path = f"{spark.sparkContext.getCheckpointDir()}/parts-{abs(hash(d)) % 10**9}"
-    snapshot.clear(spark, path)
+    path = scratch(spark, "parts")
     rows = table(spark, d, "part").select(F.col("p_brand").alias("server"), F.col("p_partkey").alias("id"), F.col("p_size").alias("v"), "p_type")
     sinks.write_parts(rows, path, 2, "b")
     brands = [r[0] for r in rows.where("p_type = 'PROMO'").select("server").distinct().collect()]

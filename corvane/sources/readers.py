@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from corvane.functions.text import language_id
+from corvane.sources import segments
 
 #: Directories that a walk passes over.
 SKIPPED = ("node_modules", "vendor", "target", "dist", "build", "__pycache__")
@@ -231,7 +232,7 @@ def read_parts(spark: SparkSession, path: str, schema_version: int, build: str)
     """Rows of a written index that belong to this schema and build; other parts, and those whose checksum is wrong, are as if they were not there."""
     from corvane.sources.sinks import part_checksums
 
-    rows = spark.read.parquet(path).where((F.col("schema_version") == schema_version) & (F.col("build") == build))
+    rows = segments.live(spark, path, "parts", "server").drop("_segment").where((F.col("schema_version") == schema_version) & (F.col("build") == build))
     sums = part_checksums(rows).select(F.col("server").alias("_s"), F.col("part_rows").alias("_n"), F.col("part_sum").alias("_x"))
     whole = rows.join(F.broadcast(sums), rows["server"].eqNullSafe(sums["_s"]) & (rows["part_rows"] == sums["_n"]) & (rows["part_sum"] == sums["_x"]), "left_semi")
     return whole.drop("schema_version", "build", "part_rows", "part_sum")

@@ -137,4 +137,4 @@ def live(spark: SparkSession, path: str, table: str, key: str, where: Column | N
         return rows
     gone = functools.reduce(DataFrame.unionByName, [_stored(spark, path, now, s, "gone").withColumn("_last", F.lit(k)) for k, s in enumerate(now["segments"]) if k])
     gone = gone.groupBy(F.col(key).alias("_gone")).agg(F.max("_last").alias("_last"))
-    return rows.join(gone, (rows[key] == gone["_gone"]) & (rows["_segment"] < gone["_last"]), "left_anti")
+    return rows.join(gone, rows[key].eqNullSafe(gone["_gone"]) & (rows["_segment"] < gone["_last"]), "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources import segments
+
 VERSION = 1
 #: Levels of SARIF by severity.
 LEVELS = {"error": "error", "warning": "warning", "information": "note", "hint": "note"}
@@ -38,8 +40,12 @@ def part_checksums(rows: DataFrame) -> DataFrame:
 
 
 def write_parts(rows: DataFrame, path: str, schema_version: int, build: str) -> None:
-    """An index part per server, each with a checksum; parts of servers that rows don't have stay as they are."""
+    """An index part per server, each with a checksum; parts of servers that rows don't have stay as they are. New parts
+    are whole before they take the place of old ones, and readers see either these or those."""
     sums = part_checksums(rows).withColumnRenamed("server", "_s")
     full = rows.join(F.broadcast(sums), rows["server"].eqNullSafe(sums["_s"])).drop("_s")  # one row for each server
     full = full.withColumns({"schema_version": F.lit(schema_version), "build": F.lit(build)})
-    full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("server").parquet(path)
+    now = segments.manifest(rows.sparkSession, path)
+    number = now["number"] + 1 if now else 0
+    if not segments.commit(rows.sparkSession, path, number, {"parts": full}, rows.select("server"), ("server",), expected=now and now["number"]):
+        raise RuntimeError(f"another writer changed {path}")

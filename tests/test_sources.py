@@ -1,7 +1,7 @@
 import json
 
 from corvane.operators import imports
-from corvane.sources import readers, sinks
+from corvane.sources import readers, segments, sinks
 
 
 def specs(found, kind=None):
@@ -132,7 +132,7 @@ def test_parts_of_other_servers_stay_and_damaged_ones_fall_out(spark, tmp_path):
     assert got == [("a", 1, "x"), ("a", 2, "y"), ("b", 5, "n"), ("c", 4, "w")]
     assert readers.read_parts(spark, path, 2, "k").count() == 0
     # a row more than the checksum knows of
-    spark.createDataFrame([(9, "?", 1, 0, 1, "k", "a")], "id int, v string, part_rows long, part_sum long, schema_version int, build string, server string").write.mode("append").partitionBy("server").parquet(path)
+    spark.createDataFrame([(9, "?", 1, 0, 1, "k", "a")], "id int, v string, part_rows long, part_sum long, schema_version int, build string, server string").write.mode("append").partitionBy("server").parquet(f"{path}/{segments.manifest(spark, path)['segments'][0]}/parts")
     assert {r["server"] for r in readers.read_parts(spark, path, 1, "k").collect()} == {"b", "c"}
 
 
