@@ -359,8 +359,11 @@ def multi_root_walk(spark, d):
 def cycle_paths(spark, d):
     """Rings of three, of two and loops, each in order from its least node."""
     g = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, 3).when(F.col("p_partkey") % 3 == 1, 2).otherwise(1).alias("n"))
-    e = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select((F.col("p_partkey") + F.col("k") * 100000).alias("src"), (F.col("p_partkey") + ((F.col("k") + 1) % F.col("n")) * 100000).alias("dst"))
-    return graph.cycle_paths(e, graph.components_strong(e)).select("component", F.array_join("nodes", ">").alias("nodes"))
+    # a node's identifier is its part's and its place in the ring, so that rings of different parts stay apart at any key
+    e = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select((F.col("p_partkey") * 3 + F.col("k")).alias("src"), (F.col("p_partkey") * 3 + (F.col("k") + 1) % F.col("n")).alias("dst"))
+    part, place = (lambda x: F.floor(x / 3).cast("long")), (lambda x: F.pmod(x, F.lit(3)))
+    shown = F.transform("nodes", lambda x: (part(x.cast("long")) + place(x.cast("long")) * 100000).cast("string"))
+    return graph.cycle_paths(e, graph.components_strong(e)).select(part(F.col("component")).alias("component"), F.array_join(shown, ">").alias("nodes"))
 
 
 @query(f"""with s as (select distinct o_custkey % 20 as src, o_custkey % 7 + 20 as dst from orders), n as (select count(*) as n from (select src as id from s union select dst from s)) select cast(n as bigint) as nodes, true as one from n""")
