@@ -207,22 +207,23 @@ def counted_unless_ambiguous(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg((F.countDistinct("id") > 1).alias("ambiguous"))
 
 
-def dead_code(symbols: DataFrame, references: DataFrame, include_exported: bool = False, after: tuple | None = None, limit: int = 50, budget: int = 100, ignore_names: list[str] = (), ignore_paths: list[str] = ()) -> DataFrame:
+def dead_code(symbols: DataFrame, references: DataFrame, include_exported: bool = False, after: tuple | None = None, limit: int = 50, budget: int = 100, ignore_names: list[str] = (), ignore_paths: list[str] = (), order: tuple[str, ...] = ("path", "line", "id")) -> DataFrame:
     """A page of symbols that nothing refers to. symbols: id, path, language, name, kind, line, end_line, local (see
     with_local), exported, sensitive (see with_sensitive), can_implement, implements; references: id, path, line.
 
     Exclusions come first, so that the budget is spent on candidates: the first budget of them after the key are looked
-    at, those without use from outside their lines remain, with how sure that is.
+    at, those without use from outside their lines remain, with how sure that is. order: the columns that pages go by
+    (after has a value for each).
     """
     from corvane.operators.budget import keyset_page
 
     reason = exclusion("language", "name", "kind", "path", F.col("local"), F.col("exported"), include_exported, ignore_names, ignore_paths)
     kinds = ("function", "method", "class", "struct", "interface", "enum", "constant")
     candidates = symbols.where(F.col("kind").isin(*kinds)).withColumn("excluded", reason).where("excluded is null and not implements")
-    page = F.broadcast(keyset_page(candidates, ["path", "line", "id"], after, budget))  # budget rows
+    page = F.broadcast(keyset_page(candidates, list(order), after, budget))  # budget rows
     free = unreferenced(page, references)
     sure = confidence(F.col("exported"), F.col("sensitive"), F.col("kind"), F.col("can_implement"), F.col("language").isin(*REFLECTIVE))
-    return free.select("path", "line", "id", "name", "kind", sure.alias("confidence")).orderBy("path", "line", "id").limit(limit)
+    return free.withColumn("confidence", sure).orderBy(*order).limit(limit).select("path", "line", "id", "name", "kind", "confidence")
 
 
 def blast_radius(references: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, subject: str, subject_path: str, depth: int = 2, import_depth: int = 1) -> DataFrame:
