@@ -191,10 +191,17 @@ def repo_map(files: DataFrame, symbols: DataFrame, budget_bytes: int, per_file:
 
 def collisions(symbols: DataFrame, renames: DataFrame) -> DataFrame:
     """renames (id, new_name, container, scope) with collisions: symbols (id, name, container, scope) that bear the new name in the same container and scope, the symbol itself left out."""
-    taken = symbols.select(F.col("id").alias("_id"), F.col("name").alias("new_name"), F.col("container").alias("_c"), "scope")
-    rows = renames.join(taken, ["new_name", "scope"], "left")
-    hit = F.col("_id").isNotNull() & (F.col("_id") != F.col("id")) & F.col("_c").eqNullSafe(F.col("container"))
-    return rows.groupBy("id", "new_name", "container", "scope").agg(F.count_if(hit).alias("collisions"))
+    keys = ["id", "new_name", "container", "scope"]
+    bearers = symbols.where("id is not null").select("id", F.col("name").alias("new_name"), "container", "scope")
+    # counted by name first: a name that many bear meets its renames as one row
+    here = lambda df: (F.col("new_name") == df["_n"]) & (F.col("scope") == df["_s"]) & F.col("container").eqNullSafe(df["_c"])
+    names = [F.col("new_name").alias("_n"), F.col("scope").alias("_s"), F.col("container").alias("_c")]
+    every = bearers.groupBy(*names).agg(F.count(F.lit(1)).alias("_every"))
+    own = bearers.groupBy(F.col("id").alias("_i"), *names).agg(F.count(F.lit(1)).alias("_own"))
+    rows = renames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+    rows = rows.join(own, (F.col("id") == own["_i"]) & here(own), "left").drop("_i", "_n", "_s", "_c").join(every, here(every), "left").drop("_n", "_s", "_c")
+    others = F.coalesce("_every", F.lit(0)) - F.coalesce("_own", F.lit(0))
+    return rows.select(*keys, F.when(F.col("id").isNull(), 0).otherwise(F.col("_times") * others).cast("long").alias("collisions"))
 
 
 def taken_names(symbols: DataFrame, new_name: str, scope: str) -> DataFrame:
