@@ -135,8 +135,15 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
 def preview(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """uri and the unified difference that a server's edits (rename, code action, format) would make; nothing is written."""
     lists = edits.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("new_text").alias("new")))).alias("_edits"))
-    rows = documents.join(lists, "uri").withColumn("_new", apply_udf("text", "_edits"))
-    return rows.select("uri", unified_udf("text", "_new").alias("diff"))
+    return documents.join(lists, "uri").select("uri", preview_udf("text", "_edits").alias("diff"))
+
+
+@F.udf(StringType(), useArrow=False)
+def preview_udf(text, edits):
+    """The difference that edits make. Rows come in batches of a hundred, however many a task has and however long."""
+    if text is None or edits is None:
+        return None if text is None else unified(text, text)
+    return unified(text, apply_edits(text, [(int(e["start"]), int(e["end"]), e["new"]) for e in edits]))
 
 
 @F.pandas_udf(StringType())
