@@ -40,9 +40,12 @@ def on_levels(points: DataFrame, intervals: DataFrame, on: str, point: str, star
 
 def overlap_counts(intervals: DataFrame, on: str, start: str, end: str) -> DataFrame:
     """Per file, how many pairs of its intervals meet, by counting: all pairs less those in which one ends before the other begins."""
-    ends = intervals.groupBy(on, F.col(end).alias("at")).agg(F.count(F.lit(1)).alias("ends")).withColumn("starts", F.lit(0).cast("long"))
-    starts = intervals.groupBy(on, F.col(start).alias("at")).agg(F.count(F.lit(1)).alias("starts")).withColumn("ends", F.lit(0).cast("long"))
-    at = ends.unionByName(starts).groupBy(on, "at").agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"))
+    from corvane.operators.graph import shares
+
+    # files are dealt once, into shares of a bounded size; all that follows stays within a share
+    rows = intervals.select(on, start, end).repartition(shares(intervals), on)
+    point = lambda at, ends, starts: F.struct(F.col(at).alias("at"), F.lit(ends).cast("long").alias("ends"), F.lit(starts).cast("long").alias("starts"))
+    at = rows.select(on, F.explode(F.array(point(end, 1, 0), point(start, 0, 1))).alias("x")).groupBy(on, "x.at").agg(F.sum("x.ends").alias("ends"), F.sum("x.starts").alias("starts"))
     before = Window.partitionBy(on).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("apart", F.col("starts") * F.coalesce(F.sum("ends").over(before), F.lit(0)))
     n = F.sum("starts")

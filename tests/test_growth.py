@@ -80,3 +80,17 @@ def test_previews_come_in_small_batches(spark):
     assert "ArrowEvalPython" not in _plan(got)
     rows = {r["uri"]: r["diff"] for r in got.collect()}
     assert rows[2] is None and "-a\n-b\n+y\n+x\n" in rows[1]
+
+
+def test_overlaps_are_dealt_once(spark):
+    from corvane.operators import intervals
+
+    rows = spark.range(1000).select((F.col("id") % 10).alias("f"), F.col("id").alias("s"), (F.col("id") + 25).alias("e"))
+    got = intervals.overlap_counts(rows, "f", "s", "e")
+    assert _plan(got).count("Exchange") == 1
+    assert {r["pairs"] for r in got.collect()} == {99 + 98}
+
+
+def test_lines_of_orders_are_dealt_once(spark, data):
+    got = scalars.QUERIES["limits"](spark, f"{data}/sf0.001")
+    assert _plan(got).count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in _plan(got)
