@@ -540,7 +540,10 @@ def limits(spark, d):
     """Lines shown of each order: nothing asked for is the default of two, zero is no limit, else what is asked for."""
     asked = F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).when(F.col("o_orderkey") % 3 == 1, F.lit(0)).otherwise(1 + F.col("o_orderkey") % 4)
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), asked.alias("a")), "l_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    n = graph.shares(lines)  # both sides are dealt alike, once, and an order stays in its share
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), asked.alias("a"))
+    lines = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "l_orderkey"), "l_orderkey")
     most = budget.limit_of(F.col("a"), 2)
     shown = lines.withColumn("k", F.row_number().over(own)).where((most == 0) | (F.col("k") <= most))
     return shown.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("shown"))
