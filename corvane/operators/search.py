@@ -163,8 +163,11 @@ def search_symbols(symbols: DataFrame, q: SearchQuery) -> DataFrame:
     rows = tiered(rows, q.text, qnorm).where("tier > 0")
     if q.fuzzy and not rows.limit(1).count():
         grams = trigrams(F.lit(qnorm))
-        rows = wanted.withColumns({"bm": F.lit(None).cast("double"), "matched": F.lit(None).cast("long"), "_d": osa_distance(F.lit(qnorm), F.col("_last_norm"))})
-        rows = rows.withColumns({"tier": F.lit(FUZZY), "raw": fuzzy_score(F.col("_d"), jaccard(grams, trigrams(F.col("_last_norm"))), F.lit(qnorm), F.col("_last_norm"))}).where("raw > 0").drop("_d")
+        # symbols of one name are alike to the query: each name is compared once
+        near = wanted.select(F.col("_last_norm").alias("_near")).distinct().withColumn("_d", osa_distance(F.lit(qnorm), F.col("_near")))
+        near = near.withColumn("raw", fuzzy_score(F.col("_d"), jaccard(grams, trigrams(F.col("_near"))), F.lit(qnorm), F.col("_near"))).where("raw > 0").drop("_d")
+        rows = wanted.withColumns({"bm": F.lit(None).cast("double"), "matched": F.lit(None).cast("long"), "tier": F.lit(FUZZY)})
+        rows = rows.join(near, F.col("_last_norm") == F.col("_near")).drop("_near")
     from corvane.operators.budget import with_totals
 
     return with_totals(scored(rows), order(), q.limit)
