@@ -20,6 +20,8 @@ from corvane.operators.budget import with_totals
 from corvane.sources import segments
 
 BUCKETS, BLOCK = 64, 128
+#: Symbols of a bucket that one task sorts.
+PIECE = 50_000
 PARTITION = ("_b",)
 FIELDS = {"name": search.NAME, "qualified": search.QUALIFIED, "signature": search.SIGNATURE, "doc": search.DOC}
 
@@ -40,19 +42,24 @@ def _parts(fields: dict[str, float]) -> Column:
 
 def _tables(symbols: DataFrame, fields: dict[str, float], buckets: int, block: int) -> dict[str, DataFrame]:
     key = "id"
+    pieces = -(-symbols.count() // (buckets * PIECE))  # of a bucket, each one task's to sort and one file
+    piece = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(pieces or 1))
+    many = buckets * max(pieces, 1)
     named = search.name_columns(symbols).withColumn("_parts", _parts(fields)).withColumn("_len", F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p.w)).withColumn("_b", _bucket(F.col(key), buckets))
     tf = named.select("path", key, "_len", F.explode("_parts").alias("p")).groupBy("path", key, "_len", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
     # blocks of a term: dealt by hash into runs first, so no task has to sort a term that is in every symbol
-    runs = tf.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("term"))).withColumn("_run", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / (64 * block))))
+    # (terms of more than one run, at most one for every 64 blocks of postings, are told to all)
+    often = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 64 * block)
+    runs = tf.join(F.broadcast(often), "term", "left").withColumn("_run", F.pmod(F.xxhash64(key), F.coalesce(F.ceil(F.col("_n") / (64 * block)), F.lit(1))))
     order = Window.partitionBy("term", "_run").orderBy((F.col("tf") / (F.col("tf") + F.col("_len"))).desc(), key)
     placed = runs.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
     blocks = placed.groupBy("term", "_run", "block").agg(F.max("tf").alias("max_tf"), F.min("_len").alias("min_len"), F.collect_list(F.struct("path", key, "tf", F.col("_len").alias("len"))).alias("entries"))
-    blocks = blocks.withColumn("_b", _bucket(F.col("term"), buckets)).repartition("_b").sortWithinPartitions("_b", "term", "_run", "block")
+    blocks = blocks.withColumn("_b", _bucket(F.col("term"), buckets)).repartition(many, "_b", piece("_run")).sortWithinPartitions("_b", "term", "_run", "block")
     norms = F.array_distinct(F.array(F.col("_name_norm"), F.col("_last_norm"), F.col("_qual_norm")))
     names = named.select("path", key, F.explode(norms).alias("norm")).where("norm <> ''").withColumn("_b", _bucket(F.substring("norm", 1, 2), buckets))
     files = named.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("len"))
-    by_name = names.repartition("_b").sortWithinPartitions("_b", "norm")
-    return {"symbols": named.drop("_parts", "_display", "_name_norm", "_last_norm", "_qual_norm").repartition("_b").sortWithinPartitions("_b", key), "postings": blocks, "names": by_name, "files": files}
+    by_name = names.repartition(many, "_b", piece(key)).sortWithinPartitions("_b", "norm")
+    return {"symbols": named.drop("_parts", "_display", "_name_norm", "_last_norm", "_qual_norm").repartition(many, "_b", piece(key)).sortWithinPartitions("_b", key), "postings": blocks, "names": by_name, "files": files}
 
 
 def write(symbols: DataFrame, path: str, fields: dict[str, float] | None = None, buckets: int = BUCKETS, block: int = BLOCK) -> None:
