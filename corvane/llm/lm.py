@@ -27,7 +27,10 @@ columns of the input may have any name; an empty table gives an empty result; wi
 
 from __future__ import annotations
 
+import itertools
+import math
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,10 @@ CONTEXTS = 256
 BLOCK = 12 << 20
 SWEEPS, KEPT, SEED = 4, 2, 7
 STRENGTH = 1.0
-#: Customers for each table opened, from which the wait for the next table is drawn at once.
-RARE = 64
+#: Customers for each table opened, and customers left, from which the wait for the next table is drawn at once.
+RARE, ROOM = 16, 12
+#: Dishes left, below which each one is seated by itself: arrays of a few numbers cost more than the numbers.
+ALONE = 24
 END = b""
 
 
@@ -75,10 +80,15 @@ def context_class(word: bytes) -> int:
 
 
 def context_keys(words: list[bytes]) -> np.ndarray:
-    """56 bits of each word's hash, then its class."""
+    """56 bits of each word's hash, then its class, the same as context_class says."""
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(w, 42) & ~0xFF | context_class(w) for w in words], dtype=np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(42)), np.uint64, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer(b"\0\0" + b"".join(words), dtype=np.uint8).astype(np.int64)
+    ends = np.cumsum(lengths) + 2
+    classes = 1 + (flat[ends - 1] * 193 + np.where(lengths > 1, flat[ends - 2], 0) * 31) % (CONTEXTS - 1)
+    return hashes & ~np.uint64(0xFF) | np.where(lengths > 0, classes, 0).astype(np.uint64)
 
 
 def home(keys: np.ndarray, n: int) -> np.ndarray:
@@ -102,13 +112,13 @@ class _Block:
     """Documents whose distinct words go out together."""
 
     def __init__(self, number: int):
-        self.number, self.words, self.parts, self.ids, self.held, self.bytes = number, {END: 0}, [], [], [], 0
+        self.number, self.words, self.parts, self.ids, self.held, self.bytes = number, defaultdict(itertools.count().__next__), [], [], [], 0
+        self.words[END]  # is 0; every new word takes the next number
 
     def add(self, ident, held: bool, text: bytes) -> None:
-        put, words = self.words.setdefault, self.words
-        own = [put(w, len(words)) for w in text.translate(LOWER_BYTES).split()]
-        own.append(0)
-        self.parts.append(np.array(own, dtype=np.int32))
+        own = text.translate(LOWER_BYTES).split()
+        own.append(END)
+        self.parts.append(np.fromiter(map(self.words.__getitem__, own), np.int32, len(own)))
         self.ids.append(ident)
         self.held.append(held)
         self.bytes += len(text)
@@ -151,42 +161,50 @@ def _read_request(blob: bytes):
     return joined.split(b"\n"), _full(each), keys, _full(counts)
 
 
+def _numbers(live: np.ndarray) -> np.ndarray:
+    """Places among those that live; the number of those for the others."""
+    return np.where(live, np.cumsum(live) - 1, live.sum())
+
+
 class Counts:
-    """The training counts at one home: pairs by word and then by context, and their pairs of word and class."""
+    """The training counts at one home: pairs by word and then by context, and their pairs of word and class.
+
+    every: what is asked of pairs that training has not is answered too. names are all asked words and word_at their
+    words here; for each ask, asked has its words' places in names, and its pairs' places in count and in kinds. What
+    training has not is past the end.
+    """
 
-    def __init__(self, asks: list[bytes]):
-        known, parts = {}, [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    def __init__(self, asks: list[bytes], every: bool = False):
+        number = defaultdict(itertools.count().__next__)
+        own, parts = [], [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for blob in asks:
             words, each, keys, n = _read_request(blob)
-            seen = n > 0
-            of = np.repeat(np.arange(len(words)), each)[seen]
-            live = np.zeros(len(words), dtype=bool)
-            live[of] = True
-            ids = np.array([known.setdefault(w, len(known)) if x else -1 for w, x in zip(words, live.tolist())], dtype=np.int64)
-            parts.append((ids[of], keys[seen], n[seen]))
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            of, some = np.repeat(ids, each), slice(None) if every else n > 0
+            parts.append((of[some], keys[some], n[some]))
+            own.append(ids)
         word, keys, n = (np.concatenate(x) for x in zip(*parts))
-        self.known = known
-        self.contexts, place = np.unique(keys, return_inverse=True)
-        self.pair, at = np.unique(word * max(1, len(self.contexts)) + place, return_inverse=True)
-        self.count = np.bincount(at, weights=n, minlength=len(self.pair)).astype(np.int64)
-        self.word, self.place = np.divmod(self.pair, max(1, len(self.contexts)))
-        cls = (self.contexts & np.uint64(0xFF)).astype(np.int64)
-        self.kinds, self.kind = np.unique(self.word * CONTEXTS + cls[self.place], return_inverse=True)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        del parts
+        contexts, place = np.unique(keys, return_inverse=True)
+        pair, at = np.unique(word * max(1, len(contexts)) + place, return_inverse=True)
+        count = np.bincount(at, weights=n, minlength=len(pair)).astype(np.int64)
+        word, place = np.divmod(pair, max(1, len(contexts)))
+        kinds, kind = np.unique(word * CONTEXTS + (contexts & np.uint64(0xFF)).astype(np.int64)[place], return_inverse=True)
+        seen = count > 0
+        live = lambda of, size: _numbers(np.bincount(of[seen], minlength=size) > 0)
+        word_at, context_at, kind_at = live(word, len(number)), live(place, len(contexts)), live(kind, len(kinds))
+        self.words = int((np.bincount(word[seen], minlength=1) > 0).sum())
+        self.count, self.word, self.place, self.kind = count[seen], word_at[word[seen]], context_at[place[seen]], kind_at[kind[seen]]
+        self.contexts = contexts[np.bincount(place[seen], minlength=len(contexts)) > 0]
+        kinds = kinds[np.bincount(kind[seen], minlength=len(kinds)) > 0]
+        self.kinds = word_at[kinds // CONTEXTS] * CONTEXTS + kinds % CONTEXTS
         self.many = self.count > 1
         self.shared, self.many_place = np.unique(self.place[self.many], return_inverse=True)  # contexts of pairs seen more than once
-
-    def find(self, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Places of pairs; len(pair) for those that training has not."""
-        n = len(self.contexts)
-        if not n:
-            return np.zeros(len(words), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.contexts, keys), n - 1)
-        return _placed(self.pair, np.where((words >= 0) & (self.contexts[at] == keys), words * n + at, -1))
-
-
-def _placed(of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(of, wanted)
-    return np.where(np.append(of, -2)[at] == wanted, at, len(of))
+        if every:
+            self.names, self.word_at = list(number), word_at
+            spot = _numbers(seen)
+            self.asked = [(ids, spot[x], kind_at[kind[x]]) for ids, x in zip(own, (at[i:j] for i, j in zip(ends, ends[1:])))]
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -196,43 +214,91 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - low
 
 
+def _none(x: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Log of gamma(x + m) / gamma(x + a + m)."""
+    both = _lgamma(np.stack([x + m, x + a + m]))
+    return both[0] - both[1]
+
+
 def _wait(x: np.ndarray, a: np.ndarray, room: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Customers up to the next that opens a table, room + 1 if none of them does. The chance that the first m open none
-    is the product of (x + i) / (x + a + i), i below m, which gamma functions say at once."""
-    base = _lgamma(x + a) - _lgamma(x)
-    none = lambda m: _lgamma(x + m) - _lgamma(x + a + m) + base
-    draw = np.log(1.0 - rng.random(len(x)))
-    low, high = np.zeros(len(x)), room + 1.0  # none(low) is above the draw, high is at or below, or past the room
-    while (high - low > 1).any():
-        mid = np.floor((low + high) / 2)
-        mid = np.where(high - low > 1, mid, high)
-        under = none(mid) <= draw
-        low, high = np.where(under | (mid == high), low, mid), np.where(under, mid, high)
+    is the product of (x + i) / (x + a + i), i below m, which gamma functions say at once. It is near
+    (1 + m / (x + (a - 1) / 2)) ** -a, so the search begins where that says; what it misses is halved in."""
+    none = _none(x, a, np.zeros(len(x)))
+    draw = none + np.log(1.0 - rng.random(len(x)))
+    low, high = np.zeros(len(x)), room + 1.0  # none at low is above the draw, at high it isn't, or high is past the room
+    middle = np.maximum(x + (a - 1) / 2, x / 2)
+    at = np.clip(np.ceil(middle * np.expm1(np.minimum((none - draw) / a, 100.0))), 1.0, room)
+    for _ in range(2):
+        under = _none(x, a, at) <= draw
+        low, high = np.where(under, low, at), np.where(under, at, high)
+        at = np.maximum(np.where(under, high - 1, low + 1), 1.0)
+    rest = np.flatnonzero(high - low > 1)
+    while len(rest):
+        mid = np.floor((low[rest] + high[rest]) / 2)
+        under = _none(x[rest], a[rest], mid) <= draw[rest]
+        high[rest[under]], low[rest[~under]] = mid[under], mid[~under]
+        rest = rest[high[rest] - low[rest] > 1]
     return high
 
 
+def _wait_one(x: float, a: float, room: float, chance: float) -> float:
+    """The same for one dish."""
+    none = lambda m: math.lgamma(x + m) - math.lgamma(x + a + m)
+    base = none(0.0)
+    draw = base + math.log(1.0 - chance)
+    low, high = 0.0, room + 1.0
+    at = min(max(math.ceil(max(x + (a - 1) / 2, x / 2) * math.expm1(min((base - draw) / a, 100.0))), 1.0), room)
+    tries = 0
+    while high - low > 1:
+        under = none(at) <= draw
+        low, high = (low, at) if under else (at, high)
+        tries += 1
+        at = (high - 1 if under else low + 1) if tries == 1 else math.floor((low + high) / 2)
+    return high
+
+
+def _tables_one(c: float, a: float, discount: float, tables: float, there: float, rng: np.random.Generator) -> float:
+    chances: list[float] = []
+    while there < c:
+        if not chances:
+            chances = rng.random(64).tolist()
+        x, room, chance = there - discount * tables, c - there, chances.pop()
+        p = a / (a + x)
+        if p < 1 / RARE and room > ROOM:
+            m = _wait_one(x, a, room, chance)
+            tables += m <= room
+            there += min(m, room)
+        else:
+            tables += chance < p
+            there += 1
+    return tables
+
+
 def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after its customers came one after another: the next opens a table with probability
     fresh / (fresh + seated - discount * tables), fresh being the pull of the parent. Where tables are opened rarely, the
     number of customers up to the next one is drawn instead of each of them; the process is the same."""
-    c, a = customers.astype(np.float64), np.maximum(fresh, 1e-300)
-    tables, there = np.minimum(c, 1.0), np.minimum(c, 1.0)
-    alive = np.flatnonzero(there < c)
-    while len(alive):
-        x = there[alive] - discount * tables[alive]
-        p = a[alive] / (a[alive] + x)
-        rare = (p < 1 / RARE) & (c[alive] - there[alive] > RARE)
-        one = alive[~rare]
-        tables[one] += rng.random(len(one)) < p[~rare]
-        there[one] += 1
-        if rare.any():
-            far = alive[rare]
-            room = c[far] - there[far]
-            m = _wait(x[rare], a[far], room, rng)
-            tables[far] += m <= room
-            there[far] += np.minimum(m, room)
-        alive = alive[there[alive] < c[alive]]
-    return tables
+    out = np.minimum(customers, 1).astype(np.float64)
+    alive = np.flatnonzero(customers > 1)
+    c, a = customers[alive].astype(np.float64), np.maximum(fresh[alive], 1e-300)
+    tables, there = np.ones(len(alive)), np.ones(len(alive))
+    while len(alive) > ALONE:
+        x, room = there - discount * tables, c - there
+        p = a / (a + x)
+        opened, came = rng.random(len(alive)) < p, np.ones(len(alive))
+        far = np.flatnonzero((p < 1 / RARE) & (room > ROOM))
+        if len(far):
+            m = _wait(x[far], a[far], room[far], rng)
+            opened[far], came[far] = m <= room[far], np.minimum(m, room[far])
+        tables += opened
+        there += came
+        live = there < c
+        if not live.all():
+            out[alive[~live]] = tables[~live]
+            alive, c, a, tables, there = alive[live], c[live], a[live], tables[live], there[live]
+    out[alive] = [_tables_one(*dish, rng) for dish in zip(c.tolist(), a.tolist(), itertools.repeat(discount), tables.tolist(), there.tolist())]
+    return out
 
 
 class Model:
@@ -346,27 +412,30 @@ def _first(n: int):
         for p in np.unique(to).tolist():
             a, b = np.flatnonzero(inner & (to == p)), np.flatnonzero(~inner & (to == p))
             yield p, ("list", q, _pack(c.contexts[a], _thin(once[a]), _thin(often[a]), c.contexts[b], _thin(once[b])))
-        yield q, ("slim", q, _pack(len(c.known), np.unique(to), _thin(c.kinds), _thin(ones), _thin(c.kind[c.many]), _thin(c.many_place), _thin(c.count[c.many]), _thin(to[c.shared])))
+        yield q, ("slim", q, _pack(c.words, np.unique(to), _thin(c.kinds), _thin(ones), _thin(c.kind[c.many]), _thin(c.many_place), _thin(c.count[c.many]), _thin(to[c.shared])))
         every = np.bincount(c.kind, minlength=len(c.kinds))
-        yield q, ("sums", q, Totals.row(c.kinds % CONTEXTS, every, np.ones(len(every)), tokens=c.count.sum(), words=len(c.known), ones=(c.count == 1).sum(), twos=(c.count == 2).sum()))
+        yield q, ("sums", q, Totals.row(c.kinds % CONTEXTS, every, np.ones(len(every)), tokens=c.count.sum(), words=c.words, ones=(c.count == 1).sum(), twos=(c.count == 2).sum()))
 
     return run
 
 
-def context_tables(lists: list, parts: dict[int, bytes] | None):
-    """At a context's home: all keys in order, their tables, and those of each sender's list. parts has what each sender
-    seated for its list; None before the first sweep, when every pair has one table."""
+def context_tables(lists: list, seats: list[dict[int, bytes] | None]):
+    """At a context's home: all keys in order, and, for each of some sweeps, their tables and those of each sender's list.
+    seats has what each sender seated for its list in a sweep; None before the first one, when every pair has one table."""
     if not lists:
-        return np.zeros(0, np.uint64), np.zeros(0), {}
+        return np.zeros(0, np.uint64), [(np.zeros(0), {}) for _ in seats]
     read = [(q, *_unpack(blob)) for q, blob in lists]
     keys, at = np.unique(np.concatenate([x for _, a, _, _, b, _ in read for x in (a, b)]), return_inverse=True)
-    numbers, ends, begin = [], {}, 0
-    for q, a, once, often, b, rest in read:
-        numbers += [_full(once) + (_full(often) if parts is None else _full(_unpack(parts[q])[0])), _full(rest)]
-        ends[q] = at[begin : begin + len(a)]
-        begin += len(a) + len(b)
-    tables = np.bincount(at, weights=np.concatenate(numbers), minlength=len(keys))
-    return keys, tables, {q: tables[x] for q, x in ends.items()}
+    out = []
+    for parts in seats:
+        numbers, ends, begin = [], {}, 0
+        for q, a, once, often, b, rest in read:
+            numbers += [_full(once) + (_full(often) if parts is None else _full(_unpack(parts[q])[0])), _full(rest)]
+            ends[q] = at[begin : begin + len(a)]
+            begin += len(a) + len(b)
+        tables = np.bincount(at, weights=np.concatenate(numbers), minlength=len(keys))
+        out.append((tables, {q: tables[x] for q, x in ends.items()}))
+    return keys, out
 
 
 def _back(sweep: int):
@@ -375,7 +444,7 @@ def _back(sweep: int):
     def run(p: int, records: Iterator) -> Iterator[tuple]:
         got = _kept(records)
         parts = dict(got.get(f"part{sweep}", [])) if sweep else None
-        for q, tables in context_tables(got.get("list", []), parts)[2].items():
+        for q, tables in context_tables(got.get("list", []), [parts])[1][0][1].items():
             if len(tables):
                 yield q, (f"back{sweep}", p, _pack(_thin(tables)))
 
@@ -418,27 +487,20 @@ def _answers(model: WordModel):
         got = _kept(records)
         if "ask" not in got:
             return
-        c = Counts([b for _, b in got["ask"]])
+        c = Counts([b for _, b in got["ask"]], every=True)
         states = [[np.append(_full(x), 0) for x in _unpack(got[f"state{s}"][0][1])] for s in kept]
-        tables = []
-        for s in kept:
-            keys, all_, _ = context_tables(got.get("list", []), dict(got.get(f"part{s}", [])))
-            tables.append(np.append(all_, 0).astype(np.int64))
+        keys, both = context_tables(got.get("list", []), [dict(got.get(f"part{s}", [])) for s in kept])
+        own = _placed_keys(keys, context_keys(c.names))
         seats = np.append(np.full(len(c.count), KEPT), 0)
         seats[:-1][c.many] = sum(x[4][:-1] for x in states)
         count = np.append(c.count, 0)
-        total = np.append(np.bincount(c.word, weights=c.count, minlength=len(c.known)).astype(np.int64), 0)
-        for (number, to), blob in got["ask"]:
-            asked, each, contexts, _ = _read_request(blob)
-            at = np.array([c.known.get(w, -1) for w in asked], dtype=np.int64)
-            of = np.repeat(np.arange(len(asked)), each)
-            pair = c.find(at[of], contexts)
-            kinds = np.unique(of * CONTEXTS + (contexts & np.uint64(0xFF)).astype(np.int64))
-            owner = at[kinds // CONTEXTS]
-            kind = _placed(c.kinds, np.where(owner >= 0, owner * CONTEXTS + kinds % CONTEXTS, -1))
-            own = _placed_keys(keys, context_keys(asked))
-            by_word = [total[at], *[x[own] for x in tables], *[x[k][at] for x in states for k in (2, 3)]]
-            yield to, ("answer", (number, q), _pack([_thin(x) for x in by_word], [_thin(x[k][kind]) for x in states for k in (0, 1)], _thin(count[pair]), _thin(seats[pair])))
+        total = np.append(np.bincount(c.word, weights=c.count, minlength=c.words).astype(np.int64), 0)
+        by_word = [total[c.word_at], *[np.append(x, 0).astype(np.int64)[own] for x, _ in both], *[x[k][c.word_at] for x in states for k in (2, 3)]]
+        for ((number, to), blob), (ids, pair, kind) in zip(got["ask"], c.asked):
+            _, each, contexts, _ = _unpack(blob)
+            of = np.repeat(np.arange(len(ids)), _full(each))
+            _, one = np.unique(of * CONTEXTS + (contexts & np.uint64(0xFF)).astype(np.int64), return_index=True)  # a pair of each kind
+            yield to, ("answer", (number, q), _pack([_thin(x[ids]) for x in by_word], [_thin(x[k][kind[one]]) for x in states for k in (0, 1)], _thin(count[pair]), _thin(seats[pair])))
 
     return run
 

@@ -201,3 +201,53 @@ def test_pairs_seen_once_by_hand(spark):
     assert got[1] == pytest.approx(5 * math.log10(p(1)))
     assert got[2] == pytest.approx(math.log10(p(0) * p(0) * p(1)))
     assert got[3] == pytest.approx(math.log10(p(0, 0) * parent(1)))  # an unknown word is a context without customers, and so is its class
+
+
+def test_waits_are_found_in_few_steps(monkeypatch):
+    """The least number of customers at which no table has opened is as likely as drawn, and few gamma functions are taken for it."""
+    rng, taken = np.random.default_rng(3), [0]
+    x, a, room = 10 ** rng.uniform(-1, 4, 2000), 10 ** rng.uniform(-6, 1, 2000), np.floor(10 ** rng.uniform(1.2, 5, 2000))
+    a = np.minimum(a, x / 16)
+    plain = lm._lgamma
+    monkeypatch.setattr(lm, "_lgamma", lambda v: (taken.__setitem__(0, taken[0] + v.size), plain(v))[1])
+    m = lm._wait(x, a, room, np.random.default_rng(4))
+    assert taken[0] <= 12 * len(x)
+    draw = np.log(1.0 - np.random.default_rng(4).random(len(x)))
+    none = lambda k: plain(x + k) - plain(x + a + k) + plain(x + a) - plain(x)
+    assert ((m >= 1) & (m <= room + 1)).all()
+    assert (none(np.minimum(m, room))[m <= room] <= draw[m <= room] + 1e-9).all()
+    assert (none(m - 1) >= draw - 1e-9).all()
+
+
+def test_keys_hold_the_class():
+    words = [b"", b"a", b"ab", b"abc", "é".encode(), b"xyz"]
+    keys = lm.context_keys(words)
+    assert [int(k) & 0xFF for k in keys] == [lm.context_class(w) for w in words]
+
+
+def test_counts_answer_what_training_has_not():
+    """Words, pairs and kinds that only held-out rows have are past the end; the others are numbered as without them."""
+    block = lm._Block(0)
+    for k, (held, text) in enumerate([(False, b"a b a b c"), (True, b"b a z z a"), (False, b"c a b"), (True, b"q")]):
+        block.add(k, held, text)
+    asks = [b for _, (kind, _, b) in block.rows(1, 0) if kind == "ask"]
+    few, all_ = lm.Counts(asks), lm.Counts(asks, every=True)
+    for name in ("count", "word", "place", "contexts", "kinds", "kind", "many", "shared", "many_place"):
+        assert np.array_equal(getattr(few, name), getattr(all_, name)), name
+    assert few.words == all_.words == 4
+    _, pair, kind = all_.asked[0]
+    assert {n for n, at in zip(all_.names, all_.word_at) if at == 4} == {b"z", b"q"}
+    assert few.count.sum() == 10 and all_.count[np.unique(pair[pair < len(few.count)])].sum() == 10
+    assert (pair == len(few.count)).sum() == 7 and (kind <= len(few.kinds)).all()  # of 15 pairs of the block
+
+
+def test_dishes_alone_are_seated_alike(monkeypatch):
+    """Few dishes and many dishes have the same distribution of tables."""
+    rng = np.random.default_rng(5)
+    for c, a, d in ((60, 0.3, 0.5), (3000, 0.05, 0.7), (300, 20.0, 0.3)):
+        many = lm.seated(np.full(3000, c), np.full(3000, a), d, rng)
+        monkeypatch.setattr(lm, "ALONE", 3000)
+        alone = lm.seated(np.full(3000, c), np.full(3000, a), d, rng)
+        monkeypatch.undo()
+        assert abs(many.mean() - alone.mean()) < 5 * (many.var() / 3000 + alone.var() / 3000) ** 0.5
+        assert 0.85 < many.std() / alone.std() < 1.18
