@@ -17,8 +17,9 @@ long texts are scored in full; columns of the input may have any name; an empty
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,25 +48,60 @@ def words_of(text: str) -> list[str]:
     return [w.strip(EDGES) for w in text.lower().split()]
 
 
-def log_odds(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Of words in LEAST_DOCS documents or more; small ones are left out."""
-    toxic, other = Counter(), Counter()
-    for words, y in zip(docs, labels):
-        (toxic if y else other).update(words)
-    n, m = int(labels.sum()), int((1 - labels).sum())
-    out = {}
-    for w in toxic.keys() | other.keys():
-        a, b = toxic[w], other[w]
-        if w and a + b >= LEAST_DOCS:
-            odds = math.log((a + 0.5) / (n + 1)) - math.log((b + 0.5) / (m + 1))
-            if abs(odds) > 0.7:
-                out[w] = max(-4.0, min(4.0, odds))
-    return out
+class Sample:
+    """Training texts as numbers of words: a text's words stand once in memory, however often they come."""
+
+    def __init__(self, texts: list[str]):
+        known: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        each = []
+        for text in texts:
+            own = words_of(text)
+            each.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
+        self.words, self.docs = list(known), len(texts)
+        self.lengths = np.array([len(x) for x in each], dtype=np.int64)
+        self.tokens = np.concatenate(each) if each else np.zeros(0, np.int32)
+        # each text's distinct words, and its distinct heads of words by length; -1: no longer than the head
+        self.heads, self.sets = [], [self._sets(each)]
+        for n in HEADS:
+            known = defaultdict(itertools.count().__next__)
+            head_of = np.fromiter((known[w[:n]] if len(w) > n else -1 for w in self.words), np.int32, len(self.words))
+            self.heads.append((list(known), head_of))
+            self.sets.append(self._sets(head_of[x] for x in each))
+
+    @staticmethod
+    def _sets(each) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and their distinct members from zero up."""
+        sets = [np.unique(x) for x in each]
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+        member = np.concatenate(sets) if sets else np.zeros(0, np.int32)
+        return doc[member >= 0], member[member >= 0]
+
+    def log_odds(self, labels: np.ndarray, some: np.ndarray) -> list[np.ndarray]:
+        """Of whole words, then of their heads by length, in some of the texts; 0 for those in fewer than LEAST_DOCS of
+        them and for small ones."""
+        n, m = int(labels[some].sum()), int((1 - labels[some]).sum())
+        out = []
+        for names, (doc, member) in zip([self.words, *[h for h, _ in self.heads]], self.sets):
+            toxic, other = (np.bincount(member[some[doc] & (labels[doc] == y)], minlength=len(names)) for y in (1, 0))
+            odds = np.zeros(len(names))
+            for i in np.flatnonzero(toxic + other >= LEAST_DOCS).tolist():
+                x = math.log((int(toxic[i]) + 0.5) / (n + 1)) - math.log((int(other[i]) + 0.5) / (m + 1))
+                if names[i] and abs(x) > 0.7:
+                    odds[i] = max(-4.0, min(4.0, x))
+            out.append(odds)
+        return out
 
+    def of_words(self, words: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
+        """One row per word (by number), one column per table."""
+        out = np.zeros((len(words), 1 + len(HEADS)), dtype=np.float32)
+        out[:, 0] = odds[0][words]
+        for k, (_, head_of) in enumerate(self.heads):
+            out[:, k + 1] = np.append(odds[k + 1], 0.0)[head_of[words]]
+        return out
 
-def all_odds(docs: list[set[str]], labels: np.ndarray) -> list[dict[str, float]]:
-    """Log odds of whole words, then of their heads by length."""
-    return [log_odds(docs, labels)] + [log_odds([{w[:n] for w in words if len(w) > n} for words in docs], labels) for n in HEADS]
+    def tables(self, odds: list[np.ndarray]) -> list[dict[str, float]]:
+        """By name, without those that are 0."""
+        return [{names[i]: float(x[i]) for i in np.flatnonzero(x).tolist()} for names, x in zip([self.words, *[h for h, _ in self.heads]], odds)]
 
 
 def odds_of(words, tables: list[dict[str, float]]) -> np.ndarray:
@@ -208,24 +244,30 @@ def _inputs(odds: np.ndarray, means: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, batch: int = 64, rate: float = 0.01, seed: int = SEED) -> dict:
     """Weights and log odds; labels are 0 or 1, and both occur."""
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    sets = [set(s) for s in split]
+    sample = Sample(texts)
     fold = rng.permutation(len(texts)) % FOLDS
-    cross = [all_odds([s for s, h in zip(sets, fold) if h != k], labels[fold != k]) for k in range(FOLDS)]
-    known: dict[tuple, int] = {}  # a word in one fold is another row than in the other folds
-    ids = [np.array([known.setdefault((w, int(h)), len(known)) for w in s], dtype=np.int64) for s, h in zip(split, fold)]
+    # a word in one fold is another row than in the other folds; rows in the order in which they come
+    both = sample.tokens.astype(np.int64) * FOLDS + np.repeat(fold, sample.lengths)
+    known, begin, joined = np.unique(both, return_index=True, return_inverse=True)
+    order = np.argsort(begin)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    word, of_fold = np.divmod(known[order], FOLDS)
+    joined = np.append(place[joined], np.int32(len(known)))  # -1 finds the padding
+    del both, begin, order, place
     odds = np.zeros((len(known), 1 + len(HEADS)), dtype=np.float32)
-    of_fold = np.array([h for _, h in known], dtype=np.int64)
-    every = [w for w, _ in known]
     for k in range(FOLDS):
         own = np.flatnonzero(of_fold == k)
-        odds[own] = odds_of([every[i] for i in own], cross[k])
+        odds[own] = sample.of_words(word[own], sample.log_odds(labels, fold != k))
+    every = [sample.words[i] for i in word.tolist()]
+    tables = sample.tables(sample.log_odds(labels, np.ones(len(texts), dtype=bool)))
+    lengths = sample.lengths
+    del sample, word, of_fold
     hashed, starts = trigrams(every)
     per = np.diff(np.append(starts, len(hashed)))
-    lengths = np.array([len(s) for s in split])
-    joined = np.append(np.concatenate(ids) if ids else np.zeros(0, np.int64), len(known))  # -1 finds the padding
+    del every
     spots, owner = windows_of(lengths)
-    at = joined[spots].astype(np.int32)
+    at = joined[spots]
     del spots, joined
     first = np.searchsorted(owner, np.arange(len(texts)))
     best_odds = np.append(odds.max(axis=1), 0.0)[at].max(axis=1)
@@ -261,7 +303,7 @@ def train(texts: list[str], labels: np.ndarray, other_weight: float = 1.0, batch
                 z = g[k] * min(1.0, 5.0 / (norm + 1e-9)) + (1e-4 * w[k] if k != "chars" else 0.0)
                 m[k], v[k] = 0.9 * m[k] + 0.1 * z, 0.99 * v[k] + 0.01 * z * z
                 w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return {"net": {k: z.astype(np.float32) for k, z in w.items()}, "odds": all_odds(sets, labels)}
+    return {"net": {k: z.astype(np.float32) for k, z in w.items()}, "odds": tables}
 
 
 #: Words that go through the network together.

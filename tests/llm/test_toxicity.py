@@ -90,3 +90,37 @@ def test_defined_cases(spark):
     assert toxicity.scored(spark.createDataFrame([], SCHEMA), both).count() == 0
     kept = toxicity.clean(df, spark.createDataFrame([(k, k % 2) for k in range(11)], labels))
     assert kept.columns == df.columns
+
+
+def test_training_keeps_a_word_once(monkeypatch):
+    """Memory of training follows the texts' words by a few numbers each, not by a string each."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "LEAST_UPDATES", 1)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"word{k}x" for k in rng.integers(0, 300, 4000)) for _ in range(100)]
+    labels = np.array([1, 0] * 50)
+    tracemalloc.start()
+    toxicity.train(texts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 100 * 4000, peak
+
+
+def test_log_odds_are_those_of_plain_counts():
+    texts = ["bad words, here", "good words here here", "", "bad (badly) words", "badness goodness", "good goodly", "bad", "awfully bad"] * 3
+    labels = np.array([1, 0, 0, 1, 1, 0, 1, 1] * 3)
+    some = np.arange(len(texts)) % 5 != 1
+    sample = toxicity.Sample(texts)
+    got = sample.tables(sample.log_odds(labels, some))
+    for n, table in zip((None, *toxicity.HEADS), got):
+        sets = [{w[:n] for w in toxicity.words_of(t) if n is None or len(w) > n} for t in texts]
+        a, b = (int((labels[some] == y).sum()) for y in (1, 0))
+        want = {}
+        for w in set().union(*sets) - {""}:
+            x, y = (sum(w in s for s, l, o in zip(sets, labels, some) if o and l == z) for z in (1, 0))
+            odds = np.log((x + 0.5) / (a + 1)) - np.log((y + 0.5) / (b + 1))
+            if x + y >= toxicity.LEAST_DOCS and abs(odds) > 0.7:
+                want[w] = max(-4.0, min(4.0, odds))
+        assert table == pytest.approx(want)
