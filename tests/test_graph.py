@@ -42,6 +42,17 @@ def test_strong_components_by_closure(spark, seed):
     assert {(r["id"], r["component"]) for r in graph.components_strong(edges_df(spark, e)).collect()} == want
 
 
+def test_strong_components_of_a_chain_in_few_rounds(spark, monkeypatch):
+    """Rings in a row, each reached from all before it: both labels together part them in two rounds, one alone takes a round for each."""
+    n = 8
+    e = [(f"n{k:02}{a}", f"n{k:02}{b}") for k in range(n) for a, b in ("ab", "ba")] + [(f"n{k:02}b", f"n{k + 1:02}a") for k in range(n - 1)]
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {(r["id"], r["component"]) for r in graph.components_strong(edges_df(spark, e)).collect()}
+    assert got == {(f"n{k:02}{a}", f"n{k:02}a") for k in range(n) for a in "ab"}
+    assert len(cuts) <= 25
+
+
 def test_no_cycles(spark):
     assert graph.components_strong(edges_df(spark, [("a", "b"), ("b", "c")])).count() == 0
 
