@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.graph import cut
 from corvane.operators.intervals import meets
 
 from corvane.functions.text import round_half_up
@@ -104,10 +105,12 @@ def changed_symbols(new: DataFrame, old: DataFrame, hunks: DataFrame) -> DataFra
     A hunk belongs to the innermost symbols it lies in. Rows: file, key, change, line; hunks that explain nothing give
     one row of the file (key null).
     """
+    hunks = cut(hunks.select("file", "old_start", "old_count", "new_start", "new_count"))  # made once: four steps read them
     hit = _near(hunks, new)
     whole = (F.col("new_start") >= F.col("line")) & (F.col("new_start") + F.greatest(F.col("new_count"), F.lit(1)) - 1 <= F.col("end_line"))
     inner = F.min(F.when(whole, F.col("end_line") - F.col("line"))).over(Window.partitionBy("file", "new_start", "new_count", "old_start", "old_count"))
     hit = hit.withColumn("_inner", inner).where(F.col("_inner").isNull() | (F.col("end_line") - F.col("line") <= F.col("_inner")))
+    hit = cut(hit.select("file", "key", "old_start", "old_count", "new_start", "new_count"))
     touched = hit.select("file", "key").distinct().withColumn("_hit", F.lit(True))
     both = new.select("file", "key", "line").join(old.select("file", "key", F.col("line").alias("old_line")), ["file", "key"], "full_outer").join(touched, ["file", "key"], "left")
     change = F.when(F.col("old_line").isNull(), "added").when(F.col("line").isNull(), "removed").when(F.col("_hit"), "modified")
@@ -125,7 +128,7 @@ def symbol_churn(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
 
     added counts the lines of a hunk inside the symbol; removed counts once, for the first symbol a hunk touches.
     """
-    hit = _near(hunks, symbols)
+    hit = _near(cut(hunks), symbols)
     hunk = Window.partitionBy("commit", "file", "new_start", "new_count", "old_count")
     hit = hit.withColumn("_inner", F.min(F.col("end_line") - F.col("line")).over(hunk)).where("end_line - line = _inner")
     hit = hit.withColumn("_first", F.row_number().over(hunk.orderBy("line", "id")) == 1)

@@ -62,14 +62,15 @@ def meets(a: DataFrame, b: DataFrame, on: str, a_start: str, a_end: str, b_start
     cell = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
     a = a.where(F.col(a_end) >= F.col(a_start)).withColumn("_la", _level(F.col(a_end) - F.col(a_start) + 1))
     b = b.where(F.col(b_end) >= F.col(b_start)).withColumn("_lb", _level(F.col(b_end) - F.col(b_start) + 1)).withColumnRenamed(on, "_on")
-    levels = lambda df, c, name: F.broadcast(df.agg(F.collect_set(c).alias(name)))  # noqa: E731  # 64 at most
+    levels = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  # 64 at most
+    of_a, of_b = levels(a, "_la"), levels(b, "_lb")
 
-    def placed(df: DataFrame, start: str, end: str, own: str, higher: DataFrame | None, strictly: bool) -> DataFrame:
+    def placed(df: DataFrame, start: str, end: str, own: str, higher: list[int] | None, strictly: bool) -> DataFrame:
         level = F.array(F.col(own))
         if higher is not None:
-            df = df.crossJoin(higher)
-            level = F.filter("_levels", lambda x: x > F.col(own) if strictly else x >= F.col(own))
-        df = df.withColumn("_level", F.explode(level)).drop("_levels")
+            every = F.array(*[F.lit(n) for n in higher]) if higher else F.array().cast("array<int>")
+            level = F.filter(every, lambda x: x > F.col(own) if strictly else x >= F.col(own))
+        df = df.withColumn("_level", F.explode(level))
         return df.withColumn("_cell", F.explode(F.sequence(cell(F.col(start), F.col("_level")), cell(F.col(end), F.col("_level")))))
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -79,10 +80,12 @@ def meets(a: DataFrame, b: DataFrame, on: str, a_start: str, a_end: str, b_start
         once = cell(F.greatest(a_start, b_start), F.col("_lx")) == F.col("_cx")
         return x.join(y, near & both & once).drop("_on", "_lx", "_ly", "_cx", "_cy", "_la", "_lb")
 
-    # a at least as short as b: b at its own level; a shorter b: a at its own level
-    short = joined(placed(a, a_start, a_end, "_la", levels(b, "_lb", "_levels"), False), placed(b, b_start, b_end, "_lb", None, False))
-    long_ = joined(placed(a, a_start, a_end, "_la", None, False), placed(b, b_start, b_end, "_lb", levels(a, "_la", "_levels"), True))
-    return short.unionByName(long_)
+    # a at least as short as b: b at its own level; a shorter b: a at its own level. A side is not moved where no level asks for it
+    short = joined(placed(a, a_start, a_end, "_la", of_b, False), placed(b, b_start, b_end, "_lb", None, False))
+    if not of_a or not of_b or of_a[-1] <= of_b[0]:
+        return short
+    long_ = joined(placed(a, a_start, a_end, "_la", None, False), placed(b, b_start, b_end, "_lb", of_a, True))
+    return long_ if of_a[0] > of_b[-1] else short.unionByName(long_)
 
 
 def without_outer(pairs: DataFrame, hunk: list[str], start: str, end: str, h_start: str, h_end: str) -> DataFrame:

@@ -77,6 +77,17 @@ def test_changed_symbols(spark):
     assert {(r["key"], r["change"]) for r in history.changed_symbols(nested, nested, one).collect()} == {("S.m", "modified")}
 
 
+def test_meets_moves_a_side_only_where_lengths_ask_for_it(spark):
+    """Where one side is shorter throughout, there is one join and no side is placed for a second one."""
+    short = spark.createDataFrame([("f", k, k + 1) for k in range(0, 40, 5)], "file string, s int, e int")
+    long_ = spark.createDataFrame([("f", k, k + 60) for k in range(0, 90, 30)], "file string, x int, y int")
+    want = {(k, x) for k in range(0, 40, 5) for x in range(0, 90, 30) if k <= x + 60 and k + 1 >= x}
+    for a, b, names in ((short, long_, "sexy"), (long_, short, "xyse")):
+        got = intervals.meets(a, b, "file", *names)
+        assert {(r["s"], r["x"]) for r in got.collect()} == want and got.count() == len(want)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_cochange(spark):
     baskets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "b"), (4, "a"), *[(4, f"x{k}") for k in range(9)]], "c int, i string")
     got = {r["i"]: (r["together"], r["weight"]) for r in history.cochange(baskets, "c", "i", "a", 5).collect()}
