@@ -12,12 +12,18 @@ def innermost(points: DataFrame, intervals: DataFrame, on: str, point: str, star
     An interval lies in one or two cells of the width that its own length has, rounded up to a power of two, so a point
     meets only intervals that begin near it, whatever else its file holds.
     """
+    best = innermost_held(points, intervals, on, point, start, end, point_keys, ordinal)
+    keys = best.withColumnsRenamed({k: f"_p{n}" for n, k in enumerate(point_keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_p{n}")) for n, k in enumerate(point_keys)]
+    return points.join(keys, same, "left").drop(*[f"_p{n}" for n in range(len(point_keys))])
+
+
+def innermost_held(points: DataFrame, intervals: DataFrame, on: str, point: str, start: str, end: str, point_keys: list[str], ordinal: str) -> DataFrame:
+    """The same for points that an interval holds only, one row for each of their keys: points are made and moved once."""
     near = on_levels(points, intervals, on, point, start, end)
     # ties without an ordinal go to the larger one
     best = near.groupBy(*point_keys).agg(F.max_by(F.struct(*[F.col(c) for c in intervals.columns if c != on]), F.struct(-(F.col(end) - F.col(start)), F.col(ordinal))).alias("_best"))
-    keys = best.select(*[F.col(k).alias(f"_p{n}") for n, k in enumerate(point_keys)], "_best")
-    same = [F.col(k).eqNullSafe(F.col(f"_p{n}")) for n, k in enumerate(point_keys)]
-    return points.join(keys, same, "left").select(*points.columns, "_best.*")
+    return best.select(*point_keys, "_best.*")
 
 
 def _level(length: Column) -> Column:

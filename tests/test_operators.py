@@ -180,6 +180,14 @@ def test_prefilter_keeps_what_folds(spark):
         assert {r["id"] for r in grep.search_text(df, "id", "text", q).collect()} == slow
 
 
+def test_innermost_held_moves_points_once(spark):
+    points = spark.createDataFrame([("f", 5), ("f", 50), ("g", 5)], "file string, at int")
+    spans = spark.createDataFrame([("f", "outer", 1, 20), ("f", "inner", 4, 6)], "file string, id string, line int, end_line int")
+    got = intervals.innermost_held(points, spans, "file", "at", "line", "end_line", ["file", "at"], "id")
+    assert [(r["file"], r["at"], r["id"]) for r in got.collect()] == [("f", 5, "inner")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_innermost_against_all_pairs(spark):
     import random
 
